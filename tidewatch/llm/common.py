@@ -84,3 +84,11 @@ def sampled(rows: DataFrame, most: int) -> DataFrame:
     if n <= most:
         return rows
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+
+
+def to_arrow(kind: str):
+    """The Arrow type of a Spark type's simple name."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(kind))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, token_counts, toxicity
+from . import langid, mixing, neardup, packing, quality, token_counts, topk, toxicity, url_filters, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -36,6 +36,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@query("op2_warc_revisits")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -43,6 +48,51 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, ratios)
 
 
+#: Rules of the contract, and globs that decide where none of them fits.
+URL_RULES = [
+    url_filters.prefix_rule("com/en/", "block"),
+    url_filters.prefix_rule("example.com/en/7", "allow"),
+    url_filters.prefix_rule("net/de/", "allow"),
+    url_filters.prefix_rule("example.net/de/8", "block"),
+    url_filters.prefix_rule("org/es/", "block"),
+]
+URL_GLOBS = [
+    url_filters.Rule("spam host", "*.*spam*", "*", "block"),
+    url_filters.Rule("pills host", "*.*cheap-pills*", "*", "block"),
+    url_filters.Rule("casino path", "*", "*/casino*", "block"),
+]
+
+
+@query(
+    "op4_url_filters",
+    r"""
+    WITH u AS (
+        SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+        FROM pages),
+    r AS (
+        SELECT * FROM (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+                              ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')) t(rule, h, p, v)),
+    m AS (
+        SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
+        FROM u JOIN r ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY ALL)
+    SELECT u.page_id, u.host, u.path, m.rule,
+           coalesce(m.v, CASE WHEN contains(u.host, 'spam') OR contains(u.host, 'cheap-pills') OR contains(u.path, '/casino') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM u LEFT JOIN m USING (page_id)
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(read(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS).drop("hits")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs, langid.remainder() != 2)
+    held_out = F.coalesce(langid.remainder() == 2, F.lit(False))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
@@ -92,6 +142,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+@query(
+    "op9_exact_top_k",
+    r"""
+    WITH v AS (
+        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+    s AS (
+        SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+        FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query(
     "op10_minhash_near_dedup",
     r"""
