@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"{tempfile.gettempdir()}/tidewatch"
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir()
     return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/table"
