@@ -9,7 +9,7 @@
    probability that its similarity reaches the threshold falls below ``miss``. Survivors are verified on
    their full sets, and links are joined to components.
 4. Buckets whose members are still in more than one component are compared completely, in blocks, across
-   components only; survivors are verified and linked as before. No bucket size is capped.
+   components only, with the same test; the links found are verified and added. No bucket size is capped.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ HASHES = BANDS * ROWS
 #: Minhashes compared between two decisions, and the accepted probability of dropping a pair that is a link.
 STEP, MISS = 32, 1e-5
 #: Bucket members in one block of the complete comparison.
-BLOCK = 256
+BLOCK = 128
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(32)
@@ -67,11 +67,12 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
+    """The low 16 bits of each minhash: unequal ones agree by chance once in 65,536 times."""
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(s), 1024):
         part = ((s[None, i : i + 1024] * _A[:, None] + _B[:, None]) >> _S).min(axis=1).astype(np.uint32)
         np.minimum(out, part, out=out)
-    return out
+    return out.astype(np.uint16)
 
 
 @lru_cache(maxsize=16)
@@ -138,80 +139,106 @@ def _prune(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left = _survive(_column(batch, "sig_a", np.uint32, HASHES), _column(batch, "sig_b", np.uint32, HASHES), rule)
+                left = _survive(_column(batch, "sig_a", np.uint16, HASHES), _column(batch, "sig_b", np.uint16, HASHES), rule)
                 yield batch.select(["a", "b"]).take(pa.array(left))
 
     kind = reps.schema["id"].dataType.simpleString()
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _sets(docs: DataFrame, ids: DataFrame, kind=np.uint64) -> DataFrame:
+    """(id, items): the sorted shingle hashes, cut to ``kind``, of the documents in ``ids`` (id, distinct)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.unique(shingle_set(word_bytes(t)).astype(kind)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["id", "items"])
+
+    some = mentioned(docs.select("doc_id", "text"), ids)
+    return some.mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, items binary").join(ids, "id", "left_semi")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches the threshold, in whole per cents or thousandths."""
+    if len(x) < len(y):
+        x, y = y, x
+    if not len(y) or len(y) < threshold * len(x) - 1:
+        return False
+    at = np.searchsorted(x, y)
+    common = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
+    return 1000 * common >= round(1000 * threshold) * (len(x) + len(y) - common)
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold, as (u, v)."""
     pairs = written(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = round(100 * threshold)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [shingle_set(word_bytes(t)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["id", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("items_a"), batch.column("items_b"))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) and len(y) else 0
-                if common and 100 * common >= cut * (len(x) + len(y) - common):
-                    keep.append(i)
+            sets = zip(batch.column("items_a"), batch.column("items_b"))
+            keep = [i for i, (x, y) in enumerate(sets) if _alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), threshold)]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["u", "v"])
 
-    full = mentioned(docs.select("doc_id", "text"), ids).mapInArrow(sets, f"id {kind}, items binary").join(ids, "id", "left_semi")
+    full = _sets(docs, ids)
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(
         full.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b"
     )
     return both.select("a", "b", "items_a", "items_b").mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
-def _blocks(members: DataFrame, comp: DataFrame, reps: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs of different components that share a bucket and pass the test on half of their minhashes.
+def _crossing(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and look like links.
 
-    Only buckets of three and more members that are in several components take part; each is dealt into
-    blocks of about ``BLOCK`` members, and a task sees two blocks at a time.
+    Only buckets of three and more members that are in several components take part. Each is dealt into
+    blocks of about ``BLOCK`` members and a task sees two blocks at a time. A pair is looked at in the first
+    band that it shares; one that passes the Bayesian test is compared on its sets, with hashes cut to 32
+    bits and a little slack, so that only pairs that are almost surely links become rows.
     """
     kind = reps.schema["id"].dataType.simpleString()
     ids = to_arrow_type(reps.schema["id"].dataType)
-    half = HASHES // 2
-    rule = keep_from(threshold, STEP, half, miss)
-    placed = members.where("c > 2").join(comp, "id", "left").select("key", "c", "id", F.coalesce("component", "id").alias("comp"))
+    rule = keep_from(threshold, STEP, HASHES, miss)
+    placed = members.where("c > 2").join(comp, "id", "left").select("key", "band", "c", "id", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    short = reps.select("id", F.substring("sig", 1, 4 * half).alias("sig"))
-    rows = placed.join(mixed, "key").join(short, "id").withColumn("n_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    placed = written(placed.join(mixed, "key"))
+    wanted = placed.select("id").distinct()
+    full = _sets(docs, wanted, np.uint32).join(reps.select("id", "sig"), "id")
+    rows = placed.join(full, "id").withColumn("n_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     packed = written(
-        rows.groupBy("key", "n_blocks", F.pmod(F.xxhash64("id", F.lit(7)), "n_blocks").cast("int").alias("block")).agg(
-            F.collect_list(F.struct("id", "comp", "sig")).alias("m")
-        )
+        rows.groupBy("key", "band", "n_blocks", F.pmod(F.xxhash64("id", F.lit(7)), "n_blocks").cast("int").alias("block")).agg(
+            F.collect_list(F.struct("id", "comp", "sig", "items")).alias("m")
+        ),
+        "lz4",
     )
-    left = packed.select("key", "block", F.col("m").alias("x"), F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("other"))
+    left = packed.select("key", "band", "block", F.col("m").alias("x"), F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("other"))
     pairs = left.join(packed.select("key", F.col("block").alias("other"), F.col("m").alias("y")), ["key", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y = batch.column("x")[i].values, batch.column("y")[i].values
-                sx, sy = (np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint32).reshape(-1, half) for v in (x, y))
-                cx, cy = (np.array(v.field("comp").to_pylist()) for v in (x, y))
-                ix, iy = (np.array(v.field("id").to_pylist()) for v in (x, y))
+                band = batch.column("band")[i].as_py()
+                sides = []
+                for side in ("x", "y"):
+                    v = batch.column(side)[i].values
+                    sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+                    sides.append((np.array(v.field("id").to_pylist()), np.array(v.field("comp").to_pylist()), sig, v.field("items")))
+                (ix, cx, sx, fx), (iy, cy, sy, fy) = sides
+                a, b = [], []
                 p, q = np.nonzero(cx[:, None] != cy[None, :])
-                for at in range(0, len(p), 16384):
-                    s, t = p[at : at + 16384], q[at : at + 16384]
+                for at in range(0, len(p), 8192):
+                    s, t = p[at : at + 8192], q[at : at + 8192]
                     ok = _survive(sx[s], sy[t], rule)
-                    a, b = ix[s[ok]], iy[t[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(f(a, b).tolist(), ids) for f in (np.minimum, np.maximum)], names=["a", "b"])
+                    s, t = s[ok], t[ok]
+                    shared = (sx[s] == sy[t]).reshape(-1, BANDS, ROWS).all(axis=2)
+                    ok = shared.argmax(axis=1) == band
+                    for j, k in zip(s[ok].tolist(), t[ok].tolist()):
+                        if _alike(np.frombuffer(fx[j].as_py(), np.uint32), np.frombuffer(fy[k].as_py(), np.uint32), threshold - 0.005):
+                            a.append(min(ix[j], iy[k]).item())
+                            b.append(max(ix[j], iy[k]).item())
+                yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], names=["a", "b"])
 
-    return pairs.select("key", "x", "y").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return pairs.select("band", "x", "y").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -230,8 +257,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     known = sketches.where("doc_id is not null and n_shingles > 0")
     reps = written(known.groupBy("fp").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")), "lz4")
 
-    keys = F.array(*[F.xxhash64(F.substring("sig", 1 + 4 * ROWS * j, 4 * ROWS), F.lit(j)) for j in range(BANDS)])
-    bands = reps.select("id", F.explode(keys).alias("key"))
+    keys = F.array(*[F.xxhash64(F.substring("sig", 1 + 2 * ROWS * j, 2 * ROWS), F.lit(j)) for j in range(BANDS)])
+    bands = reps.select("id", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = written(bands.join(buckets, "key"))
     mates = members.groupBy("id").agg(F.sum("c").alias("mates"))
@@ -240,8 +267,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
 
     links = written(_verify(_prune(pairs, reps, threshold, miss), docs, threshold))
     first = components(links)
-    crossing = _blocks(members, first, reps, threshold, miss)
-    more = _verify(_prune(crossing, reps, threshold, miss), docs, threshold)
+    more = _verify(_crossing(members, first, reps, docs, threshold, miss), docs, threshold)
     final = written(components(links.unionByName(more)))
 
     classes = reps.select("fp", "id").join(final, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
