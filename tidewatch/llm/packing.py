@@ -7,6 +7,7 @@ is left, so that only the last group's bins can be far from full.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -27,14 +28,15 @@ OPEN_SHARE = 0.005
 #: Bins that one local search looks at, and distinct lengths per bin that it tries.
 SEARCH_BINS, SEARCH_LENGTHS = 48, 48
 #: Words with more bytes are not kept in the cache; the cache has two generations of so many words.
-CACHE_WORD_BYTES, CACHE_WORDS = 64, 500_000
+CACHE_WORD_BYTES, CACHE_WORDS = 64, 700_000
+WORD_END = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=\s|$)")
 
 
 class WordIds:
     """Token ids of texts, as little-endian bytes, from the library's ids of their words.
 
     The tokenizer removes white space and has no piece that spans it, so a text's ids are its words' ids one
-    after the other. Words are split at ASCII white space only, whatever else the tokenizer takes for white
+    after the other. Words are split at ASCII white space only; whatever else the tokenizer takes for white
     space stays inside a word and is handled by it. Ids of frequent words are kept in two generations.
     """
 
@@ -44,29 +46,61 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        size = self.tokenizer.get_vocab_size()
+        self.raw = [i.to_bytes(4, "little") for i in range(size)]
+        self.last = [(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)]
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def split(text: str) -> list[bytes]:
+        """Words, fewer different ones where that can't matter to a tokenizer that lowers case itself: A-Z are
+        lowered and a full stop or comma at a word's end is a word, unless a combining mark, which might
+        compose with a lower-case letter only, or a special token is in the text."""
+        raw = text.encode("utf-8")
+        if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw:
+            return raw.split()
+        return WORD_END.sub(rb" \g<0>", raw).lower().split()
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters only are one symbol run each and encoded many at a time, cut where a run ends."""
+        decoded = [w.decode("utf-8") for w in words]
+        plain = [i for i, w in enumerate(decoded) if w.isalpha()]
+        out: list[bytes] = [b""] * len(words)
+        alone = [i for i, w in enumerate(decoded) if not w.isalpha()]
+        parts = [plain[at : at + 128] for at in range(0, len(plain), 128)]
+        raw, last = self.raw, self.last
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join([decoded[i] for i in p]) for p in parts], add_special_tokens=False)):
+            ids = e.ids
+            ends = [k + 1 for k, x in enumerate(ids) if last[x]]
+            if len(ends) != len(part):
+                alone += part
+                continue
+            begin = 0
+            for i, end in zip(part, ends):
+                out[i] = b"".join([raw[x] for x in ids[begin:end]])
+                begin = end
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([decoded[i] for i in alone], add_special_tokens=False)):
+            out[i] = b"".join([raw[x] for x in e.ids])
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8").split() for t in texts]
+        split = [self.split(t) for t in texts]
         wanted = set().union(*split)
         if len(self.new) + len(wanted) > CACHE_WORDS:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
         here: dict[bytes, bytes] = {}
         missing = []
-        for w in wanted:
-            if w in new:
-                continue
+        for w in wanted.difference(new):
             if (ids := old.get(w)) is not None:
                 new[w] = ids
             else:
                 missing.append(w)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                (new if len(w) <= CACHE_WORD_BYTES else here)[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        for at in range(0, len(missing), 8192):
+            part = missing[at : at + 8192]
+            for w, ids in zip(part, self._encode(part)):
+                (new if len(w) <= CACHE_WORD_BYTES else here)[w] = ids
         get = {**new, **here}.__getitem__ if here else new.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
