@@ -16,3 +16,8 @@ def register(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def load() -> None:
+    """Import all modules that register queries."""
+    from .plans import queries_graph, queries_items, queries_sources, queries_streams, queries_weak  # noqa: F401
