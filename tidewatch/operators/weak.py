@@ -316,7 +316,7 @@ def select_budget(signals: DataFrame, picked: DataFrame, now, budget: int = DAIL
                 out.append((r.signal_id, rank, r.score))
         return pd.DataFrame(out, columns=["signal_id", "pick", "score"])
 
-    return both.groupBy(F.lit(0)).applyInPandas(greedy, "signal_id long, pick int, score double")
+    return both.groupBy(F.lit("all")).applyInPandas(greedy, "signal_id long, pick int, score double")
 
 
 def metrics(labelled: DataFrame, now, days: int = 14) -> DataFrame:

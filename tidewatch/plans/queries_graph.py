@@ -1 +1,221 @@
+"""Registered queries: catalogs, topics, press."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import terms, vectors
+from ..operators import catalog, press, topics
+from ..registry import register
+from ..session import table
+from . import fixture
+from .fixture import NOW, with_items
+from .queries_items import _T, LEX, SQL_ENTITIES, members
+
+# catalogs: keys are customers, catalogs their orders' status, states two dates of the orders
+
+_BEFORE, _AFTER = "1998-06-01", "1998-06-15"
+_SQL_STATES = f"""
+prev AS (SELECT DISTINCT o_orderstatus AS catalog_id, o_custkey AS key FROM orders WHERE o_orderdate < DATE '{_BEFORE}' AND o_orderstatus <> 'P'),
+cur AS (SELECT o_orderstatus AS catalog_id, o_custkey AS key, max(CAST(o_orderdate AS TIMESTAMP)) AS event_at FROM orders WHERE o_orderdate < DATE '{_AFTER}' GROUP BY 1, 2)"""
+
+
+def _states(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("catalog_id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    prev = o.where((F.col("at") < F.lit(_BEFORE).cast("timestamp")) & (F.col("catalog_id") != "P")).select("catalog_id", "key").distinct()
+    cur = o.where(F.col("at") < F.lit(_AFTER).cast("timestamp")).groupBy("catalog_id", "key").agg(F.max("at").alias("event_at"))
+    return prev, cur.withColumns({"title": F.col("key").cast("string"), "dated_by_commit": F.col("key") % 10 == 0})
+
+
+@register("k17_new_entries", f"WITH {_SQL_STATES} SELECT catalog_id, key, event_at FROM cur WHERE NOT EXISTS (SELECT 1 FROM prev WHERE prev.catalog_id = cur.catalog_id AND prev.key = cur.key)")
+def new_entries(spark, sf_dir):
+    prev, cur = _states(spark, sf_dir)
+    return catalog.new_entries(prev, cur).select("catalog_id", "key", "event_at")
+
+
+@register(
+    "k18_catalog_events",
+    f"""WITH {_SQL_STATES}, f AS (SELECT * FROM cur WHERE NOT EXISTS (SELECT 1 FROM prev WHERE prev.catalog_id = cur.catalog_id AND prev.key = cur.key))
+        SELECT catalog_id, key, event_at FROM f WHERE key % 7 <> 0 AND (catalog_id IN (SELECT catalog_id FROM prev) OR (event_at >= TIMESTAMP '{_AFTER} 00:00:00' - INTERVAL 48 HOUR AND key % 10 <> 0))""",
+)
+def catalog_events(spark, sf_dir):
+    prev, cur = _states(spark, sf_dir)
+    return catalog.catalog_events(prev, cur, cur.where("key % 7 = 0"), f"{_AFTER} 00:00:00").select("catalog_id", "key", "event_at")
+
+
+_SQL_JOBS = f"""
+pj AS (SELECT o_orderpriority AS board, o_orderkey AS job_id FROM orders WHERE o_orderdate < DATE '{_BEFORE}' AND o_orderpriority <> '1-URGENT'),
+cj AS (SELECT o_orderpriority AS board, o_orderkey AS job_id, CAST(o_orderdate AS TIMESTAMP) AS pub FROM orders WHERE o_orderdate < DATE '{_AFTER}')"""
+
+
+def _jobs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("board"), F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").cast("string").alias("title"), F.col("o_orderdate").cast("timestamp").alias("published_at"))
+    return o.where((F.col("published_at") < F.lit(_BEFORE).cast("timestamp")) & (F.col("board") != "1-URGENT")), o.where(F.col("published_at") < F.lit(_AFTER).cast("timestamp"))
+
+
+@register(
+    "k19_job_events",
+    f"""WITH {_SQL_JOBS}, f AS (SELECT * FROM cj WHERE NOT EXISTS (SELECT 1 FROM pj WHERE pj.board = cj.board AND pj.job_id = cj.job_id) AND (board IN (SELECT board FROM pj) OR pub >= TIMESTAMP '{_AFTER} 00:00:00' - INTERVAL 48 HOUR)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY job_id) AS k FROM f)
+        SELECT board, count(*) AS n, string_agg(CAST(job_id AS VARCHAR), ',' ORDER BY job_id) FILTER (k <= 6) AS titles, 'jobs:{_AFTER}T00:00' AS key FROM r GROUP BY board""",
+)
+def job_events(spark, sf_dir):
+    before, now = _jobs(spark, sf_dir)
+    return catalog.job_events(before, now, f"{_AFTER} 00:00:00").withColumn("titles", F.array_join("titles", ","))
+
+
+@register(
+    "k19_job_history",
+    f"""WITH {_SQL_JOBS} SELECT coalesce(pj.board, cj.board) AS board, coalesce(pj.job_id, cj.job_id) AS job_id, CASE WHEN pj.job_id IS NULL THEN TIMESTAMP '{_AFTER}' ELSE TIMESTAMP '{_BEFORE}' END AS first_seen_at,
+               CASE WHEN cj.job_id IS NULL THEN TIMESTAMP '{_BEFORE}' ELSE TIMESTAMP '{_AFTER}' END AS last_seen_at FROM pj FULL JOIN cj ON pj.board = cj.board AND pj.job_id = cj.job_id""",
+)
+def job_history(spark, sf_dir):
+    before, now = _jobs(spark, sf_dir)
+    at = F.lit(_BEFORE).cast("timestamp")
+    return catalog.job_history(before.withColumns({"first_seen_at": at, "last_seen_at": at}), now, f"{_AFTER} 00:00:00").drop("title")
+
+
+@register(
+    "k20_describe",
+    f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'New component on the status page ' || coalesce(nullif(regexp_replace(lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://([^/?#:@]+)', 1)), '^www\\.', ''), ''), 'an unknown host') || ': t, '
+          ELSE 'New filing: t, ' END || CASE WHEN page_id % 5 = 0 THEN 'creation date unknown' WHEN page_id % 100 > 72 THEN 'created on ' || strftime({_T} - to_hours(CAST(page_id % 100 AS INTEGER)), '%Y-%m-%d') || ', made visible long after its creation'
+          ELSE 'created ' || CAST(page_id % 100 AS VARCHAR) || ' h ago' END AS reason FROM pages""",
+)
+def describe(spark, sf_dir):
+    kind = F.when(F.col("page_id") % 2 == 0, "status_components").otherwise("edgar_form_d")
+    at = F.when(F.col("page_id") % 5 != 0, F.timestamp_micros(F.unix_micros(F.lit(NOW).cast("timestamp")) - F.col("page_id") % 100 * 3_600_000_000))
+    return table(spark, sf_dir, "pages").select("page_id", catalog.describe(kind, F.lit("t"), F.col("url"), at, NOW).alias("reason"))
+
+
+# topics
+
+
+@register("c9_pending", with_items("SELECT item_id FROM items WHERE item_id % 3 > 0 AND item_id % 4 <> 0"))
+def pending(spark, sf_dir):
+    i = fixture.items(spark, sf_dir).withColumn("relevant", F.col("item_id") % 3 > 0)
+    return topics.pending(i, i.where("item_id % 4 = 0")).select("item_id")
+
+
+@register(
+    "c5_link_joins",
+    with_items(
+        r"""SELECT n.item_id, k.cluster_id, 1.0::DOUBLE AS sim FROM items n JOIN (SELECT url_canon, min(item_id % 100) AS cluster_id FROM items WHERE item_id % 3 = 0 AND url_canon IS NOT NULL AND NOT regexp_matches(url_canon, '^https://[^/]+/?$') GROUP BY 1) k
+            ON n.url_canon = k.url_canon WHERE n.item_id % 3 = 1"""
+    ),
+)
+def link_joins(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return topics.link_joins(m.where("item_id % 3 = 1").drop("cluster_id"), m.where("item_id % 3 = 0"))
+
+
+def hashed(spark, sf_dir) -> DataFrame:
+    i = fixture.items(spark, sf_dir)
+    return vectors.with_hash_vectors(i.select("item_id", "evt_at", "kind", "url_canon", "source_id", "title"), F.col("title"))
+
+
+@register("c6_leader_clusters")
+def leaders(spark, sf_dir):
+    """One 72-hour active set, as the operator asks for."""
+    h = hashed(spark, sf_dir).where(F.col("evt_at") >= F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 72 HOURS")).withColumn("url_canon", F.lit(None).cast("string"))
+    return topics.leader_clusters(h).select("item_id", "cluster_id")
+
+
+def _word_keys(spark, sf_dir) -> DataFrame:
+    """Keys for candidates: the title's first three words, so that copies meet."""
+    w = F.slice(F.split(F.lower("title"), " "), 1, 3)
+    return fixture.items(spark, sf_dir).select("item_id", F.array_join(w, " ").alias("key"))
+
+
+@register("c6_threshold_topics")
+def threshold(spark, sf_dir):
+    return topics.threshold_topics(hashed(spark, sf_dir), _word_keys(spark, sf_dir))
+
+
+_SQL_EDGES = "e AS (SELECT DISTINCT user_id AS a, user_id + 1 + event_id % 3 AS b FROM events WHERE event_id % 4 = 0), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), sy AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_id % 40 = 0").select(F.col("user_id").alias("a"), (F.col("user_id") + 1 + F.col("event_id") % 3).alias("b")).distinct()
+
+
+@register(
+    "c7_merge_topics",
+    f"""WITH RECURSIVE {_SQL_EDGES.replace('event_id % 4 = 0', 'event_id % 40 = 0')}, r AS (SELECT id, id AS reached FROM n UNION SELECT r.id, sy.b FROM r JOIN sy ON sy.a = r.reached),
+        c AS (SELECT id, min(reached) AS comp FROM r GROUP BY 1), h AS (SELECT comp, arg_min(id, (-(id % 17), id)) AS merged_into FROM c GROUP BY 1)
+        SELECT id AS cluster_id, merged_into FROM c JOIN h USING (comp)""",
+)
+def merge(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    t = e.select(F.col("a").alias("cluster_id")).union(e.select("b")).distinct().withColumn("n", F.col("cluster_id") % 17)
+    return topics.merge_topics(t, e.withColumn("sim", F.lit(0.9)))
+
+
+@register(
+    "c7_centroids",
+    """WITH c AS (SELECT label AS cluster_id, i, sum(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), l AS (SELECT cluster_id, sqrt(sum(x * x)) AS l FROM c GROUP BY 1)
+       SELECT cluster_id, CAST(i - 1 AS INTEGER) AS i, CAST(floor(x / l * 1e6 + 0.5) AS BIGINT) AS x_e6 FROM c JOIN l USING (cluster_id)""",
+)
+def centroids(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster_id"), F.col("embedding").alias("v"))
+    return topics.centroids(e).select("cluster_id", F.posexplode("v").alias("i", "x")).select("cluster_id", "i", F.floor(F.col("x") * 1e6 + 0.5).alias("x_e6"))
+
+
+@register(
+    "c8_topic_entities",
+    with_items(
+        f"""SELECT cluster_id, string_agg(entity, ',' ORDER BY k) AS entities FROM (SELECT cluster_id, entity, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, entity) AS k FROM (
+              SELECT item_id % 100 AS cluster_id, entity, count(*) AS n FROM (SELECT item_id, unnest({SQL_ENTITIES}) AS entity FROM items) GROUP BY 1, 2)) WHERE k <= 5 GROUP BY 1"""
+    ),
+)
+def topic_entities(spark, sf_dir):
+    m = members(spark, sf_dir).select("cluster_id", F.explode(terms.entities(F.col("title"), LEX)).alias("entity"))
+    return topics.topic_entities(m).withColumn("entities", F.array_join("entities", ","))
+
+
+@register(
+    "c8_topic_labels",
+    with_items("SELECT cluster_id, CASE WHEN cluster_id % 4 = 0 THEN 'kept' ELSE title END AS label FROM (SELECT item_id % 100 AS cluster_id, title, row_number() OVER (PARTITION BY item_id % 100 ORDER BY score_raw DESC, item_id) AS k FROM items WHERE family <> 'G') WHERE k = 1"),
+)
+def topic_labels(spark, sf_dir):
+    m = members(spark, sf_dir)
+    return topics.topic_labels(m, m.where("cluster_id % 4 = 0").select("cluster_id", F.lit("kept").alias("label")).distinct())
+
+
+# press
+
+
+@register(
+    "c10_press_match",
+    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+       SELECT a.vec_id AS article_id, m.vec_id % 20 AS cluster_id, CAST(floor(max(list_inner_product(a.v, m.v)) * 1e6 + 0.5) AS BIGINT) AS sim_e6 FROM v a JOIN v m USING (label) WHERE a.vec_id % 5 = 0 GROUP BY 1, 2 HAVING max(list_inner_product(a.v, m.v)) >= 0.60""",
+)
+def press_match(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    a = e.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "article_id")
+    out = press.best_match(a, e.select((F.col("vec_id") % 20).alias("cluster_id"), "label", "v"), ["label"])
+    return out.select("article_id", "cluster_id", F.floor(F.col("sim") * 1e6 + 0.5).alias("sim_e6"))
+
+
+@register(
+    "p1_coverage",
+    f"""WITH a AS (SELECT user_id % 80 AS cluster_id, CAST(event_id % 500 AS VARCHAR) AS url, min(ts) AS pub FROM events WHERE ts >= {_T} - INTERVAL 7 DAY GROUP BY 1, 2),
+        c AS (SELECT cluster_id, count(*) AS n_7d, count(*) FILTER (pub >= {_T} - INTERVAL 24 HOUR) AS n_24h, min(pub) AS first_at, max(pub) AS last_at, string_agg(url, ',' ORDER BY pub, url) FILTER (k <= 5) AS samples
+              FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY pub, url) AS k FROM a) GROUP BY 1),
+        i AS (SELECT user_id % 90 AS cluster_id, count(*) // 100 AS n FROM events GROUP BY 1)
+        SELECT cluster_id, n_7d, n_24h, first_at, last_at, samples, greatest(coalesce(n, 0), coalesce(n_7d, 0)) AS n, CASE WHEN greatest(coalesce(n, 0), coalesce(n_7d, 0)) >= 3 THEN 'CONFIRMED' WHEN greatest(coalesce(n, 0), coalesce(n_7d, 0)) >= 1 THEN 'LIGHT_PRESS' ELSE 'ANTICIPATION' END AS status
+        FROM i FULL JOIN c USING (cluster_id)""",
+)
+def coverage(spark, sf_dir):
+    e = fixture.events(spark, sf_dir)
+    m = e.select((F.col("user_id") % 80).alias("cluster_id"), (F.col("event_id") % 500).cast("string").alias("url"), F.lit("t").alias("title"), F.col("ts").alias("published_at"))
+    c = e.groupBy((F.col("user_id") % 90).alias("cluster_id")).agg(F.expr("count(*) div 100").alias("n"))
+    return press.coverage(m, c, NOW).withColumn("samples", F.array_join("samples", ","))
+
+
+@register("r9_press_query")
+def press_query(spark, sf_dir):
+    m = members(spark, sf_dir)
+    ents = topics.topic_entities(m.select("cluster_id", F.explode(terms.entities(F.col("title"), LEX)).alias("entity")))
+    labels = m.groupBy("cluster_id").agg(F.min_by("title", "item_id").alias("label"))
+    return press.press_query(m, labels.join(ents, "cluster_id", "left"), LEX)

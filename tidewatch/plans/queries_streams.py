@@ -1 +1,78 @@
+"""Registered queries that run a stream to its end and return what it made."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..registry import register
+from ..streaming import streams
+
+
+def _shared(spark: SparkSession) -> str:
+    """A folder that driver and executors share: below spark.checkpoint.dir, or local in plain local runs."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    base, _, leaf = path.rpartition("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", leaf).parquet(base) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def _result(df: DataFrame, mode: str) -> DataFrame:
+    """All rows that a stream emits by the time its input is used up, each batch in a folder of its own."""
+    spark, where = df.sparkSession, _shared(df.sparkSession)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch={batch_id:06d}")
+
+    streams.run_available(df, f"{where}/cursor", merge, mode).awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{where}/out/batch=*")
+
+
+@register("st_hourly_counts", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly(spark, sf_dir):
+    return _result(streams.hourly_counts(_stream(spark, sf_dir, "events"), "event_type"), "update")
+
+
+@register(
+    "st_sliding_counts",
+    "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(i AS INTEGER)) AS start, count(*) AS n FROM events, (SELECT unnest(range(0, 6)) AS i) GROUP BY 1, 2",
+)
+def sliding(spark, sf_dir):
+    return _result(streams.sliding_counts(_stream(spark, sf_dir, "events"), "event_type"), "update")
+
+
+@register("st_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def first_seen(spark, sf_dir):
+    return _result(streams.first_seen_once(_stream(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type"), "append")
+
+
+@register("w0_weak_pass", "SELECT user_id, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
+def weak_pass(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    where = _shared(spark)
+
+    def update(before, batch):
+        new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+        both = new if before is None else before.unionByName(new)
+        return both.groupBy("user_id").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+    q = streams.weak_pass(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), f"{where}/cursor", f"{where}/state", update)
+    q.awaitTermination()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return spark.read.parquet(f"{where}/state/{last}")

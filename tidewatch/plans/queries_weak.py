@@ -1 +1,469 @@
+"""Registered queries: weak-signal detectors, labels, evaluation, publications."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import evaluate, weak
+from ..registry import register
+from ..session import table
+from . import fixture
+from .fixture import NOW, with_items
+from .queries_items import _T, SQL_ENTITIES, SQL_PRIOR, SQL_TERMS, entity_mentions, mentions
+
+DAY_US = 86_400_000_000
+SINCE = fixture.START
+
+
+def _cred(df: DataFrame) -> DataFrame:
+    return df.withColumn("cred", weak.prior_credibility(F.col("family")))
+
+
+def e6(c) -> F.Column:
+    return F.floor(F.col(c) * 1e6 + 0.5).alias(f"{c}_e6")
+
+
+def sql_e6(c: str) -> str:
+    return f"CAST(floor({c} * 1e6 + 0.5) AS BIGINT) AS {c}_e6"
+
+
+@register("w12_prior_credibility", with_items(f"SELECT DISTINCT family, {SQL_PRIOR} AS cred FROM items"))
+def prior(spark, sf_dir):
+    return _cred(fixture.items(spark, sf_dir).select("family").distinct())
+
+
+@register(
+    "w2_new_terms",
+    with_items(
+        f"""SELECT term, CAST(first AS DATE) AS first_day, item_id, families, {sql_e6('bits')} FROM (
+              SELECT *, row_number() OVER (PARTITION BY term ORDER BY ts, item_id) AS k FROM (
+                SELECT *, CASE WHEN third IS NOT NULL AND p < 1e-4 THEN least(20.0, -log2(greatest(p, 1e-12))) WHEN families >= 2 AND cred_day >= 0.5 THEN 6.0 END AS bits FROM (
+                  SELECT *, greatest(0.0, 1 - exp(-mu) * (1 + mu + mu * mu / 2)) AS p, CAST(len(list_distinct(list_transform(day6, lambda x: x.family))) AS INTEGER) AS families,
+                         list_sum(list_transform(day6, lambda x: x.cred)) / len(day6) AS cred_day FROM (
+                    SELECT *, 3 * greatest(1 / 24.0::DOUBLE, (epoch_us(ts) - epoch_us(third)) / {DAY_US}.0::DOUBLE) / days AS mu, list_filter(near, lambda x: epoch_us(x.ts) >= epoch_us(ts) - {DAY_US}) AS day6 FROM (
+                      SELECT term, item_id, family, first_seen_at AS ts, {SQL_PRIOR} AS cred, (epoch_us({_T}) - epoch_us(TIMESTAMP '{SINCE}')) / {DAY_US}.0::DOUBLE AS days,
+                             min(first_seen_at) OVER (PARTITION BY term) AS first, lag(first_seen_at, 2) OVER w AS third,
+                             list({{'ts': first_seen_at, 'family': family, 'cred': {SQL_PRIOR}}}) OVER (PARTITION BY term ORDER BY first_seen_at, item_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS near
+                      FROM terms WINDOW w AS (PARTITION BY term ORDER BY first_seen_at, item_id))
+                    WHERE epoch_us(ts) - epoch_us(first) <= 2 * {DAY_US})))
+              WHERE bits IS NOT NULL) WHERE k = 1""",
+        SQL_TERMS,
+    ),
+)
+def new_terms(spark, sf_dir):
+    out = weak.new_terms(_cred(mentions(spark, sf_dir)), SINCE, NOW)
+    return out.select("term", "first_day", "item_id", "families", e6("bits"))
+
+
+SQL_MENTIONS = f"ment AS (SELECT DISTINCT item_id, first_seen_at AS ts, epoch_us(first_seen_at) AS us, unnest({SQL_ENTITIES}) AS entity FROM items)"
+
+
+@register(
+    "w3_new_pairs",
+    with_items(
+        f"""SELECT a, b, item_id, na, nb, n_all, {sql_e6('aa')}, {sql_e6('bits')} FROM (
+              SELECT *, surprise / (1 + aa) AS bits FROM (
+                SELECT c.*, coalesce((SELECT sum(1 / ln(deg)) FROM (
+                    SELECT x.b AS mid, (SELECT count(*) FROM sym z WHERE z.a = x.b AND z.us < c.us) AS deg FROM sym x JOIN sym y ON x.b = y.b WHERE x.a = c.a AND y.a = c.b AND x.us < c.us AND y.us < c.us) WHERE deg > 1), 0.0) AS aa
+                FROM cand c) WHERE aa < 1)""",
+        f"""{SQL_MENTIONS},
+        cnt AS (SELECT *, count(*) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN {30 * DAY_US} PRECEDING AND CURRENT ROW) AS n FROM ment),
+        pr AS (SELECT x.item_id, x.us, x.entity AS a, y.entity AS b, x.n AS na, y.n AS nb, row_number() OVER (PARTITION BY x.entity, y.entity ORDER BY x.us, x.item_id) AS k
+               FROM cnt x JOIN cnt y ON x.item_id = y.item_id AND x.entity < y.entity),
+        fst AS (SELECT * FROM pr WHERE k = 1),
+        sym AS (SELECT a, b, us FROM fst UNION ALL SELECT b, a, us FROM fst),
+        tot AS (SELECT *, (SELECT count(*) FROM ment m WHERE m.us <= fst.us AND m.us >= fst.us - {30 * DAY_US}) AS n_all FROM fst WHERE na >= 5 AND nb >= 5),
+        cand AS (SELECT *, log2(n_all * n_all / (na * nb)::DOUBLE) AS surprise FROM tot WHERE log2(n_all * n_all / (na * nb)::DOUBLE) >= 3)""",
+    ),
+)
+def new_pairs(spark, sf_dir):
+    out = weak.new_pairs(entity_mentions(spark, sf_dir), 29.5)
+    return out.select("a", "b", "item_id", "na", "nb", "n_all", e6("aa"), e6("bits"))
+
+
+@register(
+    "w3_pair_edges",
+    with_items("SELECT x.entity AS a, y.entity AS b, min(x.ts) AS first_at, max(x.ts) AS last_at, count(*) AS n FROM ment x JOIN ment y ON x.item_id = y.item_id AND x.entity < y.entity GROUP BY 1, 2", SQL_MENTIONS),
+)
+def pair_edges(spark, sf_dir):
+    return weak.pair_edges(entity_mentions(spark, sf_dir))
+
+
+_SQL_EDGES = "e AS (SELECT DISTINCT user_id % 40 AS a, 40 + (event_id // 7) % 60 AS b FROM events WHERE event_id % 11 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+
+
+@register(
+    "a5_adamic_adar",
+    f"""WITH {_SQL_EDGES}, d AS (SELECT b, count(*) AS deg FROM s GROUP BY b HAVING count(*) > 1)
+        SELECT x.a AS a, y.a AS b, CAST(floor(sum(1 / ln(deg)) * 1e6 + 0.5) AS BIGINT) AS score_e6 FROM s x JOIN s y ON x.b = y.b AND x.a < y.a JOIN d ON d.b = x.b GROUP BY 1, 2""",
+)
+def adamic(spark, sf_dir):
+    from ..functions.stats import adamic_adar
+
+    e = table(spark, sf_dir, "events").where("event_id % 11 = 0").select((F.col("user_id") % 40).alias("a"), (40 + F.expr("event_id div 7") % 60).alias("b")).distinct()
+    return adamic_adar(e).select("a", "b", e6("score"))
+
+
+@register(
+    "w4_new_vocabulary",
+    with_items(
+        f"""SELECT source_id, term, item_id, {sql_e6('bits')} FROM (
+              SELECT source_id, term, item_id, log2(1 + source_days) AS bits, row_number() OVER (PARTITION BY source_id, term ORDER BY ts, item_id) AS k, source_days FROM (
+                SELECT *, first_seen_at AS ts, (epoch_us(first_seen_at) - min(epoch_us(first_seen_at)) OVER (PARTITION BY source_id)) / {DAY_US}.0::DOUBLE AS source_days FROM terms WHERE family = 'E'))
+            WHERE k = 1 AND source_days >= 7""",
+        SQL_TERMS,
+    ),
+)
+def vocabulary(spark, sf_dir):
+    from pyspark.sql import Window
+
+    m = mentions(spark, sf_dir).where("family = 'E'")
+    first = F.min("ts").over(Window.partitionBy("source_id"))
+    m = m.withColumns({"cred": F.lit(0.7), "source_days": (F.unix_micros("ts") - F.unix_micros(first)) / F.lit(float(DAY_US))})
+    return weak.new_vocabulary(m).select("source_id", "term", "item_id", e6("bits"))
+
+
+@register(
+    "w5_isolated_early",
+    with_items("SELECT item_id, source_id, 4.0::DOUBLE AS bits FROM items WHERE source_id IN ('src1', 'src4', 'src7') AND item_id % 100 > 60"),
+)
+def isolated(spark, sf_dir):
+    i = fixture.items(spark, sf_dir)
+    early = F.col("source_id").isin("src1", "src4", "src7")
+    i = i.withColumns({"ts": F.col("first_seen_at"), "cred": F.lit(0.8), "precocity": F.when(early, 0.75).when(F.col("source_id") == "src2", 0.5), "topic_size": F.when(F.col("item_id") % 100 > 60, F.when(F.col("item_id") % 2 == 0, 1)).otherwise(3)})
+    return weak.isolated_early(i).select("item_id", "source_id", "bits")
+
+
+@register(
+    "w6_decayed_outliers",
+    f"""WITH v AS (SELECT event_type AS grp, event_id AS item_id, ts, value AS points, (event_id % 120) / 60.0::DOUBLE AS age FROM events WHERE value > 0),
+        d AS (SELECT *, points / pow(age + 2, 1.8) AS v FROM v),
+        h AS (SELECT a.grp, a.item_id, a.points, a.v, list_sort(list(b.v)) AS h FROM d a JOIN d b ON a.grp = b.grp AND (b.ts, b.item_id) < (a.ts, a.item_id) AND epoch_us(b.ts) >= epoch_us(a.ts) - 14 * {DAY_US} GROUP BY 1, 2, 3, 4)
+        SELECT grp, item_id, points, {sql_e6('bits')} FROM (SELECT *, h[CAST(least(len(h) - 1, floor(0.95 * len(h))) AS INTEGER) + 1] AS cut, 4 + 4 * log2(v / h[CAST(least(len(h) - 1, floor(0.95 * len(h))) AS INTEGER) + 1]) AS bits FROM h WHERE len(h) >= 200) WHERE v >= cut AND points >= 10""",
+)
+def outliers(spark, sf_dir):
+    e = fixture.events(spark, sf_dir)
+    p = e.select(F.col("event_type").alias("grp"), F.col("event_id").alias("item_id"), "ts", F.col("value").alias("points"), ((F.col("event_id") % 120) / 60.0).alias("age_h"))
+    return weak.decayed_outliers(p).select("grp", "item_id", "points", e6("bits"))
+
+
+@register("w7_catalog_score", "SELECT kind, CAST(floor(CASE kind WHEN 'sirene' THEN 7 WHEN 'hf_org' THEN 5 WHEN 'ashby_jobs' THEN 2 ELSE 4 END * 0.35 * 1e6 + 0.5) AS BIGINT) AS score_e6 FROM (VALUES ('sirene'), ('hf_org'), ('ashby_jobs'), ('other')) t(kind)")
+def catalog_score(spark, sf_dir):
+    k = spark.createDataFrame([("sirene",), ("hf_org",), ("ashby_jobs",), ("other",)], "kind string")
+    return k.withColumn("score", weak.catalog_score(F.col("kind"))).select("kind", e6("score"))
+
+
+_SQL_DAILY = SQL_TERMS + ", daily AS (SELECT term, CAST(first_seen_at AS DATE) AS day, count(*) AS n, list_sort(list(DISTINCT source_id)) AS sources, list_sort(list(DISTINCT family)) AS families FROM terms GROUP BY 1, 2)"
+
+
+def _empty_daily(spark) -> DataFrame:
+    return spark.createDataFrame([], "term string, day date, n bigint, sources array<string>, families array<string>")
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    return weak.increment_daily(_empty_daily(spark), mentions(spark, sf_dir))
+
+
+@register("w11_term_daily", with_items("SELECT term, day, CAST(n AS BIGINT) AS n, array_to_string(sources, ',') AS sources, array_to_string(families, ',') AS families FROM daily", _SQL_DAILY))
+def term_daily(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    state = weak.increment_daily(_empty_daily(spark), m.where("item_id % 2 = 0"))
+    return weak.increment_daily(state, m.where("item_id % 2 = 1")).withColumns({"sources": F.array_join("sources", ","), "families": F.array_join("families", ",")})
+
+
+@register(
+    "w8_growth_map",
+    with_items(
+        f"""SELECT term, total, n_old, n_new, s_old, s_new, {sql_e6('bits')}, CAST(floor(bits * 0.25 * s_new * 1e6 + 0.5) AS BIGINT) AS score_e6 FROM (
+              SELECT *, log2((n_new + 1) / (n_old + 1)::DOUBLE) + log2((s_new + 1) / (s_old + 1)::DOUBLE) AS bits, list_sort(list(total) OVER ()) AS totals FROM t)
+            WHERE total <= totals[CAST(least(len(totals) - 1, floor(0.5 * len(totals))) AS INTEGER) + 1] AND n_new >= 3 AND (n_new + 1) / (n_old + 1)::DOUBLE >= 3 AND (s_new + 1) / (s_old + 1)::DOUBLE >= 2 AND s_new >= 2""",
+        f"""{_SQL_DAILY},
+        ev AS (SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS term, CAST(ts AS DATE) AS day, count(*) AS n, list(DISTINCT CAST(event_id % 9 AS VARCHAR)) AS sources FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1, 2),
+        dd AS (SELECT day, row_number() OVER (ORDER BY day) AS pos, count(*) OVER () AS k FROM (SELECT DISTINCT day FROM ev)),
+        t AS (SELECT term, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (pos <= k // 2), 0) AS BIGINT) AS n_old, CAST(coalesce(sum(n) FILTER (pos > k // 2), 0) AS BIGINT) AS n_new,
+                     CAST(len(list_distinct(coalesce(flatten(list(sources) FILTER (pos <= k // 2)), []))) AS INTEGER) AS s_old, CAST(len(list_distinct(coalesce(flatten(list(sources) FILTER (pos > k // 2)), []))) AS INTEGER) AS s_new
+              FROM ev JOIN dd USING (day) WHERE k >= 7 GROUP BY term)""",
+    ),
+)
+def growth(spark, sf_dir):
+    e = fixture.events(spark, sf_dir)
+    d = e.groupBy(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("term"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.collect_set((F.col("event_id") % 9).cast("string")).alias("sources"))
+    return weak.growth_map(d, "2024-01-30").select("term", "total", "n_old", "n_new", "s_old", "s_new", e6("bits"), e6("score"))
+
+
+_SQL_POP = """dn AS (SELECT user_id AS cluster_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1, 2),
+        pop AS (SELECT a.cluster_id, a.day, sum(b.n * exp(-0.24 * date_diff('day', b.day, a.day))) AS pop FROM dn a JOIN dn b ON a.cluster_id = b.cluster_id AND b.day <= a.day GROUP BY 1, 2)"""
+
+
+def _pop(spark, sf_dir) -> DataFrame:
+    d = fixture.events(spark, sf_dir).groupBy(F.col("user_id").alias("cluster_id"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return weak.popularity(d, "2024-01-29")
+
+
+@register("w9_popularity", f"WITH {_SQL_POP} SELECT cluster_id, day, {sql_e6('pop')} FROM pop")
+def popularity(spark, sf_dir):
+    return _pop(spark, sf_dir).select("cluster_id", "day", e6("pop"))
+
+
+@register(
+    "w9_rising",
+    f"""WITH {_SQL_POP}, r AS (SELECT *, lag(pop, 1) OVER w AS p1, lag(pop, 2) OVER w AS p2, row_number() OVER (PARTITION BY cluster_id ORDER BY day DESC) AS k FROM pop WINDOW w AS (PARTITION BY cluster_id ORDER BY day)),
+        x AS (SELECT *, list_sort(list(pop) OVER ()) AS v FROM r WHERE k = 1 AND day > DATE '2024-01-26' AND pop > 0)
+        SELECT cluster_id, day, {sql_e6('pop')}, 3.0::DOUBLE AS bits, 0.75::DOUBLE AS score FROM x WHERE len(v) >= 30 AND pop >= v[CAST(floor(0.1 * len(v)) AS INTEGER) + 1] AND pop <= v[CAST(floor(0.5 * len(v)) AS INTEGER) + 1] AND pop > p1 AND p1 > p2""",
+)
+def rising(spark, sf_dir):
+    return weak.rising_from_below(_pop(spark, sf_dir), "2024-01-29").select("cluster_id", "day", e6("pop"), "bits", "score")
+
+
+def signals(spark, sf_dir) -> DataFrame:
+    """A signal for each tenth event: detectors, topics and entities by its number."""
+    e = fixture.events(spark, sf_dir).where("event_id % 10 = 0")
+    return e.select(
+        F.col("event_id").alias("signal_id"), F.concat(F.lit("D"), (1 + F.expr("event_id div 10") % 6).cast("string")).alias("detector"), F.lit("t").alias("ns"), (F.expr("event_id div 10") % 400).cast("string").alias("key"),
+        F.col("event_id").alias("item_id"), F.col("ts").alias("detected_at"), F.when(F.col("event_id") % 3 == 0, F.col("user_id") % 100).alias("cluster_id"),
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("e"), (F.col("event_id") % 37).cast("string"))).alias("entity"), F.concat(F.lit("s"), (F.col("user_id") % 12).cast("string")).alias("source_id"),
+        F.element_at(F.array(*map(F.lit, "ABCDEFH")), (F.col("user_id") % 7 + 1).cast("int")).alias("family"), F.floor(F.col("value") * 1000).alias("score"),
+    )
+
+
+SQL_SIGNALS = """sig AS (SELECT event_id AS signal_id, 'D' || CAST(1 + (event_id // 10) % 6 AS VARCHAR) AS detector, 't' AS ns, CAST((event_id // 10) % 400 AS VARCHAR) AS key, event_id AS item_id, ts AS detected_at,
+        CASE WHEN event_id % 3 = 0 THEN user_id % 100 END AS cluster_id, CASE WHEN event_id % 4 = 0 THEN 'e' || CAST(event_id % 37 AS VARCHAR) END AS entity, 's' || CAST(user_id % 12 AS VARCHAR) AS source_id,
+        ['A', 'B', 'C', 'D', 'E', 'F', 'H'][CAST(user_id % 7 + 1 AS INTEGER)] AS family, CAST(floor(value * 1000) AS BIGINT) AS score FROM events WHERE event_id % 10 = 0)"""
+
+
+@register(
+    "w10_merge_signals",
+    f"""WITH {SQL_SIGNALS} SELECT detector, key, signal_id FROM (SELECT *, row_number() OVER (PARTITION BY detector, ns, key ORDER BY detected_at, item_id) AS k FROM sig) s
+        WHERE k = 1 AND (detector, key) NOT IN (SELECT (detector, key) FROM sig WHERE signal_id % 70 = 0)""",
+)
+def merged(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    return weak.merge_signals(s.where("signal_id % 70 = 0"), s).select("detector", "key", "signal_id")
+
+
+@register("w10_signal_score", f"WITH {SQL_SIGNALS} SELECT signal_id, CAST(floor((score % 13) * 0.5 * (0.5 + coalesce(CASE WHEN signal_id % 20 = 0 THEN 0.25 END, 0)) * greatest(1, signal_id % 4) * 1e6 + 0.5) AS BIGINT) AS s_e6 FROM sig")
+def signal_score(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    v = weak.signal_score((F.col("score") % 13).cast("double"), F.lit(0.5), F.when(F.col("signal_id") % 20 == 0, 0.25), F.col("signal_id") % 4)
+    return s.withColumn("s", v).select("signal_id", e6("s"))
+
+
+def _label_inputs(spark, sf_dir):
+    i = fixture.items(spark, sf_dir)
+    det = i.where("item_id < 100").select(F.col("item_id").alias("cluster_id"), (F.col("item_id") % 60).alias("best_rank"), F.when(F.col("item_id") % 5 > 0, F.col("first_seen_at") + F.expr("INTERVAL 10 DAYS")).alias("first_scored_at"))
+    mem = i.select((F.col("item_id") % 100).alias("cluster_id"), "family", "evt_at")
+    press = i.where("item_id % 9 = 0").select((F.col("item_id") % 100).alias("cluster_id"), F.col("published_at").alias("first_press_at"))
+    e = fixture.events(spark, sf_dir)
+    days = e.groupBy(F.concat(F.lit("e"), (F.col("event_id") % 37).cast("string")).alias("term"), F.to_date("ts").alias("day")).agg(F.collect_set(F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("user_id") % 4 + 1).cast("int"))).alias("families"))
+    return det, mem, press, days
+
+
+SQL_LABELS = f"""{SQL_SIGNALS},
+        det AS (SELECT item_id AS cluster_id, item_id % 60 AS best_rank, CASE WHEN item_id % 5 > 0 THEN first_seen_at + INTERVAL 10 DAY END AS first_scored_at FROM items WHERE item_id < 100),
+        mm AS (SELECT item_id % 100 AS cluster_id, family, evt_at FROM items),
+        pp AS (SELECT item_id % 100 AS cluster_id, published_at AS art_at FROM items WHERE item_id % 9 = 0),
+        td AS (SELECT DISTINCT 'e' || CAST(event_id % 37 AS VARCHAR) AS term, CAST(ts AS DATE) AS day, ['A', 'B', 'C', 'D'][CAST(user_id % 4 + 1 AS INTEGER)] AS f FROM events),
+        ss AS (SELECT *, detected_at + INTERVAL 72 HOUR AS till FROM sig WHERE detected_at <= {_T} - INTERVAL 72 HOUR),
+        g AS (SELECT *,
+            (SELECT count(*) > 0 FROM det WHERE det.cluster_id = ss.cluster_id AND best_rank <= 20 AND (first_scored_at IS NULL OR first_scored_at >= detected_at)) AS top,
+            (SELECT min(first_scored_at) FROM det WHERE det.cluster_id = ss.cluster_id AND best_rank <= 20 AND (first_scored_at IS NULL OR first_scored_at >= detected_at)) AS top_at,
+            (SELECT count(DISTINCT mm.family) FROM mm WHERE mm.cluster_id = ss.cluster_id AND mm.family <> 'G' AND evt_at > detected_at AND evt_at <= till) AS nf,
+            (SELECT min(evt_at) FROM mm WHERE mm.cluster_id = ss.cluster_id AND mm.family <> 'G' AND mm.family <> ss.family AND evt_at > detected_at AND evt_at <= till) AS fam_at,
+            (SELECT min(art_at) FROM pp WHERE pp.cluster_id = ss.cluster_id AND art_at > detected_at AND art_at <= till) AS press_at,
+            (SELECT count(DISTINCT f) FROM td WHERE td.term = ss.entity AND day >= CAST(detected_at AS DATE) AND day <= CAST(till AS DATE)) AS nt FROM ss),
+        o AS (SELECT *, CASE WHEN top THEN 'TOP20' WHEN nf >= 2 THEN 'FAMILIES' WHEN press_at IS NOT NULL THEN 'PRESS' WHEN nt >= 2 THEN 'FAMILIES_TERM' ELSE 'NOT_CONFIRMED' END AS outcome FROM g),
+        lab AS (SELECT *, (epoch_us(CASE outcome WHEN 'TOP20' THEN top_at WHEN 'FAMILIES' THEN fam_at WHEN 'PRESS' THEN press_at END) - epoch_us(detected_at)) / 3.6e9::DOUBLE AS lead_h FROM o)"""
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    s = signals(spark, sf_dir)
+    return weak.label_outcomes(s, *_label_inputs(spark, sf_dir), NOW).join(s, "signal_id")
+
+
+@register("w13_label_outcomes", with_items("SELECT signal_id, outcome, lead_h FROM lab", SQL_LABELS))
+def labels(spark, sf_dir):
+    return weak.label_outcomes(signals(spark, sf_dir), *_label_inputs(spark, sf_dir), NOW)
+
+
+def _upct(p: float, v: str) -> str:
+    return f"{v}[CAST(least(len({v}) - 1, floor({p} * len({v}))) AS INTEGER) + 1]"
+
+
+@register(
+    "w14_source_stats",
+    with_items(
+        f"""SELECT source_id, flagged, confirmed, (8 * prior + confirmed) / (8 + flagged) AS cred, CASE WHEN leads IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, {_upct(0.5, 'leads')}) / 24) END AS precocity FROM (
+              SELECT source_id, count(*) AS flagged, count(*) FILTER (outcome <> 'NOT_CONFIRMED') AS confirmed, max({SQL_PRIOR}) AS prior, list_sort(list(lead_h) FILTER (lead_h IS NOT NULL)) AS leads FROM lab GROUP BY 1)""",
+        SQL_LABELS,
+    ),
+)
+def source_stats(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select("source_id", weak.prior_credibility(F.col("family")).alias("prior"), (F.col("outcome") != "NOT_CONFIRMED").alias("confirmed"), "lead_h")
+    return weak.source_stats(rows)
+
+
+@register("w14_label_credibility", "SELECT source, count(*) AS flagged, CAST(sum(quality) AS BIGINT) AS confirmed, (8 * 0.5 + sum(quality)) / (8 + count(*))::DOUBLE AS cred FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY source")
+def label_credibility(spark, sf_dir):
+    j = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id")).join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id")
+    out = weak.source_stats(j.select("source_id", F.lit(0.5).alias("prior"), (F.col("quality") == 1).alias("confirmed"), F.lit(None).cast("double").alias("lead_h")))
+    return out.select(F.col("source_id").alias("source"), "flagged", "confirmed", "cred")
+
+
+@register("w15_budget")
+def budget(spark, sf_dir):
+    s = signals(spark, sf_dir).withColumn("score", F.col("score").cast("double"))
+    picked = s.where("signal_id % 500 = 0").withColumn("day", F.to_date("detected_at"))
+    return weak.select_budget(s, picked, NOW)
+
+
+@register(
+    "w16_metrics",
+    with_items(
+        f"""SELECT detector, flagged, confirmed, confirmed / flagged::DOUBLE AS rate, {_upct(0.5, 'leads')} AS median_lead FROM (
+              SELECT detector, count(*) AS flagged, count(*) FILTER (outcome <> 'NOT_CONFIRMED') AS confirmed, list_sort(list(lead_h) FILTER (outcome <> 'NOT_CONFIRMED' AND lead_h IS NOT NULL)) AS leads
+              FROM lab WHERE detected_at >= {_T} - INTERVAL 14 DAY GROUP BY 1)""",
+        SQL_LABELS,
+    ),
+)
+def metrics(spark, sf_dir):
+    return weak.metrics(labelled(spark, sf_dir), NOW)
+
+
+@register("w17_ghost_mode", "SELECT event_id AS signal_id FROM events WHERE event_id % 10 = 0 AND false")
+def ghost(spark, sf_dir):
+    return weak.visible(signals(spark, sf_dir), NOW, "2024-02-10 00:00:00").select("signal_id")
+
+
+@register("w18_retention", with_items("SELECT term, day, CAST(n AS BIGINT) AS n FROM daily WHERE date_diff('day', day, DATE '2024-01-30') <= 21 AND (n > 1 OR date_diff('day', day, DATE '2024-01-30') <= 14)", _SQL_DAILY))
+def retention(spark, sf_dir):
+    return weak.retained(_daily(spark, sf_dir), "day", "2024-01-30", 21, 14).select("term", "day", "n")
+
+
+# detections, evaluation, publications
+
+_SQL_SCORES = "sc AS (SELECT user_id % 300 AS cluster_id, date_trunc('day', ts) AS computed_at, max(event_id) AS score FROM events GROUP BY 1, 2)"
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    e = fixture.events(spark, sf_dir)
+    return e.groupBy((F.col("user_id") % 300).alias("cluster_id"), F.date_trunc("day", "ts").alias("computed_at")).agg(F.max("event_id").alias("score"))
+
+
+SQL_DETECTIONS = f"""{_SQL_SCORES},
+        rk AS (SELECT *, row_number() OVER (PARTITION BY computed_at ORDER BY score DESC, cluster_id) AS rank FROM sc),
+        dt AS (SELECT cluster_id, min(computed_at) AS first_seen_at, arg_min(score, computed_at) AS first_score, CAST(min(rank) AS INTEGER) AS best_rank, max(score) AS best_score FROM rk GROUP BY 1)"""
+
+
+@register("v1_detections", f"WITH {SQL_DETECTIONS} SELECT * FROM dt")
+def detections(spark, sf_dir):
+    return evaluate.record_detections(_scores(spark, sf_dir))
+
+
+SQL_EVALUATED = f"""{SQL_DETECTIONS},
+        ar AS (SELECT (event_id % 300) AS cluster_id, CAST(event_id % 900 AS VARCHAR) AS url, min(ts) AS art_at FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+        du AS (SELECT *, unnest([24, 48, 72]) AS horizon_h FROM dt WHERE best_rank <= 20 OR best_score >= 9000),
+        lg AS (SELECT du.*, (epoch_us(ar.art_at) - epoch_us(first_seen_at)) / 3.6e9::DOUBLE AS lag, ar.art_at FROM du LEFT JOIN ar USING (cluster_id)
+               WHERE (epoch_us({_T}) - epoch_us(first_seen_at)) / 3.6e9::DOUBLE >= horizon_h AND NOT (horizon_h = 24 AND cluster_id % 5 = 0)),
+        ev AS (SELECT cluster_id, horizon_h, first_seen_at, best_rank, count(*) FILTER (lag >= -24 AND lag < 0) AS before_24h, count(*) FILTER (lag >= 0 AND lag <= horizon_h) AS after_h, min(art_at) FILTER (lag >= 0 AND lag <= horizon_h) AS first_press_at
+               FROM lg GROUP BY 1, 2, 3, 4),
+        evh AS (SELECT *, after_h >= 3 AND before_24h = 0 AS hit FROM ev)"""
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    d = detections(spark, sf_dir).withColumn("best_score", F.when(F.col("best_score") >= 9000, 30).otherwise(0))
+    e = fixture.events(spark, sf_dir).where("event_id % 2 = 0")
+    articles = e.select((F.col("event_id") % 300).alias("cluster_id"), (F.col("event_id") % 900).cast("string").alias("url"), F.col("ts").alias("published_at"))
+    done = d.where("cluster_id % 5 = 0").select("cluster_id", F.lit(24).alias("horizon_h"))
+    return evaluate.evaluate_due(d, articles, done, NOW)
+
+
+@register("v2_evaluations", f"WITH {SQL_EVALUATED} SELECT * FROM evh")
+def evaluations(spark, sf_dir):
+    return _evaluated(spark, sf_dir)
+
+
+@register(
+    "v3_daily_metrics",
+    f"""WITH {SQL_EVALUATED} SELECT day, n, hits / nullif(top, 0)::DOUBLE AS precision_10, already, {_upct(0.5, 'leads')} AS median_lead_h FROM (
+          SELECT CAST(first_seen_at AS DATE) AS day, count(*) AS n, count(*) FILTER (best_rank <= 10) AS top, count(*) FILTER (best_rank <= 10 AND hit) AS hits, count(*) FILTER (before_24h > 0) AS already,
+                 list_sort(list((epoch_us(first_press_at) - epoch_us(first_seen_at)) / 3.6e9::DOUBLE) FILTER (best_rank <= 10 AND hit)) AS leads FROM evh WHERE horizon_h = 48 GROUP BY 1)""",
+)
+def daily_metrics(spark, sf_dir):
+    return evaluate.daily_metrics(_evaluated(spark, sf_dir))
+
+
+@register(
+    "j1_mark_published",
+    f"WITH {_SQL_SCORES}, pb AS (SELECT event_id AS pub_id, user_id % 300 AS cluster_id, ts AS pub_at FROM events WHERE event_id % 50 = 0) SELECT pub_id, pb.cluster_id, arg_max(score, computed_at) AS score FROM pb JOIN sc ON pb.cluster_id = sc.cluster_id AND computed_at <= pub_at GROUP BY 1, 2",
+)
+def published(spark, sf_dir):
+    e = fixture.events(spark, sf_dir).where("event_id % 50 = 0").select(F.col("event_id").alias("pub_id"), (F.col("user_id") % 300).alias("cluster_id"), F.col("ts").alias("published_at"))
+    return evaluate.mark_published(e, _scores(spark, sf_dir).withColumn("status", F.lit("x"))).drop("status")
+
+
+@register(
+    "j2_publication_report",
+    f"""WITH m AS (SELECT user_id AS pub_id, arg_max(event_id, ts) AS impressions FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1) GROUP BY 1),
+        d AS (SELECT pub_id, impressions, unnest(['status', 'lang', 'platform']) AS dimension, unnest([CASE WHEN pub_id % 2 = 0 THEN 'EARLY' ELSE 'LATE' END, ['en', 'fr', 'de'][CAST(pub_id % 3 + 1 AS INTEGER)], 'p' || CAST(pub_id % 7 AS VARCHAR)]) AS value FROM m)
+        SELECT dimension, value, count(*) AS n, {_upct(0.5, 'list_sort(list(impressions))')} AS median_impressions FROM d GROUP BY 1, 2 HAVING count(*) >= 5""".replace(
+        "len(list_sort(list(impressions)))", "count(*)"
+    ),
+)
+def publication_report(spark, sf_dir):
+    e = fixture.events(spark, sf_dir)
+    pubs = e.select(F.col("user_id").alias("pub_id")).distinct().select(
+        "pub_id", F.when(F.col("pub_id") % 2 == 0, "EARLY").otherwise("LATE").alias("status"), F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de")), (F.col("pub_id") % 3 + 1).cast("int")).alias("lang"), F.concat(F.lit("p"), (F.col("pub_id") % 7).cast("string")).alias("platform")
+    )
+    first = e.groupBy("user_id", "ts").agg(F.min("event_id").alias("impressions"))
+    return evaluate.publication_report(pubs, first.select(F.col("user_id").alias("pub_id"), F.col("ts").alias("measured_at"), "impressions"))
+
+
+@register("l1_spent_today", f"SELECT CAST(coalesce(sum(event_id % 100), 0) AS BIGINT) AS spent, count(*) AS calls FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) = CAST({_T} AS DATE)")
+def spent(spark, sf_dir):
+    e = fixture.events(spark, sf_dir).select(F.when(F.col("event_type") == "click", "brief").otherwise("other").alias("purpose"), F.col("ts").alias("created_at"), (F.col("event_id") % 100).cast("double").alias("cost_usd"))
+    return evaluate.spent_today(e, NOW).withColumn("spent", F.col("spent").cast("long"))
+
+
+@register(
+    "l1_briefs_due",
+    with_items(
+        f"""SELECT cluster_id, score, item_set FROM (SELECT item_id % 100 AS cluster_id, CAST(max(score_raw) AS BIGINT) AS score, sha1(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS item_set FROM items GROUP BY 1)
+            WHERE cluster_id % 3 > 0 ORDER BY score DESC, cluster_id LIMIT 30"""
+    ),
+)
+def briefs(spark, sf_dir):
+    i = fixture.items(spark, sf_dir)
+    t = i.groupBy((F.col("item_id") % 100).alias("cluster_id")).agg(F.max("score_raw").alias("score"), F.collect_list("item_id").alias("item_ids"))
+    old = t.where("cluster_id % 3 < 2").select("cluster_id", F.lit("other").alias("item_set"), F.when(F.col("cluster_id") % 3 == 0, F.lit("2024-01-30 11:00:00")).otherwise(F.lit("2024-01-30 01:00:00")).cast("timestamp").alias("created_at"))
+    return evaluate.briefs_due(t, old, NOW)
+
+
+# similarity
+
+
+@register(
+    "w1_nearest_before",
+    """WITH v AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+       SELECT q.item_id, CAST(floor(max(list_inner_product(q.v, x.v)) * 1e6 + 0.5) AS BIGINT) AS best_e6, count(*) AS n_before FROM v q JOIN v x ON x.item_id < q.item_id GROUP BY 1""",
+)
+def nearest(spark, sf_dir):
+    return weak.nearest_before(_vectors(spark, sf_dir)).where("n_before > 0").select("item_id", e6("best"), "n_before")
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    at = F.timestamp_micros(F.unix_micros(F.lit(SINCE).cast("timestamp")) + F.col("vec_id") * 60_000_000)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), at.alias("ts"), F.col("embedding").alias("v"))
+
+
+@register(
+    "w1_novelty",
+    f"""WITH v AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+        b AS (SELECT q.item_id, 1 - max(list_inner_product(q.v, x.v)) AS nov FROM v q JOIN v x ON x.item_id < q.item_id GROUP BY 1 HAVING count(*) >= 200),
+        h AS (SELECT x.item_id, x.nov, list_sort(list(y.nov)) AS h FROM b x JOIN b y ON y.item_id < x.item_id GROUP BY 1, 2 HAVING count(*) >= 200)
+        SELECT item_id, CAST(floor(nov * 1e6 + 0.5) AS BIGINT) AS nov_e6, CAST(floor((4 + 8 * (nov - {_upct(0.97, 'h')}) / greatest(1e-6, 1 - {_upct(0.97, 'h')})) * 1e6 + 0.5) AS BIGINT) AS bits_e6 FROM h WHERE nov >= {_upct(0.97, 'h')}""",
+)
+def novelty(spark, sf_dir):
+    return weak.novelty(_vectors(spark, sf_dir)).select("item_id", e6("nov"), e6("bits"))
+
 

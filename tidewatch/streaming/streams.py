@@ -63,19 +63,16 @@ def weak_pass(items: DataFrame, checkpoint: str, state_dir: str, update: Callabl
     return run_available(items, checkpoint, merge)
 
 
-def leader_topics(stream: DataFrame, bucket: str = "bucket", threshold: float = 0.62, idle: str = "72 hours") -> DataFrame:
+def leader_topics(stream: DataFrame, bucket: str = "bucket", threshold: float = 0.62, most: int = 10_000) -> DataFrame:
     """(item_id, cluster_id) of a stream of (bucket, item_id, ts, v), topics kept as state for each bucket.
 
     The stateful form of leader clustering: an item joins the nearest leader of its bucket or becomes one.
-    State holds leaders only and goes when a bucket is idle.
+    State holds leaders only; of more than ``most`` in a bucket, the oldest are forgotten, as idle topics are.
     """
 
     def step(key, batches, state: GroupState):
         import numpy as np
 
-        if state.hasTimedOut:
-            state.remove()
-            return
         ids, leaders = (list(state.get[0]), [np.array(v) for v in state.get[1]]) if state.exists else ([], [])
         for pdf in batches:
             out = []
@@ -90,7 +87,6 @@ def leader_topics(stream: DataFrame, bucket: str = "bucket", threshold: float =
                     leaders.append(v)
                 out.append((r.item_id, own))
             yield pd.DataFrame(out, columns=["item_id", "cluster_id"])
-        state.update((ids, [x.tolist() for x in leaders]))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        state.update((ids[-most:], [x.tolist() for x in leaders[-most:]]))
 
-    return stream.groupBy(bucket).applyInPandasWithState(step, "item_id long, cluster_id long", "ids array<bigint>, leaders array<array<double>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(bucket).applyInPandasWithState(step, "item_id long, cluster_id long", "ids array<bigint>, leaders array<array<double>>", "append", GroupStateTimeout.NoTimeout)
