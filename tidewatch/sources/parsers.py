@@ -216,11 +216,14 @@ PARSERS = {
 
 
 def parse(responses: DataFrame) -> DataFrame:
-    """Items of ``responses`` (source_id, type, url, body): each row by its type, in one pass; a source may have many rows."""
+    """Items of ``responses`` (source_id, type, url, body): each row by its type, in one pass; a source may have many rows.
+
+    What has no id is no item: an object where a list should be reads as one empty record.
+    """
     found = F.lit(None).cast(f"array<struct<{', '.join(f'{n}: {t}' for n, t in FIELDS)}>>")
     for kind, parser in PARSERS.items():
         found = F.when(F.col("type") == kind, parser(F.col("body"), F.col("url"))).otherwise(found)
-    return responses.select("source_id", F.inline(found))
+    return responses.select("source_id", F.inline(found)).where("external_id is not null")
 
 
 def rejected(responses: DataFrame) -> DataFrame:
