@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 #: Java regular expression of a word: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows handed to Python at once; whole texts travel in these batches, so it is kept low.
-BATCH_ROWS = 2000
+#: Rows and bytes handed to Python at once. Whole texts travel in these batches, and what a worker makes of
+#: one batch is the memory that it keeps, so both are low; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``, read by Spark only, with batches small enough for whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +47,7 @@ def _local_dir() -> str:
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there and a lost executor costs no recomputation."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/table"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

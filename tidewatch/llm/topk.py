@@ -141,7 +141,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, pivots:
     hash); every row is indexed, and the result doesn't depend on them.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     kind = vectors.schema["vec_id"].dataType.simpleString()
     table = written(quantised(vectors, scale))
     some = table.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()
