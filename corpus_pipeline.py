@@ -28,10 +28,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each component stays, and one of its rows if the id is repeated; rows without an id stay."""
     kept = written(neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct())
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"] or ["doc_id"])
-    one = known.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # whole rows as one column, so that no column of theirs can clash with one of ours
+    known = docs.where("doc_id is not null").select("doc_id", F.struct(*docs.columns).alias("_row")).join(kept, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("_row")
+    one = known.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return one.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
