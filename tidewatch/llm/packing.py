@@ -28,7 +28,7 @@ OPEN_SHARE = 0.005
 #: Bins that one local search looks at, and distinct lengths per bin that it tries.
 SEARCH_BINS, SEARCH_LENGTHS = 48, 48
 #: Words with more bytes are not kept in the cache; the cache has two generations of so many words.
-CACHE_WORD_BYTES, CACHE_WORDS = 64, 700_000
+CACHE_WORD_BYTES, CACHE_WORDS = 64, 300_000
 WORD_END = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=\s|$)")
 
 
