@@ -217,6 +217,14 @@ def test_components_by_labels(spark):
 # weak signals
 
 
+def test_components_of_a_chain_that_settles_late(spark):
+    chain = [1, *range(100, 1, -1)]
+    n = spark.createDataFrame([(x,) for x in [*chain, 200]], "id long")
+    e = spark.createDataFrame(list(zip(chain, chain[1:])) + [(1, 999), (200, 999)], "a long, b long")  # 999 is no node
+    got = {r.id: r.component for r in topics.smallest_reachable(n, e).collect()}
+    assert got == {x: 1 for x in chain} | {200: 200}
+
+
 def test_budget_blocks_keys_topics_and_entities(spark):
     cols = "signal_id, ns, key, cluster_id, entity, score, detected_at"
     s = spark.sql(f"SELECT * FROM VALUES (1L, 't', 'a', 1L, 'X', 9D, {at(1)}), (2L, 't', 'a', 2L, NULL, 8D, {at(1)}), (3L, 't', 'b', 1L, NULL, 7D, {at(1)}), (4L, 't', 'c', 3L, 'x', 6D, {at(1)}), (5L, 't', 'd', CAST(NULL AS BIGINT), NULL, 5D, {at(1)}), (6L, 't', 'e', NULL, NULL, 4D, {at(30)}), (7L, 't', 'f', 7L, NULL, 3D, {at(1)}) t({cols})")

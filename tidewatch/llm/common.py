@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import BATCH_BYTES, BATCH_ROWS, shared_dir, small_batches, written  # noqa: F401
+
 #: Java regular expression of a word: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows and bytes handed to Python at once. Whole texts travel in these batches, and what a worker makes of
-#: one batch is the memory that it keeps, so both are low; a longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,32 +17,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors see.
-
-    Where the setting is missing (plain local runs), the driver's temporary folder serves.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _local_dir()
-    return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
-
-
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there and a lost executor costs no recomputation."""
-    small_batches(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: str = "text"):
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,37 +1,3 @@
-"""Connected components by alternating large and small stars; every step is a grouped minimum and a join."""
+"""Connected components, shared with topics."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def _down(edges: DataFrame) -> DataFrame:
-    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of ``edges`` (u, v); the component is its smallest node.
-
-    Node types need an order (long or string). Loops and repeated edges don't matter; null ends are ignored;
-    no edges give an empty result. Each round's edges are written to the shared folder, and the rounds stop
-    when an edge set no longer changes (their number grows with the logarithm of the longest path).
-    """
-    now, mark = written(_down(edges.dropna())), None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _down(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = written(_down(small))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
-    return now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.col("m").alias("component")).unionByName(
-        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+from ..operators.graph import components  # noqa: F401
