@@ -214,6 +214,25 @@ def test_components_by_labels(spark):
     assert all(got[i] == 1 for i in range(1, 16)) and got[22] == 20 and got[25] == 25
 
 
+def test_threshold_topics_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(topics, "BLOCK", 8)
+    monkeypatch.setattr(topics, "ROWS", 4)
+    words = [f"w{i}" for i in range(40)]
+    texts = ["alpha beta gamma delta epsilon zeta eta theta", "new alpha beta gamma delta epsilon zeta eta theta", "beta alpha gamma delta epsilon zeta eta theta", "", "", "alone"]
+    texts += [" ".join(words[i : i + 6 + i % 3]) for i in range(0, 32, 2)] + ["repeated title here"] * 3
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "item_id long, title string")
+    df = vectors.with_hash_vectors(df, F.col("title")).cache()
+    v = {r.item_id: r.v for r in df.collect()}
+    want = {i: i for i in v}
+    for a in v:
+        for b in v:
+            if a < b and sum(x * y for x, y in zip(v[a], v[b])) >= topics.JOIN:
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if c == high else c for i, c in want.items()}
+    got = {r.item_id: r.cluster_id for r in topics.threshold_topics(df).collect()}
+    assert got == want and got[2] == got[3] == 1 and got[5] == 5
+
+
 # weak signals
 
 

@@ -121,15 +121,9 @@ def leaders(spark, sf_dir):
     return topics.leader_clusters(h).select("item_id", "cluster_id")
 
 
-def _word_keys(spark, sf_dir) -> DataFrame:
-    """Keys for candidates: the title's first three words, so that copies meet."""
-    w = F.slice(F.split(F.lower("title"), " "), 1, 3)
-    return fixture.items(spark, sf_dir).select("item_id", F.array_join(w, " ").alias("key"))
-
-
 @register("c6_threshold_topics")
 def threshold(spark, sf_dir):
-    return topics.threshold_topics(hashed(spark, sf_dir), _word_keys(spark, sf_dir))
+    return topics.threshold_topics(hashed(spark, sf_dir))
 
 
 _SQL_EDGES = "e AS (SELECT DISTINCT user_id AS a, user_id + 1 + event_id % 3 AS b FROM events WHERE event_id % 4 = 0), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), sy AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
