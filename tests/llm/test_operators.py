@@ -382,6 +382,16 @@ def test_search_empties_bins_and_raises_the_squared_fill():
     assert len(bins.placed()) == 2
 
 
+def test_search_reaches_all_underfull_bins():
+    rng = random.Random(1)
+    lengths = [rng.randint(1100, 2000) for _ in range(2000)]
+    bins = packing.Bins(4096)
+    bins.best_fit_decreasing(lengths)
+    plain, least = len(bins.placed()), -(-sum(lengths) // 4096)
+    bins.improve(lengths)
+    assert least <= len(bins.placed()) <= plain - 8
+
+
 # 7 toxicity
 
 

@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences, improved by swaps between underfull bins.
 
 Pieces are dealt into groups of bounded size. Each group is packed best-fit decreasing and then improved by
-local search; the pieces of bins that stay open are dealt into fewer groups and packed again, until one group
-is left, so that only the last group's bins can be far from full.
+local search; the pieces of bins that stay open are dealt anew and packed again, until one group is left or a
+level saves no sequence.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ CAPACITY = 4096
 GROUP_ITEMS = 20_000
 #: A bin is closed, and not packed again, when less than this share of it is free.
 OPEN_SHARE = 0.005
-#: Bins that one local search looks at, and distinct lengths per bin that it tries.
-SEARCH_BINS, SEARCH_LENGTHS = 48, 48
+#: Bins of one window of the local search.
+SEARCH_BINS = 48
 #: Words with more bytes are not kept in the cache; the cache has two generations of so many words.
 CACHE_WORD_BYTES, CACHE_WORDS = 64, 300_000
 WORD_END = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=\s|$)")
@@ -171,16 +171,24 @@ class Bins:
                 by_room[r].append(b)
                 used |= 1 << r
 
-    def improve(self, lengths: list[int], bins: int = SEARCH_BINS, tries: int = 4000) -> None:
-        """Empty the least full bins: each exchange moves length to a fuller bin, which raises the squared fill.
+    def improve(self, lengths: list[int], bins: int = SEARCH_BINS) -> None:
+        """Search all underfull bins, in windows of ``bins`` by room, until a whole pass empties none."""
+        while True:
+            live = sorted((b for b in range(len(self.items)) if self.items[b] and self.room[b]), key=lambda b: (-self.room[b], b))
+            for at in range(0, len(live), bins):
+                self._search(live[at : at + bins], lengths)
+            if all(self.items[b] for b in live):
+                return
+
+    def _search(self, live: list[int], lengths: list[int]) -> None:
+        """Empty the least full of ``live``: each exchange moves length to a fuller bin, which raises the squared fill.
 
         From the emptiest bin, one item moves, or one item is exchanged for one or two shorter ones, or two
         items for one; the exchange that fills the other bin most is made. A bin from which none is possible
         is left as it is.
         """
-        live = sorted((b for b in range(len(self.items)) if self.room[b]), key=lambda b: (-self.room[b], b))[:bins]
         stuck: set[int] = set()
-        while tries > 0 and len(live) > 1:
+        while len(live) > 1:
             live = [b for b in live if self.items[b] and self.room[b]]
             source = max((b for b in live if b not in stuck), key=lambda b: (self.room[b], -b), default=None)
             if source is None:
@@ -189,7 +197,6 @@ class Bins:
             given = self._choices(source, lengths)
             for b in live:
                 if b != source and self.room[b] <= self.room[source]:
-                    tries -= 1
                     if (found := self._exchange(given, b, lengths)) and (best is None or found[0] > best[0]):
                         best = (*found, b)
             if best is None:
@@ -210,8 +217,7 @@ class Bins:
         """Sums of one and two items of a bin, one example of each, ascending."""
         one: dict[int, list[int]] = {}
         for i in self.items[b]:
-            if len(one) < SEARCH_LENGTHS or lengths[i] in one:
-                one.setdefault(lengths[i], []).append(i)
+            one.setdefault(lengths[i], []).append(i)
         sums = {2 * n: (x[0], x[1]) for n, x in one.items() if len(x) > 1}
         sums |= {m + n: (one[m][0], one[n][0]) for m, n in combinations(one, 2)}
         sums |= {n: (x[0],) for n, x in one.items()}
@@ -252,7 +258,7 @@ def _pack_groups(items: DataFrame, groups: int, level: int, capacity: int) -> Da
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", ignore_index=True)
         lengths = pdf["length"].tolist()
-        base = (level << 56) | (int(pdf["grp"].iloc[0]) << 24)
+        base = (level << 48) | (int(pdf["grp"].iloc[0]) << 24)
         seq, offset, is_open = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
         for b, members in enumerate(pack_lengths(lengths, capacity)):
             at = 0
@@ -272,29 +278,27 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     """``items`` (a long ``length`` of 1 to ``capacity``, any other columns) with sequence_id and offset.
 
     Each sequence's items lie gapless from offset 0 and sum to at most ``capacity``. Ties and repeated rows
-    are told apart by their place in the written table; an empty table stays empty. Columns named
+    are told apart by their place in the written table; an empty table stays empty. Open bins are dealt again
+    while a level saves sequences. Columns named
     sequence_id, offset, uid, open or grp are replaced. Full items are sequences of their own.
     """
     drop = [c for c in items.columns if c in ("sequence_id", "offset", "uid", "open", "grp")]
     table = written(items.drop(*drop)).withColumn("uid", F.monotonically_increasing_id())
     table = written(table)
     done = table.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
-    rest, level = table.where(F.col("length") < capacity), 1
+    rest, level, opened, most = table.where(F.col("length") < capacity), 1, None, None
     while True:
-        n = rest.count()
-        groups = max(1, -(-n // group_items))
-        tried = _pack_groups(rest, groups, level, capacity)
-        if groups == 1:
-            done = done.unionByName(tried.drop("open"))
-            break
-        tried = written(tried)
-        done = done.unionByName(tried.where("not open").drop("open"))
-        if (left := tried.where("open").count()) > 0.7 * n:  # nothing to win from another round: the items don't combine
-            done = done.unionByName(tried.where("open").drop("open"))
+        groups = max(1, -(-rest.count() // group_items))
+        tried = written(_pack_groups(rest, groups, level, capacity))
+        used = tried.select("sequence_id").distinct().count()
+        if most is not None and used >= most:  # this level saves no sequence: the open bins stay as they were
+            done = done.unionByName(opened.drop("open"))
             break
-        rest, level = tried.where("open").drop("open", "sequence_id", "offset"), level + 1
-        if not left:
+        opened = tried.where("open")
+        done = done.unionByName((tried if groups == 1 else tried.where("not open")).drop("open"))
+        if groups == 1 or not (most := opened.select("sequence_id").distinct().count()):
             break
+        rest, level = opened.drop("open", "sequence_id", "offset"), level + 1
     return done.drop("uid")
 
 
