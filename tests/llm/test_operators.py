@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -488,41 +489,79 @@ def test_mix_comes_near_its_targets(spark, docs):
 # 9 exact top-k
 
 
-def top_brute(vectors, k):
+def top_brute(vectors, k, every=5):
     fine = sorted({(i, tuple(v)) for i, v in vectors if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)})
-    q = [(i, [int(np.floor(256.0 * float(np.float32(c)))) for c in v]) for i, v in fine]
+    q = [(i, [math.floor(256.0 * float(np.float32(c))) for c in v]) for i, v in fine]
     out = []
     for i, a in q:
-        if i % 5 == 0:
+        if i % every == 0:
             best = {}
             for j, b in q:
                 if j != i:
-                    best[j] = max(best.get(j, -(10**30)), sum(x * y for x, y in zip(a, b)))
+                    best[j] = max(best.get(j, -(10**90)), max(-(2**63) + 1, min(sum(x * y for x, y in zip(a, b)), 2**63 - 1)))
             for rank, (j, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1):
                 out.append((i, rank, j, s))
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("kind", ["random", "clusters", "few"])
+def as_vectors(spark, vectors):
+    return spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, score int, v int")
+
+
+@pytest.mark.parametrize("kind", ["random", "clusters", "negative", "few"])
 def test_top_k_is_exact(spark, kind, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
     rng = np.random.default_rng(9)
     centre = rng.normal(size=(5, 6)) * 4
-    vectors = [(i, (centre[i % 5] + 0.05 * rng.normal(size=6) if kind == "clusters" else rng.normal(size=6)).tolist()) for i in range(3 if kind == "few" else 150)]
+
+    def one(i):
+        if kind == "clusters":
+            return (centre[i % 5] + 0.05 * rng.normal(size=6)).tolist()
+        # all products of queries and others are below 0, and there are ties
+        return [(5.0 if i % 5 == 0 else -1.0) * (1 + i % 3)] * 6 if kind == "negative" else rng.normal(size=6).tolist()
+
+    vectors = [(i, one(i)) for i in range(3 if kind == "few" else 150)]
     odd_ones = [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (205, [0.5]), (None, [1.0] * 6), (210, []), (0, vectors[0][1])]
     if kind != "few":
-        odd_ones += [(300 + i, [0.25] * 6) for i in range(70)]
+        odd_ones += [(300 + i, [0.25] * 6) for i in range(70)] + [(401, [0.5] * 6)] * 20
     vectors += odd_ones
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, score int, v int")
-    got = topk.top_k(df, F.col("vec_id") % 5 == 0, 5, pivots=6, rounds=(1, 2))
+    df = as_vectors(spark, vectors)
+    got = topk.top_k(df, F.col("vec_id") % 5 == 0, 5, pivots=6, first=1)
     assert sorted(tuple(r) for r in got.collect()) == top_brute(vectors, 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_top_k_of_far_and_large_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    # one query far from all others, whose products are equal and far below 0
+    far = [(0, [1e6])] + [(i, [-1e6]) for i in range(1, 400)]
+    assert sorted(tuple(r) for r in topk.top_k(as_vectors(spark, far), F.col("vec_id") % 500 == 0).collect()) == top_brute(far, 5, 500)
+    rng = np.random.default_rng(3)
+    for size in (1e9, 3e38):
+        large = [(i, (size * rng.uniform(-1, 1, 4)).astype(np.float32).tolist()) for i in range(120)]
+        got = topk.top_k(as_vectors(spark, large), F.col("vec_id") % 5 == 0, first=1)
+        assert sorted(tuple(r) for r in got.collect()) == top_brute(large, 5), size
+
+
+def test_bounds_spare_products(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(20, 16))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    vectors = [(i, (centre[i % 20] + 0.01 * rng.normal(size=16)).tolist()) for i in range(2000)]
+    work = spark.sparkContext.accumulator(0)
+    got = topk.top_k(as_vectors(spark, vectors), F.col("vec_id") % 50 == 0, pivots=40, work=work)
+    assert sorted(tuple(r) for r in got.collect()) == top_brute(vectors, 5, 50)
+    assert work.value < 0.25 * 40 * 2000, work.value
+
+
 def test_large_products_are_exact():
-    a = np.array([[2**31, -(2**30) + 1, 7]])
+    a = np.array([[2.0**31, -(2.0**30) + 1, 7]])
     assert topk.products(a, a)[0, 0] == 2**62 + (2**30 - 1) ** 2 + 49
+    assert topk.products(a * 2.0**40, a * 2.0**40)[0, 0] == 2**63 - 1
+    assert topk.products(a * 2.0**40, np.array([[1.0, 2.0, 0.0]]))[0, 0] == 2**41
 
 
 # 10 near duplicates

@@ -1,124 +1,184 @@
 """Exact top-k by integer inner product with a pivot-distance index.
 
-Vectors are keyed by their nearest pivot and their distance to it; annuli of equal pivot and distance range are
-stored in blocks. For a query q and a vector x of an annulus around pivot p, the triangle inequality gives
-|q - x| >= gap, the distance between d(q, p) and the annulus, and so q.x <= (|q|^2 + |x|^2 - gap^2) / 2. Each
-round visits the annuli with the highest bounds first, and later ones only as long as their bound
-reaches the k-th best score known; when none does, the search has ended and is exact.
+Vectors are keyed by their nearest pivot and their distance to it; the rows of a pivot, sorted by distance, are
+cut into annuli of about equal size, which are stored in blocks. For a query q and a vector x of an annulus
+around pivot p, the triangle inequality gives |q - x| >= gap, the distance between d(q, p) and the annulus, and
+so q.x <= (|q|^2 + |x|^2 - gap^2) / 2. The annuli of each block of queries are visited in the order of this bound,
+in rounds that grow, and the search ends when no bound reaches the k-th best score known.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-PIVOTS = 48
-ANNULI = 24
-BLOCK, QUERY_BLOCK = 2048, 512
-#: Annulus blocks that each query block visits in the rounds before the last, which visits all that remain.
-ROUNDS = (2, 8)
 SCALE = 256
+#: Rows of an annulus block and of a query block.
+BLOCK, QUERY_BLOCK = 2048, 1024
+#: Pivots grow with the square root of the number of blocks, up to this many; they are a sample of rows.
+MOST_PIVOTS = 1024
+#: Cells of a pivot's histogram of distances, the finest annuli there are; larger ones are split by hash.
+CELLS = 256
+#: Annulus blocks that each query block visits in the first round, and how much the rounds grow.
+FIRST, GROWTH = 2, 8
+#: Relative error of a bound in floating point, with a wide margin; sums of squares are the scale.
+SLACK = 1e-9
+LONG = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): components floor(scale * x); vectors that are null, or hold a null, NaN or infinity, are left out.
+    """(vec_id, v): components floor(scale * x), as whole doubles, which hold those of any size.
 
-    Rows that repeat id and vector count once; so do vectors without an id, which can't be named.
+    Vectors that are null, or hold a null, NaN or infinity, are left out; so are vectors without an id, which
+    can't be named.
     """
-    x = F.col("embedding")
-    fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
-    v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
-    return vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(fine).select("vec_id", v.alias("v")).distinct()
+    y = F.transform("embedding", lambda c: F.lit(float(scale)) * c.cast("double"))
+    fine = F.forall(y, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
+    whole = F.transform(y, lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c))
+    return vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(fine).select("vec_id", whole.alias("v"))
 
 
 def _matrix(rows: list, width: int | None = None) -> np.ndarray:
-    """Rows of integers; shorter ones are filled with zeros, which leaves inner products as they are."""
+    """Rows as doubles; shorter ones are filled with zeros, which leaves inner products as they are."""
     width = max((len(r) for r in rows), default=0) if width is None else width
-    out = np.zeros((len(rows), width), np.int64)
+    out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
 
 
+def _pack(v: np.ndarray) -> bytes:
+    """A vector's bytes: a mark, and its components in 16 bits where they fit, else as doubles."""
+    return b"\0" + v.astype(np.int16).tobytes() if not len(v) or np.abs(v).max() < 2**15 else b"\1" + v.tobytes()
+
+
+def _unpack(rows: list[bytes]) -> np.ndarray:
+    if len({(r[0], len(r)) for r in rows}) == 1:
+        flat = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)[:, 1:]
+        return np.ascontiguousarray(flat).view(np.float64 if rows[0][0] else np.int16).astype(np.float64)
+    return _matrix([np.frombuffer(r, np.float64 if r[0] else np.int16, offset=1) for r in rows])
+
+
+def _even(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = max(a.shape[1], b.shape[1])
+    return tuple(m if m.shape[1] == n else np.pad(m, ((0, 0), (0, n - m.shape[1]))) for m in (a, b))
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in floating point where all sums stay below 2^53, else in integers."""
-    n = max(q.shape[1], x.shape[1])
-    q, x = (np.pad(m, ((0, 0), (0, n - m.shape[1]))) for m in (q, x))
-    most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(n, 1)
-    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if most < 2**53 else q @ x.T
+    """Exact inner products of whole doubles: in floating point where all sums stay below 2^53, in 64-bit integers
+    below 2^63, else in Python integers; results that a long can't hold are its ends."""
+    q, x = _even(q, x)
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
+    if most < 2**53:
+        return (q @ x.T).astype(np.int64)
+    if most <= LONG:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    exact = lambda m: np.array([[int(c) for c in r] for r in m], object).reshape(m.shape)
+    return np.clip(exact(q).dot(exact(x).T), -LONG, LONG).astype(np.int64)
 
 
 def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    n = max(m.shape[1], pivots.shape[1])
-    m, p = (np.pad(a, ((0, 0), (0, n - a.shape[1]))).astype(np.float64) for a in (m, pivots))
-    return np.sqrt(np.maximum((m * m).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * (m @ p.T), 0))
+    """(row, pivot): by squares where their sums are exact, else by differences, which don't cancel."""
+    m, p = _even(m, pivots)
+    most = max(np.abs(m).max(initial=0), np.abs(p).max(initial=0))
+    if 4 * most * most * max(m.shape[1], 1) < 2**53:
+        return np.sqrt((m * m).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * (m @ p.T))
+    return np.stack([np.sqrt(((m - c) ** 2).sum(1)) for c in p], axis=1)
+
+
+def _bound(q_norm, norm, gap, reach):
+    """Above every product of a query and a vector with these squared lengths whose distance is ``gap`` or more."""
+    return (q_norm + norm - gap * gap) / 2 + SLACK * (q_norm + norm + reach * reach) + 1
 
 
 def _keyed(table: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(vec_id, v, pivot, r, norm): nearest pivot, distance to it and squared length."""
+    """(vec_id, v, pivot, r, norm): packed vector, nearest pivot, distance to it and squared length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                m = _matrix(batch.column("v").to_pylist())
+                v = [np.array(x, np.float64) for x in batch.column("v").to_pylist()]
+                m = _matrix(v)
                 d = _distances(m, pivots)
                 near = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), batch.column("v"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array((m.astype(np.float64) ** 2).sum(1))],
+                    [batch.column("vec_id"), pa.array(map(_pack, v), pa.binary()), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array((m * m).sum(1))],
                     names=["vec_id", "v", "pivot", "r", "norm"],
                 )
 
     kind = table.schema["vec_id"].dataType.simpleString()
-    return table.mapInArrow(run, f"vec_id {kind}, v array<bigint>, pivot int, r double, norm double")
-
-
-def _blocks(keyed: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Rows with equal keys in blocks of about ``rows``, dealt by a hash of the id, so that equal vectors spread too."""
-    n = keyed.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
-    dealt = keyed.join(n, keys).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    return dealt.groupBy(*keys, "part").agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("rows"),
-        F.min("r").alias("r_min"),
-        F.max("r").alias("r_max"),
-        F.max("norm").alias("norm"),
+    return table.mapInArrow(run, f"vec_id {kind}, v binary, pivot int, r double, norm double")
+
+
+def _blocks(keyed: DataFrame, rows: int, number: str) -> DataFrame:
+    """The annuli of each pivot in blocks of about ``rows``, as (number, pivot, ids, vs, r_min, r_max, norm).
+
+    A histogram of ``CELLS`` distances for each pivot, at most ``MOST_PIVOTS`` x ``CELLS`` counts, says where
+    annuli end; an annulus that can't be narrower, such as equal vectors, is split by a hash of the id.
+    """
+    reach = keyed.groupBy("pivot").agg(F.min("r").alias("low"), F.max("r").alias("high"))
+    width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / CELLS).otherwise(1.0)
+    celled = keyed.join(F.broadcast(reach.select("pivot", "low", width.alias("width"))), "pivot")
+    celled = celled.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor((F.col("r") - F.col("low")) / F.col("width"))).cast("int")).drop("low", "width")
+    upto = Window.partitionBy("pivot").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    rings = celled.groupBy("pivot", "cell").agg(F.count("*").alias("n")).withColumn("ring", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / rows))
+    parts = F.ceil(F.sum("n").over(Window.partitionBy("pivot", "ring")) / rows).cast("int")
+    rings = rings.select("pivot", "cell", "ring", parts.alias("parts"))
+    dealt = celled.join(F.broadcast(rings), ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")))
+    grouped = dealt.groupBy("pivot", "ring", "part").agg(
+        F.collect_list(F.struct("vec_id", "v")).alias("rows"), F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.max("norm").alias("norm")
     )
+    return grouped.select(F.monotonically_increasing_id().alias(number), "pivot", F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("vs"), "r_min", "r_max", "norm")
+
+
+def _ids(column) -> np.ndarray:
+    return np.array(column.values.to_pylist())
 
 
-def _score(pairs: DataFrame, k: int, pivots: np.ndarray, kind: str) -> DataFrame:
+def _score(pairs: DataFrame, k: int, pivots: np.ndarray, kind: str, work=None) -> DataFrame:
     """(query_id, vec_id, score): for each pair of blocks and query, its k best that reach the query's ``floor``."""
 
+    def best(row: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The k best different ids among ``at``, ties to the smaller one."""
+        n = k
+        while True:
+            some = at[row[at] >= np.partition(row[at], len(at) - n)[len(at) - n]] if len(at) > n else at
+            some = some[np.lexsort((ids[some], -row[some]))]
+            first = np.sort(np.unique(ids[some], return_index=True)[1])
+            if len(first) >= k or len(some) == len(at):
+                return some[first[:k]]
+            n *= 4
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                q, x = batch.column("queries")[i].values, batch.column("rows")[i].values
-                floor = np.array(batch.column("floor")[i].as_py(), np.int64)
-                qm = _matrix(q.field("v").to_pylist())
+                at = lambda c: batch.column(c)[i]  # noqa: E731, B023
+                floor = at("floor").values.to_numpy()
+                q = _unpack(at("qs").values.to_pylist())
                 # the triangle inequality again, now for each query
-                d = _distances(qm, pivots[batch.column("pivot")[i].as_py()][None, :])[:, 0]
-                gap = np.maximum(0, np.maximum(d - batch.column("r_max")[i].as_py(), batch.column("r_min")[i].as_py() - d))
-                bound = ((qm.astype(np.float64) ** 2).sum(1) + batch.column("norm")[i].as_py() - gap * gap) / 2
-                near = np.flatnonzero(bound * (1 + 1e-9) + 1 >= floor)
+                d, near_r, far_r = _distances(q, pivots[at("pivot").as_py()][None, :])[:, 0], at("r_min").as_py(), at("r_max").as_py()
+                gap = np.maximum(0, np.maximum(d - far_r, near_r - d))
+                near = np.flatnonzero(_bound((q * q).sum(1), at("norm").as_py(), gap, d + far_r) >= floor)
                 if not len(near):
                     continue
-                qid, xid = np.array(q.field("vec_id").to_pylist()), np.array(x.field("vec_id").to_pylist())
-                s = products(qm[near], _matrix(x.field("v").to_pylist()))
+                qid, xid = _ids(at("qids")), _ids(at("ids"))
+                if work is not None:
+                    work.add(len(near) * len(xid))
+                s = products(q[near], _unpack(at("vs").values.to_pylist()))
                 out_q, out_x, out_s = [], [], []
                 for row, j in zip(s, near):
-                    at = np.flatnonzero((row >= floor[j]) & (xid != qid[j]))
-                    if len(at) > k:
-                        cut = np.partition(row[at], len(at) - k)[len(at) - k]
-                        at = at[row[at] >= cut]
-                        at = at[np.lexsort((xid[at], -row[at]))[:k]]
-                    out_q += [qid[j].item()] * len(at)
-                    out_x += xid[at].tolist()
-                    out_s += row[at].tolist()
-                types = batch.column("rows").type.value_type.field("vec_id").type
+                    found = best(row, xid, np.flatnonzero((row >= floor[j]) & (xid != qid[j])))
+                    out_q += [qid[j].item()] * len(found)
+                    out_x += xid[found].tolist()
+                    out_s += row[found].tolist()
+                types = at("ids").type.value_type
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, types), pa.array(out_x, types), pa.array(out_s, pa.int64())], names=["query_id", "vec_id", "score"])
 
     return pairs.mapInArrow(run, f"query_id {kind}, vec_id {kind}, score long")
@@ -130,59 +190,72 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, pivots: int = PIVOTS, rounds=ROUNDS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` highest integer inner products of each query, ties to the smaller id.
+def _directory(asked: DataFrame, blocks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(qblock, block, bound, turn): the annulus blocks of each query block, the highest bound first.
 
-    ``vectors`` has vec_id and embedding, anything else is ignored; ``is_query`` is a condition on vec_id.
-    Candidates are all other vectors. Null vectors and vectors with null or non-finite components take no
-    part, nor do rows without an id; vectors of unequal length are filled with zeros; repeated rows count
-    once, and an id with several vectors has the best of their scores. With fewer than ``k`` candidates all
-    are returned; without vectors there are no rows. The pivots are a bounded sample (``pivots`` rows, by
-    hash); every row is indexed, and the result doesn't depend on them.
+    Only numbers about blocks are joined. The pivot is the key and a hot pivot has many blocks, so each
+    pivot's query blocks are dealt to 16 keys.
     """
-    spark = vectors.sparkSession
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    table = written(quantised(vectors, scale))
-    some = table.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()
-    if not some:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
-    centres = _matrix([r.v for r in some])
-    keyed = written(_keyed(table, centres))
-    widest = keyed.agg(F.max("r")).first()[0] or 1.0
-    ring = F.least(F.floor(F.col("r") / F.lit(widest / ANNULI)), F.lit(ANNULI - 1)).cast("int")
-    blocks = written(_blocks(keyed.withColumn("ring", ring), ["pivot", "ring"], BLOCK).withColumn("block", F.monotonically_increasing_id()))
-    asked = _blocks(keyed.where(is_query), ["pivot"], QUERY_BLOCK).select(F.col("rows").alias("queries"), F.monotonically_increasing_id().alias("qblock"))
-    asked = written(asked)
 
-    # the directory of query blocks: for each pivot, the range of their queries' distances
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                m = _matrix(batch.column("queries")[i].values.field("v").to_pylist())
+                m = _unpack(batch.column("qs")[i].values.to_pylist())
                 d, n = _distances(m, centres), len(centres)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("qblock")[i].as_py()] * n), pa.array(range(n), pa.int32()), pa.array(d.min(0)), pa.array(d.max(0)), pa.array([(m.astype(np.float64) ** 2).sum(1).max()] * n)],
+                    [pa.array([batch.column("qblock")[i].as_py()] * n), pa.array(range(n), pa.int32()), pa.array(d.min(0)), pa.array(d.max(0)), pa.array([(m * m).sum(1).max()] * n)],
                     names=["qblock", "pivot", "d_min", "d_max", "q_norm"],
                 )
 
-    near = asked.mapInArrow(ranges, "qblock long, pivot int, d_min double, d_max double, q_norm double")
+    salts = 16
+    near = asked.select("qblock", "qs").mapInArrow(ranges, "qblock long, pivot int, d_min double, d_max double, q_norm double")
+    near = near.withColumn("salt", F.pmod(F.xxhash64("qblock"), F.lit(salts)))
+    known = blocks.select("block", "pivot", "r_min", "r_max", "norm").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     gap = F.greatest(F.lit(0.0), F.col("d_min") - F.col("r_max"), F.col("r_min") - F.col("d_max"))
-    directory = near.join(blocks.select("block", "pivot", "r_min", "r_max", "norm"), "pivot").select(
-        "qblock", "block", ((F.col("q_norm") + F.col("norm") - gap * gap) / 2 * (1 + 1e-9) + 1).alias("bound")
-    )
+    bound = _bound(F.col("q_norm"), F.col("norm"), gap, F.col("d_max") + F.col("r_max"))
     turn = F.row_number().over(Window.partitionBy("qblock").orderBy(F.desc("bound"), "block"))
-    directory = written(directory.withColumn("turn", turn))
+    return near.join(known, ["pivot", "salt"]).select("qblock", "block", bound.alias("bound")).withColumn("turn", turn)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, pivots: int | None = None, first: int = FIRST, work=None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` highest integer inner products of each query, ties to the smaller id.
+
+    ``vectors`` has vec_id and embedding, anything else is ignored; ``is_query`` is a condition on vec_id.
+    Candidates are all other vectors. Null vectors and vectors with null or non-finite components take no
+    part, nor do rows without an id; vectors of unequal length are filled with zeros; repeated rows count
+    once, and an id with several vectors has the best of their scores. Components may have any finite size;
+    a score that a long can't hold is the end of its range. With fewer than ``k`` candidates all are
+    returned; without vectors there are no rows. The pivots are a bounded sample (``pivots`` rows, by hash;
+    by default their number follows the rows); every row is indexed, and the result doesn't depend on them.
+    ``work``, an accumulator, gets the number of products computed.
+    """
+    spark = vectors.sparkSession
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    table = quantised(vectors, scale)
+    n = table.count()
+    if not n:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
+    pivots = pivots or min(MOST_PIVOTS, math.ceil(2 * math.sqrt(n / BLOCK)))
+    some = table.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()
+    centres = _matrix([r.v for r in some])
+    keyed = written(_keyed(table, centres))
+    blocks = written(_blocks(keyed, BLOCK, "block"))
+    asked = _blocks(keyed.where(is_query), QUERY_BLOCK, "qblock").select("qblock", F.col("ids").alias("qids"), F.col("vs").alias("qs"))
+    asked = written(asked)
+    directory = written(_directory(asked, blocks, centres))
 
-    ids = asked.select("qblock", F.posexplode("queries.vec_id").alias("at", "query_id"))
+    ids = asked.select("qblock", F.posexplode("qids").alias("at", "query_id"))
     best = spark.createDataFrame([], f"query_id {kind}, vec_id {kind}, score long, rank int")
-    done = 0
-    for n in (*rounds, None):
+    done, turns = 0, first
+    while True:
         kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        floors = ids.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(2**63))))
+        floors = ids.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-LONG - 1)))
         floors = floors.groupBy("qblock").agg(F.sort_array(F.collect_list(F.struct("at", "floor"))).alias("f"), F.min("floor").alias("least"))
-        now = directory.where(F.col("turn") > done) if n is None else directory.where(F.col("turn").between(done + 1, done + n))
-        open_pairs = now.join(floors, "qblock").where(F.col("bound") >= F.col("least")).select("qblock", "block", F.col("f.floor").alias("floor"))
-        pairs = open_pairs.join(asked, "qblock").join(blocks, "block").select("queries", "floor", "rows", "pivot", "r_min", "r_max", "norm")
-        best = written(_best(_score(pairs, k, centres, kind).unionByName(best.drop("rank")), k))
-        done += n or 0
-    return best.select("query_id", "rank", "vec_id", "score")
+        left = directory.where(F.col("turn") > done).join(floors, "qblock").where(F.col("bound") >= F.col("least"))
+        if done and left.isEmpty():
+            return best.select("query_id", "rank", "vec_id", "score")
+        now = left.where(F.col("turn") <= done + turns).select("qblock", "block", F.col("f.floor").alias("floor"))
+        # queries travel to annuli: each pair shuffles the smaller block only
+        pairs = now.join(asked, "qblock").join(blocks, "block").select("qids", "qs", "floor", "ids", "vs", "pivot", "r_min", "r_max", "norm")
+        best = written(_best(_score(pairs, k, centres, kind, work).unionByName(best.drop("rank")), k))
+        done, turns = done + turns, turns * GROWTH
