@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def upper_percentile(sorted_values: Column, p: float) -> Column:
     """``sorted[min(n - 1, floor(p n))]`` of an ascending array; null if it is empty. At p = 0.5, the upper median."""
@@ -19,8 +21,6 @@ def percentile_agg(value, p: float) -> Column:
 
 def percentile_by(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
     """The rule for groups of any size: equal values are counted first, and only counts are ordered."""
-    from pyspark.sql import Window
-
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     run = Window.partitionBy(*keys).orderBy(value)
     whole = Window.partitionBy(*keys)
@@ -29,6 +29,19 @@ def percentile_by(df: DataFrame, keys: list[str], value: str, p: float, name: st
     return counts.withColumns({"_upto": F.sum("_c").over(run), "_rank": rank}).where("_upto > _rank").groupBy(*keys).agg(F.min(value).alias(name))
 
 
+def numbered(df: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place (0, 1, ...) in the order of ``by``, for tables of any size.
+
+    Rows are dealt to ranges of the order, each range is numbered on its own, and only the sizes of the ranges,
+    one row for each, are summed up. Equal keys lie in one range.
+    """
+    dealt = written(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_c")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
+    return dealt.withColumn(name, own).join(sizes, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def clamp01(x) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
