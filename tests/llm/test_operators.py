@@ -468,7 +468,9 @@ def test_targets_are_reshared(spark):
 
 
 def test_mix_comes_near_its_targets(spark, docs):
-    for frame in (docs, odd(spark)):
+    same = spark.createDataFrame([(None, "one two three four " * (1 + i % 2), "en", "ab"[i % 3 == 0], 1, None, None) for i in range(240)], DOCS)
+    no_ids = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    for frame in (docs, odd(spark), same, no_ids):
         out = rows(mixing.mix(frame))
         assert len(out) == frame.count()
         assert sorted(map(str, out)) == sorted(map(str, rows(mixing.mix(frame))))
@@ -477,12 +479,14 @@ def test_mix_comes_near_its_targets(spark, docs):
             assert r["taken"] in (0, r["size"], 2 * r["size"])
             by[r["source"]].append(r)
         for own in by.values():
-            tie = collections.Counter()
-            for r in own:
-                tie[r["doc_id"]] += r["size"]
-            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(tie.values()) / 2 + 1e-6
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1e-6
+        again = collections.Counter((r.doc_id, r.source, r.text) for r in mixing.repeat(frame).collect())
+        words = collections.Counter()
+        for (_, source, text), n in again.items():
+            words[source] += n * len(WORD.findall(text or ""))
+        assert {s: sum(r["taken"] for r in own) for s, own in by.items()} == {s: words[s] for s in by}
     n = collections.Counter(r.doc_id for r in mixing.repeat(docs).collect())
-    assert {r["doc_id"]: r["taken"] for r in rows(mixing.mix(docs)) if r["taken"]} == {r["doc_id"]: n[r["doc_id"]] * r["size"] for r in rows(mixing.mix(docs)) if n[r["doc_id"]]}
+    assert {r["doc_id"]: r["taken"] for r in rows(mixing.mix(docs)) if r["taken"]} == {r["doc_id"]: n[r["doc_id"]] * r["size"] for r in rows(mixing.mix(docs)) if n[r["doc_id"]] and r["size"]}
     assert mixing.mix(empty(spark)).count() == 0 and mixing.repeat(empty(spark)).count() == 0
 
 

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by hash thresholds, without sorting documents.
 
 Each source takes whole passes over its documents and one more over those below a threshold of a document
-hash. The threshold is found from histograms: tokens by source and the hash's leading digit, then, inside the
-one bucket where the budget ends, by the next digit, and so on. Only sums of a fixed number of buckets for
-each source are ever ordered.
+hash. The threshold is found from histograms: tokens by source and the hash's leading digits, then, inside the
+one bucket where the budget ends, by the next digits, and so on, until that bucket is one row. Only sums of a
+fixed number of buckets for each source are ever ordered.
 """
 
 from __future__ import annotations
@@ -11,87 +11,89 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import numbered
 from .common import n_words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
-#: Hexadecimal digits of the document hash, and how many of them one histogram resolves.
-DIGITS, STEP = 15, 3
+#: Hexadecimal digits of a document's hash and of its place's, and how many of them one histogram resolves.
+DIGITS, PLACE_DIGITS, STEP = 18, 15, 3
 
 
-def doc_hash(column: str = "doc_id"):
-    """The first 15 hexadecimal digits of the id's MD5; a null id hashes as an empty text."""
-    return F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
+def doc_hash():
+    """The first 18 hexadecimal digits of the MD5 of id and text, so that neither equal ids nor equal texts share them."""
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)
+    return F.substring(F.md5(key.cast("binary")), 1, DIGITS)
+
+
+def _placed_hash():
+    """The hash, and that of the row's ``_place``, which tells equal rows apart."""
+    return F.concat(doc_hash(), F.substring(F.md5(F.col("_place").cast("string").cast("binary")), 1, PLACE_DIGITS))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row for each source.
 
     Sources in code point order, null last, have the weights in turn. The shares of ``share`` times all
-    sizes stop at ``most`` times the source's size; what is cut is shared again by weight. That ends at
-    least(most * size, level * weight), and the level follows from sums in the order of size / weight.
+    sizes stop at ``most`` times the source's size, and what is cut is shared again by weight until none is
+    above: each turn is one sum over the sources, however many there are.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int") + 1)
-    w = sizes.select("source", "source_size", pick.alias("weight")).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before, here = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    total = F.lit(share) * F.sum("source_size").over(whole)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(here)
-    w = w.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    cut = F.coalesce(F.max(F.when(F.col("fits"), F.col("level"))).over(whole), F.lit(float("inf")))
-    return w.withColumn("cut", cut).select("source", "source_size", F.least("cap", F.col("cut") * F.col("weight")).alias("target"))
-
-
-def _threshold(docs: DataFrame, goal: DataFrame) -> DataFrame:
-    """(source, passes, below): whole passes and the hash below which documents are taken once more.
-
-    ``docs`` is (source, hash, size), ``goal`` (source, source_size, target). All documents of the last
-    bucket, which have the same hash, are taken if that brings the sum nearer to the target.
+    ranked = numbered(sizes.select("source", "source_size"), [F.col("source").isNull(), F.col("source")])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int") + 1)
+    ranked = written(ranked.select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap")))
+    level, cut = 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("weight")
+        kept = F.sum(F.when(~over, F.col("weight")))
+        total, capped, left, n = ranked.agg(F.sum("source_size"), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), kept, F.count_if(over)).first()
+        if n == cut or left is None:
+            break
+        level, cut = (share * total - capped) / left, n
+    level = float("inf") if left is None else level
+    return ranked.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
+
+
+def _start(goal: DataFrame) -> DataFrame:
+    """(s, passes, left, prefix, n, c): a source's whole passes, what is left of its budget, and the bucket, still all rows, where it ends."""
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    at = goal.withColumn("passes", passes)
+    return at.select(F.col("source").alias("s"), "passes", (F.col("target") - F.col("passes") * F.col("source_size")).alias("left"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("n"), F.lit(2).cast("long").alias("c"))
+
+
+def _refine(table: DataFrame, at: DataFrame, start: int, digits: int) -> tuple[DataFrame, bool]:
+    """``at`` with buckets of up to ``digits`` digits, and whether a bucket of several rows is left.
+
+    ``table`` is (source, hash, size). A budget that takes everything has the bucket "g", above all digits.
     """
-    at = goal.select(
-        "source",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("passes"),
-        "source_size",
-        "target",
-    ).withColumn("left", F.col("target") - F.col("passes") * F.col("source_size"))
-    at = at.select("source", "passes", "left", F.lit("").alias("prefix"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    for depth in range(STEP, DIGITS + 1, STEP):
-        joined = docs.alias("d").join(at.alias("t"), same(docs, at) & docs["hash"].startswith(at["prefix"]))
-        bucket = F.substring(docs["hash"], 1, depth)
-        sums = joined.groupBy(at["source"], "passes", "left", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-        upto = Window.partitionBy("source").orderBy("bucket")
-        run = sums.withColumn("after", F.sum("n").over(upto)).withColumn("before", F.col("after") - F.col("n"))
-        last = F.struct("bucket", "before", "n")
-        found = run.groupBy("source").agg(
-            F.first("passes").alias("passes"),
-            F.first("left").alias("left"),
-            F.min(F.when(F.col("after") > F.col("left"), last)).alias("b"),
+    for depth in range(start + STEP, digits + 1, STEP):
+        open_ = at.where("c > 1")
+        inside = F.col("source").eqNullSafe(F.col("s")) & F.startswith("hash", "prefix")
+        sums = table.join(open_, inside).groupBy("s", "passes", "left", F.substring("hash", 1, depth).alias("bucket")).agg(F.sum("size").alias("k"), F.count("*").alias("rows"))
+        upto = Window.partitionBy("s").orderBy("bucket")
+        run = sums.withColumn("after", F.sum("k").over(upto)).withColumn("before", F.col("after") - F.col("k"))
+        found = run.groupBy("s").agg(
+            F.first("passes").alias("passes"), F.first("left").alias("left"), F.min(F.when(F.col("after") > F.col("left"), F.struct("bucket", "before", "k", "rows"))).alias("b")
         )
-        # a budget that takes everything has no bucket: "g" is above all hexadecimal digits
-        at = written(
-            found.select(
-                "source",
-                "passes",
-                (F.col("left") - F.coalesce("b.before", F.lit(0))).alias("left"),
-                F.coalesce("b.bucket", F.lit("g")).alias("prefix"),
-                F.coalesce("b.n", F.lit(0)).alias("n"),
-            ).unionByName(
-                at.where("prefix = 'g'").select("source", "passes", "left", "prefix", F.lit(0).cast("long").alias("n"))
-            )
+        found = found.select(
+            "s", "passes", (F.col("left") - F.coalesce("b.before", F.lit(0))).alias("left"), F.coalesce("b.bucket", F.lit("g")).alias("prefix"),
+            F.coalesce("b.k", F.lit(0)).cast("long").alias("n"), F.coalesce("b.rows", F.lit(0)).cast("long").alias("c"),
         )
-    nearer = F.col("n") - F.col("left") <= F.col("left")
-    return at.select("source", "passes", F.when(nearer & (F.col("prefix") != "g"), F.concat("prefix", F.lit("g"))).otherwise(F.col("prefix")).alias("below"))
+        at = written(found.unionByName(at.where("c <= 1")))
+        if at.where("c > 1").isEmpty():
+            return at, False
+    return at, True
+
 
+def _cuts(at: DataFrame) -> DataFrame:
+    """(s, passes, below): rows with a hash below are taken once more; the last row if that brings the sum nearer to the target."""
+    nearer = (F.col("n") - F.col("left") <= F.col("left")) & (F.col("prefix") != "g")
+    return at.select("s", "passes", F.when(nearer, F.concat("prefix", F.lit("g"))).otherwise(F.col("prefix")).alias("below"))
 
-def _plan(table: DataFrame, weights, share: float, most: int) -> DataFrame:
-    """(s, source_size, target, passes, below) of each source of ``table`` (source, hash, size)."""
-    goal = written(targets(table.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    cut = goal.join(_threshold(table, goal).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    return written(cut.withColumnRenamed("source", "s"))
+
+def _goal(table: DataFrame, weights, share: float, most: int) -> DataFrame:
+    return written(targets(table.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
 
 
 def _passes(hash_column, most: int):
@@ -102,22 +104,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, source, text, anything else).
 
     ``size`` is the number of words, ``taken`` the words that the mix takes, a whole number of passes over
-    the document. Null texts have size 0; null sources are a source of their own, after all others; rows
-    with null or equal ids share a hash and are taken together. A source without words has target 0. An
-    empty table gives no rows.
+    the document; a source's sum is within half a document of its target. Null texts have size 0; null
+    sources are a source of their own, after all others; null and equal ids are told apart by their texts,
+    and rows equal in all of these by their place, which changes no result. A source without words has
+    target 0. An empty table gives no rows.
     """
-    table = written(docs.select("doc_id", "source", n_words().alias("size"), doc_hash().alias("hash")))
-    cut = _plan(table, weights, share, most)
+    rows = docs.select("doc_id", "source", "text").withColumn("_place", F.monotonically_increasing_id())
+    table = written(rows.select("doc_id", "source", n_words().alias("size"), _placed_hash().alias("hash")))
+    goal = _goal(table, weights, share, most)
+    at, _ = _refine(table, _start(goal), 0, DIGITS + PLACE_DIGITS)
+    cut = written(_cuts(at).join(goal, F.col("s").eqNullSafe(F.col("source"))).drop("source"))
     return table.join(cut, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * _passes(F.col("hash"), most)).alias("taken")
     )
 
 
 def repeat(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as the mix takes them (``taken`` / ``size`` times)."""
+    """The rows of ``docs``, with all their columns, as often as the mix takes them (``taken`` / ``size`` times).
+
+    Null and empty texts cost nothing and are taken by their hash like others. Only where equal rows must be
+    told apart is the table written once more, with their places.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
+    rows, own = packed, doc_hash()
     table = written(docs.select("source", n_words().alias("size"), doc_hash().alias("hash")))
-    cut = _plan(table, weights, share, most).select("s", "passes", "below")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), doc_hash().alias("_hash"))
-    joined = rows.join(cut, F.col("_source").eqNullSafe(F.col("s")))
-    again = F.when(F.col("_row.text").isNotNull(), F.array_repeat(F.lit(0), _passes(F.col("_hash"), most).cast("int")))
-    return joined.select("_row", F.explode(again)).select("_row.*")
+    at, tied = _refine(table, _start(_goal(table, weights, share, most)), 0, DIGITS)
+    if tied:
+        rows, own = written(packed.withColumn("_place", F.monotonically_increasing_id())), _placed_hash()
+        at, _ = _refine(rows.select("source", n_words().alias("size"), own.alias("hash")), at, DIGITS, DIGITS + PLACE_DIGITS)
+    cut = written(_cuts(at))
+    joined = rows.select("_row", "source", own.alias("_hash")).join(cut, F.col("source").eqNullSafe(F.col("s")))
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(0), _passes(F.col("_hash"), most).cast("int")))).select("_row.*")

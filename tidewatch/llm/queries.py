@@ -107,9 +107,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op8_mixing",
     rf"""
-    WITH RECURSIVE d AS (
+    WITH d AS (
         SELECT doc_id, source, CAST(len({SQL_WORDS}) AS BIGINT) AS size,
-               substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h
+               substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')), 1, 18) AS h
         FROM documents),
     s AS (
         SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -125,17 +125,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (
         SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
     g AS (
-        SELECT d.source, h, sum(size) AS n FROM d GROUP BY d.source, h),
+        SELECT *, row_number() OVER (PARTITION BY source, h) AS equal_row FROM d),
     c AS (
-        SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS after FROM g),
+        SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, equal_row) AS after FROM g),
     x AS (
-        SELECT p.source, c.h,
+        SELECT c.doc_id, c.source, c.size, p.source_size, p.target, p.passes,
                after <= target - passes * source_size
-               OR (after - n <= target - passes * source_size AND after - (target - passes * source_size) <= target - passes * source_size - (after - n)) AS once_more
+               OR (after - size <= target - passes * source_size AND after - (target - passes * source_size) <= target - passes * source_size - (after - size)) AS once_more
         FROM c JOIN p ON p.source IS NOT DISTINCT FROM c.source)
-    SELECT d.doc_id, d.source, d.size, p.source_size, p.target,
-           CAST(d.size * least(p.passes + CASE WHEN x.once_more THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken
-    FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source JOIN x ON x.source IS NOT DISTINCT FROM d.source AND x.h = d.h
+    SELECT doc_id, source, size, source_size, target, CAST(size * least(passes + CASE WHEN once_more THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken FROM x
     """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
