@@ -139,6 +139,33 @@ def test_archives_hold_each_payload_once(spark, tmp_path):
     assert full == {w[0]: w[2] or "" for w in WEB if w[0] is not None}
 
 
+def test_archives_without_bitmaps_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(warc, "cascade", lambda *a: None)
+    got = warc.round_trip(spark.createDataFrame(WEB, PAGES))
+    assert sorted(str(tuple(r)) for r in got.collect()) == warc_brute(WEB)
+
+
+def test_records_are_read_piece_by_piece():
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\na\r\n\r\n\r\n\r\n"
+    data = zlib.compress(one * 3, wbits=31) + zlib.compress(one * 2, wbits=31)
+    assert [p for _, p in warc._records(warc._inflated(data))] == [b"a\r\n\r\n"] * 5
+    assert [p for _, p in warc._records(iter([bytes([b]) for b in one * 2]))] == [b"a\r\n\r\n"] * 2
+    for bad in (one[:-1], one[:20], one[:-4] + b"abcd", b"x" + one):
+        with pytest.raises(ValueError):
+            list(warc._records(iter([bad])))
+
+
+def test_cascades_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_BITS", 1)
+    all_ = spark.range(60_000).select(F.xxhash64("id").alias("k"), "id")
+    levels = common.cascade(all_, all_.where("id % 3 = 0"))
+    assert len(levels) > 2
+    assert common.flagged(all_, F.col("k"), levels, "inside").where("inside <> (id % 3 = 0)").count() == 0
+    assert common.cascade(all_, all_, most=10) is None
+    none = common.cascade(all_, all_.limit(0))
+    assert common.flagged(all_, F.col("k"), none, "inside").where("inside").count() == 0
+
+
 def test_a_changed_payload_is_noticed(spark, tmp_path):
     import gzip
 

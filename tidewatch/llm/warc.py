@@ -1,8 +1,8 @@
 """WARC archives with revisit records: write pages once for each payload, read archives back and resolve revisits.
 
 Headers only are shuffled by payload digest; each digest's smallest page id keeps the payload, every other
-page with it becomes a revisit record that names the original. Reading parses records by their lengths and
-joins revisit records to the responses they refer to.
+page with it becomes a revisit record that names the original. Payloads are written by the tasks that read
+them. Reading parses records by their lengths and joins revisit records to the responses they refer to.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, to_arrow
+from .common import cascade, flagged, shared_dir, to_arrow, written
 
-#: Records in one archive file; archives are read whole, so this bounds the memory of a reading task.
-FILE_RECORDS = 1000
+#: Records in one archive file, and bytes of a payload from which a record has a file of its own: a file has
+#: less than 256 MB before compression, or one record.
+FILE_RECORDS, LARGE_BYTES = 1000, 1 << 18
+#: Bytes of payload and records that reading hands on at once.
+READ_BYTES, READ_RECORDS = 4 << 20, 500
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:page:"
@@ -32,17 +35,21 @@ def digest(payload):
     return F.translate(F.concat(*[part(i) for i in range(4)]), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def headers(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the revisits among ``pages`` (page_id, html): one row for each id and digest.
+def headers(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload_digest, n, k) of every row of ``pages`` (page_id, url, html): k is a hash of id and payload."""
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    return pages.select("page_id", "url", digest(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("n"), F.xxhash64("page_id", payload).alias("k"))
+
+
+def revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """The rows of ``heads`` that are revisits, with ``refers_to``.
 
     Pages with equal payloads of at least ``least_bytes`` bytes revisit the one with the smallest id. Pages
     without an id are never revisits or originals; rows that share the smallest id are all responses.
     """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    head = pages.where("page_id is not null").select("page_id", digest(payload).alias("payload_digest"), F.octet_length(payload).alias("n"))
-    head = head.where(F.col("n") >= least_bytes).drop("n").distinct()
-    first = head.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").drop("k")
-    return head.join(first, "payload_digest").where("page_id <> refers_to")
+    own = heads.where(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes))
+    first = own.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last <> refers_to").drop("last")
+    return own.join(first, "payload_digest").where("page_id <> refers_to")
 
 
 def _safe(value):
@@ -50,73 +57,130 @@ def _safe(value):
     return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", "%0A")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
-    """Write one WARC record for each row of ``pages`` (page_id, url, html, anything else) below ``path``.
-
-    A null html counts as empty, a null url as an empty target. Files are gzipped by Spark's text writer, a
-    record's trailing blank lines being the writer's line end; every header is written anew.
-    """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), digest(payload).alias("payload_digest"))
-    found = rows.join(headers(pages, least_bytes), ["page_id", "payload_digest"], "left")
-    revisit = F.col("refers_to").isNotNull()
+def _record(kind: str, payload, refers_to=None):
+    """A record's text, but for the blank lines at its end."""
     name = lambda c: F.concat(F.lit(f"<{RECORD}"), c.cast("string"), F.lit(">"))
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    again = [F.concat(F.lit("WARC-Refers-To: "), name(refers_to)), F.lit(f"WARC-Profile: {PROFILE}")] if refers_to is not None else []
     lines = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
+        F.lit(f"WARC-Type: {kind}"),
         F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), _safe(F.col("url"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name(F.col("refers_to")))),
-        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
+        *again,
         F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
+        F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")),
     )
-    record = F.concat(lines, F.lit("\r\n\r\n"), body)
-    found.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    return F.concat(lines, F.lit("\r\n\r\n"), payload)
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
+    """Write one WARC record for each row of ``pages`` (page_id, url, html, anything else) below ``path``.
+
+    A null html counts as empty, a null url as an empty target. Which pages are revisits is told to the
+    tasks that read payloads by bitmaps, so that payloads aren't shuffled; with more revisits than
+    bitmaps of bounded size can hold, they are told by a join. Files are gzipped by Spark's text writer, a
+    record's trailing blank lines being the writer's line end; every header is written anew.
+    """
+    pages = pages.select("page_id", "url", "html")
+    heads = written(headers(pages))
+    again = written(revisits(heads, least_bytes))
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    key = F.xxhash64("page_id", payload)
+    levels = cascade(heads, again)
+    if levels is None:
+        first = pages.withColumn("payload_digest", digest(payload)).join(again.select("page_id", "payload_digest").distinct(), ["page_id", "payload_digest"], "left_anti")
+    else:
+        first = flagged(pages, key, levels, "_again").where("not _again").withColumn("payload_digest", digest(payload))
+
+    def save(records: DataFrame, most: int) -> None:
+        out = records.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most)
+        out.text(path)
+
+    large = F.octet_length(payload) >= LARGE_BYTES
+    responses = first.where(~large).select(_record("response", payload).alias("value"))
+    save(responses.unionByName(again.select(_record("revisit", F.lit(""), F.col("refers_to")).alias("value"))), file_records)
+    if not heads.where(F.col("n") >= LARGE_BYTES).isEmpty():
+        save(first.where(large).select(_record("response", payload).alias("value")), 1)
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file, piece by piece."""
+    view = memoryview(data)
+    while len(view):
+        one, taken = zlib.decompressobj(47), 0
+        while not one.eof and taken < len(view):
+            yield one.decompress(view[taken : taken + (1 << 18)])
+            taken += 1 << 18
+        view = view[min(taken, len(view)) - len(one.unused_data) :]
+
+
+def _records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and payload of each record; no more than a record and a part is held."""
+    data, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        del data[:at]
+        at = 0
+        part = next(parts, None)
+        data.extend(part or b"")
+        return part is not None
+
+    while True:
+        while (end := data.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                if len(data) > at:
+                    raise ValueError("an archive ends inside a header")
+                return
         first, *lines = data[at:end].decode("utf-8").split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record: {first[:40]!r}")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        stop = end + 4 + int(head["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record ends wrongly at byte {stop}")
-        yield head, data[end + 4 : stop]
-        at = stop + 4
+        size, at = int(head["content-length"]), end + 4
+        while len(data) - at < size + 4:
+            if not more():
+                raise ValueError(f"an archive ends inside {head.get('warc-record-id')}")
+        if data[at + size : at + size + 4] != b"\r\n\r\n":
+            raise ValueError(f"{head.get('warc-record-id')} ends wrongly")
+        yield head, bytes(data[at : at + size])
+        at += size + 4
 
 
 def read_archives(spark, path: str, key: str = "bigint", with_payload: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every record below ``path``.
 
     Responses have the length and digest of the payload that was read; a payload that doesn't have the
-    digest of its header is an error. Revisits have their header's digest and no length yet.
+    digest of its header is an error. Revisits have their header's digest and no length yet. A file is
+    inflated piece by piece, and its records are handed on in batches of bounded size.
     """
     types = {"payload_bytes": pa.int64(), "page_id": to_arrow(key), "refers_to": to_arrow(key)}
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
 
+    own = lambda x: x and x[len(RECORD) + 1 : -1]
+
+    def batch_of(out: dict[str, list]) -> pa.RecordBatch:
+        columns = [pa.array(out[n], pa.int64() if n == "payload_bytes" else pa.string()).cast(types.get(n, pa.string())) for n in names]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                out = {n: [] for n in names}
-                for head, payload in _records(zlib.decompress(content.as_py(), 47)):
+                out, size = {n: [] for n in names}, 0
+                for head, payload in _records(_inflated(content.as_py())):
                     kind, found = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != found:
                         raise ValueError(f"payload of {head.get('warc-record-id')} has another digest")
-                    own = lambda x: x and x[len(RECORD) + 1 : -1]
                     row = [own(head.get("warc-record-id")), head["warc-target-uri"], len(payload) if kind == "response" else None, found, kind, own(head.get("warc-refers-to"))]
                     for n, x in zip(names, row + [payload.decode("utf-8")] * with_payload):
                         out[n].append(x)
-                columns = [pa.array(out[n], pa.int64() if n == "payload_bytes" else pa.string()).cast(types.get(n, pa.string())) for n in names]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    size += len(payload) * with_payload
+                    if size > READ_BYTES or len(out["url"]) >= READ_RECORDS:
+                        yield batch_of(out)
+                        out, size = {n: [] for n in names}, 0
+                yield batch_of(out)
 
     schema = f"page_id {key}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {key}" + ", payload string" * with_payload
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
