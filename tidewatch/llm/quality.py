@@ -11,12 +11,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mentioned, sampled, written
+from .common import WORD, cascade, flagged, written
 
-#: Hash buckets of each order of n-grams; the only table that leaves the executors has twice as many rows.
+#: Hash buckets of each order of n-grams; the only table that leaves the executors has so many rows of each.
 BUCKETS = 8192
-#: Upper bound, in expectation, of the labelled documents that the trusted distribution is fitted on.
-TARGET_DOCS = 20_000
 #: Mean log ratio below which a document is rejected.
 THRESHOLD = -0.2
 #: Pseudo-count of each bucket.
@@ -48,22 +46,29 @@ def _grams(h):
     return F.concat(one, two)
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    return hashed_words(docs.select("text")).select(F.explode(_let(F.col("h"), _grams)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+def _trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, target) of all ``docs``: whether ``trusted`` has the doc_id, told without moving texts where it has few enough."""
+    key = F.xxhash64("doc_id")
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
+    levels = cascade(docs.where("doc_id is not null").select(key.alias("k")), ids.select(key.alias("k")))
+    if levels is None:
+        found = docs.select("doc_id", "text").join(ids.withColumn("target", F.lit(True)), "doc_id", "left")
+    else:
+        found = flagged(docs.select("doc_id", "text"), key, levels, "target")
+    return found.select("text", (F.coalesce("target", F.lit(False)) & F.col("doc_id").isNotNull()).cast("long").alias("target"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, target_docs: int = TARGET_DOCS) -> np.ndarray:
-    """log P_target - log P_raw of every bucket.
+def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """log P_target - log P_raw of every bucket, in one pass over the texts.
 
-    The raw counts cover all documents; the target's cover the documents of ``trusted`` (doc_id), or a sample
-    of them by hash. Without trusted documents all ratios are 0. Each order of n-grams is a distribution.
+    The raw counts cover all documents, the target's all documents of ``trusted`` (doc_id). Without trusted
+    documents all ratios are 0. Each order of n-grams is a distribution.
     """
-    ids = written(sampled(trusted.where("doc_id is not null").select("doc_id").distinct(), target_docs))
-    target = mentioned(docs.select("doc_id", "text"), ids.withColumnRenamed("doc_id", "id")).join(ids, "doc_id", "left_semi")
-    table = _counts(docs).withColumn("target", F.lit(0)).unionByName(_counts(target).withColumn("target", F.lit(1)))
+    grams = hashed_words(_trusted(docs, trusted)).select("target", F.explode(_let(F.col("h"), _grams)).alias("bucket"))
+    table = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     n = np.zeros((2, 2 * BUCKETS))
-    for r in table.collect():  # two rows for each bucket at most
-        n[r.target, r.bucket] = r.n
+    for r in table.collect():  # a row for each bucket at most
+        n[0, r.bucket], n[1, r.bucket] = r.raw, r.target
     if not n[1].any():
         return np.zeros(2 * BUCKETS)
     p = (n + SMOOTH).reshape(2, 2, BUCKETS)
