@@ -150,8 +150,9 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
 def train(docs: DataFrame, condition, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """N-gram and script counts of the rows of ``docs`` that meet ``condition``, have a lang and a text.
 
-    With more rows than ``train_docs``, a sample of that expected size is taken by a hash of doc_id. Counts
-    are summed by Spark; the model has ``SLOTS`` rows for each language, whatever the size of the table.
+    With more rows than ``train_docs``, a sample of that expected size is taken by a hash of doc_id. Each task
+    counts its own part of the sample and Spark sums the counts; the model has ``SLOTS`` rows for each
+    language, and no more languages than the sample has documents, whatever the size of the table.
     """
     rows = docs.where(condition).where("lang is not null and text is not null and doc_id is not null")
     if (n := rows.count()) > train_docs:
@@ -174,7 +175,7 @@ def train(docs: DataFrame, condition, train_docs: int = TRAIN_DOCS) -> LanguageM
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "slot", "n"])
 
-    counts = rows.select("lang", "text").coalesce(8).mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "text").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
     languages = tuple(sorted(got["lang"].unique(), key=lambda x: x.encode()))
     n = np.zeros((SLOTS + len(SCRIPT_NAMES), len(languages)))
