@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import hours_between, percentile_by, poisson_tail3, upper_percentile
+from ..functions.terms import relevant
 from .items import _at
 
 # Prior credibility by family, its strength, and what catalog events are worth in bits.
@@ -197,6 +198,25 @@ def merge_signals(existing: DataFrame, new: DataFrame) -> DataFrame:
     return one.join(existing.select("detector", "ns", "key"), ["detector", "ns", "key"], "left_anti")
 
 
+def pass_items(items: DataFrame, lex, now, last, backfill_days: int = 14, detect_hours: int = 6) -> DataFrame:
+    """The items that a pass at ``now`` takes, with ``detect``: whether detectors may emit for them.
+
+    Relevant items that are not press, first seen since the ``last`` pass; without one, of the last
+    ``backfill_days`` days, of which only those of the last ``detect_hours`` hours may be detected: a first
+    pass fills the state silently.
+    """
+    now = _at(now)
+    since = _at(last) if last is not None else now - F.expr(f"INTERVAL {backfill_days} DAYS")
+    detect = since if last is not None else now - F.expr(f"INTERVAL {detect_hours} HOURS")
+    seen = F.col("first_seen_at")
+    kept = relevant(F.col("source_id"), F.col("title"), F.col("text"), lex) & (F.col("family") != "G") & (seen > since) & (seen <= now)
+    return items.where(kept).withColumn("detect", seen >= detect)
+
+
+def empty_daily(spark) -> DataFrame:
+    return spark.createDataFrame([], "term string, day date, n bigint, sources array<string>, families array<string>")
+
+
 def increment_daily(state: DataFrame, mentions: DataFrame) -> DataFrame:
     """term x day counts with their sources and families: prior state and new mentions (term, ts, source_id, family)."""
     new = mentions.groupBy("term", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.collect_set("source_id").alias("sources"), F.collect_set("family").alias("families"))
@@ -262,9 +282,12 @@ def label_outcomes(signals: DataFrame, detections: DataFrame, members: DataFrame
     inside = lambda c: (F.col(c) > F.col("detected_at")) & (F.col(c) <= end)
     top = s.join(detections.where("best_rank <= 20"), "cluster_id").where("first_scored_at is null or first_scored_at >= detected_at")
     top = top.groupBy("signal_id").agg(F.min("first_scored_at").alias("top_at"), F.lit(True).alias("top"))
-    fam = s.join(members.where("family <> 'G'").select("cluster_id", F.col("family").alias("m_family"), "evt_at"), "cluster_id").where(inside("evt_at"))
+    # by topic and day, so that a signal meets only what the days of its 72 hours have
+    days = s.where("cluster_id is not null").select("signal_id", "cluster_id", "family", "detected_at", F.explode(F.sequence(F.to_date("detected_at"), F.to_date(end))).alias("on"))
+    fam = members.where("family <> 'G'").select("cluster_id", F.col("family").alias("m_family"), "evt_at", F.to_date("evt_at").alias("on"))
+    fam = days.join(fam, ["cluster_id", "on"]).where(inside("evt_at"))
     fam = fam.groupBy("signal_id").agg(F.count_distinct("m_family").alias("n_fam"), F.min(F.when(F.col("m_family") != F.col("family"), F.col("evt_at"))).alias("fam_at"))
-    art = s.join(press, "cluster_id").where(inside("first_press_at")).groupBy("signal_id").agg(F.min("first_press_at").alias("press_at"))
+    art = days.join(press.withColumn("on", F.to_date("first_press_at")), ["cluster_id", "on"]).where(inside("first_press_at")).groupBy("signal_id").agg(F.min("first_press_at").alias("press_at"))
     words = s.where("entity is not null").join(term_days.select(F.col("term").alias("entity"), "day", "families"), "entity")
     words = words.where((F.col("day") >= F.to_date("detected_at")) & (F.col("day") <= F.to_date(end)))
     words = words.select("signal_id", F.explode("families").alias("f")).groupBy("signal_id").agg(F.count_distinct("f").alias("n_term"))

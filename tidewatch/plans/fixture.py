@@ -41,13 +41,21 @@ items AS (
 """
 
 
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the numbers of documents and pages."""
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("docs")).join(table(spark, sf_dir, "pages").agg(F.count("*").alias("n_pages")))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sizes = F.broadcast(docs.agg(F.count("*").alias("docs")).join(table(spark, sf_dir, "pages").agg(F.count("*").alias("n_pages"))))
+    return as_items(table(spark, sf_dir, "documents"), sizes(spark, sf_dir), spark, sf_dir)
+
+
+def as_items(docs: DataFrame, counts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items: the first line is the title, and pages lend their addresses in turn."""
     start = F.lit(START).cast("timestamp")
     at = F.col("doc_id") * F.expr("2592000 div greatest(docs, 1)")
     after = lambda s: F.timestamp_micros(F.unix_micros(start) + s * F.lit(1_000_000))
-    raw = docs.join(sizes).select(
+    raw = docs.join(F.broadcast(counts)).select(
         F.col("doc_id").alias("item_id"),
         F.col("doc_id").cast("string").alias("external_id"),
         F.col("source").alias("source_id"),

@@ -111,14 +111,13 @@ def link_joins(spark, sf_dir):
 
 def hashed(spark, sf_dir) -> DataFrame:
     i = fixture.items(spark, sf_dir)
-    return vectors.with_hash_vectors(i.select("item_id", "evt_at", "kind", "url_canon", "source_id", "title"), F.col("title"))
+    return vectors.with_hash_vectors(i.select("item_id", "evt_at", "kind", "url_canon", "source_id", "title", "text"), terms.cluster_text(F.col("title"), F.col("text"))).drop("text")
 
 
 @register("c6_leader_clusters")
 def leaders(spark, sf_dir):
-    """One 72-hour active set, as the operator asks for."""
-    h = hashed(spark, sf_dir).where(F.col("evt_at") >= F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 72 HOURS")).withColumn("url_canon", F.lit(None).cast("string"))
-    return topics.leader_clusters(h).select("item_id", "cluster_id")
+    """All items as one active set, with their addresses."""
+    return topics.leader_clusters(hashed(spark, sf_dir)).select("item_id", "cluster_id")
 
 
 @register("c6_threshold_topics")
@@ -126,21 +125,16 @@ def threshold(spark, sf_dir):
     return topics.threshold_topics(hashed(spark, sf_dir))
 
 
-_SQL_EDGES = "e AS (SELECT DISTINCT user_id AS a, user_id + 1 + event_id % 3 AS b FROM events WHERE event_id % 4 = 0), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), sy AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
-
-
-def _edges(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 40 = 0").select(F.col("user_id").alias("a"), (F.col("user_id") + 1 + F.col("event_id") % 3).alias("b")).distinct()
-
-
 @register(
     "c7_merge_topics",
-    f"""WITH RECURSIVE {_SQL_EDGES.replace('event_id % 4 = 0', 'event_id % 40 = 0')}, r AS (SELECT id, id AS reached FROM n UNION SELECT r.id, sy.b FROM r JOIN sy ON sy.a = r.reached),
+    """WITH RECURSIVE e AS (SELECT DISTINCT event_id AS a, event_id // 12 * 12 + (event_id * 5 + 3) % 12 AS b FROM events), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
+        sy AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT id, id AS reached FROM n UNION SELECT r.id, sy.b FROM r JOIN sy ON sy.a = r.reached),
         c AS (SELECT id, min(reached) AS comp FROM r GROUP BY 1), h AS (SELECT comp, arg_min(id, (-(id % 17), id)) AS merged_into FROM c GROUP BY 1)
         SELECT id AS cluster_id, merged_into FROM c JOIN h USING (comp)""",
 )
 def merge(spark, sf_dir):
-    e = _edges(spark, sf_dir)
+    near = F.expr("event_id div 12 * 12 + (event_id * 5 + 3) % 12")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("a"), near.alias("b")).distinct()
     t = e.select(F.col("a").alias("cluster_id")).union(e.select("b")).distinct().withColumn("n", F.col("cluster_id") % 17)
     return topics.merge_topics(t, e.withColumn("sim", F.lit(0.9)))
 

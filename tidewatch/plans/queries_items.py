@@ -329,16 +329,21 @@ def user_burst(spark, sf_dir):
     return score.term_burst(score.term_hourly(fixture.events(spark, sf_dir).select(F.col("user_id").alias("term"), "ts"), BURST_NOW), BURST_NOW)
 
 
+_SQL_LAST_DAY = "event_type || '/' || CAST(day(ts) // 23 AS VARCHAR)"
+
+
 @register(
     "b3_topic_burst",
-    f"""WITH {sql_burst('event_type')},
-        f AS (SELECT user_id AS cluster_id, event_type AS term, count(*) AS n FROM events GROUP BY 1, 2),
+    f"""WITH {sql_burst(_SQL_LAST_DAY)},
+        f AS (SELECT user_id AS cluster_id, {_SQL_LAST_DAY} AS term, count(*) AS n FROM events GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, term) AS k FROM f)
         SELECT cluster_id, term AS burst_term, z FROM (SELECT r.cluster_id, term, z, row_number() OVER (PARTITION BY r.cluster_id ORDER BY z DESC, term DESC) AS b FROM r JOIN burst USING (term) WHERE k <= 8 AND cur >= 5 AND cur >= 2 * mean) WHERE b = 1""",
 )
 def topic_burst(spark, sf_dir):
-    e = fixture.events(spark, sf_dir)
-    return score.topic_bursts(e.select(F.col("user_id").alias("cluster_id"), F.col("event_type").alias("term")), burst(spark, sf_dir))
+    """Terms that are new on the last day, so that they burst."""
+    term = F.concat("event_type", F.lit("/"), F.expr("day(ts) div 23").cast("string"))
+    e = fixture.events(spark, sf_dir).select(F.col("user_id").alias("cluster_id"), term.alias("term"), "ts")
+    return score.topic_bursts(e, score.term_burst(score.term_hourly(e.select("term", "ts"), BURST_NOW), BURST_NOW))
 
 
 def members(spark, sf_dir) -> DataFrame:

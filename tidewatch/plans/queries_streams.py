@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import terms
+from ..operators import weak
 from ..registry import register
+from ..session import shared_dir
 from ..streaming import streams
-
-
-def _shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share: below spark.checkpoint.dir, or local in plain local runs."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from . import fixture
+from .fixture import NOW, with_items
+from .queries_items import LEX, SQL_TERMS, sql_has
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, one in each batch."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     base, _, leaf = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", leaf).parquet(base) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", leaf).parquet(base)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -32,20 +29,30 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def _result(df: DataFrame, mode: str) -> DataFrame:
-    """All rows that a stream emits by the time its input is used up, each batch in a folder of its own."""
-    spark, where = df.sparkSession, _shared(df.sparkSession)
+def result(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream has made by the time its input is used up; each batch is written to a folder of its own.
+
+    ``append``: all rows. ``update``: the last row of each of ``keys``. ``complete``: the last batch.
+    """
+    spark, where = df.sparkSession, shared_dir(df.sparkSession)
+    batches: list[int] = []
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out/batch={batch_id:06d}")
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch={batch_id}")
+        batches.append(batch_id)
 
     streams.run_available(df, f"{where}/cursor", merge, mode).awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{where}/out/batch=*")
+    if not batches:
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        return spark.read.schema(df.schema).parquet(f"{where}/out/batch={max(batches)}")
+    out = spark.read.schema(df.schema.add("batch", "long")).option("basePath", f"{where}/out").parquet(*[f"{where}/out/batch={b}" for b in batches])
+    return streams.latest(out, keys) if mode == "update" else out.drop("batch")
 
 
 @register("st_hourly_counts", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly(spark, sf_dir):
-    return _result(streams.hourly_counts(_stream(spark, sf_dir, "events"), "event_type"), "update")
+    return result(streams.hourly_counts(_stream(spark, sf_dir, "events"), "event_type"), "update", ["event_type", "hour"])
 
 
 @register(
@@ -53,26 +60,55 @@ def hourly(spark, sf_dir):
     "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(i AS INTEGER)) AS start, count(*) AS n FROM events, (SELECT unnest(range(0, 6)) AS i) GROUP BY 1, 2",
 )
 def sliding(spark, sf_dir):
-    return _result(streams.sliding_counts(_stream(spark, sf_dir, "events"), "event_type"), "update")
+    return result(streams.sliding_counts(_stream(spark, sf_dir, "events"), "event_type"), "update", ["event_type", "start"])
+
+
+@register(
+    "st_activity",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+       s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS spell FROM g)
+       SELECT user_id, min(ts) AS first_at, max(ts) + INTERVAL 6 HOUR AS closed_at, count(*) AS n FROM s GROUP BY user_id, spell""",
+)
+def activity(spark, sf_dir):
+    return result(streams.activity(_stream(spark, sf_dir, "events"), "user_id", gap="6 hours"), "complete")
 
 
 @register("st_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def first_seen(spark, sf_dir):
-    return _result(streams.first_seen_once(_stream(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type"), "append")
+    return result(streams.first_seen_once(_stream(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type"), "append")
 
 
-@register("w0_weak_pass", "SELECT user_id, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
-def weak_pass(spark, sf_dir):
-    from pyspark.sql import functions as F
+@register("st_leader_topics")
+def leader_topics(spark, sf_dir):
+    """Embeddings a minute apart, in buckets by label; 0.3 since no pair of them reaches 0.62."""
+    e = _stream(spark, sf_dir, "embeddings")
+    at = F.timestamp_seconds(F.unix_seconds(F.lit(fixture.START).cast("timestamp")) + F.col("vec_id") * 60)
+    rows = e.select(F.col("label").alias("bucket"), F.col("vec_id").alias("item_id"), at.alias("ts"), F.col("embedding").cast("array<double>").alias("v"))
+    return result(streams.leader_topics(rows, threshold=0.3), "append")
+
+
+_SINCE = "2024-01-16 12:00:00"
+_SQL_RELEVANT = f"starts_with(source_id, 'src1') OR {sql_has(chr(108) + 'ower(coalesce(title, {0}) || {1} || substr(coalesce(text, {0}), 1, 300))'.format(chr(39) * 2, chr(39) + ' ' + chr(39)), LEX.keywords)}"
+
 
-    where = _shared(spark)
+@register(
+    "w0_weak_pass",
+    with_items(
+        f"""SELECT term, CAST(first_seen_at AS DATE) AS day, count(*) AS n, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS sources, array_to_string(list_sort(list(DISTINCT family)), ',') AS families
+            FROM terms JOIN (SELECT item_id FROM items WHERE ({_SQL_RELEVANT}) AND family <> 'G' AND first_seen_at > TIMESTAMP '{_SINCE}' AND first_seen_at <= TIMESTAMP '{NOW}') USING (item_id) GROUP BY 1, 2""",
+        SQL_TERMS,
+    ),
+)
+def weak_pass(spark, sf_dir):
+    """The term state after passes over documents as they arrive: relevant, no press, of the first pass's 14 days."""
+    where = shared_dir(spark)
+    sizes = fixture.sizes(spark, sf_dir)
 
     def update(before, batch):
-        new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
-        both = new if before is None else before.unionByName(new)
-        return both.groupBy("user_id").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
-
-    q = streams.weak_pass(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), f"{where}/cursor", f"{where}/state", update)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{where}/state/{last}")
+        items = weak.pass_items(fixture.as_items(batch, sizes, spark, sf_dir), LEX, NOW, None)
+        new = items.select("source_id", "family", F.col("first_seen_at").alias("ts"), F.explode(terms.terms(F.col("title"), LEX)).alias("term"))
+        return weak.increment_daily(weak.empty_daily(spark) if before is None else before, new)
+
+    state = streams.run_weak_passes(_stream(spark, sf_dir, "documents"), f"{where}/cursor", f"{where}/state", update)
+    state = weak.empty_daily(spark) if state is None else state
+    return state.withColumns({"sources": F.array_join("sources", ","), "families": F.array_join("families", ",")})

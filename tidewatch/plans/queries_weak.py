@@ -90,7 +90,7 @@ def pair_edges(spark, sf_dir):
     return weak.pair_edges(entity_mentions(spark, sf_dir))
 
 
-_SQL_EDGES = "e AS (SELECT DISTINCT user_id % 40 AS a, 40 + (event_id // 7) % 60 AS b FROM events WHERE event_id % 11 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+_SQL_EDGES = "e AS (SELECT DISTINCT user_id % 40 AS a, 40 + (event_id // 7) % 997 AS b FROM events), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 
 
 @register(
@@ -101,7 +101,7 @@ _SQL_EDGES = "e AS (SELECT DISTINCT user_id % 40 AS a, 40 + (event_id // 7) % 60
 def adamic(spark, sf_dir):
     from ..functions.stats import adamic_adar
 
-    e = table(spark, sf_dir, "events").where("event_id % 11 = 0").select((F.col("user_id") % 40).alias("a"), (40 + F.expr("event_id div 7") % 60).alias("b")).distinct()
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("a"), (40 + F.expr("event_id div 7") % 997).alias("b")).distinct()
     return adamic_adar(e).select("a", "b", e6("score"))
 
 
@@ -110,7 +110,7 @@ def adamic(spark, sf_dir):
     with_items(
         f"""SELECT source_id, term, item_id, {sql_e6('bits')} FROM (
               SELECT source_id, term, item_id, log2(1 + source_days) AS bits, row_number() OVER (PARTITION BY source_id, term ORDER BY ts, item_id) AS k, source_days FROM (
-                SELECT *, first_seen_at AS ts, (epoch_us(first_seen_at) - min(epoch_us(first_seen_at)) OVER (PARTITION BY source_id)) / {DAY_US}.0::DOUBLE AS source_days FROM terms WHERE family = 'E'))
+                SELECT *, first_seen_at AS ts, (epoch_us(first_seen_at) - min(epoch_us(first_seen_at)) OVER (PARTITION BY source_id)) / {DAY_US}.0::DOUBLE AS source_days FROM terms))
             WHERE k = 1 AND source_days >= 7""",
         SQL_TERMS,
     ),
@@ -118,7 +118,7 @@ def adamic(spark, sf_dir):
 def vocabulary(spark, sf_dir):
     from pyspark.sql import Window
 
-    m = mentions(spark, sf_dir).where("family = 'E'")
+    m = mentions(spark, sf_dir)
     first = F.min("ts").over(Window.partitionBy("source_id"))
     m = m.withColumns({"cred": F.lit(0.7), "source_days": (F.unix_micros("ts") - F.unix_micros(first)) / F.lit(float(DAY_US))})
     return weak.new_vocabulary(m).select("source_id", "term", "item_id", e6("bits"))
@@ -157,18 +157,14 @@ def catalog_score(spark, sf_dir):
 _SQL_DAILY = SQL_TERMS + ", daily AS (SELECT term, CAST(first_seen_at AS DATE) AS day, count(*) AS n, list_sort(list(DISTINCT source_id)) AS sources, list_sort(list(DISTINCT family)) AS families FROM terms GROUP BY 1, 2)"
 
 
-def _empty_daily(spark) -> DataFrame:
-    return spark.createDataFrame([], "term string, day date, n bigint, sources array<string>, families array<string>")
-
-
 def _daily(spark, sf_dir) -> DataFrame:
-    return weak.increment_daily(_empty_daily(spark), mentions(spark, sf_dir))
+    return weak.increment_daily(weak.empty_daily(spark), mentions(spark, sf_dir))
 
 
 @register("w11_term_daily", with_items("SELECT term, day, CAST(n AS BIGINT) AS n, array_to_string(sources, ',') AS sources, array_to_string(families, ',') AS families FROM daily", _SQL_DAILY))
 def term_daily(spark, sf_dir):
     m = mentions(spark, sf_dir)
-    state = weak.increment_daily(_empty_daily(spark), m.where("item_id % 2 = 0"))
+    state = weak.increment_daily(weak.empty_daily(spark), m.where("item_id % 2 = 0"))
     return weak.increment_daily(state, m.where("item_id % 2 = 1")).withColumns({"sources": F.array_join("sources", ","), "families": F.array_join("families", ",")})
 
 
@@ -217,8 +213,8 @@ def rising(spark, sf_dir):
 
 
 def signals(spark, sf_dir) -> DataFrame:
-    """A signal for each tenth event: detectors, topics and entities by its number."""
-    e = fixture.events(spark, sf_dir).where("event_id % 10 = 0")
+    """A signal for each event: detectors, topics and entities by its number."""
+    e = fixture.events(spark, sf_dir)
     return e.select(
         F.col("event_id").alias("signal_id"), F.concat(F.lit("D"), (1 + F.expr("event_id div 10") % 6).cast("string")).alias("detector"), F.lit("t").alias("ns"), (F.expr("event_id div 10") % 400).cast("string").alias("key"),
         F.col("event_id").alias("item_id"), F.col("ts").alias("detected_at"), F.when(F.col("event_id") % 3 == 0, F.col("user_id") % 100).alias("cluster_id"),
@@ -229,7 +225,7 @@ def signals(spark, sf_dir) -> DataFrame:
 
 SQL_SIGNALS = """sig AS (SELECT event_id AS signal_id, 'D' || CAST(1 + (event_id // 10) % 6 AS VARCHAR) AS detector, 't' AS ns, CAST((event_id // 10) % 400 AS VARCHAR) AS key, event_id AS item_id, ts AS detected_at,
         CASE WHEN event_id % 3 = 0 THEN user_id % 100 END AS cluster_id, CASE WHEN event_id % 4 = 0 THEN 'e' || CAST(event_id % 37 AS VARCHAR) END AS entity, 's' || CAST(user_id % 12 AS VARCHAR) AS source_id,
-        ['A', 'B', 'C', 'D', 'E', 'F', 'H'][CAST(user_id % 7 + 1 AS INTEGER)] AS family, CAST(floor(value * 1000) AS BIGINT) AS score FROM events WHERE event_id % 10 = 0)"""
+        ['A', 'B', 'C', 'D', 'E', 'F', 'H'][CAST(user_id % 7 + 1 AS INTEGER)] AS family, CAST(floor(value * 1000) AS BIGINT) AS score FROM events)"""
 
 
 @register(
@@ -251,7 +247,7 @@ def signal_score(spark, sf_dir):
 
 def _label_inputs(spark, sf_dir):
     i = fixture.items(spark, sf_dir)
-    det = i.where("item_id < 100").select(F.col("item_id").alias("cluster_id"), (F.col("item_id") % 60).alias("best_rank"), F.when(F.col("item_id") % 5 > 0, F.col("first_seen_at") + F.expr("INTERVAL 10 DAYS")).alias("first_scored_at"))
+    det = i.select(F.col("item_id").alias("cluster_id"), (F.col("item_id") % 60).alias("best_rank"), F.when(F.col("item_id") % 5 > 0, F.col("first_seen_at") + F.expr("INTERVAL 10 DAYS")).alias("first_scored_at"))
     mem = i.select((F.col("item_id") % 100).alias("cluster_id"), "family", "evt_at")
     press = i.where("item_id % 9 = 0").select((F.col("item_id") % 100).alias("cluster_id"), F.col("published_at").alias("first_press_at"))
     e = fixture.events(spark, sf_dir)
@@ -260,7 +256,7 @@ def _label_inputs(spark, sf_dir):
 
 
 SQL_LABELS = f"""{SQL_SIGNALS},
-        det AS (SELECT item_id AS cluster_id, item_id % 60 AS best_rank, CASE WHEN item_id % 5 > 0 THEN first_seen_at + INTERVAL 10 DAY END AS first_scored_at FROM items WHERE item_id < 100),
+        det AS (SELECT item_id AS cluster_id, item_id % 60 AS best_rank, CASE WHEN item_id % 5 > 0 THEN first_seen_at + INTERVAL 10 DAY END AS first_scored_at FROM items),
         mm AS (SELECT item_id % 100 AS cluster_id, family, evt_at FROM items),
         pp AS (SELECT item_id % 100 AS cluster_id, published_at AS art_at FROM items WHERE item_id % 9 = 0),
         td AS (SELECT DISTINCT 'e' || CAST(event_id % 37 AS VARCHAR) AS term, CAST(ts AS DATE) AS day, ['A', 'B', 'C', 'D'][CAST(user_id % 4 + 1 AS INTEGER)] AS f FROM events),
@@ -330,9 +326,15 @@ def metrics(spark, sf_dir):
     return weak.metrics(labelled(spark, sf_dir), NOW)
 
 
-@register("w17_ghost_mode", "SELECT event_id AS signal_id FROM events WHERE event_id % 10 = 0 AND false")
+@register(
+    "w17_ghost_mode",
+    f"""SELECT event_id AS signal_id, until FROM events, (VALUES ('2024-01-20 00:00:00'), ('2024-01-30 12:00:00'), ('2024-02-10 00:00:00')) g(until) WHERE {_T} >= CAST(until AS TIMESTAMP)""",
+)
 def ghost(spark, sf_dir):
-    return weak.visible(signals(spark, sf_dir), NOW, "2024-02-10 00:00:00").select("signal_id")
+    """What is shown now when nothing was to be shown before three dates: one past, one now, one to come."""
+    s = signals(spark, sf_dir).select("signal_id")
+    past, present, future = (weak.visible(s, NOW, d).withColumn("until", F.lit(d)) for d in ("2024-01-20 00:00:00", "2024-01-30 12:00:00", "2024-02-10 00:00:00"))
+    return past.unionByName(present).unionByName(future)
 
 
 @register("w18_retention", with_items("SELECT term, day, CAST(n AS BIGINT) AS n FROM daily WHERE date_diff('day', day, DATE '2024-01-30') <= 21 AND (n > 1 OR date_diff('day', day, DATE '2024-01-30') <= 14)", _SQL_DAILY))
@@ -361,7 +363,7 @@ def detections(spark, sf_dir):
 
 
 SQL_EVALUATED = f"""{SQL_DETECTIONS},
-        ar AS (SELECT (event_id % 300) AS cluster_id, CAST(event_id % 900 AS VARCHAR) AS url, min(ts) AS art_at FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+        ar AS (SELECT (event_id % 300) AS cluster_id, CAST(event_id % 900 AS VARCHAR) AS url, min(ts) AS art_at FROM events GROUP BY 1, 2),
         du AS (SELECT *, unnest([24, 48, 72]) AS horizon_h FROM dt WHERE best_rank <= 20 OR best_score >= 9000),
         lg AS (SELECT du.*, (epoch_us(ar.art_at) - epoch_us(first_seen_at)) / 3.6e9::DOUBLE AS lag, ar.art_at FROM du LEFT JOIN ar USING (cluster_id)
                WHERE (epoch_us({_T}) - epoch_us(first_seen_at)) / 3.6e9::DOUBLE >= horizon_h AND NOT (horizon_h = 24 AND cluster_id % 5 = 0)),
@@ -372,7 +374,7 @@ SQL_EVALUATED = f"""{SQL_DETECTIONS},
 
 def _evaluated(spark, sf_dir) -> DataFrame:
     d = detections(spark, sf_dir).withColumn("best_score", F.when(F.col("best_score") >= 9000, 30).otherwise(0))
-    e = fixture.events(spark, sf_dir).where("event_id % 2 = 0")
+    e = fixture.events(spark, sf_dir)
     articles = e.select((F.col("event_id") % 300).alias("cluster_id"), (F.col("event_id") % 900).cast("string").alias("url"), F.col("ts").alias("published_at"))
     done = d.where("cluster_id % 5 = 0").select("cluster_id", F.lit(24).alias("horizon_h"))
     return evaluate.evaluate_due(d, articles, done, NOW)
@@ -395,10 +397,10 @@ def daily_metrics(spark, sf_dir):
 
 @register(
     "j1_mark_published",
-    f"WITH {_SQL_SCORES}, pb AS (SELECT event_id AS pub_id, user_id % 300 AS cluster_id, ts AS pub_at FROM events WHERE event_id % 50 = 0) SELECT pub_id, pb.cluster_id, arg_max(score, computed_at) AS score FROM pb JOIN sc ON pb.cluster_id = sc.cluster_id AND computed_at <= pub_at GROUP BY 1, 2",
+    f"WITH {_SQL_SCORES}, pb AS (SELECT event_id AS pub_id, user_id % 300 AS cluster_id, ts AS pub_at FROM events) SELECT pub_id, pb.cluster_id, arg_max(score, computed_at) AS score FROM pb JOIN sc ON pb.cluster_id = sc.cluster_id AND computed_at <= pub_at GROUP BY 1, 2",
 )
 def published(spark, sf_dir):
-    e = fixture.events(spark, sf_dir).where("event_id % 50 = 0").select(F.col("event_id").alias("pub_id"), (F.col("user_id") % 300).alias("cluster_id"), F.col("ts").alias("published_at"))
+    e = fixture.events(spark, sf_dir).select(F.col("event_id").alias("pub_id"), (F.col("user_id") % 300).alias("cluster_id"), F.col("ts").alias("published_at"))
     return evaluate.mark_published(e, _scores(spark, sf_dir).withColumn("status", F.lit("x"))).drop("status")
 
 

@@ -63,30 +63,68 @@ def weak_pass(items: DataFrame, checkpoint: str, state_dir: str, update: Callabl
     return run_available(items, checkpoint, merge)
 
 
-def leader_topics(stream: DataFrame, bucket: str = "bucket", threshold: float = 0.62, most: int = 10_000) -> DataFrame:
+def run_weak_passes(items: DataFrame, checkpoint: str, state_dir: str, update: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame | None:
+    """``weak_pass`` over all that has arrived, and the state after it, None if there never was a batch.
+
+    The state is found by its folders and not by this run's progress, so a run without new items gives it too.
+    """
+    weak_pass(items, checkpoint, state_dir, update).awaitTermination()
+    spark = items.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    last = max(int(f.getPath().getName()) for f in fs.listStatus(path))
+    return spark.read.parquet(f"{state_dir}/{last}")
+
+
+def latest(out: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
+    """The last value of each key of what an ``update`` stream has emitted, batch after batch."""
+    rest = [c for c in out.columns if c not in (*keys, batch)]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), batch).alias("_last")).select(*keys, "_last.*")
+
+
+def leader_topics(stream: DataFrame, bucket: str = "bucket", threshold: float = 0.62, idle: str = "72 hours", late: str = "1 hour") -> DataFrame:
     """(item_id, cluster_id) of a stream of (bucket, item_id, ts, v), topics kept as state for each bucket.
 
     The stateful form of leader clustering: an item joins the nearest leader of its bucket or becomes one.
-    State holds leaders only; of more than ``most`` in a bucket, the oldest are forgotten, as idle topics are.
+    A leader is forgotten when its topic has had no item for ``idle`` before the watermark, and by nothing
+    else; a bucket without topics has no state. Buckets are the unit of memory, so choose them fine enough.
     """
+    span = int(pd.Timedelta(idle).value // 1000)
 
     def step(key, batches, state: GroupState):
         import numpy as np
 
-        ids, leaders = (list(state.get[0]), [np.array(v) for v in state.get[1]]) if state.exists else ([], [])
-        for pdf in batches:
+        mark = state.getCurrentWatermarkMs() * 1000
+        ids, seen, leaders = (list(x) for x in state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "item_id"], ignore_index=True)
             out = []
-            for r in pdf.sort_values(["ts", "item_id"]).itertuples():
-                v = np.asarray(r.v, float)
-                cos = np.array([x @ v for x in leaders]) if leaders else np.empty(0)
+            table = np.array(leaders) if leaders else None
+            for item, ts, v in zip(rows["item_id"], rows["ts"], rows["v"]):
+                us, v = ts.value // 1000, np.asarray(v, float)
+                cos = table @ v if table is not None else np.empty(0)
+                cos[[us - s > span for s in seen]] = -2.0
                 if len(cos) and cos.max() >= threshold:
-                    own = ids[int(cos.argmax())]
+                    k = int(cos.argmax())
                 else:
-                    own = int(r.item_id)
-                    ids.append(own)
-                    leaders.append(v)
-                out.append((r.item_id, own))
+                    k = len(ids)
+                    ids.append(int(item))
+                    seen.append(us)
+                    leaders.append(v.tolist())
+                    table = v[None, :] if table is None else np.vstack([table, v])
+                seen[k] = max(seen[k], us)
+                out.append((item, ids[k]))
             yield pd.DataFrame(out, columns=["item_id", "cluster_id"])
-        state.update((ids[-most:], [x.tolist() for x in leaders[-most:]]))
-
-    return stream.groupBy(bucket).applyInPandasWithState(step, "item_id long, cluster_id long", "ids array<bigint>, leaders array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+        live = [i for i, s in enumerate(seen) if s + span > mark]
+        if not live:
+            state.remove()
+            return
+        state.update(tuple([x[i] for i in live] for x in (ids, seen, leaders)))
+        state.setTimeoutTimestamp(max(mark // 1000 + 1, (min(seen[i] for i in live) + span) // 1000 + 1))
+
+    timed_ = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed_.select(bucket, "item_id", "ts", "v").groupBy(bucket).applyInPandasWithState(
+        step, "item_id long, cluster_id long", "ids array<bigint>, seen array<bigint>, leaders array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout
+    )
