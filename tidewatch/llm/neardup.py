@@ -8,8 +8,10 @@
 3. Pairs are compared in batches of minhashes; after each batch a pair is dropped when the posterior
    probability that its similarity reaches the threshold falls below ``miss``. Survivors are verified on
    their full sets, and links are joined to components.
-4. Buckets whose members are still in more than one component are compared completely, in blocks, across
-   components only, with the same test; the links found are verified and added. No bucket size is capped.
+4. Buckets whose members are still in more than one component get another hub, against which the members of
+   other components are compared, until a round finds no link or ``HUB_ROUNDS`` are over. What is then still
+   in more than one component is compared completely, in blocks, across components only, with the same test;
+   the links found are verified and added. No bucket size is capped.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Minhashes compared between two decisions, and the accepted probability of dropping a pair that is a link.
 STEP, MISS = 32, 1e-5
-#: Bucket members in one block of the complete comparison.
-BLOCK = 128
+#: Most rounds with other hubs before the complete comparison, and bucket members in one block of that.
+HUB_ROUNDS, BLOCK = 2, 128
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(32)
@@ -188,20 +190,31 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "items_a", "items_b").mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
-def _crossing(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and look like links.
+def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, band, c, id, comp): members of the buckets of three and more that are in several components."""
+    placed = members.where("c > 2").join(comp, "id", "left").select("key", "band", "c", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return written(placed.join(mixed, "key"))
+
+
+def _other_hubs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of one member of each bucket, another one in each turn, and the members of other components."""
+    hubs = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("at"), "id", "comp")).alias("h"))
+    hubs = hubs.select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
+    return placed.join(hubs, "key").where("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
-    Only buckets of three and more members that are in several components take part. Each is dealt into
-    blocks of about ``BLOCK`` members and a task sees two blocks at a time. A pair is looked at in the first
-    band that it shares; one that passes the Bayesian test is compared on its sets, with hashes cut to 32
-    bits and a little slack, so that only pairs that are almost surely links become rows.
+
+def _crossing(placed: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket of ``placed`` and look like links.
+
+    Each bucket is dealt into blocks of about ``BLOCK`` members and a task sees two blocks at a time. A pair
+    is looked at in the first band that it shares; one that passes the Bayesian test is compared on its
+    sets, with hashes cut to 32 bits and a little slack, so that only pairs that are almost surely links
+    become rows.
     """
     kind = reps.schema["id"].dataType.simpleString()
     ids = to_arrow_type(reps.schema["id"].dataType)
     rule = keep_from(threshold, STEP, HASHES, miss)
-    placed = members.where("c > 2").join(comp, "id", "left").select("key", "band", "c", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    placed = written(placed.join(mixed, "key"))
     wanted = placed.select("id").distinct()
     full = _sets(docs, wanted, np.uint32).join(reps.select("id", "sig"), "id")
     rows = placed.join(full, "id").withColumn("n_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
@@ -266,9 +279,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     pairs = members.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
     links = written(_verify(_prune(pairs, reps, threshold, miss), docs, threshold))
-    first = components(links)
-    more = _verify(_crossing(members, first, reps, docs, threshold, miss), docs, threshold)
-    final = written(components(links.unionByName(more)))
+    final = written(components(links))
+    placed = _mixed(members, final)
+    for turn in range(HUB_ROUNDS):
+        more = written(_verify(_prune(_other_hubs(placed, turn), reps, threshold, miss), docs, threshold))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        final = written(components(links))
+        placed = _mixed(members, final)
+    if not placed.isEmpty():
+        more = _verify(_crossing(placed, reps, docs, threshold, miss), docs, threshold)
+        final = written(components(links.unionByName(more)))
 
     classes = reps.select("fp", "id").join(final, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
