@@ -56,16 +56,36 @@ URL_RULES = [
     url_filters.prefix_rule("example.net/de/8", "block"),
     url_filters.prefix_rule("org/es/", "block"),
 ]
+#: What the method itself blocks: words in hosts and at the beginning of a path's parts, kinds of files that are
+#: no pages, hosts and folders of advertising and counting, and folders that lead nowhere.
+BAD_WORDS = (
+    "casino cheap-pills spam jackpot poker roulette slots betting sportsbook lottery sweepstake pharmacy-online no-prescription weight-loss-pill miracle-cure "
+    "payday-loan fast-cash easy-money get-rich forex-signal crypto-giveaway double-your work-from-home-now replica-watch fake-id counterfeit essay-mill buy-followers "
+    "buy-likes link-farm doorway warez keygen serial-crack nulled torrent free-movies-hd stream-free xxx porn escort hentai camgirl adult-dating hookup malware phishing "
+    "ransom botnet exploit-kit stresser carding"
+).split()
+FILES = "exe msi dmg apk jar bin iso img zip rar 7z tar gz bz2 xz mp3 mp4 avi mov mkv wmv flac wav ogg webm jpg jpeg png gif bmp webp svg ico css js woff woff2 ttf eot".split()
+COUNTERS = "ad ads adserver adclick banner beacon click counter pixel popunder track tracker telemetry".split()
+DEAD_ENDS = "login signin signup register logout cart checkout wishlist print-version share-this comment-reply wp-admin wp-login cgi-bin calendar-view session-expired".split()
 URL_GLOBS = [
-    url_filters.Rule("spam host", "*.*spam*", "*", "block"),
-    url_filters.Rule("pills host", "*.*cheap-pills*", "*", "block"),
-    url_filters.Rule("casino path", "*", "*/casino*", "block"),
+    url_filters.Rule(f"{kind}: {word}", host, path, "block")
+    for kind, words, shapes in (
+        ("word in host", BAD_WORDS, [("*.*{}*", "*")]),
+        ("word in path", BAD_WORDS, [("*", "*/{}*")]),
+        ("file", FILES, [("*", "*.{}")]),
+        ("counter", COUNTERS, [(".{}.*", "*"), (".{}?.*", "*"), ("*", "*/{}/*")]),
+        ("dead end", DEAD_ENDS, [("*", "*/{}"), ("*", "*/{}/*"), ("*", "*/{}.*")]),
+    )
+    for host_form, path_form in shapes
+    for word in words
+    for host, path in [(host_form.format(word), path_form.format(word))]
 ]
+SQL_GLOBS = ", ".join(f"('{r.host}', '{r.path}')" for r in URL_GLOBS)
 
 
 @query(
     "op4_url_filters",
-    r"""
+    rf"""
     WITH u AS (
         SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
@@ -75,9 +95,10 @@ URL_GLOBS = [
                               ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')) t(rule, h, p, v)),
     m AS (
         SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
-        FROM u JOIN r ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY ALL)
-    SELECT u.page_id, u.host, u.path, m.rule,
-           coalesce(m.v, CASE WHEN contains(u.host, 'spam') OR contains(u.host, 'cheap-pills') OR contains(u.path, '/casino') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u JOIN r ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY ALL),
+    g AS (
+        SELECT DISTINCT page_id FROM u, (VALUES {SQL_GLOBS}) t(h, p) WHERE ('.' || host) GLOB h AND path GLOB p)
+    SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.v, CASE WHEN u.page_id IN (FROM g) THEN 'block' ELSE 'allow' END) AS verdict
     FROM u LEFT JOIN m USING (page_id)
     """,
 )

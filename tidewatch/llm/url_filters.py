@@ -128,22 +128,22 @@ def filter_urls(pages: DataFrame, rules: list[Rule], fallback: list[Rule], defau
     automaton = compile_rules(rules + fallback)
     host, path = split_url()
 
+    names = np.array([r.name for r in rules + fallback], object)
+    said = np.array([r.verdict for r in rules + fallback] + [default], object)
+    best = np.array(sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i)) + list(range(len(rules), len(names))), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [r.name for r in rules + fallback]
-        best = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i))
         for batch in batches:
             hit = match(automaton, batch.column("host").to_pylist(), batch.column("path").to_pylist())
-            rule, verdict, hits = [], [], []
-            for row in hit:
-                own = next((i for i in best if row[i]), None)
-                other = next((r for r, x in zip(fallback, row[len(rules) :]) if x), None)
-                rule.append(None if own is None else names[own])
-                verdict.append(rules[own].verdict if own is not None else other.verdict if other else default)
-                hits.append([n for n, x in zip(names, row) if x])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("page_id", "host", "path")] + [pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(hits, pa.list_(pa.string()))],
-                names=["page_id", "host", "path", "rule", "verdict", "hits"],
-            )
+            # the first match in this order decides; without one it is the default's number
+            ordered = np.c_[hit[:, best], np.ones(len(hit), bool)]
+            own = np.r_[best, len(names)][ordered.argmax(axis=1)]
+            ruled = own < len(rules)
+            rule = np.where(ruled, np.r_[names, None][own], None)
+            ends = np.r_[0, hit.sum(axis=1).cumsum()].astype(np.int32)
+            hits = pa.ListArray.from_arrays(pa.array(ends), pa.array(names[np.nonzero(hit)[1]], pa.string()))
+            columns = [batch.column(c) for c in ("page_id", "host", "path")] + [pa.array(rule, pa.string()), pa.array(said[own], pa.string()), hits]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", "rule", "verdict", "hits"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(
