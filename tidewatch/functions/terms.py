@@ -9,11 +9,17 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm_name, squeeze
+from .text import norm_name
 
 CONFIG = Path(__file__).resolve().parents[1] / "config"
 #: Letters and digits of the languages at hand, as a class that Java and RE2 read alike.
 WORD_CHARS = "A-Za-z0-9_"
+#: The same for names, in any script.
+NAME_CHARS = r"\p{L}\p{N}"
+# What a word of a title is; a number with a unit; what only names of models have.
+TITLE_WORD = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+SIZE = r"^[0-9]+\.?[0-9]*[A-Za-z]{0,2}$"
+MODEL_LIKE = "[0-9-]|[a-z][A-Z]"
 # Kinds whose titles are names, which join a topic only at a higher similarity.
 CATALOG_KINDS = ["PAPER", "REPO", "MODEL", "DATASET", "SPACE", "MODEL_LISTED", "RELEASE", "MARKET", "TREND"]
 JOIN, JOIN_CATALOG = 0.62, 0.74
@@ -26,6 +32,8 @@ class Lexicon:
     generic: tuple[str, ...]
     keywords: tuple[str, ...]
     own_sources: tuple[str, ...]
+    pull_words: tuple[str, ...]
+    market_words: tuple[str, ...]
 
     @property
     def names(self) -> list[str]:
@@ -37,6 +45,7 @@ def lexicon(path: str | Path = CONFIG / "lexicon.json") -> Lexicon:
     return Lexicon(
         tuple((e["name"], e["type"], tuple(e.get("aliases", []))) for e in raw["entities"]),
         tuple(raw["stop_words"]), tuple(raw["generic_words"]), tuple(raw["keywords"]), tuple(raw["own_source_prefixes"]),
+        tuple(raw["pull_words"]), tuple(raw["market_words"]),
     )
 
 
@@ -45,7 +54,7 @@ def _escape(s: str) -> str:
 
 
 def bounded(words, chars: str = WORD_CHARS) -> str:
-    """A pattern for any of the words, with ASCII word borders on both sides, longest first."""
+    """A pattern for any of the words between characters that aren't ``chars``, longest first."""
     alternatives = "|".join(_escape(w.lower()) for w in sorted(words, key=lambda w: (-len(w), w)))
     return f"(^|[^{chars}])({alternatives})([^{chars}]|$)"
 
@@ -62,7 +71,7 @@ def relevant(source: Column, title: Column, text: Column, lex: Lexicon) -> Colum
 def entities(text: Column, lex: Lexicon) -> Column:
     """Names of the lexicon's entities in a text, in its order: one literal test for each, no join."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(t.rlike(bounded((name, *aliases), "A-Za-z0-9")), F.lit(name)) for name, _, aliases in lex.entities]
+    hits = [F.when(t.rlike(bounded((name, *aliases), NAME_CHARS)), F.lit(name)) for name, _, aliases in lex.entities]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
@@ -78,33 +87,44 @@ def terms(title: Column, lex: Lexicon) -> Column:
     return F.array_distinct(F.concat(F.transform(entities(title, lex), lambda e: F.concat(F.lit("@"), e)), pairs))
 
 
+def title_words(title: Column) -> Column:
+    """Words of a title; a dash or a full stop belongs to a word that it doesn't begin."""
+    return F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(TITLE_WORD), F.lit(0))
+
+
+def is_name(word: Column) -> Column:
+    """Three characters or more that begin with a capital, or that have capitals and no small letters."""
+    return (F.length(word) >= 3) & (word.rlike("^[A-Z]") | (word.rlike("[A-Z]") & ~word.rlike("[a-z]")))
+
+
 def proper_nouns(title: Column, lex: Lexicon) -> Column:
     """Capitalised words, and pairs of neighbouring ones, each once.
 
     In titles that capitalise every word (four words or more, 60 % of them capitalised) only words that look
-    like names of models count: with a digit, an inner capital, all capitals or a dash.
+    like names of models count: with a digit, an inner capital, all capitals or a dash. Numbers with a unit
+    and the lexicon's stop words and generic words never count.
     """
-    plain = F.regexp_replace(F.coalesce(title, F.lit("")), r"""[“”"'’():,;|\[\]{}!?]""", " ")
-    plain = F.regexp_replace(plain, r"\s[-–—]\s", " ")
-    toks = F.filter(F.transform(F.split(squeeze(plain), " "), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9.+-]+$", "")), lambda w: w != "")
     never = F.lit(sorted({*lex.stop, *lex.generic}))
 
-    def found(t):
-        words = F.filter(t, lambda w: w.rlike("^[A-Za-z]"))
+    # each step is bound as a variable of the next one, so that it is computed once for a text and not for each word
+    def bound(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def shouted(words: Column) -> Column:
+        starts = F.filter(words, lambda w: w.rlike("^[A-Za-z]"))
         capital = F.filter(words, lambda w: w.rlike("^[A-Z]"))
-        title_case = (F.size(words) >= 4) & (F.size(capital) >= 0.6 * F.size(words))
+        return (F.size(starts) >= 4) & (10 * F.size(capital) >= 6 * F.size(starts))
 
-        def good(w):
-            cap = w.rlike(r"^[A-Z][A-Za-z0-9.+-]{2,}$") | (w.rlike(r"^[A-Z0-9][A-Z0-9.+-]{2,}$") & w.rlike("[A-Z]"))
-            size = w.rlike(r"^\d+[.,]?\d*[A-Za-z]{0,2}$")
-            name = w.rlike(r"\d|[a-z][A-Z]|^[A-Z0-9][A-Z0-9.+-]{2,}$|-")
-            return cap & ~size & ~F.array_contains(never, F.lower(w)) & (~title_case | name)
+    def names(x: Column) -> Column:
+        """Each word that is a name, and null where there is none, so that a pair with a gap is null too."""
+        only = lambda w: is_name(w) & ~w.rlike(SIZE) & ~F.array_contains(never, F.lower(w)) & (~x["shouted"] | w.rlike(MODEL_LIKE) | ~w.rlike("[a-z]"))
+        return F.transform(x["words"], lambda w: F.when(only(w), w))
 
-        ok = F.transform(t, good)
-        each = F.transform(t, lambda w, i: F.when(F.get(ok, i), F.array_compact(F.array(w, F.when((i > 0) & F.get(ok, i - 1), F.concat_ws(" ", F.get(t, i - 1), w))))))
-        return F.array_distinct(F.flatten(F.array_compact(each)))
+    def runs(n: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.flatten(F.transform(n, lambda w, i: F.array(w, F.concat(F.get(n, i - 1), F.lit(" "), w))))))
 
-    return F.transform(F.array(toks), found)[0]
+    words = bound(title_words(title), lambda w: F.struct(w.alias("words"), shouted(w).alias("shouted")))
+    return bound(bound(words, names), runs)
 
 
 def event_time(family: Column, published: Column, first_seen: Column) -> Column:

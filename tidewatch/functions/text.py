@@ -13,10 +13,29 @@ from pyspark.sql.types import StringType
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]+"
 # Names of query parameters that only track visits.
 TRACKING = r"utm_[a-z0-9_]+|fbclid|gclid|ref|ref_src|source|mc_cid|mc_eid|igshid|_hsenc|_hsmi"
-# Accented Latin letters and the plain ones they stand for.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāēīōūăőűčšžćńśźłő"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaeiouaoucszcnszlo"
 QUOTES, QUOTES_PLAIN = "’‘`´–—‐", "''''---"
+NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789' -")
+
+
+def _compatible() -> tuple[str, str]:
+    """Characters of the basic plane whose compatibility form is one other character, and these forms; no signs of CJK."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0x80, 0x2E80), *range(0xFB00, 0xFFF0)) if not 0xFDD0 <= c < 0xFDF0]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def _bare() -> tuple[str, str]:
+    """Lower-case characters that decompose to one character of a name and accents, and these characters."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFD", chr(c)) if x in NAME_CHARS)) for c in range(0x80, 0x2000)]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a == a.lower()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Tables made by rule from the Unicode data, for ``translate`` here and in SQL.
+COMPATIBLE, COMPATIBLE_PLAIN = _compatible()
+ACCENTED, PLAIN = _bare()
+#: Compatibility forms of several characters that texts do have: three dots and ligatures.
+EXPANDED = {c: unicodedata.normalize("NFKC", c) for c in "…ﬀﬁﬂﬃﬄ"}
 
 
 def _text(c) -> Column:
@@ -28,9 +47,21 @@ def squeeze(c) -> Column:
     return F.trim(F.regexp_replace(_text(c), SPACE, " "))
 
 
+def _compatibility(c: Column) -> Column:
+    many = c
+    for char, form in EXPANDED.items():
+        many = F.replace(many, F.lit(char), F.lit(form))
+    return F.translate(F.when(c.rlike("[" + "".join(EXPANDED) + "]"), many).otherwise(c), COMPATIBLE, COMPATIBLE_PLAIN)
+
+
 def norm(c) -> Column:
-    """Lower case, plain quotes and dashes, single spaces; null is empty. Without compatibility forms, see ``norm_exact``."""
-    return squeeze(F.translate(F.lower(F.coalesce(_text(c), F.lit(""))), QUOTES, QUOTES_PLAIN))
+    """Compatibility forms, lower case, plain quotes and dashes, single spaces; null is empty.
+
+    Forms of one character and the usual ones of several are taken, by table; for sequences that compose, and
+    rare signs that become several characters, there is ``norm_exact``.
+    """
+    plain = F.translate(F.coalesce(_text(c), F.lit("")), QUOTES, QUOTES_PLAIN)
+    return squeeze(F.lower(F.when(plain.rlike(r"[^\x00-\x7F]"), _compatibility(plain)).otherwise(plain)))
 
 
 def norm_name(c) -> Column:
@@ -58,23 +89,21 @@ def norm_name_exact(s: pd.Series) -> pd.Series:
 
 
 def decode_entities(c) -> Column:
-    """Named entities; an ampersand is decoded before the others, as browsers' feeds need it."""
+    """Named and numeric entities; an ampersand is decoded before the others, as browsers' feeds need it."""
     out = _text(c)
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
-
-
-@F.pandas_udf(StringType())
-def decode_numeric_entities(s: pd.Series) -> pd.Series:
-    """``&#65;`` and ``&#x41;``; what is no character stays as it is."""
-    import re
+    return F.transform(F.array(out), lambda t: F.when(F.contains(t, F.lit("&#")), _numeric(t)).otherwise(t))[0]
 
-    def char(m):
-        n = int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1])
-        return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
 
-    return s.map(lambda t: t if t is None else re.sub(r"&#([xX][0-9a-fA-F]+|[0-9]+);", char, t))
+def _numeric(c: Column) -> Column:
+    """Numeric entities by replacing each different one; an ampersand comes last, so that it makes no new ones."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)))
+    point = lambda e: F.when(e.rlike("^[xX]"), F.conv(F.substring(e, 2, 6), 16, 10)).otherwise(e).cast("long")
+    known = F.transform(found, lambda e: F.struct((point(e) == 38).alias("last"), e.alias("e"), point(e).alias("n")))
+    sound = F.filter(known, lambda x: (x["n"] > 0) & (x["n"] < 0x110000) & ~x["n"].between(0xD800, 0xDFFF))
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.aggregate(F.array_sort(sound), c, lambda t, x: F.replace(t, F.concat(F.lit("&#"), x["e"], F.lit(";")), char(x["n"])))
 
 
 def strip_tags(c) -> Column:
@@ -90,11 +119,15 @@ def html_to_text(c) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def extract_links(c) -> Column:
-    """array<struct<href, text>> of the anchors of a page, in order."""
+def extract_links(c, base=None) -> Column:
+    """array<struct<href, text, feed>> of a page's anchors in order, then of the feeds that it names; from ``base``, addresses are absolute."""
+    at = (lambda h: h) if base is None else (lambda h: absolute_url(h, base))
     anchor = r"""(?is)<a\b[^>]*href=["']([^"'#]+)["'][^>]*>(.*?)</a>"""
     hrefs, bodies = (F.regexp_extract_all(_text(c), F.lit(anchor), F.lit(i)) for i in (1, 2))
-    return F.zip_with(hrefs, bodies, lambda h, b: F.struct(h.alias("href"), squeeze(decode_entities(strip_tags(b))).alias("text")))
+    link = lambda h, t, feed: F.struct(at(h).alias("href"), t.alias("text"), F.lit(feed).alias("feed"))
+    anchors = F.zip_with(hrefs, bodies, lambda h, b: link(h, squeeze(decode_entities(strip_tags(b))), False))
+    feeds = F.regexp_extract_all(_text(c), F.lit(r"""(?i)<link\b[^>]*type=["']application/(?:rss|atom)\+xml["'][^>]*href=["']([^"']+)["']"""), F.lit(1))
+    return F.concat(anchors, F.transform(feeds, lambda h: link(h, F.lit("RSS"), True)))
 
 
 def absolute_url(href, base) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.terms import Lexicon, norm_name
+from ..functions.terms import Lexicon, is_name, norm_name, title_words
 from ..functions.vectors import dot
 from .items import _at
 
@@ -47,9 +47,7 @@ def press_query(members: DataFrame, topics: DataFrame, lex: Lexicon) -> DataFram
     entities that are names, then words of the label.
     """
     never = F.lit(sorted({*lex.stop, *lex.generic}))
-    plain = F.regexp_replace(F.coalesce("title", F.lit("")), r"""[“”"'’:;,()\[\]|]""", " ")
-    words = F.array_distinct(F.transform(F.split(plain, r"\s+"), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9.+-]+$", "")))
-    good = F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike(r"^[A-Z][A-Za-z0-9.+-]+$|^[A-Z0-9][A-Z0-9.+-]+$") & ~F.array_contains(never, F.lower(w)))
+    good = F.filter(F.array_distinct(title_words(F.col("title"))), lambda w: is_name(w) & ~F.array_contains(never, F.lower(w)))
     n_items = members.groupBy("cluster_id").agg(F.count("*").alias("n_items"))
     w = members.select("cluster_id", "item_id", F.explode(good).alias("w")).dropDuplicates(["cluster_id", "item_id", "w"])
     freq = w.groupBy("cluster_id", F.lower("w").alias("lw")).agg(F.min_by("w", F.struct("item_id", "w")).alias("w"), F.count_distinct("item_id").alias("n"))

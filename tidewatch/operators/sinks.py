@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,12 +35,26 @@ def latest_items(items: DataFrame, now, hours: int = 24, top: int = 600) -> Data
 
 
 def write_staged(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path``: written beside it first, so that a reader never sees half of it and ``df`` may read it."""
+    """Replace the table at ``path``, so that ``df`` may read it: written beside it, then moved into its place.
+
+    The old table is moved aside before and removed after, so that at no time less than one whole table is
+    there: where a crash came between the two moves, it lies at ``<path>__old``, and ``read_staged`` finds it.
+    """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    staging, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}__staging", path))
+    staging, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}__staging", path, f"{path}__old"))
     df.write.mode("overwrite").parquet(f"{path}__staging")
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
+    if fs.exists(target):
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"can't move {target} to {old}")
     if not fs.rename(staging, target):
         raise OSError(f"can't move {staging} to {target}")
+    fs.delete(old, True)
+
+
+def read_staged(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_staged`` keeps at ``path``, or the one before where a write was broken off between its moves."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else f"{path}__old")

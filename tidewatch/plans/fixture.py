@@ -31,7 +31,7 @@ raw AS (
   SELECT d.doc_id AS item_id, CAST(d.doc_id AS VARCHAR) AS external_id, d.source AS source_id,
          chr(CAST(65 + CAST(regexp_extract(d.source, '([0-9]+)$', 1) AS INTEGER) % 8 AS INTEGER)) AS family,
          ['STORY', 'PAPER', 'REPO', 'POST', 'RELEASE'][CAST(d.doc_id % 5 + 1 AS INTEGER)] AS kind,
-         substr(string_split(d.text, chr(10))[1], 1, 500) AS title, substr(d.text, 1, 2000) AS text, d.lang,
+         string_split(d.text, chr(10))[1] AS title, d.text, d.lang,
          TIMESTAMP '{START}' + to_seconds(CAST(d.doc_id * n.k AS BIGINT)) AS published_at,
          TIMESTAMP '{START}' + to_seconds(CAST(d.doc_id * n.k + (d.doc_id % 90) * 60 AS BIGINT)) AS first_seen_at,
          d.n_chars % 500 AS score_raw, d.n_chars % 50 AS comments, p.url, p.url_canon
@@ -61,8 +61,8 @@ def as_items(docs: DataFrame, counts: DataFrame, spark: SparkSession, sf_dir: st
         F.col("source").alias("source_id"),
         F.expr("char(65 + cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 8)").alias("family"),
         F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("kind"),
-        F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 500).alias("title"),
-        F.substring("text", 1, 2000).alias("text"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        "text",
         "lang",
         after(at).alias("published_at"),
         after(at + (F.col("doc_id") % 90) * 60).alias("first_seen_at"),

@@ -157,7 +157,7 @@ def centroids(spark, sf_dir):
     ),
 )
 def topic_entities(spark, sf_dir):
-    m = members(spark, sf_dir).select("cluster_id", F.explode(terms.entities(F.col("title"), LEX)).alias("entity"))
+    m = members(spark, sf_dir).select("cluster_id", F.explode(terms.entities(F.col("text"), LEX)).alias("entity"))
     return topics.topic_entities(m).withColumn("entities", F.array_join("entities", ","))
 
 
@@ -204,6 +204,6 @@ def coverage(spark, sf_dir):
 @register("r9_press_query")
 def press_query(spark, sf_dir):
     m = members(spark, sf_dir)
-    ents = topics.topic_entities(m.select("cluster_id", F.explode(terms.entities(F.col("title"), LEX)).alias("entity")))
+    ents = topics.topic_entities(m.select("cluster_id", F.explode(terms.entities(F.col("text"), LEX)).alias("entity")))
     labels = m.groupBy("cluster_id").agg(F.min_by("title", "item_id").alias("label"))
     return press.press_query(m, labels.join(ents, "cluster_id", "left"), LEX)

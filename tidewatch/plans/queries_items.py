@@ -21,8 +21,15 @@ def sql_squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '{SPACES}', ' ', 'g'), ' ')"
 
 
+def _quoted(x: str) -> str:
+    return x.replace("'", "''")
+
+
 def sql_norm(x: str) -> str:
-    return sql_squeeze(f"translate(lower(coalesce({x}, '')), '{text.QUOTES}', '{text.QUOTES_PLAIN.replace(chr(39), chr(39) * 2)}')")
+    x = f"translate(coalesce({x}, ''), '{text.QUOTES}', '{_quoted(text.QUOTES_PLAIN)}')"
+    for char, form in text.EXPANDED.items():
+        x = f"replace({x}, '{char}', '{form}')"
+    return sql_squeeze(f"lower(translate({x}, '{text.COMPATIBLE}', '{_quoted(text.COMPATIBLE_PLAIN)}'))")
 
 
 def sql_name(x: str) -> str:
@@ -33,27 +40,27 @@ def sql_has(x: str, words, chars: str = "A-Za-z0-9_") -> str:
     return f"regexp_matches({x}, '{terms.bounded(words, chars)}')"
 
 
-SQL_ENTITIES = "list_filter([" + ", ".join(f"CASE WHEN {sql_has('lower(coalesce(title, {0}))'.format(chr(39) * 2), (n, *a), 'A-Za-z0-9')} THEN '{n}' END" for n, _, a in LEX.entities) + "], lambda e: e IS NOT NULL)"
+SQL_ENTITIES = "list_filter([" + ", ".join(f"CASE WHEN {sql_has('lower(coalesce(text, {0}))'.format(chr(39) * 2), (n, *a), terms.NAME_CHARS)} THEN '{n}' END" for n, _, a in LEX.entities) + "], lambda e: e IS NOT NULL)"
 SQL_STOP = "[" + ", ".join(f"'{w}'" for w in LEX.stop) + "]"
-SQL_TOKENS = f"list_filter(string_split({sql_name('title')}, ' '), lambda w: length(w) > 2 AND NOT list_contains({SQL_STOP}, w) AND NOT regexp_matches(w, '^[0-9]+$'))"
-#: One row for each distinct term of a title.
+SQL_TOKENS = f"list_filter(string_split({sql_name('text')}, ' '), lambda w: length(w) > 2 AND NOT list_contains({SQL_STOP}, w) AND NOT regexp_matches(w, '^[0-9]+$'))"
+#: One row for each distinct term of a text.
 SQL_TERMS = rf"""
 tok AS (SELECT *, {SQL_ENTITIES} AS ents, {SQL_TOKENS} AS toks FROM items),
 terms AS (
   SELECT item_id, source_id, family, first_seen_at, unnest(list_distinct(list_concat(list_transform(ents, lambda e: '@' || e),
-         CASE WHEN len(toks) > 1 THEN list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END))) AS term FROM tok)
+         CASE WHEN len(toks) > 1 THEN list_transform(list_zip(toks[:-2], toks[2:]), lambda p: p[1] || ' ' || p[2]) ELSE [] END))) AS term FROM tok)
 """
 #: Prior credibility by family; four per cents as twentieths keep sums exact.
 SQL_PRIOR = "CASE family WHEN 'A' THEN 0.3 WHEN 'B' THEN 0.35 WHEN 'C' THEN 0.35 WHEN 'D' THEN 0.4 WHEN 'E' THEN 0.5 WHEN 'F' THEN 0.3 WHEN 'H' THEN 0.4 ELSE 0.3 END::DOUBLE"
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, source_id, family, ts, term) of all titles."""
-    return fixture.items(spark, sf_dir).select("item_id", "source_id", "family", F.col("first_seen_at").alias("ts"), F.explode(terms.terms(F.col("title"), LEX)).alias("term"))
+    """(item_id, source_id, family, ts, term) of all whole texts."""
+    return fixture.items(spark, sf_dir).select("item_id", "source_id", "family", F.col("first_seen_at").alias("ts"), F.explode(terms.terms(F.col("text"), LEX)).alias("term"))
 
 
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.items(spark, sf_dir).select("item_id", F.col("first_seen_at").alias("ts"), F.explode(terms.entities(F.col("title"), LEX)).alias("entity"))
+    return fixture.items(spark, sf_dir).select("item_id", F.col("first_seen_at").alias("ts"), F.explode(terms.entities(F.col("text"), LEX)).alias("entity"))
 
 
 # text
@@ -69,14 +76,14 @@ def domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.domain_of("url").alias("domain"))
 
 
-@register("t1_norm", with_items(f"SELECT item_id, {sql_norm('title')} AS norm FROM items"))
+@register("t1_norm", with_items(f"SELECT item_id, {sql_norm('text')} AS norm FROM items"))
 def norm(spark, sf_dir):
-    return fixture.items(spark, sf_dir).select("item_id", text.norm("title").alias("norm"))
+    return fixture.items(spark, sf_dir).select("item_id", text.norm("text").alias("norm"))
 
 
-@register("t2_norm_name", with_items(f"SELECT item_id, {sql_name('title')} AS name FROM items"))
+@register("t2_norm_name", with_items(f"SELECT item_id, {sql_name('text')} AS name FROM items"))
 def norm_name(spark, sf_dir):
-    return fixture.items(spark, sf_dir).select("item_id", text.norm_name("title").alias("name"))
+    return fixture.items(spark, sf_dir).select("item_id", text.norm_name("text").alias("name"))
 
 
 def _sql_html() -> str:
@@ -103,15 +110,22 @@ def html_to_text(spark, sf_dir):
 _ANCHOR = r"""(?is)<a\b[^>]*href=["'']([^"''#]+)["''][^>]*>(.*?)</a>"""
 
 
+_SCHEME, _HOST = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)", "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_SQL_ABSOLUTE = rf"""CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN {_SCHEME} || ':' || h WHEN starts_with(h, '/') THEN {_HOST} || h
+    ELSE {_HOST} || coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || h END"""
+_FEED = r"""(?i)<link\b[^>]*type=["'']application/(?:rss|atom)\+xml["''][^>]*href=["'']([^"'']+)["'']"""
+
+
 @register(
     "t4_extract_links",
-    f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '{_ANCHOR}', 1) AS h, regexp_extract_all(html, '{_ANCHOR}', 2) AS b FROM pages),
-        e AS (SELECT page_id, unnest(range(1, len(h) + 1)) AS i, h, b FROM a)
-        SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS href, {sql_squeeze(_sql_entities("regexp_replace(b[i], '<[^>]+>', ' ', 'g')"))} AS label FROM e""",
+    f"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR}', 1) AS hs, regexp_extract_all(html, '{_ANCHOR}', 2) AS bs, regexp_extract_all(html, '{_FEED}', 1) AS fs FROM pages),
+        e AS (SELECT page_id, url, i - 1 AS pos, hs[i] AS h, {sql_squeeze(_sql_entities("regexp_replace(bs[i], '<[^>]+>', ' ', 'g')"))} AS label, false AS feed FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a)
+              UNION ALL SELECT page_id, url, len(hs) + i - 1, fs[i], 'RSS', true FROM (SELECT *, unnest(range(1, len(fs) + 1)) AS i FROM a))
+        SELECT page_id, CAST(pos AS INTEGER) AS pos, {_SQL_ABSOLUTE} AS href, label, feed FROM e""",
 )
 def links(spark, sf_dir):
-    e = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.extract_links("html")).alias("pos", "x"))
-    return e.select("page_id", "pos", F.col("x.href").alias("href"), F.col("x.text").alias("label"))
+    e = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.extract_links("html", "url")).alias("pos", "x"))
+    return e.select("page_id", "pos", F.col("x.href").alias("href"), F.col("x.text").alias("label"), F.col("x.feed").alias("feed"))
 
 
 @register("t6_item_set_hash", with_items("SELECT source_id, sha1(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS item_set FROM items GROUP BY source_id"))
@@ -120,10 +134,10 @@ def item_set(spark, sf_dir):
     return fixture.items(spark, sf_dir).groupBy("source_id").agg(F.sha1(ids.cast("binary")).alias("item_set"))
 
 
-@register("t7_fnv1a", with_items(f"SELECT item_id, list_reduce(string_split(substr({sql_name('title')}, 1, 24), ''), lambda h, c: (xor(h, ascii(c)::BIGINT) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM items WHERE {sql_name('title')} <> ''").replace("string_split(substr(", "list_transform(string_split(substr(").replace(", 1, 24), ''), lambda h", ", 1, 24), ''), lambda c: ascii(c)::BIGINT), lambda h").replace("xor(h, ascii(c)::BIGINT)", "xor(h, c)"))
+@register("t7_fnv1a", with_items(f"SELECT item_id, list_reduce(string_split(n, ''), lambda h, c: (xor(h, ascii(c)::BIGINT) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM (SELECT item_id, {sql_name('title')} AS n FROM items) WHERE n <> ''"))
 def fnv(spark, sf_dir):
     name = text.norm_name("title")
-    return fixture.items(spark, sf_dir).where(name != "").select("item_id", text.fnv1a(F.substring(name, 1, 24)).alias("h"))
+    return fixture.items(spark, sf_dir).where(name != "").select("item_id", text.fnv1a(name).alias("h"))
 
 
 # terms
@@ -136,7 +150,7 @@ def relevance(spark, sf_dir):
 
 @register("r2_entities", with_items(f"SELECT item_id, array_to_string({SQL_ENTITIES}, ',') AS entities FROM items"))
 def entities(spark, sf_dir):
-    return fixture.items(spark, sf_dir).select("item_id", F.array_join(terms.entities(F.col("title"), LEX), ",").alias("entities"))
+    return fixture.items(spark, sf_dir).select("item_id", F.array_join(terms.entities(F.col("text"), LEX), ",").alias("entities"))
 
 
 @register("r3_terms", with_items("SELECT term, count(*) AS n, count(DISTINCT source_id) AS sources FROM terms GROUP BY term", SQL_TERMS))
@@ -144,9 +158,22 @@ def term_counts(spark, sf_dir):
     return mentions(spark, sf_dir).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"))
 
 
-@register("r4_proper_nouns")
+_NEVER = "[" + ", ".join(f"'{w}'" for w in sorted({*LEX.stop, *LEX.generic})) + "]"
+
+
+@register(
+    "r4_proper_nouns",
+    with_items(
+        f"""SELECT noun, count(*) AS n FROM (SELECT item_id, unnest(list_distinct(list_concat(names, list_filter(list_transform(list_zip(names[:-2], names[2:]), lambda p: p[1] || ' ' || p[2]), lambda x: x IS NOT NULL)))) AS noun
+            FROM (SELECT item_id, list_transform(w, lambda x: CASE WHEN length(x) >= 3 AND (regexp_matches(x, '^[A-Z]') OR (regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AND NOT regexp_matches(x, '{terms.SIZE}')
+                    AND NOT list_contains({_NEVER}, lower(x)) AND (NOT shouted OR regexp_matches(x, '{terms.MODEL_LIKE}') OR NOT regexp_matches(x, '[a-z]')) THEN x END) AS names
+                  FROM (SELECT *, len(st) >= 4 AND 10 * len(list_filter(st, lambda x: regexp_matches(x, '^[A-Z]'))) >= 6 * len(st) AS shouted
+                        FROM (SELECT *, list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]')) AS st FROM (SELECT item_id, regexp_extract_all(coalesce(text, ''), '{terms.TITLE_WORD}') AS w FROM items)))))
+            WHERE noun IS NOT NULL GROUP BY noun"""
+    ),
+)
 def proper(spark, sf_dir):
-    return fixture.items(spark, sf_dir).select("item_id", F.explode(terms.proper_nouns(F.col("title"), LEX)).alias("noun")).groupBy("noun").agg(F.count("*").alias("n"))
+    return fixture.items(spark, sf_dir).select("item_id", F.explode(terms.proper_nouns(F.col("text"), LEX)).alias("noun")).groupBy("noun").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -455,11 +482,11 @@ def poisson(spark, sf_dir):
     f"""SELECT item_id, bucket, CAST(sum(x) AS BIGINT) AS x FROM (
           SELECT item_id, h % 512 AS bucket, CASE WHEN (h >> 31) = 1 THEN 1 ELSE -1 END AS x FROM (
             SELECT item_id, list_reduce(list_transform(string_split(g, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM (
-              SELECT item_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]) ELSE [] END)) AS g FROM (
-                SELECT item_id, list_filter(string_split({sql_name('title')}, ' '), lambda t: t <> '') AS w FROM items))))
+              SELECT item_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || '_' || p[2]) ELSE [] END)) AS g FROM (
+                SELECT item_id, list_filter(string_split({sql_name('text')}, ' '), lambda t: t <> '') AS w FROM items))))
         GROUP BY 1, 2 HAVING sum(x) <> 0"""))
 def hash_vectors(spark, sf_dir):
-    return vectors.sparse_vectors(fixture.items(spark, sf_dir), "item_id", F.col("title"))
+    return vectors.sparse_vectors(fixture.items(spark, sf_dir), "item_id", F.col("text"))
 
 
 @register("c2_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, CAST(floor(list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) * 1e6 + 0.5) AS BIGINT) AS cos_e6 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

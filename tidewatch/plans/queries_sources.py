@@ -10,7 +10,7 @@ from ..session import table
 from ..sources import catalogs, parsers
 
 RSS = """<rss version="2.0"><channel><item><title>First &amp;amp; best</title><link>https://a.example.com/1</link><guid>g1</guid><pubDate>Tue, 22 Sep 2026 10:00:00 GMT</pubDate><description><![CDATA[<p>Some <b>text</b></p>]]></description></item>
-<item><title>No link</title><guid isPermaLink="true">https://a.example.com/2</guid><dc:creator>Someone</dc:creator></item></channel></rss>"""
+<item><title>It&#8217;s &amp;#x41; w&#38;#97;y &#1114112;</title><guid isPermaLink="true">https://a.example.com/2</guid><dc:creator>Someone</dc:creator></item></channel></rss>"""
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>tag:1</id><title>Relative</title><link rel="alternate" href="/posts/1"/><updated>2026-09-22T08:00:00Z</updated><summary>S</summary><author><name>N</name></author></entry></feed>"""
 RDF = """<rdf:RDF><item rdf:about="https://b.example.com/x"><title>Rdf</title><dc:date>2026-09-21T00:00:00+02:00</dc:date><description>D</description></item></rdf:RDF>"""
 BODIES = [
@@ -32,7 +32,7 @@ BODIES = [
     ("kal", "kalshi", "u", '{"markets": [{"ticker": "KX-1", "event_ticker": "KX", "title": "K", "yes_bid": 40, "volume_24h": 6, "status": "open", "open_time": "2026-09-22T00:00:00Z"}]}'),
     ("broken", "kalshi", "u", "not json"),
 ]
-_EXPECTED = """(VALUES ('rss_a', 'g1', 'https://a.example.com/1', 'First & best', 'Some text', NULL, NULL), ('rss_a', 'https://a.example.com/2', 'https://a.example.com/2', 'No link', '', NULL, NULL),
+_EXPECTED = """(VALUES ('rss_a', 'g1', 'https://a.example.com/1', 'First & best', 'Some text', NULL, NULL), ('rss_a', 'https://a.example.com/2', 'https://a.example.com/2', 'It’s A way &#1114112;', '', NULL, NULL),
  ('atom_a', 'tag:1', 'https://c.example.com/posts/1', 'Relative', 'S', NULL, NULL), ('rdf_a', 'https://b.example.com/x', 'https://b.example.com/x', 'Rdf', 'D', NULL, NULL),
  ('hn', '1', 'https://news.ycombinator.com/item?id=1', 'Show HN: x', '', 5.0, 2), ('hn', '4', 'https://news.ycombinator.com/item?id=4', 'Plain', '', 0.0, 0), ('algolia', '9', 'https://news.ycombinator.com/item?id=9', 'T', ' x ', 7.0, 1),
  ('models', 'org/m', 'https://huggingface.co/org/m', 'org/m', 'text, a, b', 3.0, 9), ('papers', '2609.1', 'https://huggingface.co/papers/2609.1', 'P', 'S', 4.0, NULL), ('list', 'v/m', 'https://openrouter.ai/v/m', 'M', '', NULL, NULL),
@@ -88,7 +88,7 @@ STATES = {
     "status": ('{"page": {"url": "https://s"}, "components": [{"id": "c1", "name": "N", "created_at": "2026-09-20T00:00:00Z"}, {"id": "c2"}]}', lambda b: catalogs.status_components(b)),
     "company": ('{"results": [{"siren": "1", "nature_juridique": "5710", "nom_complet": "ACME FR"}, {"siren": "2", "nature_juridique": "1000", "nom_complet": "ACME X"}, {"siren": "3", "nature_juridique": "5710", "nom_complet": "OTHER"}]}', lambda b: catalogs.company_register(b, "acme")),
     "filing": ('{"hits": {"hits": [{"_source": {"adsh": "0-1-2", "ciks": ["0012"], "display_names": ["A SPV"], "file_date": "2026-09-20"}}]}}', lambda b: catalogs.filings(b)),
-    "market": ('[{"id": "1", "title": "Will GPT be out?", "slug": "s"}, {"id": "2", "title": "Rain?"}]', lambda b: catalogs.market_events(b)),
+    "market": ('[{"id": "1", "title": "Will GPT be out?", "slug": "s"}, {"id": "2", "title": "Rain?"}, {"id": "1", "title": "Will GPT be out?", "slug": "twice"}]', lambda b: catalogs.market_events(b, terms.lexicon())),
     "forum": ('{"category_list": {"categories": [{"id": 4, "name": "C", "slug": "c", "topic_count": 2}]}}', lambda b: catalogs.forum_categories(b, "f.example.com")),
     "chat": ('{"name": "G", "channels": [{"id": "8", "name": "stage"}]}', lambda b: catalogs.chat_widget(b, "77")),
 }
@@ -111,7 +111,7 @@ def catalog_parsers(spark, sf_dir):
 @register("k5_model_in_title", "SELECT * FROM (VALUES (1, 'Foo-9'), (2, NULL), (3, NULL), (4, 'Qux Zed')) t(id, names)")
 def model_titles(spark, sf_dir):
     t = spark.createDataFrame([(1, "[Model] Add Foo-9 model support"), (2, "Fix model docs"), (3, "Add tests"), (4, "Support Qux and Zed models")], "id int, title string")
-    return t.select("id", F.array_join(F.slice(catalogs.model_in_title(F.col("title")), 1, 2), " ").alias("names"))
+    return t.select("id", F.array_join(F.slice(catalogs.model_in_title(F.col("title"), terms.lexicon()), 1, 2), " ").alias("names"))
 
 
 CHANGELOG = """---

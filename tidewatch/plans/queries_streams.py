@@ -106,7 +106,7 @@ def weak_pass(spark, sf_dir):
 
     def update(before, batch):
         items = weak.pass_items(fixture.as_items(batch, sizes, spark, sf_dir), LEX, NOW, None)
-        new = items.select("source_id", "family", F.col("first_seen_at").alias("ts"), F.explode(terms.terms(F.col("title"), LEX)).alias("term"))
+        new = items.select("source_id", "family", F.col("first_seen_at").alias("ts"), F.explode(terms.terms(F.col("text"), LEX)).alias("term"))
         return weak.increment_daily(weak.empty_daily(spark) if before is None else before, new)
 
     state = streams.run_weak_passes(_stream(spark, sf_dir, "documents"), f"{where}/cursor", f"{where}/state", update)
