@@ -58,13 +58,15 @@ def test_exact_unicode_forms(spark):
     df = spark.createDataFrame([("ﬁve  Ｔｗｏ’s",), ("Ångström — Éa",), (None,)], "s string")
     assert [r.x for r in df.select(text.norm_exact("s").alias("x")).collect()] == ["five two's", "ångström - éa", ""]
     assert [r.x for r in df.select(text.norm_name_exact("s").alias("x")).collect()] == ["five two's", "angstrom - ea", ""]
-    assert one(spark, text.decode_numeric_entities(F.col("s")), s="&#65;&#x42;&#xD800;") == "AB&#xD800;"
+    assert one(spark, text.decode_entities(F.col("s")), s="&#65;&#x42;&#xD800;") == "AB&#xD800;"
 
 
 def test_html_and_links(spark):
     html = "<script>x</script><p>A&amp;B</p><!-- c --><div>two<br>three</div><a href='/x'>L <b>m</b></a>"
     assert one(spark, text.html_to_text("h"), h=html) == "A&B\ntwo\nthree\nL m"
     assert [(r.href, r.text) for r in one(spark, text.extract_links("h"), h=html)] == [("/x", "L m")]
+    feed = "<link rel='alternate' type='application/rss+xml' href='feed.xml'><a href='p?q=1'>A&#8217;s &#x41;&#38;#66;</a>"
+    assert [tuple(r) for r in one(spark, text.extract_links("h", F.lit("https://a.b/c/d")), h=feed)] == [("https://a.b/c/p?q=1", "A’s A&#66;", False), ("https://a.b/c/feed.xml", "RSS", True)]
     for href, want in (("/p", "https://a.b/p"), ("q", "https://a.b/c/q"), ("//x.y/z", "https://x.y/z"), ("http://k/", "http://k/")):
         assert one(spark, text.absolute_url("h", "b"), h=href, b="https://a.b/c/d?e") == want
 
@@ -97,6 +99,13 @@ def test_proper_nouns(spark):
     assert p(None) == []
 
 
+def test_names_in_any_script_and_forms(spark):
+    e = lambda t: one(spark, terms.entities(F.col("t"), LEX), t=t)
+    assert e("see Anea!") == ["Anea"] and e("éanea") == [] and e("aneaé") == [] and e("anea日") == [] and e("日 anea") == ["Anea"]
+    for t in ("Ｆｕｌｌ ｗｉｄｔｈ", "Ångström ﬁle… x²", "Łódź Ṩ İ", "e\u0301t\u00e9", None):
+        assert one(spark, text.norm_name("t"), t=t) == one(spark, text.norm_name_exact("t"), t=t), t
+
+
 def test_event_time_and_cluster_text(spark):
     df = spark.sql(f"SELECT 'F' AS f, {at(800)} AS p, {at(1)} AS s UNION ALL SELECT 'F', {at(5)}, {at(1)} UNION ALL SELECT 'E', {at(5)}, {at(1)} UNION ALL SELECT 'A', NULL, {at(1)}")
     late = [r.e == r.s for r in df.withColumn("e", terms.event_time(F.col("f"), F.col("p"), F.col("s"))).collect()]
@@ -114,6 +123,42 @@ def test_percentile_rule(spark):
     assert {r.k: r.x for r in df.groupBy("k").agg(stats.percentile_agg("v", 0.5).alias("x")).collect()} == {"a": 3.0, "b": 7.0, "c": None}
 
 
+def test_percentiles_of_large_groups_are_exact(spark):
+    rng = np.random.default_rng(1)
+    groups = {"big": rng.normal(size=30_000).round(3), "ties": np.repeat([1.0, 2.0, 3.0], 40), "one": np.array([7.0]), None: rng.normal(size=50)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k string, v double")
+    for p in (0.0, 0.05, 0.5, 0.95, 0.97, 1.0):
+        got = {r.k: r.x for r in stats.percentile_by(df, ["k"], "v", p, "x", accuracy=500).collect()}
+        assert got == {k: float(np.sort(v)[min(len(v) - 1, math.floor(p * len(v)))]) for k, v in groups.items()}, p
+
+
+def test_places_and_running_sums(spark):
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 500, 2000).tolist()
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
+    placed = {r.id: r.place for r in stats.numbered(df, [F.col("v").desc(), F.col("id")]).collect()}
+    assert placed == {i: n for n, i in enumerate(sorted(range(2000), key=lambda i: (-values[i], i)))}
+    points = spark.createDataFrame([(v, 1) for v in values], "us long, c long")
+    at = [-5, 0, 37, 250, 499, 10_000]
+    got = {r.us: r.upto for r in stats.counted_until(points, spark.createDataFrame([(x,) for x in at], "us long"), width=50).collect()}
+    assert got == {x: sum(v <= x for v in values) for x in at}
+
+
+def test_thresholds_are_those_of_earlier_passes(spark):
+    rng = np.random.default_rng(3)
+    hour = 3_600_000_000
+    rows = [("ab"[i % 2], i, int(rng.integers(0, 40 * 24)) * hour, float(rng.exponential())) for i in range(1500)]
+    df = spark.createDataFrame(rows, "grp string, item_id long, us long, x double").withColumn("ts", F.timestamp_micros("us"))
+    got = {r.item_id for r in weak._over_history(df, "x", 100, 0.9).collect()}
+    want = set()
+    for g, i, us, x in rows:
+        day = us // (24 * hour)
+        past = sorted(v for h, _, t, v in rows if h == g and day - 14 < t // (24 * hour) < day)
+        if len(past) >= 100 and x >= past[min(len(past) - 1, math.floor(0.9 * len(past)))]:
+            want.add(i)
+    assert got == want and want
+
+
 def test_quantisation_error(spark):
     df = vectors.with_hash_vectors(spark.createDataFrame([("some words of a title",), ("",), ("other words",)], "t string"), F.col("t"))
     out = df.select("v", vectors.restore(vectors.quantise(F.col("v"))).alias("w")).collect()
@@ -323,6 +368,15 @@ def test_staged_overwrite(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [10, 11, 12]
 
 
+def test_a_broken_overwrite_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_staged(spark.range(3), path)
+    Path(path).rename(f"{path}__old")  # as after a crash between the two moves
+    assert sinks.read_staged(spark, path).count() == 3
+    sinks.write_staged(spark.range(5), path)
+    assert sinks.read_staged(spark, path).count() == 5 and not list(tmp_path.glob("*__staging"))
+
+
 def test_stream_restarts_from_its_cursor(spark, tmp_path):
     src, cursor, state = (str(tmp_path / x) for x in ("in", "cursor", "state"))
     make = lambda a, b: spark.range(a, b).selectExpr("id % 3 AS k", "id AS n").write.mode("append").parquet(src)

@@ -19,14 +19,38 @@ def percentile_agg(value, p: float) -> Column:
     return upper_percentile(F.sort_array(F.collect_list(value)), p)
 
 
-def percentile_by(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
-    """The rule for groups of any size: equal values are counted first, and only counts are ordered."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    n = F.sum("_c").over(whole)
-    rank = F.least(n - 1, F.floor(F.lit(p) * n))
-    return counts.withColumns({"_upto": F.sum("_c").over(run), "_rank": rank}).where("_upto > _rank").groupBy(*keys).agg(F.min(value).alias(name))
+def percentile_by(df: DataFrame, keys: list[str], value: str, p: float, name: str, accuracy: int = 10_000) -> DataFrame:
+    """The rule for groups of any size, exactly, without ordering a group.
+
+    Two approximate percentiles on both sides of the wanted rank, which Spark merges from partial sketches,
+    enclose it; only different values between them, a small share, are counted and ordered, and all smaller
+    ones are one count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    sides = [max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)]
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", sides, accuracy).alias("_ends"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = rows.join(ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", "_ends"), same).where(F.col("_v") <= F.col("_ends")[1])
+    counts = placed.groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_ends")[0], F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    run = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    rank = F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n")))
+    return counts.withColumn("_upto", F.sum("_c").over(run)).where((F.col("_upto") > rank) & F.col("_v").isNotNull()).groupBy(*keys).agg(F.min("_v").alias(name))
+
+
+def counted_until(points: DataFrame, at: DataFrame, width: int = 86_400_000_000) -> DataFrame:
+    """(us, upto): for each time of ``at`` (us), the sum of ``points`` (us, c) up to it.
+
+    Sums run inside days, and over the totals of days, so that no window holds all rows.
+    """
+    both = points.select("us", F.col("c").cast("long").alias("c"), F.lit(False).alias("asked")).unionByName(at.select("us", F.lit(0).cast("long").alias("c"), F.lit(True).alias("asked")).distinct())
+    both = both.withColumn("day", F.floor(F.col("us") / F.lit(width)))
+    days = both.groupBy("day").agg(F.sum("c").alias("_d"))
+    before = F.sum("_d").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("day", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("c").over(Window.partitionBy("day").orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_inside", inside).where("asked").join(days, "day").select("us", (F.col("_inside") + F.col("_before")).alias("upto"))
 
 
 def numbered(df: DataFrame, by: list[Column], name: str = "place") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clamp01, hours_between
+from ..functions.stats import clamp01, hours_between, numbered
 from .items import _at
 
 ACTIVE_HOURS = 72
@@ -109,7 +109,7 @@ def score(parts: DataFrame, now) -> DataFrame:
 
 def ranked(scored: DataFrame, top: int | None = None) -> DataFrame:
     """Topics by score, ties to the smaller id, with their rank."""
-    order = Window.orderBy(F.desc("score"), "cluster_id")
-    if top is not None:
-        scored = scored.orderBy(F.desc("score"), "cluster_id").limit(top)
-    return scored.withColumn("rank", F.row_number().over(order))
+    if top is None:
+        return numbered(scored, [F.desc("score"), F.col("cluster_id")], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+    best = scored.orderBy(F.desc("score"), "cluster_id").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "cluster_id")))

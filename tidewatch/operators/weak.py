@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import hours_between, percentile_by, poisson_tail3, upper_percentile
+from ..functions.stats import counted_until, hours_between, percentile_by, poisson_tail3
 from ..functions.terms import relevant
+from ..session import written
 from .items import _at
 
 # Prior credibility by family, its strength, and what catalog events are worth in bits.
@@ -81,12 +82,13 @@ def new_pairs(mentions: DataFrame, days_observed: float) -> DataFrame:
     )
     order = Window.partitionBy("a", "b").orderBy("us", "item_id")
     first = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    # mentions of all entities in the 30 days: running sums over the distinct times, one row for each
-    times = m.groupBy("us").agg(F.count("*").alias("c"))
+    # mentions of all entities in the 30 days, as the difference of two running sums
     total = first.where("na >= 5 and nb >= 5")
-    spans = total.select("us").distinct().withColumnRenamed("us", "at")
-    n_all = spans.join(times, (F.col("us") <= F.col("at")) & (F.col("us") >= F.col("at") - span)).groupBy("at").agg(F.sum("c").alias("n_all"))
-    cand = total.join(n_all, F.col("us") == F.col("at")).drop("at")
+    spans = total.select("us").distinct()
+    upto = counted_until(m.groupBy("us").agg(F.count("*").alias("c")), spans.unionByName(spans.select((F.col("us") - span - 1).alias("us"))))
+    old = upto.select((F.col("us") + span + 1).alias("us"), F.col("upto").alias("old"))
+    n_all = spans.join(upto, "us").join(old, "us").select("us", (F.col("upto") - F.col("old")).alias("n_all"))
+    cand = total.join(n_all, "us")
     surprise = F.log2(F.col("n_all") * F.col("n_all") / (F.col("na") * F.col("nb")))
     cand = cand.withColumn("surprise", surprise).where("surprise >= 3")
     seen = first.select("a", "b", "us")
@@ -119,7 +121,7 @@ def isolated_early(items: DataFrame) -> DataFrame:
 
 
 def decayed_outliers(points: DataFrame, least: int = 200, p: float = 0.95) -> DataFrame:
-    """D6 over ``points`` (grp, item_id, ts, age_h, points): points / (age + 2)^1.8 above the 95th percentile so far.
+    """D6 over ``points`` (grp, item_id, ts, age_h, points): points / (age + 2)^1.8 above the 95th percentile of earlier passes.
 
     Values are taken at ages of 0 to 2 hours with positive points; 200 earlier values and 10 points are needed.
     """
@@ -128,15 +130,22 @@ def decayed_outliers(points: DataFrame, least: int = 200, p: float = 0.95) -> Da
     return out.select("grp", "item_id", "ts", "points", "v", "cut", (4 + 4 * F.log2(F.col("v") / F.col("cut"))).alias("bits"))
 
 
-def _over_history(v: DataFrame, value: str, least: int, p: float, days: int = 14) -> DataFrame:
-    """Rows of ``v`` (grp, item_id, ts, value) that reach the percentile of the group's earlier values.
+def _over_history(v: DataFrame, value: str, least: int, p: float, days: int = 14, pass_hours: int = 24) -> DataFrame:
+    """Rows of ``v`` (grp, item_id, ts, value) that reach the percentile of what the group's earlier passes have left.
 
-    The window's frame is 14 days; ties in time count as earlier by item_id.
+    A pass takes the values of ``pass_hours`` hours and compares them with those of the passes before, as far
+    as these are not older than ``days`` at its end: there is one threshold for a group and pass, over
+    ``least`` values or more. Each value serves the passes of the following days, and percentiles are taken
+    without ordering a group.
     """
-    order = Window.partitionBy("grp").orderBy("ts", "item_id")
-    recent = F.filter(F.collect_list(F.struct("ts", value)).over(order.rowsBetween(Window.unboundedPreceding, -1)), lambda x: F.unix_micros(x["ts"]) >= F.unix_micros(F.col("ts")) - F.lit(days * DAY))
-    hist = F.sort_array(F.transform(recent, lambda x: x[value]))
-    return v.withColumn("h", hist).where(F.size("h") >= least).withColumn("cut", upper_percentile(F.col("h"), p)).drop("h").where(F.col(value) >= F.col("cut"))
+    slot = F.floor(F.unix_micros("ts") / F.lit(pass_hours * 3_600_000_000))
+    serves = F.sequence(F.col("_slot") + 1, F.col("_slot") + days * 24 // pass_hours - 1)
+    v = v.withColumn("_slot", slot)
+    wanted = v.select("grp", "_slot").distinct()
+    past = v.select("grp", value, F.explode(serves).alias("_slot")).join(wanted, ["grp", "_slot"], "left_semi")
+    enough = past.groupBy("grp", "_slot").agg(F.count("*").alias("_k")).where(F.col("_k") >= least).drop("_k")
+    cut = percentile_by(past, ["grp", "_slot"], value, p, "cut").join(enough, ["grp", "_slot"])
+    return v.join(cut, ["grp", "_slot"]).where(F.col(value) >= F.col("cut")).drop("_slot")
 
 
 def growth_map(daily: DataFrame, today) -> DataFrame:
@@ -237,14 +246,20 @@ def pair_edges(mentions: DataFrame) -> DataFrame:
 def nearest_before(vectors: DataFrame, block: int = 512, slot_hours: int = 24) -> DataFrame:
     """(item_id, best, n_before): the highest cosine of each unit vector with strictly earlier ones.
 
-    ``vectors`` is (item_id, ts, v). Vectors are put in blocks of bounded size by time, so that a block meets
-    blocks of its own and earlier times only; each pair of blocks is one matrix product in a task, and only maxima are shuffled.
+    ``vectors`` is (item_id, ts, v). Vectors are put in blocks of bounded size by time, and a block meets the
+    blocks of its own and of each earlier slot, which are listed by number first; each pair of blocks is one
+    matrix product in a task, and only maxima are shuffled.
     """
     keyed = vectors.select("item_id", F.unix_micros("ts").alias("us"), "v").withColumn("slot", F.floor(F.col("us") / F.lit(slot_hours * 3_600_000_000)))
     sizes = keyed.groupBy("slot").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = keyed.join(sizes, "slot").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")))
     blocks = dealt.groupBy("slot", "part").agg(F.collect_list(F.struct("item_id", "us", "v")).alias("rows"))
-    pairs = blocks.alias("q").join(blocks.alias("x"), F.col("x.slot") <= F.col("q.slot")).select(F.col("q.rows").alias("q"), F.col("x.rows").alias("x"))
+    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()))
+    low = blocks.agg(F.min("slot")).first()[0] or 0
+    known = blocks.select("slot", F.col("block").alias("x_block"))
+    listed = blocks.select(F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(low), "slot")).alias("slot")).join(known, "slot").drop("slot")
+    side = lambda n: blocks.select(F.col("block").alias(f"{n}_block"), F.col("rows").alias(n))
+    pairs = listed.join(side("q"), "q_block").join(side("x"), "x_block").select("q", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,9 +275,9 @@ def nearest_before(vectors: DataFrame, block: int = 512, slot_hours: int = 24) -
     return found.groupBy("item_id").agg(F.max("best").alias("best"), F.sum("n").alias("n_before"))
 
 
-def novelty(vectors: DataFrame, least: int = 200, p: float = 0.97) -> DataFrame:
-    """D1: 1 - the best cosine with 200 or more earlier vectors, at or above the 97th percentile of 200 earlier values."""
-    near = nearest_before(vectors).where(F.col("n_before") >= least)
+def novelty(vectors: DataFrame, least: int = 200, p: float = 0.97, slot_hours: int = 24) -> DataFrame:
+    """D1: 1 - the best cosine with 200 or more earlier vectors, at or above the 97th percentile of 200 values of earlier passes."""
+    near = nearest_before(vectors, slot_hours=slot_hours).where(F.col("n_before") >= least)
     v = near.join(vectors.select("item_id", "ts"), "item_id").select(F.lit(1).alias("grp"), "item_id", "ts", (1 - F.col("best")).alias("nov"))
     out = _over_history(v, "nov", least, p)
     bits = 4 + 8 * (F.col("nov") - F.col("cut")) / F.greatest(F.lit(1e-6), 1 - F.col("cut"))

@@ -60,7 +60,8 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.items(spark, sf_dir).select("item_id", F.col("first_seen_at").alias("ts"), F.explode(terms.entities(F.col("text"), LEX)).alias("entity"))
+    """(item_id, ts, entity) of whole titles: pairs of entities are those of one title."""
+    return fixture.items(spark, sf_dir).select("item_id", F.col("first_seen_at").alias("ts"), F.explode(terms.entities(F.col("title"), LEX)).alias("entity"))
 
 
 # text

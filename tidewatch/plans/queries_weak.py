@@ -28,6 +28,10 @@ def sql_e6(c: str) -> str:
     return f"CAST(floor({c} * 1e6 + 0.5) AS BIGINT) AS {c}_e6"
 
 
+def _upct(p: float, v: str) -> str:
+    return f"{v}[CAST(least(len({v}) - 1, floor({p} * len({v}))) AS INTEGER) + 1]"
+
+
 @register("w12_prior_credibility", with_items(f"SELECT DISTINCT family, {SQL_PRIOR} AS cred FROM items"))
 def prior(spark, sf_dir):
     return _cred(fixture.items(spark, sf_dir).select("family").distinct())
@@ -56,7 +60,7 @@ def new_terms(spark, sf_dir):
     return out.select("term", "first_day", "item_id", "families", e6("bits"))
 
 
-SQL_MENTIONS = f"ment AS (SELECT DISTINCT item_id, first_seen_at AS ts, epoch_us(first_seen_at) AS us, unnest({SQL_ENTITIES}) AS entity FROM items)"
+SQL_MENTIONS = f"ment AS (SELECT DISTINCT item_id, first_seen_at AS ts, epoch_us(first_seen_at) AS us, unnest({SQL_ENTITIES.replace('coalesce(text', 'coalesce(title')}) AS entity FROM items)"
 
 
 @register(
@@ -138,9 +142,10 @@ def isolated(spark, sf_dir):
 @register(
     "w6_decayed_outliers",
     f"""WITH v AS (SELECT event_type AS grp, event_id AS item_id, ts, value AS points, (event_id % 120) / 60.0::DOUBLE AS age FROM events WHERE value > 0),
-        d AS (SELECT *, points / pow(age + 2, 1.8) AS v FROM v),
-        h AS (SELECT a.grp, a.item_id, a.points, a.v, list_sort(list(b.v)) AS h FROM d a JOIN d b ON a.grp = b.grp AND (b.ts, b.item_id) < (a.ts, a.item_id) AND epoch_us(b.ts) >= epoch_us(a.ts) - 14 * {DAY_US} GROUP BY 1, 2, 3, 4)
-        SELECT grp, item_id, points, {sql_e6('bits')} FROM (SELECT *, h[CAST(least(len(h) - 1, floor(0.95 * len(h))) AS INTEGER) + 1] AS cut, 4 + 4 * log2(v / h[CAST(least(len(h) - 1, floor(0.95 * len(h))) AS INTEGER) + 1]) AS bits FROM h WHERE len(h) >= 200) WHERE v >= cut AND points >= 10""",
+        d AS (SELECT *, points / pow(age + 2, 1.8) AS v, CAST(ts AS DATE) AS day FROM v),
+        h AS (SELECT s.grp, s.day, list_sort(list(b.v)) AS h FROM (SELECT DISTINCT grp, day FROM d) s JOIN d b ON b.grp = s.grp AND b.day < s.day AND b.day > s.day - 14 GROUP BY 1, 2),
+        c AS (SELECT grp, day, {_upct(0.95, 'h')} AS cut FROM h WHERE len(h) >= 200)
+        SELECT grp, item_id, points, {sql_e6('bits')} FROM (SELECT *, 4 + 4 * log2(v / cut) AS bits FROM d JOIN c USING (grp, day)) WHERE v >= cut AND points >= 10""",
 )
 def outliers(spark, sf_dir):
     e = fixture.events(spark, sf_dir)
@@ -282,10 +287,6 @@ def labels(spark, sf_dir):
     return weak.label_outcomes(signals(spark, sf_dir), *_label_inputs(spark, sf_dir), NOW)
 
 
-def _upct(p: float, v: str) -> str:
-    return f"{v}[CAST(least(len({v}) - 1, floor({p} * len({v}))) AS INTEGER) + 1]"
-
-
 @register(
     "w14_source_stats",
     with_items(
@@ -450,11 +451,11 @@ def briefs(spark, sf_dir):
        SELECT q.item_id, CAST(floor(max(list_inner_product(q.v, x.v)) * 1e6 + 0.5) AS BIGINT) AS best_e6, count(*) AS n_before FROM v q JOIN v x ON x.item_id < q.item_id GROUP BY 1""",
 )
 def nearest(spark, sf_dir):
-    return weak.nearest_before(_vectors(spark, sf_dir)).where("n_before > 0").select("item_id", e6("best"), "n_before")
+    return weak.nearest_before(_vectors(spark, sf_dir), slot_hours=240).where("n_before > 0").select("item_id", e6("best"), "n_before")
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
-    at = F.timestamp_micros(F.unix_micros(F.lit(SINCE).cast("timestamp")) + F.col("vec_id") * 60_000_000)
+    at = F.timestamp_micros(F.unix_micros(F.lit(SINCE).cast("timestamp")) + F.col("vec_id") * 3_600_000_000)
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), at.alias("ts"), F.col("embedding").alias("v"))
 
 
@@ -462,10 +463,12 @@ def _vectors(spark, sf_dir) -> DataFrame:
     "w1_novelty",
     f"""WITH v AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
         b AS (SELECT q.item_id, 1 - max(list_inner_product(q.v, x.v)) AS nov FROM v q JOIN v x ON x.item_id < q.item_id GROUP BY 1 HAVING count(*) >= 200),
-        h AS (SELECT x.item_id, x.nov, list_sort(list(y.nov)) AS h FROM b x JOIN b y ON y.item_id < x.item_id GROUP BY 1, 2 HAVING count(*) >= 200)
-        SELECT item_id, CAST(floor(nov * 1e6 + 0.5) AS BIGINT) AS nov_e6, CAST(floor((4 + 8 * (nov - {_upct(0.97, 'h')}) / greatest(1e-6, 1 - {_upct(0.97, 'h')})) * 1e6 + 0.5) AS BIGINT) AS bits_e6 FROM h WHERE nov >= {_upct(0.97, 'h')}""",
+        d AS (SELECT *, item_id // 24 AS day FROM b),
+        h AS (SELECT s.day, list_sort(list(y.nov)) AS h FROM (SELECT DISTINCT day FROM d) s JOIN d y ON y.day < s.day AND y.day > s.day - 14 GROUP BY 1 HAVING count(*) >= 200),
+        c AS (SELECT day, {_upct(0.97, 'h')} AS cut FROM h)
+        SELECT item_id, CAST(floor(nov * 1e6 + 0.5) AS BIGINT) AS nov_e6, CAST(floor((4 + 8 * (nov - cut) / greatest(1e-6, 1 - cut)) * 1e6 + 0.5) AS BIGINT) AS bits_e6 FROM d JOIN c USING (day) WHERE nov >= cut""",
 )
 def novelty(spark, sf_dir):
-    return weak.novelty(_vectors(spark, sf_dir)).select("item_id", e6("nov"), e6("bits"))
+    return weak.novelty(_vectors(spark, sf_dir), slot_hours=240).select("item_id", e6("nov"), e6("bits"))
 
 
