@@ -440,6 +440,55 @@ def test_ordinal_regression_orders_grades():
     assert toxicity.fit_ordinal([[1]], [0], [1]).cuts == (60.0,)
 
 
+def likelihood(rows, grades, weights, cuts, l2=0.05):
+    """The penalised log likelihood of the cumulative-link model, from its definition."""
+    total = -l2 / 2 * sum(w * w for w in weights)
+    for row, y in zip(rows, grades):
+        at_least = [1.0, *(1 / (1 + math.exp(c - sum(weights[f] for f in row))) for c in cuts), 0.0]
+        total += math.log(at_least[y] - at_least[y + 1])
+    return total
+
+
+def test_ordinal_fit_is_the_maximum():
+    rng = random.Random(7)
+    data = [[f for f in range(4) if rng.random() < 0.4] for _ in range(300)]
+    grades = [min(2, max(0, round(sum((1.5, 1.0, -1.0, 0.0)[f] for f in x) + rng.gauss(0, 1)))) for x in data]
+    m = toxicity.fit_ordinal(data, grades, list(range(4)))
+    best, point = likelihood(data, grades, m.weights, m.cuts), [*m.weights, *m.cuts]
+    for i in range(len(point)):  # no direction of its parameters raises it, and its slope is 0
+        sides = []
+        for step in (-1e-3, 1e-3):
+            moved = list(point)
+            moved[i] += step
+            sides.append(likelihood(data, grades, moved[:4], moved[4:]))
+        assert max(sides) <= best + 1e-6 and abs(sides[1] - sides[0]) / 2e-3 < 0.05
+    for _ in range(200):
+        moved = [x + rng.gauss(0, 0.3) for x in point]
+        if moved[4] < moved[5]:
+            assert likelihood(data, grades, moved[:4], moved[4:]) < best + 1e-6
+
+
+def test_severity_matches_brute_force(spark, docs, texts):
+    model = toxicity.train(docs, toxicity.label_grades(common.read(spark, "/root/testdata/sf0.001", "labels")))
+    weight = dict(zip(model.features, model.weights))
+    got = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
+    for i, t in texts:
+        lowered = "".join(c.lower() if c.isascii() else c for c in t or "")
+        found = re.findall(r"[a-z\u0080-\U0010ffff]+", lowered)
+        feats = {xxhash.xxh64_intdigest(p) % toxicity.DIMENSIONS for w in map(str.encode, found) for p in (w, *(w[:n] + b"-" for n in (4, 5, 6) if len(w) >= n))}
+        p = [1 / (1 + math.exp(min(60, max(-60, c - sum(weight.get(f, 0.0) for f in feats))))) for c in model.cuts]
+        assert abs(got[i].severity - sum(p)) < 1e-9 and got[i].grade == sum(x >= 0.5 for x in p) and got[i].toxic == (p[0] >= toxicity.CUT)
+
+
+def test_search_over_all_bins_at_once():
+    rng = random.Random(2)
+    lengths = [rng.randint(30, 60) for _ in range(120)]
+    for width in (None, 8):
+        bins = packing.pack_lengths(lengths, 100, width)
+        assert sorted(i for b in bins for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
+    assert len(packing.pack_lengths(lengths, 100, None)) <= len(packing.pack_lengths(lengths, 100, 8))
+
+
 def test_held_out_toxicity(spark):
     docs, labels = (common.read(spark, "/root/testdata/sf0.1", x) for x in ("documents", "labels"))
     train, test = labels.where("doc_id % 4 <> 1"), labels.where("doc_id % 4 = 1")

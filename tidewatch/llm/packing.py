@@ -25,8 +25,8 @@ CAPACITY = 4096
 GROUP_ITEMS = 20_000
 #: A bin is closed, and not packed again, when less than this share of it is free.
 OPEN_SHARE = 0.005
-#: Bins of one window of the local search.
-SEARCH_BINS = 48
+#: Bins of one window of the local search; None makes all underfull bins of a group one window.
+SEARCH_BINS: int | None = 48
 #: Words with more bytes are not kept in the cache; the cache has two generations of so many words.
 CACHE_WORD_BYTES, CACHE_WORDS = 64, 300_000
 WORD_END = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=\s|$)")
@@ -171,12 +171,13 @@ class Bins:
                 by_room[r].append(b)
                 used |= 1 << r
 
-    def improve(self, lengths: list[int], bins: int = SEARCH_BINS) -> None:
-        """Search all underfull bins, in windows of ``bins`` by room, until a whole pass empties none."""
+    def improve(self, lengths: list[int], bins: int | None = SEARCH_BINS) -> None:
+        """Search all underfull bins, in windows of ``bins`` (None: all at once) by room, until a whole pass empties none."""
         while True:
             live = sorted((b for b in range(len(self.items)) if self.items[b] and self.room[b]), key=lambda b: (-self.room[b], b))
-            for at in range(0, len(live), bins):
-                self._search(live[at : at + bins], lengths)
+            width = bins or max(1, len(live))
+            for at in range(0, len(live), width):
+                self._search(live[at : at + width], lengths)
             if all(self.items[b] for b in live):
                 return
 
@@ -244,14 +245,14 @@ class Bins:
         return [x for x in self.items if x]
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY, search_bins: int | None = SEARCH_BINS) -> list[list[int]]:
     bins = Bins(capacity)
     bins.best_fit_decreasing(lengths)
-    bins.improve(lengths)
+    bins.improve(lengths, search_bins)
     return bins.placed()
 
 
-def _pack_groups(items: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
+def _pack_groups(items: DataFrame, groups: int, level: int, capacity: int, search_bins: int | None) -> DataFrame:
     """Columns of ``items`` with sequence_id, offset and open; sequence ids hold level, group and bin."""
     allowed = capacity * OPEN_SHARE
 
@@ -260,7 +261,7 @@ def _pack_groups(items: DataFrame, groups: int, level: int, capacity: int) -> Da
         lengths = pdf["length"].tolist()
         base = (level << 48) | (int(pdf["grp"].iloc[0]) << 24)
         seq, offset, is_open = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
-        for b, members in enumerate(pack_lengths(lengths, capacity)):
+        for b, members in enumerate(pack_lengths(lengths, capacity, search_bins)):
             at = 0
             free = capacity - sum(lengths[i] for i in members)
             for i in members:
@@ -274,13 +275,16 @@ def _pack_groups(items: DataFrame, groups: int, level: int, capacity: int) -> Da
     return dealt.groupBy("grp").applyInPandas(run, schema)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, search_bins: int | None = SEARCH_BINS) -> DataFrame:
     """``items`` (a long ``length`` of 1 to ``capacity``, any other columns) with sequence_id and offset.
 
     Each sequence's items lie gapless from offset 0 and sum to at most ``capacity``. Ties and repeated rows
-    are told apart by their place in the written table; an empty table stays empty. Open bins are dealt again
-    while a level saves sequences. Columns named
+    are told apart by their place in the written table; an empty table stays empty. Columns named
     sequence_id, offset, uid, open or grp are replaced. Full items are sequences of their own.
+
+    The search has two bounds: groups of about ``group_items`` pieces are packed each on its own, and exchanges
+    are looked for inside windows of ``search_bins`` underfull bins of a group (None: all of them). All
+    underfull bins are searched, and open bins are dealt again while a level saves sequences.
     """
     drop = [c for c in items.columns if c in ("sequence_id", "offset", "uid", "open", "grp")]
     table = written(items.drop(*drop)).withColumn("uid", F.monotonically_increasing_id())
@@ -289,7 +293,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     rest, level, opened, most = table.where(F.col("length") < capacity), 1, None, None
     while True:
         groups = max(1, -(-rest.count() // group_items))
-        tried = written(_pack_groups(rest, groups, level, capacity))
+        tried = written(_pack_groups(rest, groups, level, capacity, search_bins))
         used = tried.select("sequence_id").distinct().count()
         if most is not None and used >= most:  # this level saves no sequence: the open bins stay as they were
             done = done.unionByName(opened.drop("open"))
