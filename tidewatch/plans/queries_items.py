@@ -451,12 +451,31 @@ def ranked(spark, sf_dir):
     return score.ranked(scored(spark, sf_dir), 20).select("cluster_id", "status", "rank")
 
 
-@register("u11_topic_json")
+@register(
+    "u11_topic_json",
+    with_items(
+        """SELECT cluster_id, CAST(to_json({'cluster_id': cluster_id, 'score': score, 'status': status, 'press_first': press_first}) AS VARCHAR) AS json
+           FROM (SELECT cluster_id, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score, status, press_first FROM scored) ORDER BY score DESC, cluster_id LIMIT 60""",
+        SQL_SCORED,
+    ),
+)
 def topic_json(spark, sf_dir):
-    return sinks.topic_json(scored(spark, sf_dir))
+    return sinks.topic_json(scored(spark, sf_dir).select("cluster_id", F.floor(F.col("score") * 1e6 + 0.5).alias("score"), "status", "press_first"))
+
 
+def _sql_escaped(x: str) -> str:
+    return f"replace(replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
-@register("u12_rss")
+
+@register(
+    "u12_rss",
+    with_items(
+        f"""SELECT cluster_id, '<item><title>' || {_sql_escaped('label')} || '</title><link>' || {_sql_escaped('url')} || '</link><guid>topic-' || cluster_id || '</guid><pubDate>' || strftime(seen, '%Y-%m-%dT%H:%M:%SZ') || '</pubDate></item>' AS xml
+            FROM (SELECT cluster_id, score FROM scored ORDER BY score DESC, cluster_id LIMIT 25)
+            JOIN (SELECT item_id % 100 AS cluster_id, arg_min(title, item_id) AS label, arg_min(url, item_id) AS url, min(first_seen_at) AS seen FROM items GROUP BY 1) USING (cluster_id)""",
+        SQL_SCORED,
+    ),
+)
 def rss(spark, sf_dir):
     m = members(spark, sf_dir).groupBy("cluster_id").agg(F.min_by("title", "item_id").alias("label"), F.min_by("url", "item_id").alias("url"), F.min("first_seen_at").alias("first_seen_at"))
     return sinks.rss_items(scored(spark, sf_dir).select("cluster_id", "score").join(m, "cluster_id"))

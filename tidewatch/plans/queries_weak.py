@@ -307,7 +307,22 @@ def label_credibility(spark, sf_dir):
     return out.select(F.col("source_id").alias("source"), "flagged", "confirmed", "cred")
 
 
-@register("w15_budget")
+_OWN = "list_filter(['k' || ns || '/' || key, 't' || cluster_id, 'e' || lower(entity)], lambda x: x IS NOT NULL)"
+
+
+@register(
+    "w15_budget",
+    f"""WITH RECURSIVE {SQL_SIGNALS},
+        pk AS (SELECT *, CAST(detected_at AS DATE) AS day FROM sig WHERE signal_id % 500 = 0 AND CAST(detected_at AS DATE) >= CAST({_T} - INTERVAL 72 HOUR AS DATE)),
+        cand AS (SELECT signal_id, score, {_OWN} AS own, row_number() OVER (ORDER BY score DESC, signal_id) AS rn FROM sig
+                 WHERE detected_at >= {_T} - INTERVAL 24 HOUR AND detected_at <= {_T} AND score IS NOT NULL AND signal_id % 500 <> 0 ORDER BY rn LIMIT 400),
+        g AS (SELECT CAST(0 AS BIGINT) AS rn, (SELECT coalesce(flatten(list({_OWN})), CAST([] AS VARCHAR[])) FROM pk) AS blocked, CAST(20 - (SELECT count(*) FROM pk WHERE day = CAST({_T} AS DATE)) AS BIGINT) AS room,
+                     CAST(0 AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS signal_id
+              UNION ALL
+              SELECT rn, CASE WHEN ok THEN list_concat(blocked, own) ELSE blocked END, room - CAST(ok AS BIGINT), pick + CAST(ok AS BIGINT), CASE WHEN ok THEN signal_id END
+              FROM (SELECT c.rn, c.own, c.signal_id, g.blocked, g.room, g.pick, g.room > 0 AND NOT list_has_any(g.blocked, c.own) AS ok FROM g JOIN cand c ON c.rn = g.rn + 1))
+        SELECT signal_id, CAST(pick AS INTEGER) AS pick, CAST(score AS DOUBLE) AS score FROM g JOIN cand USING (signal_id)""",
+)
 def budget(spark, sf_dir):
     s = signals(spark, sf_dir).withColumn("score", F.col("score").cast("double"))
     picked = s.where("signal_id % 500 = 0").withColumn("day", F.to_date("detected_at"))
