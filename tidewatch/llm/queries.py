@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, quality, token_counts, topk, toxicity, url_filters, warc
+from . import langid, mixing, neardup, packing, quality, resampling, token_counts, topk, toxicity, url_filters, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -203,3 +203,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: DuckDB: the words of a lower-cased text for operators 11 and 13.
+SQL_TERMS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+#: DuckDB: CRC-32 of a column ``w``, byte by byte, from a table that follows from its polynomial.
+SQL_CRC_TABLE = "crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
+SQL_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, CAST(strlen(w) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(t[CAST(xor(c, x) & 255 AS INTEGER) + 1], c >> 8)))"
+
+
+@query(
+    "op13_target_resampling",
+    rf"""
+    WITH {SQL_CRC_TABLE},
+    d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS k, {SQL_TERMS} AS w FROM documents),
+    b AS MATERIALIZED (SELECT {SQL_TERMS} AS w FROM benchmark),
+    e AS MATERIALIZED (SELECT k, unnest(w) AS w FROM d),
+    f AS MATERIALIZED (SELECT unnest(w) AS w FROM b),
+    h AS MATERIALIZED (SELECT w, {SQL_CRC} % 10000 AS bucket FROM (SELECT w FROM e UNION SELECT w FROM f), crc),
+    s AS (SELECT bucket, count(*) AS s FROM e JOIN h USING (w) GROUP BY 1),
+    t AS (SELECT bucket, count(*) AS t FROM f JOIN h USING (w) GROUP BY 1),
+    n AS (SELECT (SELECT count(*) FROM e)::DOUBLE AS s_all, (SELECT count(*) FROM f)::DOUBLE AS t_all),
+    g AS (
+        SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS gain
+        FROM s FULL JOIN t USING (bucket), n),
+    m AS (SELECT k, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM e JOIN h USING (w) JOIN g USING (bucket) GROUP BY k),
+    x AS (
+        SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+               CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+        FROM d LEFT JOIN m USING (k)),
+    y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place FROM y)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM r WHERE n_features >= 20) // 100 THEN place END AS rank FROM r
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
