@@ -6,11 +6,12 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from test_operators import ODD, odd
-from tidewatch.llm import common, resampling
+from tidewatch.llm import common, resampling, vector_codes
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -87,3 +88,86 @@ def test_draw_of_odd_rows(spark, docs):
 def test_scoring_explodes_nothing(docs):
     plan = resampling.scored(docs, np.zeros(10_000, np.int64))._jdf.queryExecution().toString()
     assert not re.search("Generate|Exchange|Python|Arrow", plan)
+
+
+# 12 vector codes
+
+
+def codes_brute(vectors, scale=1024, parts=4, entries=256, rounds=4):
+    """Rows (id, label, code, error, label error) and the digest, with Python integers and every distance."""
+    kept = [(i, lab, [math.floor(Fraction(x) * scale) for x in v]) for i, v, lab in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    width = -(-max((len(v) for *_, v in kept), default=0) // parts)
+    kept = [(i, lab, v + [0] * (parts * width - len(v))) for i, lab, v in kept]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[cut(v, p) for *_, v in kept[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+
+    def assign():
+        return [[min(range(len(books[p])), key=lambda e: (far(cut(v, p), books[p][e]), e)) for p in range(parts)] for *_, v in kept]
+
+    for _ in range(rounds):
+        at = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [cut(v, p) for (*_, v), a in zip(kept, at) if a[p] == e]
+                if own:
+                    books[p][e] = [sum(c) // len(own) for c in zip(*own)]
+    out = []
+    for (i, lab, v), a in zip(kept, assign()):
+        out.append((i, lab, bytes(a).hex(), min(sum(far(cut(v, p), books[p][a[p]]) for p in range(parts)), 2**63 - 1)))
+    sums = {lab: min(sum(r[3] for r in out if r[1] == lab), 2**63 - 1) for _, lab, *_ in out}
+    return sorted(((i, c, e, sums[lab]) for i, lab, c, e in out), key=str), hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+
+
+def coded(df):
+    rows = df.collect()
+    assert len({r["codebooks_sha256"] for r in rows}) <= 1
+    return sorted(((r["vec_id"], r["code"], r["error"], r["label_error"]) for r in rows), key=str), rows[0]["codebooks_sha256"]
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, code int, v string"
+
+
+@pytest.mark.parametrize("size", [1.0, 1e5, 1e160, 1e305])
+def test_codes_match_brute_force(spark, size):
+    rng = np.random.default_rng(12)
+    vectors = [(i, (size * rng.normal(size=10)).tolist(), None if i % 7 == 0 else i % 3) for i in range(90)]
+    vectors += [(200, None, 1), (201, [1.0, None], 1), (202, [float("nan")], 1), (203, [-float("inf")] * 10, 1), (204, [0.5], 1), (205, [], 2), (None, [1.0] * 10, 2)]
+    vectors += [(3, vectors[3][1], 0)] * 5 + [(300 + i, [0.25, -0.25] * 5, 2) for i in range(40)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in vectors], VECTORS)
+    got = vector_codes.compress(df.repartition(3), entries=16, rounds=3, bits=2)
+    assert coded(got) == codes_brute(vectors, entries=16, rounds=3)
+
+
+def test_codes_of_few_and_no_vectors(spark):
+    few = [(1, [0.5, -0.5], 1), (2, [0.5, 0.75], 1)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in few], VECTORS)
+    assert coded(vector_codes.compress(df)) == codes_brute(few)
+    assert vector_codes.compress(df.limit(0)).count() == 0
+    assert vector_codes.compress(df.drop("label")).first()["label_error"] == sum(r[2] for r in codes_brute(few)[0])
+
+
+def test_filter_spares_distances():
+    rng = np.random.default_rng(5)
+    entries, q = rng.integers(-200, 200, (256, 16)), rng.integers(-200, 200, (1000, 16))
+
+    class Work:
+        n = 0
+
+        def add(self, x):
+            self.n += x
+
+    work, every = Work(), ((q[:, None] - entries[None]) ** 2).sum(2)
+    book = vector_codes.Approximations(entries)
+    lower, upper = book.bounds(q)
+    assert (lower <= every).all() and (upper >= every).all()
+    entry, error = book.nearest(q, work)
+    assert (entry == every.argmin(1)).all() and (error == every.min(1)).all()
+    assert work.n < 0.05 * every.size, work.n
+
+
+def test_a_large_label_meets_its_sum_in_groups(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else 1, "00", 2**62) for i in range(50)], "vec_id long, label int, code string, error long")
+    got = {(r["label"], r["label_error"]) for r in vector_codes.with_label_errors(rows).collect()}
+    assert got == {(None, 2**63 - 1), (1, 2**63 - 1)} and vector_codes.with_label_errors(rows).count() == 50

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, quality, resampling, token_counts, topk, toxicity, url_filters, warc
+from . import langid, mixing, neardup, packing, quality, resampling, token_counts, topk, toxicity, url_filters, vector_codes, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -205,6 +205,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def _sql_codes(rounds: int) -> str:
+    """DuckDB: codebooks round by round, with distances as |q|^2 - 2 qc + |c|^2 of whole doubles."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+    n{r} AS MATERIALIZED (
+        SELECT k, part, any_value(q) AS q, arg_min(entry, (list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c), entry)) AS entry,
+               min(list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c)) AS d
+        FROM p JOIN c{r} USING (part) GROUP BY k, part)""")
+        if r < rounds:
+            steps.append(f"""
+    m{r} AS (SELECT part, entry, list(x ORDER BY i) AS c FROM (
+        SELECT part, entry, i, floor(sum(q[i]) / count(*)) AS x FROM n{r}, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(q) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (part, entry))""")
+    return ",".join(steps)
+
+
+@query(
+    "op12_vector_codes",
+    f"""
+    WITH x AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS k, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+    p AS MATERIALIZED (SELECT k, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS q FROM x, range(4) t(part)),
+    c0 AS MATERIALIZED (SELECT part, k - 1 AS entry, q AS c FROM p WHERE k <= {vector_codes.ENTRIES}),{_sql_codes(vector_codes.ROUNDS)},
+    b AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+          FROM (SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS i FROM c{vector_codes.ROUNDS})),
+    f AS (SELECT k, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{vector_codes.ROUNDS} GROUP BY k)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM x JOIN f USING (k), b
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 #: DuckDB: the words of a lower-cased text for operators 11 and 13.
 SQL_TERMS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 #: DuckDB: CRC-32 of a column ``w``, byte by byte, from a table that follows from its polynomial.
