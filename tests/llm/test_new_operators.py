@@ -11,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from test_operators import ODD, odd
-from tidewatch.llm import common, resampling, vector_codes
+from tidewatch.llm import common, license_scan, resampling, vector_codes
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -171,3 +171,86 @@ def test_a_large_label_meets_its_sum_in_groups(spark):
     rows = spark.createDataFrame([(i, None if i % 5 == 0 else 1, "00", 2**62) for i in range(50)], "vec_id long, label int, code string, error long")
     got = {(r["label"], r["label_error"]) for r in vector_codes.with_label_errors(rows).collect()}
     assert got == {(None, 2**63 - 1), (1, 2**63 - 1)} and vector_codes.with_label_errors(rows).count() == 50
+
+
+# 11 license scans
+
+RULES = license_scan.parse(license_scan.RULES)
+
+
+def example(regex):
+    """A shortest text of a rule: no optional part, the first alternative and letter."""
+    regex = re.sub(r"\[(\w)\w*\]", r"\1", regex.replace("[^ ]+", "x"))
+    while True:
+        now = re.sub(r"\(\?:([^()]*)\)(\?|\{0,\d+\})", "", regex)
+        now = re.sub(r"\(\?:([^()|]*)(\|[^()]*)?\)(?![?{])", r"\1", now)
+        if now == regex:
+            return re.sub(r"[a-z]\?", "", regex)
+        regex = now
+
+
+def scan_brute(text, rules=RULES, phrases=license_scan.PHRASES):
+    """No gates, all pairs of detections compared, words found by another expression."""
+    words = terms(text)
+    joined = "".join(f" {w}" for w in words) + " "
+    word_at = {m.start() + 1: i for i, m in enumerate(re.finditer(" ", joined))}
+    places = [(i, label) for p, label in phrases for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    hits = []
+    for k, r in enumerate(rules):
+        for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", joined):
+            hits.append((r.priority, word_at[m.start()], -word_at[m.end() + 1] + 1, k))
+    kept = []
+    for p, a, z, k in sorted(hits):
+        if not any(b <= a and -y >= -z for _, b, y, _ in kept):
+            kept.append((p, a, z, k))
+    base = {label for _, label in places}
+    score = max([license_scan.PHRASE_WEIGHT] * bool(places) + [license_scan.KINDS[rules[k].kind] for *_, k in kept], default=0.0)
+    at = [i for i, _ in places]
+    both = ",".join(sorted(base | {rules[k].label for *_, k in kept}))
+    return (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), both, score)
+
+
+def scanned(df):
+    return [tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) for r in df.collect()]
+
+
+def test_every_rule_is_alive_and_gated_by_what_it_needs():
+    assert len(RULES) > 300 and len({r.label for r in RULES}) > 60
+    scanner = license_scan.Scanner(RULES)
+    for r in RULES:
+        assert r.gate, r
+        text = example(r.regex)
+        assert re.fullmatch(r.regex, text), (r.regex, text)
+        assert r.label in scanner.scan(f"foo {text} bar".encode())["labels"].split(","), r
+
+
+def test_scan_matches_brute_force(spark, docs):
+    rng = np.random.default_rng(11)
+    texts = [t for _, t in texts_of(docs)] + [r[1] for r in ODD]
+    filler = "the of under license licensed version 2 0 3 gnu general public by nc cc mit apache or later rights free".split()
+    for _ in range(400):  # expressions of several rules, cut, joined and mixed with their words
+        parts = [example(RULES[rng.integers(len(RULES))].regex).split() for _ in range(rng.integers(1, 5))]
+        parts = [p[rng.integers(0, 2) :] if rng.random() < 0.2 else p for p in parts]
+        words = [w for p in parts for w in p + rng.choice(filler, rng.integers(0, 3)).tolist()]
+        texts.append("".join(w.upper() * (k % 3 == 0) + w * (k % 3 > 0) + str(rng.choice([" ", "-", ", ", "\n", "_"])) for k, w in enumerate(words)))
+    texts += ["cc by nc " * 3000, "Under the MIT License Apache License, Version 2 CC-BY-NC", "under the mit", "gnu lesser general public license version 2.1 " * 40, "\u00e9mit license mit licen\u00e7e"]
+    df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, labels string, score double")
+    got = scanned(license_scan.scan(df).orderBy("doc_id"))
+    for t, g in zip(texts, got):
+        assert g == scan_brute(t), (t, g)
+    assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_weaker_and_inner_detections_are_suppressed():
+    scan = license_scan.Scanner(RULES).scan
+    assert scan(b"Licensed under the GNU Lesser General Public License, version 2.1 or later.")["labels"] == "lgpl-2.1"
+    assert scan(b"SPDX-License-Identifier: GPL-3.0-or-later")["detections"] == [{"label": "gpl-3", "kind": "tag", "first_word": 0, "last_word": 7}]
+    assert scan(b"CC BY-NC-SA 4.0")["labels"] == "cc-by-nc,cc-by-nc-sa"  # the phrase stays
+    assert scan(b"GPLv2 and MIT License. All rights reserved.")["labels"] == "all-rights-reserved,gpl-2,mit"
+    assert scan(b"an apache and a mit gnu version of public things")["labels"] == ""
+
+
+def test_own_rules(spark, docs):
+    df = spark.createDataFrame([(1, "Use it, Foo Bar 2!"), (None, None)], "doc_id long, text string")
+    got = license_scan.scan(df, "foo name foo bar\nfoo-2 name foo bar <v>2", ()).collect()
+    assert [(r["doc_id"], r["labels"], len(r["detections"])) for r in got] == [(1, "foo-2", 1), (None, "", 0)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, quality, resampling, token_counts, topk, toxicity, url_filters, vector_codes, warc
+from . import langid, license_scan, mixing, neardup, packing, quality, resampling, token_counts, topk, toxicity, url_filters, vector_codes, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -205,6 +205,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op11_license_scans")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents")).drop("detections")
+
+
 def _sql_codes(rounds: int) -> str:
     """DuckDB: codebooks round by round, with distances as |q|^2 - 2 qc + |c|^2 of whole doubles."""
     steps = []
