@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import time
 from pathlib import Path
 
@@ -259,36 +260,93 @@ def test_leaders_and_links(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 3}
 
 
-def leaders_brute(rows):
-    """Leader clustering as one ordered pass over all items."""
-    known, out = [], {}  # topics as [id, sum, members, addresses]
+def leaders_brute(rows, active=72 * 3600, member=96 * 3600):
+    """Leader clustering as one ordered pass over all items; times in seconds."""
+    home = re.compile(r"https://(news\.ycombinator\.com|huggingface\.co|github\.com|bsky\.app|x\.com)/?")
+    known, links, out = [], {}, {}  # topics as [id, sum, members, last], addresses as (topic, time)
     for i, at, kind, url, v in sorted(rows, key=lambda r: (r[1], r[0])):
         v, thr = np.array(v), 0.74 if kind == "PAPER" else 0.62
-        own = next((t for t in known if url is not None and url in t[3]), None)
+        url = None if url is None or home.fullmatch(url) else url
+        own, seen = links.get(url, (None, 0))
+        if own is not None and seen < at - active:
+            own = None
         if own is None:
-            near = sorted(((float(t[1] @ v / max(np.linalg.norm(t[1]), 1e-12)), -t[0], t) for t in known), key=lambda x: (-x[0], x[1]))
-            own = next((t for cos, _, t in near if cos >= thr - 0.06 and max(m @ v for m in t[2]) >= thr), None)
+            near = sorted(((float(t[1] @ v / max(np.linalg.norm(t[1]), 1e-12)), k, t) for k, t in enumerate(known) if t[3] >= at - active), key=lambda x: (-x[0], x[1]))
+            own = next((t for cos, _, t in near if cos >= thr - 0.06 and max((m @ v for m, s in t[2] if s >= at - member), default=0) >= thr), None)
         if own is None:
-            own = [i, np.zeros(len(v)), [], set()]
+            own = [i, np.zeros(len(v)), [], at]
             known.append(own)
         own[1] = own[1] + v
-        own[2].append(v)
-        if url is not None and not any(url in t[3] for t in known):
-            own[3].add(url)
+        own[2].append((v, at))
+        own[3] = at
+        if url is not None:
+            links[url] = (own, at)
         out[i] = own[0]
     return out
 
 
-def test_leaders_by_component_are_those_of_one_pass(spark):
+def placed_items(spark, rows):
+    df = spark.createDataFrame(rows, "item_id long, s long, kind string, url_canon string, v array<double>")
+    return df.select("item_id", F.timestamp_seconds("s").alias("evt_at"), "kind", "url_canon", "v")
+
+
+@pytest.mark.parametrize("hours, at_once", [(0.02, 4096), (0.02, 9), (72, 4096), (72, 20), (None, 25)])
+def test_leaders_by_component_and_pass_are_those_of_one_pass(spark, monkeypatch, hours, at_once):
+    monkeypatch.setattr(topics, "SMALL", 6)
+    monkeypatch.setattr(topics, "BLOCK", 32)
+    monkeypatch.setattr(topics, "SENT", 64)
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(12, 8))
     rows = []
-    for i in range(220):
+    for i in range(260):
         v = centre[rng.integers(12)] + rng.normal(size=8) * 0.75
-        rows.append((i, int(rng.integers(100)), "PAPER" if i % 4 == 0 else "STORY", f"u{rng.integers(60)}" if i % 3 == 0 else None, (v / np.linalg.norm(v)).tolist()))
-    df = spark.createDataFrame(rows, "item_id long, s long, kind string, url_canon string, v array<double>").select("item_id", F.timestamp_seconds("s").alias("evt_at"), "kind", "url_canon", "v")
-    got = {r.item_id: r.cluster_id for r in topics.leader_clusters(df).collect()}
-    assert got == leaders_brute(rows) and 5 < len(set(got.values())) < 120
+        url = f"https://a.b/{rng.integers(60)}" if i % 3 == 0 else "https://github.com/" if i % 3 == 1 else None
+        rows.append((i, int(rng.integers(1000)), "PAPER" if i % 4 == 0 else "STORY", url, (v / np.linalg.norm(v)).tolist()))
+    scale = 1 if hours == 0.02 else 400  # a window of 72 s in 1,000, or of 72 hours in 111
+    rows = [(i, s * scale, *r) for i, s, *r in rows]
+    member = None if hours is None else hours * 4 / 3
+    got = {r.item_id: r.cluster_id for r in topics.leader_clusters(placed_items(spark, rows), hours, member, at_once).collect()}
+    want = leaders_brute(rows) if hours == 72 else leaders_brute(rows, 1e18, 1e18) if hours is None else leaders_brute(rows, hours * 3600, member * 3600)
+    assert got == want and 5 < len(set(got.values())) < 200
+
+
+def test_home_pages_make_no_topic(spark):
+    rows = [(i, i, "STORY", "https://github.com/", [float(i == k) for k in range(3)]) for i in range(3)]
+    assert {r.item_id: r.cluster_id for r in topics.leader_clusters(placed_items(spark, rows)).collect()} == {0: 0, 1: 1, 2: 2}
+    rows = [(i, s, k, "https://github.com/a", v) for i, s, k, _, v in rows] + [(7, 9 * 86400, "STORY", "https://github.com/a", [1.0, 1.0, 1.0])]
+    assert {r.item_id: r.cluster_id for r in topics.leader_clusters(placed_items(spark, rows)).collect()} == {0: 0, 1: 0, 2: 0, 7: 7}
+    assert topics.leader_clusters(placed_items(spark, rows).limit(0)).count() == 0
+
+
+def test_bounds_on_the_rest_end_most_products(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 64)) * np.exp(-np.arange(64) / 20)[rng.permutation(64)]
+    x[300:] = x[:300] + 0.2 * rng.normal(size=(300, 64))
+    x[np.abs(x) < 0.15] = 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "item_id long, v array<double>")
+    sparse = df.select(F.col("item_id").alias("id"), F.lit(0).alias("slot"), F.lit(0).alias("part"), F.size("v").alias("cells"), F.expr("filter(sequence(0, 63), i -> v[i] <> 0)").alias("pos"), F.expr("filter(v, x -> x <> 0)").alias("val"))
+    order, first = topics._cell_order(sparse, 0.8)
+    assert sorted(order) == list(range(64)) and 0 < first < 64
+
+    class Work:
+        all = done = 0
+
+        def add(self, x):
+            self.all, self.done = self.all + x[0], self.done + x[1]
+
+    packed = topics._packed(sparse.toPandas()).assign(number=0).to_dict("records")[0]
+    work, block = Work(), topics.Block(packed)
+    pairs = topics.forest(block, block, 0.8, order, first, work)
+    want = np.arange(600)
+    for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.8, 1))):
+        want[want == max(want[a], want[b])] = min(want[a], want[b])
+    got = np.arange(600)
+    for a, b in pairs:
+        low, high = sorted((got[a], got[b]))
+        got[got == high] = low
+    assert (got == want).all() and len(pairs) == 600 - len(set(want)) > 100
+    assert work.done < 0.75 * work.all, (work.done, work.all)
 
 
 def test_components_by_labels(spark):

@@ -10,8 +10,8 @@ from ..operators import catalog, press, topics
 from ..registry import register
 from ..session import table
 from . import fixture
-from .fixture import NOW, with_items
-from .queries_items import _T, LEX, SQL_ENTITIES, members
+from .fixture import NOW, SQL_ITEMS, with_items
+from .queries_items import _T, LEX, SQL_ENTITIES, members, sql_name
 
 # catalogs: keys are customers, catalogs their orders' status, states two dates of the orders
 
@@ -100,7 +100,7 @@ def pending(spark, sf_dir):
 @register(
     "c5_link_joins",
     with_items(
-        r"""SELECT n.item_id, k.cluster_id, 1.0::DOUBLE AS sim FROM items n JOIN (SELECT url_canon, min(item_id % 100) AS cluster_id FROM items WHERE item_id % 3 = 0 AND url_canon IS NOT NULL AND NOT regexp_matches(url_canon, '^https://[^/]+/?$') GROUP BY 1) k
+        f"""SELECT n.item_id, k.cluster_id, 1.0::DOUBLE AS sim FROM items n JOIN (SELECT url_canon, min(item_id % 100) AS cluster_id FROM items WHERE item_id % 3 = 0 AND url_canon IS NOT NULL AND NOT regexp_matches(url_canon, '{topics.HOME}') GROUP BY 1) k
             ON n.url_canon = k.url_canon WHERE n.item_id % 3 = 1"""
     ),
 )
@@ -116,11 +116,30 @@ def hashed(spark, sf_dir) -> DataFrame:
 
 @register("c6_leader_clusters")
 def leaders(spark, sf_dir):
-    """All items as one active set, with their addresses."""
+    """All items in their order, with their addresses."""
     return topics.leader_clusters(hashed(spark, sf_dir)).select("item_id", "cluster_id")
 
 
-@register("c6_threshold_topics")
+#: (item_id, i, x): cells of the clustering texts' hashed vectors that aren't zero, before division by their length.
+SQL_CELLS = rf"""
+ct AS (SELECT item_id, trim(CASE WHEN head = '' OR starts_with(lower(head), lower(substr(title, 1, 40))) THEN title ELSE title || '. ' || head END, ' ') AS ct
+       FROM (SELECT item_id, title, substr(coalesce(text, ''), 1, 200) AS head FROM items)),
+gram AS (SELECT item_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || '_' || p[2]) ELSE [] END)) AS g
+         FROM (SELECT item_id, list_filter(string_split({sql_name('ct')}, ' '), lambda t: t <> '') AS w FROM ct)),
+hashes AS MATERIALIZED (SELECT g, list_reduce(list_transform(string_split(g, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM (SELECT DISTINCT g FROM gram)),
+cells AS MATERIALIZED (SELECT item_id, h % 512 AS i, sum(CASE WHEN (h >> 31) = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM gram JOIN hashes USING (g) GROUP BY 1, 2 HAVING sum(CASE WHEN (h >> 31) = 1 THEN 1 ELSE -1 END) <> 0)"""
+
+
+@register(
+    "c6_threshold_topics",
+    "WITH RECURSIVE " + SQL_ITEMS + "," + SQL_CELLS + f""",
+    len AS (SELECT item_id, sum(x * x) AS n FROM cells GROUP BY 1),
+    dots AS (SELECT a.item_id AS a, b.item_id AS b, sum(a.x * b.x) AS d FROM cells a JOIN cells b ON a.i = b.i AND a.item_id < b.item_id GROUP BY 1, 2),
+    link AS MATERIALIZED (SELECT a, b FROM dots JOIN len x ON x.item_id = a JOIN len y ON y.item_id = b WHERE d / sqrt(x.n * y.n) >= {terms.JOIN}::DOUBLE),
+    both_ways AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+    r AS (SELECT item_id AS id, item_id AS reached FROM items UNION SELECT r.id, b FROM r JOIN both_ways ON a = reached)
+    SELECT id AS item_id, min(reached) AS cluster_id FROM r GROUP BY id""",
+)
 def threshold(spark, sf_dir):
     return topics.threshold_topics(hashed(spark, sf_dir))
 
