@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,12 +81,45 @@ def hours_between(late: Column, early: Column) -> Column:
     return (F.unix_micros(late) - F.unix_micros(early)) / F.lit(3.6e9)
 
 
+#: Neighbours from which a node counts as a hub; nodes of a block, and hubs whose links are multiplied at once.
+HUB, NODES, HUBS = 64, 1024, 4096
+
+
 def adamic_adar(edges: DataFrame) -> DataFrame:
-    """(a, b, score) of all pairs a < b with common neighbours: the sum of 1 / ln(degree) over those of degree above 1."""
+    """(a, b, score) of all pairs a < b with common neighbours: the sum of 1 / ln(degree) over those of degree above 1.
+
+    Pairs of a node's few neighbours are listed. A hub's would be too many, so links to hubs are products of
+    blocks: a task adds up what two blocks of nodes have in common over many hubs, and gives each pair once.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    weight = both.groupBy("b").agg(F.count("*").alias("deg")).where("deg > 1").select("b", (1 / F.log("deg")).alias("w"))
-    near = both.join(weight, "b")
-    return (
-        near.alias("x").join(near.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.a") < F.col("y.a")))
-        .groupBy(F.col("x.a").alias("a"), F.col("y.a").alias("b")).agg(F.sum("x.w").alias("score"))
-    )
+    weight = both.groupBy("b").agg(F.count("*").alias("deg")).where("deg > 1").select("b", "deg", (1 / F.log("deg")).alias("w"))
+    near = written(both.join(weight, "b"))
+    few, kind = near.where(F.col("deg") < HUB), near.schema["a"].dataType.simpleString()
+    listed = few.alias("x").join(few.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.a") < F.col("y.a"))).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.w").alias("w"))
+
+    many = near.where(F.col("deg") >= HUB)
+    n_hubs, n_nodes = many.agg(F.approx_count_distinct("b"), F.approx_count_distinct("a")).first()
+    parts, chunks = 1 + n_nodes // NODES, 1 + n_hubs // HUBS
+    placed = many.select("a", "b", "w", F.pmod(F.xxhash64("a"), F.lit(parts)).alias("part"), F.pmod(F.xxhash64("b", F.lit(1)), F.lit(chunks)).alias("chunk"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        names, node = np.unique(pdf["a"].to_numpy(), return_inverse=True)
+        hubs, hub = np.unique(pdf["b"].to_numpy(), return_inverse=True)
+        w = np.zeros(len(hubs))
+        w[hub] = pdf["w"].to_numpy()
+        part = np.zeros(len(names), np.int64)
+        part[node] = pdf["part"].to_numpy()
+        links = np.zeros((len(names), len(hubs)))
+        links[node, hub] = 1.0
+        rows, cols = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        common = (links[rows] * w) @ links[cols].T
+        i, j = np.nonzero(common)
+        a, b = names[rows[i]], names[cols[j]]
+        # inside a block each pair is met from both sides
+        keep = (a < b) if low == high else np.ones(len(a), bool)
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "w": common[i, j][keep]})
+
+    met = other.groupBy("chunk", "low", "high").applyInPandas(meet, f"a {kind}, b {kind}, w double")
+    return listed.unionByName(met).groupBy("a", "b").agg(F.sum("w").alias("score"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,23 +71,73 @@ def relevant(source: Column, title: Column, text: Column, lex: Lexicon) -> Colum
     return F.coalesce(own, F.lit(False)) | head.rlike(bounded(lex.keywords))
 
 
+class Matcher:
+    """One automaton of all aliases of all entities: its time depends on the text and the hits, not on their number."""
+
+    def __init__(self, entities: tuple[tuple[str, str, tuple[str, ...]], ...]):
+        self.names = [name for name, *_ in entities]
+        of: dict[str, set[int]] = {}
+        for k, (name, _, aliases) in enumerate(entities):
+            for alias in (name, *aliases):
+                of.setdefault(alias.lower(), set()).add(k)
+        self.automaton = ahocorasick.Automaton()
+        for alias, which in of.items():
+            if alias:
+                self.automaton.add_word(alias, (len(alias), tuple(which)))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def found(self, text: str | None) -> list[str]:
+        """Names of the entities in a lower-case text, in the lexicon's order: an alias counts between characters that are neither
+        letters nor digits."""
+        if not text or not len(self.automaton):
+            return []
+        hits: set[int] = set()
+        for end, (size, which) in self.automaton.iter(text):
+            if hits.issuperset(which):
+                continue
+            begin = end + 1 - size
+            if not (begin and text[begin - 1].isalnum()) and not (end + 1 < len(text) and text[end + 1].isalnum()):
+                hits.update(which)
+        return [self.names[k] for k in sorted(hits)]
+
+
+@lru_cache(maxsize=8)
+def matcher(entities: tuple[tuple[str, str, tuple[str, ...]], ...]) -> Matcher:
+    return Matcher(entities)
+
+
 def entities(text: Column, lex: Lexicon) -> Column:
-    """Names of the lexicon's entities in a text, in its order: one literal test for each, no join."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(t.rlike(bounded((name, *aliases), NAME_CHARS)), F.lit(name)) for name, _, aliases in lex.entities]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    """Names of the lexicon's entities in a text, in its order; none for null."""
+    known = lex.entities
+
+    @F.pandas_udf("array<string>")
+    def of(low: pd.Series) -> pd.Series:
+        return low.map(matcher(known).found)
+
+    return of(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def tokens(title: Column, lex: Lexicon) -> Column:
-    stop = F.lit(list(lex.stop))
-    return F.filter(F.split(norm_name(title), " "), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
+def kept_words(norm: str, stop: frozenset[str]) -> list[str]:
+    """Words of a normalised text that are longer than two characters, no stop words and no numbers."""
+    return [w for w in norm.split() if len(w) > 2 and w not in stop and not w.isdigit()]
 
 
 def terms(title: Column, lex: Lexicon) -> Column:
     """Entities with a leading @, then pairs of neighbouring kept words; each once."""
-    kept = tokens(title, lex)
-    pairs = F.transform(F.array(kept), lambda k: F.transform(F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(k, i), w)))[0]
-    return F.array_distinct(F.concat(F.transform(entities(title, lex), lambda e: F.concat(F.lit("@"), e)), pairs))
+    known, stop = lex.entities, frozenset(lex.stop)
+
+    @F.pandas_udf("array<string>")
+    def of(norm: pd.Series, low: pd.Series) -> pd.Series:
+        find = matcher(known).found
+
+        def one(n: str, text: str) -> list[str]:
+            words = kept_words(n, stop)
+            return list(dict.fromkeys([*(f"@{e}" for e in find(text)), *map(" ".join, zip(words, words[1:]))]))
+
+        return pd.Series(list(map(one, norm, low)), dtype=object)
+
+    return of(norm_name(title), F.lower(F.coalesce(title, F.lit(""))))
 
 
 def title_words(title: Column) -> Column:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import hours_between, percentile_by
+from ..functions.stats import hours_between, numbered, percentile_by
 from .items import _at
+from .joins import as_of
 
 HORIZONS = (24, 48, 72)
 
 
 def record_detections(scores: DataFrame) -> DataFrame:
     """(cluster_id, first_seen_at, first_score, best_rank, best_score) from (cluster_id, computed_at, score): ranks within each pass."""
-    order = Window.partitionBy("computed_at").orderBy(F.desc("score"), "cluster_id")
-    r = scores.withColumn("rank", F.row_number().over(order))
+    # places over all passes, less the place at which the pass begins: no pass is ordered in one task
+    placed = numbered(scores, [F.col("computed_at").asc(), F.desc("score"), F.col("cluster_id").asc()])
+    begin = placed.groupBy("computed_at").agg(F.min("place").alias("begin"))
+    r = placed.join(begin, "computed_at").withColumn("rank", (F.col("place") - F.col("begin") + 1).cast("int"))
     return r.groupBy("cluster_id").agg(
         F.min("computed_at").alias("first_seen_at"), F.min_by("score", "computed_at").alias("first_score"), F.min("rank").alias("best_rank"), F.max("score").alias("best_score")
     )
@@ -48,10 +51,22 @@ def daily_metrics(evaluations: DataFrame) -> DataFrame:
     return out.join(percentile_by(lead, ["day"], "lead", 0.5, "median_lead_h"), "day", "left")
 
 
-def mark_published(publications: DataFrame, scores: DataFrame) -> DataFrame:
-    """Publications with the topic's latest score at that time, frozen."""
-    j = publications.join(scores.select("cluster_id", "computed_at", "score", "status"), "cluster_id", "left").where("computed_at is null or computed_at <= published_at")
-    return j.groupBy("pub_id").agg(F.first("cluster_id").alias("cluster_id"), F.max_by("score", "computed_at").alias("score"), F.max_by("status", "computed_at").alias("status"))
+def mark_published(publications: DataFrame, scores: DataFrame, topics: DataFrame | None = None, press: DataFrame | None = None) -> DataFrame:
+    """(pub_id, cluster_id, published_at, score, status, families, label, first_seen_at, lead_vs_press_h): what held at publication, frozen.
+
+    Score, status and families are the topic's latest at that time, null for a publication before its first
+    score; the lead is from the topic's first item to its first article, in hours with one decimal, null
+    without ``topics`` (cluster_id, label, first_seen_at) or ``press`` (cluster_id, first_at).
+    """
+    spark = publications.sparkSession
+    topics = topics if topics is not None else spark.createDataFrame([], publications.select("cluster_id").schema.add("label", "string").add("first_seen_at", "timestamp"))
+    press = press if press is not None else spark.createDataFrame([], publications.select("cluster_id").schema.add("first_at", "timestamp"))
+    for c in ("status", "families"):
+        scores = scores if c in scores.columns else scores.withColumn(c, F.lit(None).cast("string"))
+    j = as_of(publications.select("pub_id", "cluster_id", "published_at"), scores, ["cluster_id"], "published_at", "computed_at", ["score", "status", "families"], "held")
+    j = j.join(topics.select("cluster_id", "label", "first_seen_at"), "cluster_id", "left").join(press.select("cluster_id", "first_at"), "cluster_id", "left")
+    lead = F.round(hours_between(F.col("first_at"), F.col("first_seen_at")), 1)
+    return j.select("pub_id", "cluster_id", "published_at", "held.score", "held.status", "held.families", "label", "first_seen_at", lead.alias("lead_vs_press_h"))
 
 
 def publication_report(publications: DataFrame, outcomes: DataFrame, least: int = 5) -> DataFrame:

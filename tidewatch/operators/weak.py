@@ -14,6 +14,7 @@ from ..functions.stats import counted_until, hours_between, percentile_by, poiss
 from ..functions.terms import relevant
 from ..session import written
 from .items import _at
+from .joins import as_of, each, running_count
 
 # Prior credibility by family, its strength, and what catalog events are worth in bits.
 FAMILY_PRIOR = {"A": 0.3, "B": 0.35, "C": 0.35, "D": 0.4, "E": 0.5, "F": 0.3, "H": 0.4}
@@ -35,7 +36,7 @@ def prior_credibility(family: Column, official: Column | None = None, aggregator
     return prior if official is None else F.when(official, 0.7).otherwise(prior)
 
 
-def _days(a: Column, b: Column) -> Column:
+def days_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(float(DAY))
 
 
@@ -47,12 +48,14 @@ def new_terms(mentions: DataFrame, observed_since, now) -> DataFrame:
     emission of a term counts. Only the last six mentions are looked at, so the window is a short frame.
     """
     order = Window.partitionBy("term").orderBy("ts", "item_id")
-    first = F.min("ts").over(Window.partitionBy("term"))
-    days = F.greatest(F.lit(1.0), _days(_at(now), _at(observed_since)))
+    days = F.greatest(F.lit(1.0), days_between(_at(now), _at(observed_since)))
     last6 = order.rowsBetween(-5, 0)
-    m = mentions.withColumns({"first": first, "third": F.lag("ts", 2).over(order), "near": F.collect_list(F.struct("ts", "family", "cred")).over(last6)})
-    m = m.where((_days(F.col("ts"), F.col("first")) <= 2) & (days >= 7))
-    span = F.greatest(F.lit(1 / 24), _days(F.col("ts"), F.col("third")))
+    mentions = written(mentions.select("term", "item_id", "ts", "family", "cred"))
+    # mentions later than 48 hours after a term's first one say nothing, so no window holds a frequent term's rows
+    first = mentions.groupBy("term").agg(F.min("ts").alias("first"))
+    young = mentions.join(first, "term").where((days_between(F.col("ts"), F.col("first")) <= 2) & (days >= 7))
+    m = young.withColumns({"third": F.lag("ts", 2).over(order), "near": F.collect_list(F.struct("ts", "family", "cred")).over(last6)})
+    span = F.greatest(F.lit(1 / 24), days_between(F.col("ts"), F.col("third")))
     p = poisson_tail3(3 * span / days)
     day = F.filter("near", lambda x: F.unix_micros(x["ts"]) >= F.unix_micros(F.col("ts")) - F.lit(DAY))
     families = F.size(F.array_distinct(F.transform(day, lambda x: x["family"])))
@@ -72,7 +75,7 @@ def new_pairs(mentions: DataFrame, days_observed: float) -> DataFrame:
     all N mentions of these days; Adamic-Adar over the links so far below 1; bits = surprise / (1 + aa).
     Links of an earlier time only are counted, so every edge carries the time at which it was first seen.
     """
-    m = mentions.select("item_id", "ts", "entity").dropDuplicates(["item_id", "entity"]).withColumn("us", F.unix_micros("ts"))
+    m = written(mentions.select("item_id", "ts", "entity").dropDuplicates(["item_id", "entity"]).withColumn("us", F.unix_micros("ts")))
     span = 30 * DAY
     near = Window.partitionBy("entity").orderBy("us").rangeBetween(-span, 0)
     counts = m.withColumn("n", F.count("*").over(near))
@@ -81,7 +84,7 @@ def new_pairs(mentions: DataFrame, days_observed: float) -> DataFrame:
         F.col("a.item_id").alias("item_id"), F.col("a.ts").alias("ts"), F.col("a.us").alias("us"), F.col("a.entity").alias("a"), F.col("b.entity").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")
     )
     order = Window.partitionBy("a", "b").orderBy("us", "item_id")
-    first = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    first = written(pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n"))
     # mentions of all entities in the 30 days, as the difference of two running sums
     total = first.where("na >= 5 and nb >= 5")
     spans = total.select("us").distinct()
@@ -90,22 +93,32 @@ def new_pairs(mentions: DataFrame, days_observed: float) -> DataFrame:
     n_all = spans.join(upto, "us").join(old, "us").select("us", (F.col("upto") - F.col("old")).alias("n_all"))
     cand = total.join(n_all, "us")
     surprise = F.log2(F.col("n_all") * F.col("n_all") / (F.col("na") * F.col("nb")))
-    cand = cand.withColumn("surprise", surprise).where("surprise >= 3")
-    seen = first.select("a", "b", "us")
-    sym = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), "us"))
-    # common neighbours known before the pair, and how many links each of these had then
-    x, y, z = (sym.select(F.col("a").alias(f"{p}_end"), F.col("b").alias(f"{p}_mid"), F.col("us").alias(f"{p}_us")) for p in "xyz")
-    common = (
-        cand.join(x, (F.col("a") == F.col("x_end")) & (F.col("x_us") < F.col("us")))
-        .join(y, (F.col("b") == F.col("y_end")) & (F.col("x_mid") == F.col("y_mid")) & (F.col("y_us") < F.col("us")))
-        .join(z, (F.col("x_mid") == F.col("z_end")) & (F.col("z_us") < F.col("us")))
-        .groupBy("a", "b", "x_mid").agg(F.count("*").alias("deg")).where("deg > 1")
-        .groupBy("a", "b").agg(F.sum(1 / F.log("deg")).alias("aa"))
-    )
+    cand = written(cand.withColumn("surprise", surprise).where("surprise >= 3"))
+    common = common_before(cand.select("a", "b", "us"), first.select("a", "b", "us"))
     out = cand.join(common, ["a", "b"], "left").withColumn("aa", F.coalesce("aa", F.lit(0.0)))
     return out.where((F.col("aa") < 1) & F.lit(days_observed >= 7)).select("a", "b", "item_id", F.col("ts").alias("detected_at"), "na", "nb", "n_all", "surprise", "aa", (F.col("surprise") / (1 + F.col("aa"))).alias("bits"))
 
 
+def common_before(cand: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, aa) of ``cand`` (a, b, us): the sum of 1 / ln(degree) over common neighbours, by ``links`` (a, b, us) older than us.
+
+    Degrees are those at the candidate's time, and only degrees above 1 count.
+    """
+    sym = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "us"))
+    degree = sym.groupBy("a").agg(F.count("*").alias("deg"))
+    ends = cand.join(degree.withColumnRenamed("deg", "da"), "a", "left").join(degree.select(F.col("a").alias("b"), F.col("deg").alias("db")), "b", "left").where("da is not null and db is not null")
+    # a pair's end with fewer links is expanded, and its neighbours are looked up at the other end
+    light = F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b"))
+    ends = ends.select("a", "b", "us", light.alias("light"), F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("heavy"))
+    near = ends.join(sym.select(F.col("a").alias("light"), F.col("b").alias("mid"), F.col("us").alias("x_us")), "light").where("x_us < us")
+    both = near.join(sym.select(F.col("a").alias("heavy"), F.col("b").alias("mid"), F.col("us").alias("y_us")), ["heavy", "mid"]).where("y_us < us")
+    # links of the common neighbour older than the pair, by the last of its running counts
+    at = lambda d: d.withColumn("at", F.timestamp_micros("us"))
+    counts = running_count(sym.select(F.col("a").alias("mid"), "us"), ["mid"], "us")
+    known = as_of(at(both.select("a", "b", "mid", "us")), at(counts), ["mid"], "at", "at", ["n"], "links", strict=True)
+    return known.where("links.n > 1").groupBy("a", "b").agg(F.sum(1 / F.log("links.n")).alias("aa"))
+
+
 def new_vocabulary(mentions: DataFrame) -> DataFrame:
     """D4 over ``mentions`` (source_id, term, item_id, ts, cred, source_days): a credible source's first use of a term."""
     order = Window.partitionBy("source_id", "term").orderBy("ts", "item_id")
@@ -297,14 +310,18 @@ def label_outcomes(signals: DataFrame, detections: DataFrame, members: DataFrame
     inside = lambda c: (F.col(c) > F.col("detected_at")) & (F.col(c) <= end)
     top = s.join(detections.where("best_rank <= 20"), "cluster_id").where("first_scored_at is null or first_scored_at >= detected_at")
     top = top.groupBy("signal_id").agg(F.min("first_scored_at").alias("top_at"), F.lit(True).alias("top"))
-    # by topic and day, so that a signal meets only what the days of its 72 hours have
-    days = s.where("cluster_id is not null").select("signal_id", "cluster_id", "family", "detected_at", F.explode(F.sequence(F.to_date("detected_at"), F.to_date(end))).alias("on"))
-    fam = members.where("family <> 'G'").select("cluster_id", F.col("family").alias("m_family"), "evt_at", F.to_date("evt_at").alias("on"))
-    fam = days.join(fam, ["cluster_id", "on"]).where(inside("evt_at"))
+    # the next item of each family, and the next article, after the signal: a topic's rows are never multiplied
+    placed = s.where("cluster_id is not null").select("signal_id", "cluster_id", "family", "detected_at")
+    members = members.where("family <> 'G'").select("cluster_id", F.col("family").alias("m_family"), "evt_at")
+    families = [r["m_family"] for r in members.select("m_family").distinct().collect()]  # one letter each
+    fam = as_of(placed.select("*", each("m_family", families or [""])), members, ["cluster_id", "m_family"], "detected_at", "evt_at", [], "next", forward=True, strict=True)
+    fam = fam.withColumn("evt_at", F.col("next.at")).where(inside("evt_at"))
     fam = fam.groupBy("signal_id").agg(F.count_distinct("m_family").alias("n_fam"), F.min(F.when(F.col("m_family") != F.col("family"), F.col("evt_at"))).alias("fam_at"))
-    art = days.join(press.withColumn("on", F.to_date("first_press_at")), ["cluster_id", "on"]).where(inside("first_press_at")).groupBy("signal_id").agg(F.min("first_press_at").alias("press_at"))
-    words = s.where("entity is not null").join(term_days.select(F.col("term").alias("entity"), "day", "families"), "entity")
-    words = words.where((F.col("day") >= F.to_date("detected_at")) & (F.col("day") <= F.to_date(end)))
+    art = as_of(placed, press, ["cluster_id"], "detected_at", "first_press_at", [], "next", forward=True, strict=True)
+    art = art.withColumn("press_at", F.col("next.at")).where(inside("press_at")).select("signal_id", "press_at")
+    # term_days has a row for each term and day
+    on = F.explode(F.sequence(F.to_date("detected_at"), F.to_date(end))).alias("day")
+    words = s.where("entity is not null").select("signal_id", "entity", on).join(term_days.select(F.col("term").alias("entity"), "day", "families"), ["entity", "day"])
     words = words.select("signal_id", F.explode("families").alias("f")).groupBy("signal_id").agg(F.count_distinct("f").alias("n_term"))
     for part in (top, fam, art, words):
         s = s.join(part, "signal_id", "left")

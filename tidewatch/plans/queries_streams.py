@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import weak
+from ..operators import passes, weak
 from ..registry import register
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..streaming import streams
 from . import fixture
 from .fixture import NOW, with_items
@@ -112,3 +112,20 @@ def weak_pass(spark, sf_dir):
     state = streams.run_weak_passes(_stream(spark, sf_dir, "documents"), f"{where}/cursor", f"{where}/state", update)
     state = weak.empty_daily(spark) if state is None else state
     return state.withColumns({"sources": F.array_join("sources", ","), "families": F.array_join("families", ",")})
+
+
+#: Times of the passes: the first one takes 14 days, the others what came since.
+PASSES = ("2024-01-16 12:00:00", "2024-01-23 00:00:00", NOW)
+
+
+@register("w0_pass_signals")
+def pass_signals(spark, sf_dir):
+    """Signals of three passes, each of which goes on from the states of the one before."""
+    i = fixture.items(spark, sf_dir)
+    i = i.withColumns({"cred": weak.prior_credibility(F.col("family"), F.col("source_id") == "src3"), "precocity": F.when(F.col("family") != "C", 0.25)})
+    i = i.withColumns({"terms": terms.proper_nouns(F.col("title"), LEX), "entities": terms.entities(F.col("title"), LEX)})
+    i = written(i.select("item_id", "source_id", "family", "title", "text", "first_seen_at", "cred", "precocity", "terms", "entities"))
+    store = passes.Store(spark, shared_dir(spark))
+    for now in PASSES:
+        last = passes.run_pass(store, i, LEX, now)
+    return store.read(last, "signals").select("detector", "ns", "key", "item_id", "detected_at", "families", F.floor(F.col("bits") * 1e6 + 0.5).alias("bits_e6"), "passed_at")

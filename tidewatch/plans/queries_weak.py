@@ -413,11 +413,24 @@ def daily_metrics(spark, sf_dir):
 
 @register(
     "j1_mark_published",
-    f"WITH {_SQL_SCORES}, pb AS (SELECT event_id AS pub_id, user_id % 300 AS cluster_id, ts AS pub_at FROM events) SELECT pub_id, pb.cluster_id, arg_max(score, computed_at) AS score FROM pb JOIN sc ON pb.cluster_id = sc.cluster_id AND computed_at <= pub_at GROUP BY 1, 2",
+    f"""WITH {_SQL_SCORES}, pb AS (SELECT event_id AS pub_id, user_id % 300 AS cluster_id, ts - INTERVAL 30 HOUR AS published_at FROM events),
+        tp AS (SELECT user_id % 300 AS cluster_id, 'topic ' || CAST(user_id % 300 AS VARCHAR) AS label, min(ts) AS first_seen_at FROM events GROUP BY 1, 2),
+        pr AS (SELECT event_id % 250 AS cluster_id, max(ts) AS first_at FROM events GROUP BY 1),
+        hd AS (SELECT pub_id, arg_max(score, computed_at) AS score FROM pb JOIN sc ON pb.cluster_id = sc.cluster_id AND computed_at <= published_at GROUP BY 1)
+        SELECT pub_id, cluster_id, published_at, score, CASE WHEN score % 3 = 0 THEN 'CONFIRMED' WHEN score % 3 = 1 THEN 'LIGHT_PRESS' WHEN score % 3 = 2 THEN 'ANTICIPATION' END AS status, ['A', 'AB', 'BC', 'ABC'][CAST(score % 4 + 1 AS INTEGER)] AS families,
+               label, first_seen_at, round((epoch_us(first_at) - epoch_us(first_seen_at)) / 3.6e9::DOUBLE, 1) AS lead_vs_press_h
+        FROM pb LEFT JOIN hd USING (pub_id) LEFT JOIN tp USING (cluster_id) LEFT JOIN pr USING (cluster_id)""",
 )
 def published(spark, sf_dir):
-    e = fixture.events(spark, sf_dir).select(F.col("event_id").alias("pub_id"), (F.col("user_id") % 300).alias("cluster_id"), F.col("ts").alias("published_at"))
-    return evaluate.mark_published(e, _scores(spark, sf_dir).withColumn("status", F.lit("x"))).drop("status")
+    """Publications 30 hours before an event of their topic, some of them before its first score."""
+    e = fixture.events(spark, sf_dir)
+    cluster = (F.col("user_id") % 300).alias("cluster_id")
+    pubs = e.select(F.col("event_id").alias("pub_id"), cluster, (F.col("ts") - F.expr("INTERVAL 30 HOURS")).alias("published_at"))
+    status = F.element_at(F.array(*map(F.lit, ("CONFIRMED", "LIGHT_PRESS", "ANTICIPATION"))), (F.col("score") % 3 + 1).cast("int"))
+    families = F.element_at(F.array(*map(F.lit, ("A", "AB", "BC", "ABC"))), (F.col("score") % 4 + 1).cast("int"))
+    first = e.groupBy(cluster).agg(F.min("ts").alias("first_seen_at")).withColumn("label", F.concat(F.lit("topic "), F.col("cluster_id").cast("string")))
+    press = e.groupBy((F.col("event_id") % 250).alias("cluster_id")).agg(F.max("ts").alias("first_at"))
+    return evaluate.mark_published(pubs, _scores(spark, sf_dir).withColumns({"status": status, "families": families}), first, press)
 
 
 @register(

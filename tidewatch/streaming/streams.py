@@ -47,6 +47,16 @@ def run_available(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 
 
+def _whole(spark, state_dir: str) -> list[int]:
+    """The batches whose state was written to the end: their folders have a success mark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [f.getPath() for f in fs.listStatus(path)]
+    return [int(f.getName()) for f in names if fs.exists(f.suffix("/_SUCCESS"))]
+
+
 def weak_pass(items: DataFrame, checkpoint: str, state_dir: str, update: Callable[[DataFrame | None, DataFrame], DataFrame]) -> StreamingQuery:
     """New items merged into a table of state: each batch's state is written beside the last one's, by batch id.
 
@@ -55,10 +65,14 @@ def weak_pass(items: DataFrame, checkpoint: str, state_dir: str, update: Callabl
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/{batch_id - 1}")
-        there = batch_id > 0 and fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+        there = batch_id - 1 in _whole(spark, state_dir)
         before = spark.read.parquet(f"{state_dir}/{batch_id - 1}") if there else None
         update(before, batch).write.mode("overwrite").parquet(f"{state_dir}/{batch_id}")
+        # a batch that comes again needs the state before it, and none older
+        for old in _whole(spark, state_dir):
+            if old < batch_id - 1:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/{old}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return run_available(items, checkpoint, merge)
 
@@ -69,13 +83,8 @@ def run_weak_passes(items: DataFrame, checkpoint: str, state_dir: str, update: C
     The state is found by its folders and not by this run's progress, so a run without new items gives it too.
     """
     weak_pass(items, checkpoint, state_dir, update).awaitTermination()
-    spark = items.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    last = max(int(f.getPath().getName()) for f in fs.listStatus(path))
-    return spark.read.parquet(f"{state_dir}/{last}")
+    whole = _whole(items.sparkSession, state_dir)
+    return items.sparkSession.read.parquet(f"{state_dir}/{max(whole)}") if whole else None
 
 
 def latest(out: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
