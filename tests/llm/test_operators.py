@@ -10,6 +10,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -624,6 +625,24 @@ def test_top_k_of_far_and_large_vectors(spark, monkeypatch):
         assert sorted(tuple(r) for r in got.collect()) == top_brute(large, 5), size
 
 
+@pytest.mark.parametrize("size", [1e160, 1e300, 1.7e308])
+def test_top_k_of_any_finite_double(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(7)
+    # vectors of that size, of usual size and in between, products of which a long can hold or not
+    sizes = [size, 1.0, math.sqrt(size), 2.0**-40]
+    vectors = [(i, (sizes[i % 4] * rng.uniform(-1, 1, 3) * (rng.uniform(size=3) < 0.7)).tolist()) for i in range(120)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, score int, v int")
+    got = topk.top_k(df, F.col("vec_id") % 5 == 0, pivots=5, first=1)
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in vectors}
+    want = []
+    for i in range(0, 120, 5):
+        scores = [(-max(-(2**63) + 1, min(sum(a * b for a, b in zip(whole[i], whole[j])), 2**63 - 1)), j) for j in whole if j != i]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(sorted(scores)[:5])]
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_bounds_spare_products(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 32)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 16)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,25 @@ LONG = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): components floor(scale * x), as whole doubles, which hold those of any size.
+    """(vec_id, v): components floor(scale * x) / scale, so that those of any finite size are exact doubles.
 
-    Vectors that are null, or hold a null, NaN or infinity, are left out; so are vectors without an id, which
-    can't be named.
+    ``scale`` is a power of two. Vectors that are null, or hold a null, NaN or infinity, are left out; so are
+    vectors without an id, which can't be named.
     """
-    y = F.transform("embedding", lambda c: F.lit(float(scale)) * c.cast("double"))
-    fine = F.forall(y, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
-    whole = F.transform(y, lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c))
+    x = F.transform("embedding", lambda c: c.cast("double"))
+    fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
+    # from 2^40 on, scale * x is a whole number for scales up to 4,096
+    whole = F.transform(x, lambda c: F.when(F.abs(c) < 2.0**40, F.floor(c * F.lit(float(scale))).cast("double") / F.lit(float(scale))).otherwise(c))
     return vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(fine).select("vec_id", whole.alias("v"))
 
 
+def _units(m: np.ndarray, scale: int) -> np.ndarray:
+    """The whole numbers scale * v: as doubles, or as Python integers where these would be too large."""
+    if np.abs(m).max(initial=0) < 2.0**1000:
+        return m * scale
+    return np.array([[int(c) * scale if abs(c) >= 2.0**40 else int(c * scale) for c in r] for r in m], object).reshape(m.shape)
+
+
 def _matrix(rows: list, width: int | None = None) -> np.ndarray:
     """Rows as doubles; shorter ones are filled with zeros, which leaves inner products as they are."""
     width = max((len(r) for r in rows), default=0) if width is None else width
@@ -54,16 +63,16 @@ def _matrix(rows: list, width: int | None = None) -> np.ndarray:
     return out
 
 
-def _pack(v: np.ndarray) -> bytes:
-    """A vector's bytes: a mark, and its components in 16 bits where they fit, else as doubles."""
-    return b"\0" + v.astype(np.int16).tobytes() if not len(v) or np.abs(v).max() < 2**15 else b"\1" + v.tobytes()
+def _pack(v: np.ndarray, scale: int) -> bytes:
+    """A vector's bytes: a mark, and its whole numbers in 16 bits where they fit, else its components as doubles."""
+    return b"\0" + (v * scale).astype(np.int16).tobytes() if not len(v) or np.abs(v).max() < 2**15 / scale else b"\1" + v.tobytes()
 
 
-def _unpack(rows: list[bytes]) -> np.ndarray:
+def _unpack(rows: list[bytes], scale: int) -> np.ndarray:
     if len({(r[0], len(r)) for r in rows}) == 1:
-        flat = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)[:, 1:]
-        return np.ascontiguousarray(flat).view(np.float64 if rows[0][0] else np.int16).astype(np.float64)
-    return _matrix([np.frombuffer(r, np.float64 if r[0] else np.int16, offset=1) for r in rows])
+        flat = np.ascontiguousarray(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)[:, 1:])
+        return flat.view(np.float64).astype(np.float64) if rows[0][0] else flat.view(np.int16) / float(scale)
+    return _matrix([np.frombuffer(r, np.float64, offset=1) if r[0] else np.frombuffer(r, np.int16, offset=1) / float(scale) for r in rows])
 
 
 def _even(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +81,7 @@ def _even(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole doubles: in floating point where all sums stay below 2^53, in 64-bit integers
+    """Exact inner products of whole numbers: in floating point where all sums stay below 2^53, in 64-bit integers
     below 2^63, else in Python integers; results that a long can't hold are its ends."""
     q, x = _even(q, x)
     most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
@@ -84,6 +93,31 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(exact(q).dot(exact(x).T), -LONG, LONG).astype(np.int64)
 
 
+@dataclass(frozen=True)
+class Measure:
+    """How lengths, distances and bounds are taken: of whole numbers times 2^-shift, so that all squares are finite.
+
+    Up to 2^400 nothing is shifted. Beyond, what small vectors lose to underflow is made up for by a bound that is too
+    high, so fewer blocks are excluded, and never one that matters.
+    """
+
+    scale: int
+    shift: int
+
+    @staticmethod
+    def of(table: DataFrame, scale: int) -> Measure:
+        top = table.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()["top"] or 1.0
+        return Measure(scale, max(0, math.frexp(top)[1] - 400))
+
+    def taken(self, m: np.ndarray) -> np.ndarray:
+        return np.ldexp(m, -self.shift) * self.scale
+
+    def bound(self, q_norm, norm, gap, reach):
+        """Above every product of a query and a vector with these squared lengths whose distance is ``gap`` or more."""
+        part = (q_norm + norm - gap * gap) / 2 + SLACK * (q_norm + norm + reach * reach)
+        return part + 1 if not self.shift else (part + 2.0**-900) * 2.0**self.shift * 2.0**self.shift + 1
+
+
 def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """(row, pivot): by squares where their sums are exact, else by differences, which don't cancel."""
     m, p = _even(m, pivots)
@@ -93,23 +127,18 @@ def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((m - c) ** 2).sum(1)) for c in p], axis=1)
 
 
-def _bound(q_norm, norm, gap, reach):
-    """Above every product of a query and a vector with these squared lengths whose distance is ``gap`` or more."""
-    return (q_norm + norm - gap * gap) / 2 + SLACK * (q_norm + norm + reach * reach) + 1
-
-
-def _keyed(table: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _keyed(table: DataFrame, pivots: np.ndarray, measure: Measure) -> DataFrame:
     """(vec_id, v, pivot, r, norm): packed vector, nearest pivot, distance to it and squared length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 v = [np.array(x, np.float64) for x in batch.column("v").to_pylist()]
-                m = _matrix(v)
-                d = _distances(m, pivots)
+                m = measure.taken(_matrix(v))
+                d = _distances(m, measure.taken(pivots))
                 near = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), pa.array(map(_pack, v), pa.binary()), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array((m * m).sum(1))],
+                    [batch.column("vec_id"), pa.array((_pack(x, measure.scale) for x in v), pa.binary()), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array((m * m).sum(1))],
                     names=["vec_id", "v", "pivot", "r", "norm"],
                 )
 
@@ -142,7 +171,7 @@ def _ids(column) -> np.ndarray:
     return np.array(column.values.to_pylist())
 
 
-def _score(pairs: DataFrame, k: int, pivots: np.ndarray, kind: str, work=None) -> DataFrame:
+def _score(pairs: DataFrame, k: int, pivots: np.ndarray, kind: str, measure: Measure, work=None) -> DataFrame:
     """(query_id, vec_id, score): for each pair of blocks and query, its k best that reach the query's ``floor``."""
 
     def best(row: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -161,17 +190,18 @@ def _score(pairs: DataFrame, k: int, pivots: np.ndarray, kind: str, work=None) -
             for i in range(batch.num_rows):
                 at = lambda c: batch.column(c)[i]  # noqa: E731, B023
                 floor = at("floor").values.to_numpy()
-                q = _unpack(at("qs").values.to_pylist())
+                q = _unpack(at("qs").values.to_pylist(), measure.scale)
+                m = measure.taken(q)
                 # the triangle inequality again, now for each query
-                d, near_r, far_r = _distances(q, pivots[at("pivot").as_py()][None, :])[:, 0], at("r_min").as_py(), at("r_max").as_py()
+                d, near_r, far_r = _distances(m, measure.taken(pivots[at("pivot").as_py()][None, :]))[:, 0], at("r_min").as_py(), at("r_max").as_py()
                 gap = np.maximum(0, np.maximum(d - far_r, near_r - d))
-                near = np.flatnonzero(_bound((q * q).sum(1), at("norm").as_py(), gap, d + far_r) >= floor)
+                near = np.flatnonzero(measure.bound((m * m).sum(1), at("norm").as_py(), gap, d + far_r) >= floor)
                 if not len(near):
                     continue
                 qid, xid = _ids(at("qids")), _ids(at("ids"))
                 if work is not None:
                     work.add(len(near) * len(xid))
-                s = products(q[near], _unpack(at("vs").values.to_pylist()))
+                s = products(_units(q[near], measure.scale), _units(_unpack(at("vs").values.to_pylist(), measure.scale), measure.scale))
                 out_q, out_x, out_s = [], [], []
                 for row, j in zip(s, near):
                     found = best(row, xid, np.flatnonzero((row >= floor[j]) & (xid != qid[j])))
@@ -190,7 +220,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _directory(asked: DataFrame, blocks: DataFrame, centres: np.ndarray) -> DataFrame:
+def _directory(asked: DataFrame, blocks: DataFrame, centres: np.ndarray, measure: Measure) -> DataFrame:
     """(qblock, block, bound, turn): the annulus blocks of each query block, the highest bound first.
 
     Only numbers about blocks are joined. The pivot is the key and a hot pivot has many blocks, so each
@@ -200,8 +230,8 @@ def _directory(asked: DataFrame, blocks: DataFrame, centres: np.ndarray) -> Data
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                m = _unpack(batch.column("qs")[i].values.to_pylist())
-                d, n = _distances(m, centres), len(centres)
+                m = measure.taken(_unpack(batch.column("qs")[i].values.to_pylist(), measure.scale))
+                d, n = _distances(m, measure.taken(centres)), len(centres)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column("qblock")[i].as_py()] * n), pa.array(range(n), pa.int32()), pa.array(d.min(0)), pa.array(d.max(0)), pa.array([(m * m).sum(1).max()] * n)],
                     names=["qblock", "pivot", "d_min", "d_max", "q_norm"],
@@ -212,7 +242,7 @@ def _directory(asked: DataFrame, blocks: DataFrame, centres: np.ndarray) -> Data
     near = near.withColumn("salt", F.pmod(F.xxhash64("qblock"), F.lit(salts)))
     known = blocks.select("block", "pivot", "r_min", "r_max", "norm").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     gap = F.greatest(F.lit(0.0), F.col("d_min") - F.col("r_max"), F.col("r_min") - F.col("d_max"))
-    bound = _bound(F.col("q_norm"), F.col("norm"), gap, F.col("d_max") + F.col("r_max"))
+    bound = measure.bound(F.col("q_norm"), F.col("norm"), gap, F.col("d_max") + F.col("r_max"))
     turn = F.row_number().over(Window.partitionBy("qblock").orderBy(F.desc("bound"), "block"))
     return near.join(known, ["pivot", "salt"]).select("qblock", "block", bound.alias("bound")).withColumn("turn", turn)
 
@@ -238,11 +268,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
     pivots = pivots or min(MOST_PIVOTS, math.ceil(2 * math.sqrt(n / BLOCK)))
     some = table.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()
     centres = _matrix([r.v for r in some])
-    keyed = written(_keyed(table, centres))
+    measure = Measure.of(table, scale)
+    keyed = written(_keyed(table, centres, measure))
     blocks = written(_blocks(keyed, BLOCK, "block"))
     asked = _blocks(keyed.where(is_query), QUERY_BLOCK, "qblock").select("qblock", F.col("ids").alias("qids"), F.col("vs").alias("qs"))
     asked = written(asked)
-    directory = written(_directory(asked, blocks, centres))
+    directory = written(_directory(asked, blocks, centres, measure))
 
     ids = asked.select("qblock", F.posexplode("qids").alias("at", "query_id"))
     best = spark.createDataFrame([], f"query_id {kind}, vec_id {kind}, score long, rank int")
@@ -257,5 +288,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
         now = left.where(F.col("turn") <= done + turns).select("qblock", "block", F.col("f.floor").alias("floor"))
         # queries travel to annuli: each pair shuffles the smaller block only
         pairs = now.join(asked, "qblock").join(blocks, "block").select("qids", "qs", "floor", "ids", "vs", "pivot", "r_min", "r_max", "norm")
-        best = written(_best(_score(pairs, k, centres, kind, work).unionByName(best.drop("rank")), k))
+        best = written(_best(_score(pairs, k, centres, kind, measure, work).unionByName(best.drop("rank")), k))
         done, turns = done + turns, turns * GROWTH
