@@ -349,6 +349,41 @@ def test_bounds_on_the_rest_end_most_products(spark):
     assert work.done < 0.75 * work.all, (work.done, work.all)
 
 
+def merge_brute(rows, threshold):
+    """One loop over all topics, larger first; the centroid moves with each topic that it takes."""
+    live = [[i, n, np.array(v) * n, np.array(v)] for i, n, v in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    into, size = {i: i for i, *_ in rows}, {i: n for i, n, _ in rows}
+    for a, (i, *_) in enumerate(live):
+        for j, _, s, v in live[a + 1 :]:
+            if into[i] == i and into[j] == j and np.any(live[a][2]) and live[a][2] @ v >= threshold * np.linalg.norm(live[a][2]):
+                into[j] = i
+                live[a][2] = live[a][2] + s
+                size[i] += size[j]
+    return {i: (into[i], size[i] if into[i] == i else None) for i in into}
+
+
+def test_greedy_merge_is_that_of_one_loop(spark, monkeypatch):
+    monkeypatch.setattr(topics, "SMALL", 5)
+    rng = np.random.default_rng(9)
+    rows = []
+    # chains on circles, where components would merge everything, and clouds
+    for c in range(6):
+        for k in range(25):
+            v = np.zeros(12)
+            v[2 * c : 2 * c + 2] = math.cos(k * 0.13), math.sin(k * 0.13)
+            rows.append((100 * c + k, int(rng.integers(1, 40)), (v + 0.05 * rng.normal(size=12)).tolist()))
+    rows += [(1000 + k, int(rng.integers(1, 9)), rng.normal(size=12).tolist()) for k in range(60)]
+    rows = [(i, n, (np.array(v) / np.linalg.norm(v)).tolist()) for i, n, v in rows] + [(2000, 3, [0.0] * 12)]
+    df = spark.createDataFrame(rows, "cluster_id long, n long, v array<double>")
+    got = topics.merge_greedy(df).collect()
+    want = merge_brute(rows, topics.MERGE)
+    assert {r.cluster_id: (r.merged_into, r.n) for r in got} == want
+    left = sum(i == j for i, (j, _) in want.items())
+    assert left < len(rows) - 40 and sum(1 for i, (j, _) in want.items() if i == j and i < 600) > 12
+    assert all((r.v is None) == (r.n is None) and (r.v is None or abs(np.linalg.norm(r.v) - 1) < 1e-9 or r.cluster_id == 2000) for r in got)
+    assert topics.merge_greedy(df.limit(0)).count() == 0
+
+
 def test_components_by_labels(spark):
     n = spark.range(1, 30).select("id")
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 15)] + [(20, 22)], "a long, b long")

@@ -158,6 +158,13 @@ def merge(spark, sf_dir):
     return topics.merge_topics(t, e.withColumn("sim", F.lit(0.9)))
 
 
+@register("c7_greedy_merge")
+def greedy(spark, sf_dir):
+    """Items as topics of different sizes, merged greedily: (cluster_id, merged_into, n)."""
+    h = hashed(spark, sf_dir).select(F.col("item_id").alias("cluster_id"), (1 + F.col("item_id") % 17).alias("n"), "v")
+    return topics.merge_greedy(h).select("cluster_id", "merged_into", "n")
+
+
 @register(
     "c7_centroids",
     """WITH c AS (SELECT label AS cluster_id, i, sum(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), l AS (SELECT cluster_id, sqrt(sum(x * x)) AS l FROM c GROUP BY 1)
