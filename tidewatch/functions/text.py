@@ -1,8 +1,9 @@
-"""Text, URL and hash columns. All but the two exact Unicode forms are built from JVM functions."""
+"""Text, URL and hash columns. All but the exact form of rare signs is built from JVM functions."""
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,8 @@ SPACE = r"[\t\n\x0B\f\r    -     　﻿]+"
 # Names of query parameters that only track visits.
 TRACKING = r"utm_[a-z0-9_]+|fbclid|gclid|ref|ref_src|source|mc_cid|mc_eid|igshid|_hsenc|_hsmi"
 QUOTES, QUOTES_PLAIN = "’‘`´–—‐", "''''---"
+# Titles that are no part of a person's name.
+TITLES = ("phd", "md", "msc", "prof", "dr", "pharmd", "mba")
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789' -")
 
 
@@ -31,6 +34,37 @@ def _bare() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def _ranges(points) -> str:
+    """Code points in order as ranges of a character class, for Java and RE2."""
+    out, begin, last = [], None, None
+    for c in [*points, None]:
+        if last is not None and c == last + 1:
+            last = c
+            continue
+        if last is not None:
+            out.append(rf"\x{{{begin:x}}}" + (rf"-\x{{{last:x}}}" if last > begin else ""))
+        begin = last = c
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def beyond_tables() -> str:
+    """A class of the characters that ``translate`` by the tables can't bring to their compatibility form.
+
+    Those are combining marks and the vowels and ends of Korean syllables, which compose with what stands before
+    them, and signs whose form has several characters or isn't in the tables.
+    """
+    plain = dict(zip(COMPATIBLE, COMPATIBLE_PLAIN)) | EXPANDED
+
+    def needs(c: int) -> bool:
+        char = chr(c)
+        if 0x1160 <= c < 0x1200 or unicodedata.category(char)[0] == "M":
+            return True
+        return unicodedata.normalize("NFKC", char) != plain.get(char, char)
+
+    return "[" + _ranges(c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and needs(c)) + "]"
+
+
 #: Tables made by rule from the Unicode data, for ``translate`` here and in SQL.
 COMPATIBLE, COMPATIBLE_PLAIN = _compatible()
 ACCENTED, PLAIN = _bare()
@@ -54,14 +88,27 @@ def _compatibility(c: Column) -> Column:
     return F.translate(F.when(c.rlike("[" + "".join(EXPANDED) + "]"), many).otherwise(c), COMPATIBLE, COMPATIBLE_PLAIN)
 
 
+def norm_plain(c) -> Column:
+    """``norm`` by tables alone, for lambdas of array functions, where no Python can run."""
+    t = F.coalesce(_text(c), F.lit(""))
+    low = F.lower(F.when(t.rlike(r"[^\x00-\x7F]"), _compatibility(t)).otherwise(t))
+    return squeeze(F.translate(low, QUOTES, QUOTES_PLAIN))
+
+
+def norm_name_plain(c) -> Column:
+    """``norm_name`` by tables alone."""
+    return squeeze(F.regexp_replace(F.translate(norm_plain(c), ACCENTED, PLAIN), r"[^a-z0-9' -]", ""))
+
+
 def norm(c) -> Column:
-    """Compatibility forms, lower case, plain quotes and dashes, single spaces; null is empty.
+    """Compatibility forms (NFKC), lower case, plain quotes and dashes, single spaces; null is empty.
 
-    Forms of one character and the usual ones of several are taken, by table; for sequences that compose, and
-    rare signs that become several characters, there is ``norm_exact``.
+    Forms of one character and the usual ones of several are replaced by table. Only texts with other signs, or with
+    marks that may compose, are handed to Python; all others are null there.
     """
-    plain = F.translate(F.coalesce(_text(c), F.lit("")), QUOTES, QUOTES_PLAIN)
-    return squeeze(F.lower(F.when(plain.rlike(r"[^\x00-\x7F]"), _compatibility(plain)).otherwise(plain)))
+    t = F.coalesce(_text(c), F.lit(""))
+    rare = t.rlike(r"[^\x00-\x7F]") & t.rlike(beyond_tables())
+    return F.when(rare, squeeze(norm_exact(F.when(rare, t)))).otherwise(norm_plain(t))
 
 
 def norm_name(c) -> Column:
@@ -71,21 +118,9 @@ def norm_name(c) -> Column:
 
 @F.pandas_udf(StringType())
 def norm_exact(s: pd.Series) -> pd.Series:
-    """``norm`` with Unicode compatibility composition first, in Arrow batches: Spark has no such function."""
+    """Compatibility composition, lower case, plain quotes and dashes, in Arrow batches: Spark has no such function. Null stays null."""
     plain = str.maketrans(QUOTES, QUOTES_PLAIN)
-    return s.map(lambda t: " ".join(unicodedata.normalize("NFKC", t or "").lower().translate(plain).split()))
-
-
-@F.pandas_udf(StringType())
-def norm_name_exact(s: pd.Series) -> pd.Series:
-    """``norm_name`` for any script's accents, by canonical decomposition."""
-    plain, keep = str.maketrans(QUOTES, QUOTES_PLAIN), set("abcdefghijklmnopqrstuvwxyz0123456789' -")
-
-    def one(t):
-        t = " ".join(unicodedata.normalize("NFKC", t or "").lower().translate(plain).split())
-        return " ".join("".join(c for c in unicodedata.normalize("NFD", t) if c in keep).split())
-
-    return s.map(one)
+    return s.map(lambda t: unicodedata.normalize("NFKC", t).lower().translate(plain), na_action="ignore")
 
 
 def decode_entities(c) -> Column:
@@ -106,36 +141,80 @@ def _numeric(c: Column) -> Column:
     return F.aggregate(F.array_sort(sound), c, lambda t, x: F.replace(t, F.concat(F.lit("&#"), x["e"], F.lit(";")), char(x["n"])))
 
 
+# Elements whose content is not for readers, elements at whose end a line ends, and types of feeds.
+SILENT = "script style noscript svg template".split()
+ENDS_LINE = "p div li h1 h2 h3 h4 h5 h6 tr section article header footer figcaption blockquote dd dt".split()
+FEEDS = ("application/rss+xml", "application/atom+xml")
+#: Patterns made from them, which Java and RE2 read alike.
+TAG, COMMENT = "<[^>]+>", "(?s)<!--.*?-->"
+LINE_END = "(?i)" + "|".join([f"</{t}>" for t in ENDS_LINE] + [r"<br\s*/?>"])
+#: Attributes and content of an anchor, and attributes of a link element.
+ANCHOR, LINK = r"(?is)<a(\s[^>]*)>(.*?)</a>", r"(?is)<link(\s[^>]*)>"
+#: Scheme and host, path, and what follows it.
+ADDRESS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$"
+
+
+def whole_element(name: str) -> str:
+    return rf"(?is)<{name}\b.*?</{name}>"
+
+
+def attribute_value(name: str) -> str:
+    """A quoted value of an attribute, in the first group or the second one."""
+    return rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+
+def attribute(attributes, name: str) -> Column:
+    """An attribute's value, empty without one."""
+    return F.concat(*[F.regexp_extract(_text(attributes), attribute_value(name), g) for g in (1, 2)])
+
+
 def strip_tags(c) -> Column:
-    return F.regexp_replace(_text(c), r"<[^>]+>", " ")
+    return F.regexp_replace(_text(c), TAG, " ")
 
 
 def html_to_text(c) -> Column:
     """Readable lines of a page: no scripts, styles or comments, a line for each block, no empty lines."""
-    h = F.regexp_replace(_text(c), r"(?is)<(script|style|noscript|svg|template)\b.*?</\1>", " ")
-    h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
-    h = F.regexp_replace(h, r"(?i)</(p|div|li|h[1-6]|tr|section|article|header|footer|figcaption|blockquote|dd|dt)>|<br\s*/?>", "\n")
+    h = _text(c)
+    for name in SILENT:
+        h = F.regexp_replace(h, whole_element(name), " ")
+    h = F.regexp_replace(F.regexp_replace(h, COMMENT, " "), LINE_END, "\n")
     lines = F.transform(F.split(decode_entities(strip_tags(h)), "\n"), squeeze)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def extract_links(c, base=None) -> Column:
-    """array<struct<href, text, feed>> of a page's anchors in order, then of the feeds that it names; from ``base``, addresses are absolute."""
+    """array<struct<href, text, feed>> of a page's anchors in order, then of the feeds that it names; from ``base``, addresses are absolute.
+
+    Attributes may come in any order. Anchors without an address, or with one that has a fragment, are no links.
+    """
     at = (lambda h: h) if base is None else (lambda h: absolute_url(h, base))
-    anchor = r"""(?is)<a\b[^>]*href=["']([^"'#]+)["'][^>]*>(.*?)</a>"""
-    hrefs, bodies = (F.regexp_extract_all(_text(c), F.lit(anchor), F.lit(i)) for i in (1, 2))
     link = lambda h, t, feed: F.struct(at(h).alias("href"), t.alias("text"), F.lit(feed).alias("feed"))
-    anchors = F.zip_with(hrefs, bodies, lambda h, b: link(h, squeeze(decode_entities(strip_tags(b))), False))
-    feeds = F.regexp_extract_all(_text(c), F.lit(r"""(?i)<link\b[^>]*type=["']application/(?:rss|atom)\+xml["'][^>]*href=["']([^"']+)["']"""), F.lit(1))
-    return F.concat(anchors, F.transform(feeds, lambda h: link(h, F.lit("RSS"), True)))
+    attributes, bodies = (F.regexp_extract_all(_text(c), F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
+    anchors = F.zip_with(attributes, bodies, lambda a, b: F.struct(attribute(a, "href").alias("h"), b.alias("b")))
+    anchors = F.filter(anchors, lambda x: (x["h"] != "") & ~F.contains(x["h"], F.lit("#")))
+    named = F.filter(F.regexp_extract_all(_text(c), F.lit(LINK), F.lit(1)), lambda a: F.lower(attribute(a, "type")).isin(*FEEDS) & (attribute(a, "href") != ""))
+    return F.concat(F.transform(anchors, lambda x: link(x["h"], squeeze(decode_entities(strip_tags(x["b"]))), False)), F.transform(named, lambda a: link(attribute(a, "href"), F.lit("RSS"), True)))
+
+
+def without_dots(address) -> Column:
+    """An address without ``.`` and ``..`` in its path, as browsers resolve them."""
+    u = _text(address)
+    begin, path, rest = (F.regexp_extract(u, ADDRESS, g) for g in (1, 2, 3))
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"), lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x))
+    )
+    # a path that ends in dots is a folder
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(begin, F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(u)
 
 
 def absolute_url(href, base) -> Column:
-    """``href`` as seen from ``base``: with a scheme, from the scheme, from the host's root, or from the folder."""
+    """``href`` as seen from ``base``: with a scheme, from the scheme, from the host's root, or from the folder; dots are resolved."""
     href, base = _text(href), _text(base)
     scheme, host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.concat(host, F.coalesce(F.nullif(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")))
-    return (
+    return without_dots(
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(host, href))
@@ -168,7 +247,7 @@ def fnv1a(c) -> Column:
 
 def person_key(name, org) -> Column:
     """Sorted words of a name without titles, and the organisation: one key for both orders of a name."""
-    plain = F.regexp_replace(norm_name(name), r"(^|[^a-z0-9_])(phd|md|msc|prof|dr|pharmd|mba)(?=[^a-z0-9_]|$)", "$1")
+    plain = F.regexp_replace(norm_name(name), r"(^|[^a-z0-9_])(" + "|".join(TITLES) + ")(?=[^a-z0-9_]|$)", "$1")
     words = F.array_sort(F.filter(F.split(plain, " "), lambda w: w != ""))
     return F.concat(F.array_join(words, " "), F.lit("|"), _text(org).cast("string"))
 

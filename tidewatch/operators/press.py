@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import Lexicon, is_name, norm_name, title_words
+from ..functions.text import norm_name_plain
 from ..functions.vectors import dot
 from .items import _at
 
@@ -58,7 +59,7 @@ def press_query(members: DataFrame, topics: DataFrame, lex: Lexicon) -> DataFram
     t = topics.join(proper, "cluster_id", "left").withColumn("proper", F.coalesce("proper", F.array().cast("array<string>")))
 
     def said(x: Column) -> Column:
-        return F.exists("proper", lambda p: F.contains(norm_name(x), F.lower(p)))
+        return F.exists("proper", lambda p: F.contains(norm_name_plain(x), F.lower(p)))
 
     named = F.transform(F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.array_contains(names, e) & ~said(e)), lambda e: F.concat(F.lit('"'), e, F.lit('"')))
     terms = F.slice(F.concat("proper", named), 1, 2)

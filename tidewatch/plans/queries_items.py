@@ -26,10 +26,11 @@ def _quoted(x: str) -> str:
 
 
 def sql_norm(x: str) -> str:
-    x = f"translate(coalesce({x}, ''), '{text.QUOTES}', '{_quoted(text.QUOTES_PLAIN)}')"
+    x = f"coalesce({x}, '')"
     for char, form in text.EXPANDED.items():
         x = f"replace({x}, '{char}', '{form}')"
-    return sql_squeeze(f"lower(translate({x}, '{text.COMPATIBLE}', '{_quoted(text.COMPATIBLE_PLAIN)}'))")
+    x = f"lower(translate({x}, '{text.COMPATIBLE}', '{_quoted(text.COMPATIBLE_PLAIN)}'))"
+    return sql_squeeze(f"translate({x}, '{text.QUOTES}', '{_quoted(text.QUOTES_PLAIN)}')")
 
 
 def sql_name(x: str) -> str:
@@ -89,11 +90,11 @@ def norm_name(spark, sf_dir):
 
 def _sql_html() -> str:
     h = "html"
-    for t in ("script", "style", "noscript", "svg", "template"):
-        h = rf"regexp_replace({h}, '(?is)<{t}\b.*?</{t}>', ' ', 'g')"
-    h = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
-    h = rf"regexp_replace({h}, '(?i)</(p|div|li|h[1-6]|tr|section|article|header|footer|figcaption|blockquote|dd|dt)>|<br\s*/?>', chr(10), 'g')"
-    h = f"regexp_replace({h}, '<[^>]+>', ' ', 'g')"
+    for t in text.SILENT:
+        h = f"regexp_replace({h}, '{text.whole_element(t)}', ' ', 'g')"
+    h = f"regexp_replace({h}, '{text.COMMENT}', ' ', 'g')"
+    h = f"regexp_replace({h}, '{text.LINE_END}', chr(10), 'g')"
+    h = f"regexp_replace({h}, '{text.TAG}', ' ', 'g')"
     return _sql_entities(h)
 
 
@@ -108,21 +109,26 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("body"))
 
 
-_ANCHOR = r"""(?is)<a\b[^>]*href=["'']([^"''#]+)["''][^>]*>(.*?)</a>"""
+def _sql_attribute(x: str, name: str) -> str:
+    return " || ".join(f"regexp_extract({x}, '{_quoted(text.attribute_value(name))}', {g})" for g in (1, 2))
 
 
 _SCHEME, _HOST = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)", "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 _SQL_ABSOLUTE = rf"""CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN {_SCHEME} || ':' || h WHEN starts_with(h, '/') THEN {_HOST} || h
     ELSE {_HOST} || coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || h END"""
-_FEED = r"""(?i)<link\b[^>]*type=["'']application/(?:rss|atom)\+xml["''][^>]*href=["'']([^"'']+)["'']"""
+_DOTS = f"""CASE WHEN regexp_matches(regexp_extract(u, '{text.ADDRESS}', 2), '/\\.\\.?(/|$)') THEN regexp_extract(u, '{text.ADDRESS}', 1) || '/' || array_to_string(list_reduce(
+    string_split(substr(regexp_extract(u, '{text.ADDRESS}', 2), 2), '/'), lambda o, x: CASE WHEN x = '.' THEN o WHEN x = '..' THEN o[:-2] ELSE list_append(o, x) END, []::VARCHAR[]), '/')
+    || CASE WHEN regexp_matches(regexp_extract(u, '{text.ADDRESS}', 2), '/\\.\\.?$') THEN '/' ELSE '' END || regexp_extract(u, '{text.ADDRESS}', 3) ELSE u END"""
 
 
 @register(
     "t4_extract_links",
-    f"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR}', 1) AS hs, regexp_extract_all(html, '{_ANCHOR}', 2) AS bs, regexp_extract_all(html, '{_FEED}', 1) AS fs FROM pages),
-        e AS (SELECT page_id, url, i - 1 AS pos, hs[i] AS h, {sql_squeeze(_sql_entities("regexp_replace(bs[i], '<[^>]+>', ' ', 'g')"))} AS label, false AS feed FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a)
-              UNION ALL SELECT page_id, url, len(hs) + i - 1, fs[i], 'RSS', true FROM (SELECT *, unnest(range(1, len(fs) + 1)) AS i FROM a))
-        SELECT page_id, CAST(pos AS INTEGER) AS pos, {_SQL_ABSOLUTE} AS href, label, feed FROM e""",
+    f"""WITH a AS (SELECT page_id, url, list_filter(list_transform(list_zip(regexp_extract_all(html, '{text.ANCHOR}', 1), regexp_extract_all(html, '{text.ANCHOR}', 2)), lambda z: [{_sql_attribute('z[1]', 'href')}, z[2]]), lambda z: z[1] <> '' AND NOT contains(z[1], '#')) AS hs,
+                      list_filter(regexp_extract_all(html, '{text.LINK}', 1), lambda x: list_contains({list(text.FEEDS)}, lower({_sql_attribute('x', 'type')})) AND {_sql_attribute('x', 'href')} <> '') AS fs FROM pages),
+        e AS (SELECT page_id, url, i - 1 AS pos, hs[i][1] AS h, {sql_squeeze(_sql_entities(f"regexp_replace(hs[i][2], '{text.TAG}', ' ', 'g')"))} AS label, false AS feed FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a)
+              UNION ALL SELECT page_id, url, len(hs) + i - 1, {_sql_attribute('fs[i]', 'href')}, 'RSS', true FROM (SELECT *, unnest(range(1, len(fs) + 1)) AS i FROM a)),
+        x AS (SELECT *, {_SQL_ABSOLUTE} AS u FROM e)
+        SELECT page_id, CAST(pos AS INTEGER) AS pos, {_DOTS} AS href, label, feed FROM x""",
 )
 def links(spark, sf_dir):
     e = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.extract_links("html", "url")).alias("pos", "x"))
