@@ -118,6 +118,13 @@ def entities(text: Column, lex: Lexicon) -> Column:
     return of(F.lower(F.coalesce(text, F.lit(""))))
 
 
+def entities_plain(text: Column, lex: Lexicon) -> Column:
+    """The same by one pattern for each entity, for lambdas of array functions, where no Python can run."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    hits = [F.when(t.rlike(bounded((name, *aliases), NAME_CHARS)), F.lit(name)) for name, _, aliases in lex.entities]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+
+
 def kept_words(norm: str, stop: frozenset[str]) -> list[str]:
     """Words of a normalised text that are longer than two characters, no stop words and no numbers."""
     return [w for w in norm.split() if len(w) > 2 and w not in stop and not w.isdigit()]

@@ -196,30 +196,43 @@ def extract_links(c, base=None) -> Column:
     return F.concat(F.transform(anchors, lambda x: link(x["h"], squeeze(decode_entities(strip_tags(x["b"]))), False)), F.transform(named, lambda a: link(attribute(a, "href"), F.lit("RSS"), True)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def without_dots(address) -> Column:
     """An address without ``.`` and ``..`` in its path, as browsers resolve them."""
-    u = _text(address)
-    begin, path, rest = (F.regexp_extract(u, ADDRESS, g) for g in (1, 2, 3))
-    parts = F.split(F.substring(path, 2, 1 << 30), "/")
-    kept = F.aggregate(
-        parts, F.array().cast("array<string>"), lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x))
-    )
-    # a path that ends in dots is a folder
-    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(begin, F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(u)
+
+    def resolved(u: Column, path: Column) -> Column:
+        begin, rest = F.regexp_extract(u, ADDRESS, 1), F.regexp_extract(u, ADDRESS, 3)
+        step = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x))
+        kept = F.array_join(F.aggregate(F.split(F.substring(path, 2, 1 << 30), "/"), F.array().cast("array<string>"), step), "/")
+        # a path that ends in dots is a folder
+        return F.concat(begin, F.lit("/"), kept, F.when(path.rlike(r"/\.\.?$") & (kept != ""), "/").otherwise(""), rest)
+
+    def one(u: Column) -> Column:
+        path = F.regexp_extract(u, ADDRESS, 2)
+        return F.when(F.contains(u, F.lit("/.")) & path.rlike(r"/\.\.?(/|$)"), resolved(u, path)).otherwise(u)
+
+    return _let(_text(address), one)
 
 
 def absolute_url(href, base) -> Column:
     """``href`` as seen from ``base``: with a scheme, from the scheme, from the host's root, or from the folder; dots are resolved."""
-    href, base = _text(href), _text(base)
+    base = _text(base)
     scheme, host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.concat(host, F.coalesce(F.nullif(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")))
-    return without_dots(
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(host, href))
-        .otherwise(F.concat(folder, href))
-    )
+
+    def one(h: Column) -> Column:
+        return (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(host, h))
+            .otherwise(F.concat(folder, h))
+        )
+
+    return without_dots(_let(_text(href), one))
 
 
 def canonical_url(c) -> Column:

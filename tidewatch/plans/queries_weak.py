@@ -153,12 +153,6 @@ def outliers(spark, sf_dir):
     return weak.decayed_outliers(p).select("grp", "item_id", "points", e6("bits"))
 
 
-@register("w7_catalog_score", "SELECT kind, CAST(floor(CASE kind WHEN 'sirene' THEN 7 WHEN 'hf_org' THEN 5 WHEN 'ashby_jobs' THEN 2 ELSE 4 END * 0.35 * 1e6 + 0.5) AS BIGINT) AS score_e6 FROM (VALUES ('sirene'), ('hf_org'), ('ashby_jobs'), ('other')) t(kind)")
-def catalog_score(spark, sf_dir):
-    k = spark.createDataFrame([("sirene",), ("hf_org",), ("ashby_jobs",), ("other",)], "kind string")
-    return k.withColumn("score", weak.catalog_score(F.col("kind"))).select("kind", e6("score"))
-
-
 _SQL_DAILY = SQL_TERMS + ", daily AS (SELECT term, CAST(first_seen_at AS DATE) AS day, count(*) AS n, list_sort(list(DISTINCT source_id)) AS sources, list_sort(list(DISTINCT family)) AS families FROM terms GROUP BY 1, 2)"
 
 
