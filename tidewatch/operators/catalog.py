@@ -54,6 +54,15 @@ def job_history(postings: DataFrame, jobs: DataFrame, now) -> DataFrame:
     return both.groupBy("board", "job_id").agg(F.max_by("title", "last_seen_at").alias("title"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
 
 
+def changed_states(states: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changed, versions): the ``states`` (catalog_id, body) whose body isn't the one of ``versions`` (catalog_id, digest), and the
+    versions after this pass. Only changed bodies need parsing; a null body was not read and keeps its version."""
+    read = states.where("body is not null").withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
+    changed = read.join(versions.select("catalog_id", "digest"), ["catalog_id", "digest"], "left_anti")
+    kept = versions.select("catalog_id", "digest").join(changed.select("catalog_id"), "catalog_id", "left_anti")
+    return changed, kept.unionByName(changed.select("catalog_id", "digest"))
+
+
 def describe(kind: Column, title: Column, url: Column, event_at: Column, now) -> Column:
     """A readable reason for an event; entries older than 72 hours were made visible long after their creation."""
     age = F.floor(hours_between(_at(now), event_at) + 0.5)

@@ -25,6 +25,8 @@ CATALOG_BITS = {
 }
 ERLANG_P, DAILY_BUDGET, COOLDOWN_H, LABEL_AFTER_H = 1e-4, 20, 72, 72
 DAY = 86_400_000_000
+#: Days of a block of decayed counts, and blocks that its total is carried over: then e^-46 of it is left.
+DECAY_BLOCK, DECAY_BLOCKS = 64, 3
 
 
 def prior_credibility(family: Column, official: Column | None = None, aggregator: Column | None = None) -> Column:
@@ -182,11 +184,17 @@ def growth_map(daily: DataFrame, today) -> DataFrame:
 
 def popularity(daily: DataFrame, until) -> DataFrame:
     """(cluster_id, day, pop): counts decayed by exp(-0.24) a day; days without items still decay the past."""
-    d = daily.where(F.col("day") <= F.lit(until).cast("date"))
-    e = d.select("cluster_id", F.col("day").alias("from_day"), "n")
-    return d.select("cluster_id", "day").join(e, "cluster_id").where("from_day <= day").groupBy("cluster_id", "day").agg(
-        F.sum(F.col("n") * F.exp(F.lit(-0.24) * F.datediff("day", "from_day"))).alias("pop")
-    )
+    d = daily.where(F.col("day") <= F.lit(until).cast("date")).withColumn("_at", F.unix_date("day"))
+    d = d.withColumns({"_block": F.floor(F.col("_at") / DECAY_BLOCK), "_in": F.pmod("_at", F.lit(DECAY_BLOCK))})
+    # a linear recurrence: weights grow inside a block of days, and a block's total decays into the next ones
+    grown = F.col("n") * F.exp(0.24 * F.col("_in"))
+    upto = Window.partitionBy("cluster_id", "_block").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_sum", F.sum(grown).over(upto))
+    later = F.explode(F.array(*map(F.lit, range(1, DECAY_BLOCKS + 1)))).alias("_k")
+    carried = d.groupBy("cluster_id", "_block").agg(F.max("_sum").alias("_t")).select("cluster_id", "_block", "_t", later)
+    carried = carried.select("cluster_id", (F.col("_block") + F.col("_k")).alias("_block"), (F.col("_t") * F.exp(-0.24 * DECAY_BLOCK * F.col("_k"))).alias("_c")).groupBy("cluster_id", "_block").agg(F.sum("_c").alias("_c"))
+    d = d.join(carried, ["cluster_id", "_block"], "left")
+    return d.select("cluster_id", "day", ((F.col("_sum") + F.coalesce("_c", F.lit(0.0))) * F.exp(-0.24 * F.col("_in"))).alias("pop"))
 
 
 def rising_from_below(pop: DataFrame, until, least: int = 30) -> DataFrame:
@@ -382,6 +390,19 @@ def metrics(labelled: DataFrame, now, days: int = 14) -> DataFrame:
     return out.join(lead, "detector", "left").withColumn("rate", F.col("confirmed") / F.col("flagged"))
 
 
+def metrics_by(labelled: DataFrame, now, days: int = 14, sources: int = 30) -> DataFrame:
+    """(dimension, value, flagged, confirmed, rate, median_lead) of the last days by detector, and by source for those with most signals."""
+    recent = labelled.where(F.col("detected_at") >= _at(now) - F.expr(f"INTERVAL {days} DAYS")).withColumn("ok", F.col("outcome") != "NOT_CONFIRMED")
+    named = lambda d, c: (F.lit(d).alias("dimension"), F.col(c).alias("value"))
+    sets = recent.groupingSets([["detector"], ["source_id"]], "detector", "source_id").agg(F.grouping("detector").alias("g"), F.count("*").alias("flagged"), F.count_if("ok").alias("confirmed"))
+    out = sets.select(F.when(F.col("g") == 0, "detector").otherwise("source").alias("dimension"), F.when(F.col("g") == 0, F.col("detector")).otherwise(F.col("source_id")).alias("value"), "flagged", "confirmed")
+    most = Window.partitionBy("dimension").orderBy(F.desc("flagged"), "value")
+    out = out.withColumn("r", F.row_number().over(most)).where((F.col("dimension") == "detector") | (F.col("r") <= sources)).drop("r")
+    good = recent.where("ok and lead_h is not null")
+    leads = good.select(*named("detector", "detector"), "lead_h").unionByName(good.select(*named("source", "source_id"), "lead_h"))
+    return out.join(percentile_by(leads, ["dimension", "value"], "lead_h", 0.5, "median_lead"), ["dimension", "value"], "left").withColumn("rate", F.col("confirmed") / F.col("flagged"))
+
+
 def visible(selection: DataFrame, now, ghost_until) -> DataFrame:
     """Ghost mode: nothing is shown before a date."""
     return selection.where(_at(now) >= _at(ghost_until))

@@ -76,18 +76,38 @@ def job_history(spark, sf_dir):
     return catalog.job_history(before.withColumns({"first_seen_at": at, "last_seen_at": at}), now, f"{_AFTER} 00:00:00").drop("title")
 
 
+_KINDS = ["openrouter_stealth", "litellm_prices", "hf_org", "github_org", "inference_pulls", "sirene", "edgar_form_d", "polymarket_events", "discord_widget", "ashby_jobs", "greenhouse_jobs", "sitemap", "changelog_md", "status_components", "discourse_categories", "other"]
+
+
 @register(
     "k20_describe",
-    f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'New component on the status page ' || coalesce(nullif(regexp_replace(lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://([^/?#:@]+)', 1)), '^www\\.', ''), ''), 'an unknown host') || ': t, '
-          ELSE 'New filing: t, ' END || CASE WHEN page_id % 5 = 0 THEN 'creation date unknown' WHEN page_id % 100 > 72 THEN 'created on ' || strftime({_T} - to_hours(CAST(page_id % 100 AS INTEGER)), '%Y-%m-%d') || ', made visible long after its creation'
-          ELSE 'created ' || CAST(page_id % 100 AS VARCHAR) || ' h ago' END AS reason FROM pages""",
+    f"""WITH k AS (SELECT *, {_KINDS}[CAST(page_id % 16 + 1 AS INTEGER)] AS kind, coalesce(nullif(regexp_replace(lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://([^/?#:@]+)', 1)), '^www\\.', ''), ''), 'an unknown host') AS host,
+               CASE WHEN page_id % 5 = 0 THEN 'creation date unknown' WHEN page_id % 100 > 72 THEN 'created on ' || strftime({_T} - to_hours(CAST(page_id % 100 AS INTEGER)), '%Y-%m-%d') || ', made visible long after its creation' ELSE 'created ' || CAST(page_id % 100 AS VARCHAR) || ' h ago' END AS made FROM pages)
+        SELECT page_id, CASE kind WHEN 'sitemap' THEN 'New address in the sitemap of ' || host || ': t' WHEN 'changelog_md' THEN 'New changelog entry at ' || host || ': t' WHEN 'status_components' THEN 'New component on the status page ' || host || ': t, ' || made
+          WHEN 'discourse_categories' THEN 'New category on the forum ' || host || ': t' WHEN 'openrouter_stealth' THEN 'New stealth model: t, ' || made WHEN 'litellm_prices' THEN 'New key in a price file: t, ' || made WHEN 'hf_org' THEN 'New hub repository: t, ' || made
+          WHEN 'github_org' THEN 'New code repository: t, ' || made WHEN 'inference_pulls' THEN 'Pull request that adds a model: t, ' || made WHEN 'sirene' THEN 'New company in the register: t, ' || made WHEN 'edgar_form_d' THEN 'New filing: t, ' || made
+          WHEN 'polymarket_events' THEN 'New prediction market: t, ' || made WHEN 'discord_widget' THEN 'New visible channel: t, ' || made WHEN 'other' THEN 'New entry: t' ELSE 'New team or postings: t, ' || made END AS reason FROM k""",
 )
 def describe(spark, sf_dir):
-    kind = F.when(F.col("page_id") % 2 == 0, "status_components").otherwise("edgar_form_d")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("page_id") % 16 + 1).cast("int"))
     at = F.when(F.col("page_id") % 5 != 0, F.timestamp_micros(F.unix_micros(F.lit(NOW).cast("timestamp")) - F.col("page_id") % 100 * 3_600_000_000))
     return table(spark, sf_dir, "pages").select("page_id", catalog.describe(kind, F.lit("t"), F.col("url"), at, NOW).alias("reason"))
 
 
+@register(
+    "k16_changed_states",
+    """WITH b AS (SELECT page_id, sha256(html) AS old, sha256(CASE WHEN page_id % 7 = 0 THEN html || '<!-- new -->' ELSE html END) AS new FROM pages)
+       SELECT page_id AS catalog_id, CASE WHEN page_id % 11 = 1 THEN old ELSE new END AS digest, page_id % 11 <> 1 AND (page_id % 13 = 2 OR new <> old) AS parsed FROM b WHERE NOT (page_id % 13 = 2 AND page_id % 11 = 1)""",
+)
+def changed_states(spark, sf_dir):
+    """Pages read again: a seventh has changed, some can't be read, some are new; only changed and new ones are parsed."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("catalog_id"), "html")
+    before = p.where("catalog_id % 13 <> 2").select("catalog_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    now = p.select("catalog_id", F.when(F.col("catalog_id") % 11 != 1, F.when(F.col("catalog_id") % 7 == 0, F.concat("html", F.lit("<!-- new -->"))).otherwise(F.col("html"))).alias("body"))
+    changed, versions = catalog.changed_states(now, before)
+    return versions.join(changed.select("catalog_id", F.lit(True).alias("parsed")), "catalog_id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(False)))
+
+
 # topics
 
 

@@ -135,6 +135,30 @@ def links(spark, sf_dir):
     return e.select("page_id", "pos", F.col("x.href").alias("href"), F.col("x.text").alias("label"), F.col("x.feed").alias("feed"))
 
 
+_FIRST, _LAST = "['Anna', 'Zoé', 'Émile', 'Bob'][CAST(c_custkey % 4 + 1 AS INTEGER)]", "'Smith' || c_custkey % 50"
+
+
+@register("t5_person_keys", f"SELECT c_custkey, array_to_string(list_sort([lower(strip_accents({_FIRST})), lower({_LAST})]), ' ') || '|' || c_nationkey AS person FROM customer")
+def person_keys(spark, sf_dir):
+    """Customers as persons, with titles and in both orders of their names."""
+    first, last = F.element_at(F.array(*map(F.lit, ("Anna", "Zoé", "Émile", "Bob"))), (F.col("c_custkey") % 4 + 1).cast("int")), F.concat(F.lit("Smith"), (F.col("c_custkey") % 50).cast("string"))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Dr. "), first, F.lit(" "), last)).otherwise(F.concat(last, F.lit(", "), first, F.lit(" PhD")))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.person_key(name, F.col("c_nationkey")).alias("person"))
+
+
+@register(
+    "t5_proposals",
+    "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'REJECTED_EMPTY' WHEN c_custkey % 7 = 1 THEN 'REJECTED_QUOTE_NOT_IN_DOCUMENT' WHEN c_custkey % 7 = 2 THEN 'REJECTED_NAME_NOT_IN_QUOTE' WHEN c_custkey % 7 = 3 THEN 'REJECTED_NO_ROLE' WHEN c_custkey % 7 = 4 THEN 'REJECTED_SINGLE_TOKEN_NAME' ELSE 'VERIFIED' END AS verdict FROM customer",
+)
+def proposals(spark, sf_dir):
+    """Proposals about customers of every kind that is rejected, and sound ones."""
+    k = F.col("c_custkey") % 7
+    name = F.when(k == 4, F.lit("Smith")).otherwise(F.concat(F.lit("Anna Smith"), F.col("c_custkey").cast("string")))
+    quote = F.when(k == 1, F.lit("never said")).when(k == 2, F.lit("heads the lab")).otherwise(F.concat(name, F.lit("  HEADS the lab")))
+    document = text.norm(F.concat(F.lit("We hear that "), name, F.lit(" heads the lab, says "), F.col("c_name")))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.proposal_verdict(name, F.when(k != 3, "head"), F.when(k != 0, quote), document).alias("verdict"))
+
+
 @register("t6_item_set_hash", with_items("SELECT source_id, sha1(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS item_set FROM items GROUP BY source_id"))
 def item_set(spark, sf_dir):
     ids = F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",")
@@ -431,20 +455,24 @@ def _c(x: str) -> str:
     return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}))"
 
 
+#: Bursts and stars of topics from the events, for two thirds of them each.
 SQL_SCORED = f"""{SQL_PARTS},
+extra AS (SELECT user_id % 100 AS cluster_id, CASE WHEN user_id % 100 % 3 > 0 THEN max(event_id) % 90 / 10.0::DOUBLE END AS z, CASE WHEN user_id % 100 % 3 < 2 THEN max(event_id) % 700 END AS stars FROM events GROUP BY user_id % 100),
 raw_score AS (
-  SELECT *, 25 * {_c('(len(families_6h) - 1) / 2.0::DOUBLE')} + 20 * {_c('0.0 / 6.0::DOUBLE')} + 15 * {_c('hn / 10.0::DOUBLE')} + 10 * {_c('0 / 500.0::DOUBLE')}
+  SELECT *, 25 * {_c('(len(families_6h) - 1) / 2.0::DOUBLE')} + 20 * {_c('coalesce(z, 0.0) / 6.0::DOUBLE')} + 15 * {_c('hn / 10.0::DOUBLE')} + 10 * {_c('coalesce(stars, 0) / 500.0::DOUBLE')}
      + 10 * greatest({_c('upvotes / 20.0::DOUBLE')}, CASE WHEN trending THEN 0.5 ELSE 0.0 END::DOUBLE) + CASE WHEN official THEN 10.0 ELSE 0.0 END::DOUBLE + 10 * {_c('social_6h / 20.0::DOUBLE')} AS raw,
-     (epoch_us({_T}) - epoch_us(last_at)) / 3.6e9::DOUBLE AS age FROM (SELECT * REPLACE (coalesce(families_6h, []) AS families_6h) FROM parts)),
+     (epoch_us({_T}) - epoch_us(last_at)) / 3.6e9::DOUBLE AS age FROM (SELECT * REPLACE (coalesce(families_6h, []) AS families_6h) FROM parts LEFT JOIN extra USING (cluster_id))),
 scored AS (
-  SELECT *, CASE WHEN n_items < 2 AND NOT (official OR hn >= 3 OR upvotes >= 10 OR len(families_6h) >= 2) THEN least(raw, 15.0::DOUBLE) ELSE raw END
+  SELECT *, CASE WHEN n_items < 2 AND NOT (official OR hn >= 3 OR upvotes >= 10 OR len(families_6h) >= 2 OR coalesce(z, 0) >= 3 OR coalesce(stars, 0) >= 100) THEN least(raw, 15.0::DOUBLE) ELSE raw END
             * CASE WHEN age <= 6 THEN 1.0::DOUBLE ELSE greatest(0.4::DOUBLE, 1 - 0.6::DOUBLE * (age - 6) / 42) END AS score,
      CASE WHEN n_press = n_items THEN 'PRESS_ONLY' WHEN n_press >= 3 THEN 'CONFIRMED' WHEN n_press >= 1 THEN 'LIGHT_PRESS' ELSE 'ANTICIPATION' END AS status, coalesce(first_press < first_other, false) AS press_first FROM raw_score)"""
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    parts = score.components(members(spark, sf_dir), NOW).withColumns({"z": F.lit(0.0), "stars_delta": F.lit(0).cast("long")})
-    return score.score(parts, NOW)
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 100).alias("cluster_id")).agg(F.max("event_id").alias("m"))
+    third = F.col("cluster_id") % 3
+    extra = e.select("cluster_id", F.when(third > 0, F.col("m") % 90 / 10.0).alias("z"), F.when(third < 2, F.col("m") % 700).alias("stars_delta"))
+    return score.score(score.components(members(spark, sf_dir), NOW).join(extra, "cluster_id", "left"), NOW)
 
 
 @register("b8_b9_score", with_items("SELECT cluster_id, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score_e6, status, press_first FROM scored", SQL_SCORED))

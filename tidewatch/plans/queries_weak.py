@@ -115,7 +115,7 @@ def adamic(spark, sf_dir):
         f"""SELECT source_id, term, item_id, {sql_e6('bits')} FROM (
               SELECT source_id, term, item_id, log2(1 + source_days) AS bits, row_number() OVER (PARTITION BY source_id, term ORDER BY ts, item_id) AS k, source_days FROM (
                 SELECT *, first_seen_at AS ts, (epoch_us(first_seen_at) - min(epoch_us(first_seen_at)) OVER (PARTITION BY source_id)) / {DAY_US}.0::DOUBLE AS source_days FROM terms))
-            WHERE k = 1 AND source_days >= 7""",
+            WHERE k = 1 AND source_days >= 7 AND source_id IN ('src1', 'src4', 'src6')""",
         SQL_TERMS,
     ),
 )
@@ -124,7 +124,9 @@ def vocabulary(spark, sf_dir):
 
     m = mentions(spark, sf_dir)
     first = F.min("ts").over(Window.partitionBy("source_id"))
-    m = m.withColumns({"cred": F.lit(0.7), "source_days": (F.unix_micros("ts") - F.unix_micros(first)) / F.lit(float(DAY_US))})
+    # official sources have 0.7, all others less than the detector asks for
+    official = F.col("source_id").isin("src1", "src4", "src6")
+    m = m.withColumns({"cred": weak.prior_credibility(F.col("family"), official), "source_days": (F.unix_micros("ts") - F.unix_micros(first)) / F.lit(float(DAY_US))})
     return weak.new_vocabulary(m).select("source_id", "term", "item_id", e6("bits"))
 
 
@@ -336,6 +338,21 @@ def metrics(spark, sf_dir):
     return weak.metrics(labelled(spark, sf_dir), NOW)
 
 
+@register(
+    "w16_metrics_by_source",
+    with_items(
+        f"""SELECT dimension, value, flagged, confirmed, confirmed / flagged::DOUBLE AS rate, {_upct(0.5, 'leads')} AS median_lead FROM (
+              SELECT CASE WHEN grouping(detector) = 0 THEN 'detector' ELSE 'source' END AS dimension, coalesce(detector, source_id) AS value, count(*) AS flagged, count(*) FILTER (outcome <> 'NOT_CONFIRMED') AS confirmed,
+                     list_sort(list(lead_h) FILTER (outcome <> 'NOT_CONFIRMED' AND lead_h IS NOT NULL)) AS leads
+              FROM lab WHERE detected_at >= {_T} - INTERVAL 14 DAY GROUP BY GROUPING SETS ((detector), (source_id)))
+            QUALIFY dimension = 'detector' OR row_number() OVER (PARTITION BY dimension ORDER BY flagged DESC, value) <= 30""",
+        SQL_LABELS,
+    ),
+)
+def metrics_by_source(spark, sf_dir):
+    return weak.metrics_by(labelled(spark, sf_dir), NOW)
+
+
 @register(
     "w17_ghost_mode",
     f"""SELECT event_id AS signal_id, until FROM events, (VALUES ('2024-01-20 00:00:00'), ('2024-01-30 12:00:00'), ('2024-02-10 00:00:00')) g(until) WHERE {_T} >= CAST(until AS TIMESTAMP)""",
