@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import cascade, flagged, shared_dir, to_arrow, written
 
-#: Records in one archive file, and bytes of a payload from which a record has a file of its own: a file has
-#: less than 256 MB before compression, or one record.
-FILE_RECORDS, LARGE_BYTES = 1000, 1 << 18
+#: Records in one archive file; larger payloads are gathered by their size, so that a file has about ``FILE_BYTES`` before
+#: compression at most, or one record.
+FILE_RECORDS, LARGE_BYTES, FILE_BYTES = 1000, 1 << 18, 1 << 28
 #: Bytes of payload and records that reading hands on at once.
 READ_BYTES, READ_RECORDS = 4 << 20, 500
 DATE = "2024-01-01T00:00:00Z"
@@ -35,10 +35,15 @@ def digest(payload):
     return F.translate(F.concat(*[part(i) for i in range(4)]), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _key(payload):
+    """A hash of a page's id and payload, by which tasks that read payloads know revisits."""
+    return F.xxhash64("page_id", payload)
+
+
 def headers(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload_digest, n, k) of every row of ``pages`` (page_id, url, html): k is a hash of id and payload."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select("page_id", "url", digest(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("n"), F.xxhash64("page_id", payload).alias("k"))
+    return pages.select("page_id", "url", digest(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("n"), _key(payload).alias("k"))
 
 
 def revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -81,19 +86,20 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_recor
 
     A null html counts as empty, a null url as an empty target. Which pages are revisits is told to the
     tasks that read payloads by bitmaps, so that payloads aren't shuffled; with more revisits than
-    bitmaps of bounded size can hold, they are told by a join. Files are gzipped by Spark's text writer, a
+    bitmaps of bounded size can hold, or with hashes that don't tell them apart, they are told by a join. Files are gzipped by Spark's text writer, a
     record's trailing blank lines being the writer's line end; every header is written anew.
     """
     pages = pages.select("page_id", "url", "html")
     heads = written(headers(pages))
     again = written(revisits(heads, least_bytes))
     payload = F.coalesce(F.col("html"), F.lit(""))
-    key = F.xxhash64("page_id", payload)
-    levels = cascade(heads, again)
+    # hashes that a revisit shares with another page would lose a record, so then pages are told by a join
+    clear = heads.join(again.select("k").distinct(), "k", "left_semi").count() == again.count()
+    levels = cascade(heads, again) if clear else None
     if levels is None:
         first = pages.withColumn("payload_digest", digest(payload)).join(again.select("page_id", "payload_digest").distinct(), ["page_id", "payload_digest"], "left_anti")
     else:
-        first = flagged(pages, key, levels, "_again").where("not _again").withColumn("payload_digest", digest(payload))
+        first = flagged(pages, _key(payload), levels, "_again").where("not _again").withColumn("payload_digest", digest(payload))
 
     def save(records: DataFrame, most: int) -> None:
         out = records.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most)
@@ -102,8 +108,11 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_recor
     large = F.octet_length(payload) >= LARGE_BYTES
     responses = first.where(~large).select(_record("response", payload).alias("value"))
     save(responses.unionByName(again.select(_record("revisit", F.lit(""), F.col("refers_to")).alias("value"))), file_records)
-    if not heads.where(F.col("n") >= LARGE_BYTES).isEmpty():
-        save(first.where(large).select(_record("response", payload).alias("value")), 1)
+    # one more reading for each power of two among the sizes of large payloads, few as they are
+    size = lambda n: F.floor(F.log2(n)).cast("int")
+    for r in heads.where(F.col("n") >= LARGE_BYTES).select(size(F.col("n")).alias("power")).distinct().collect():
+        same = first.where(large & (size(F.octet_length(payload)) == r["power"]))
+        save(same.select(_record("response", payload).alias("value")), max(1, FILE_BYTES >> (r["power"] + 1)))
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
