@@ -170,3 +170,30 @@ def test_passes_without_items(spark, tmp_path):
     for now in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
         m = passes.run_pass(store, items, LEX, now)
     assert m["pass"] == 1 and store.read(m, "signals").count() == 0 and store.read(m, "term_last").count() == 0
+
+
+def test_tables_between_stages_are_cleared(spark):
+    from pathlib import Path
+
+    from tidewatch import session
+
+    others, session._MADE[:] = list(session._MADE), []
+    df = session.written(spark.range(5))
+    made = list(session._MADE)
+    assert df.count() == 5 and len(made) == 1 and Path(made[0]).exists()
+    assert session.clear(spark) == 1 and not Path(made[0]).exists() and session.clear(spark) == 0
+    session._MADE[:] = others
+
+
+def test_popularity_is_that_of_all_earlier_days(spark):
+    from pyspark.sql import functions as F
+    from tidewatch.operators import weak
+
+    rng = random.Random(8)
+    days = {(c, rng.randrange(700)): rng.randrange(1, 50) for c in range(6) for _ in range(60)}
+    df = spark.createDataFrame([(c, START.date() + timedelta(days=d), n) for (c, d), n in days.items()], "cluster_id int, day date, n long")
+    got = {(r.cluster_id, (r.day - START.date()).days): r.pop for r in weak.popularity(df, "2030-01-01").collect()}
+    for (c, d), pop in got.items():
+        want = sum(n * math.exp(-0.24 * (d - e)) for (x, e), n in days.items() if x == c and e <= d)
+        assert abs(pop - want) < 1e-9 * want
+    assert len(got) == len(days) and weak.popularity(df.where(F.lit(False)), "2030-01-01").count() == 0

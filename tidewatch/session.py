@@ -16,6 +16,8 @@ TABLES = (
 #: Rows and bytes handed to Python at once. Whole texts travel in these batches, and what a worker makes of
 #: one batch is the memory that it keeps, so both are low; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Folders made by ``shared_dir`` and not yet cleared.
+_MADE: list[str] = []
 
 
 def session(app: str = "tidewatch", cpus: int | None = None) -> SparkSession:
@@ -55,7 +57,22 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_dir()
-    return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the folders of tables that this process wrote between its stages, and says how many.
+
+    A query's result reads them until it has been saved, so whoever saves it calls this afterwards; the command
+    line and the bench do.
+    """
+    hadoop, conf, n = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), len(_MADE)
+    while _MADE:
+        path = hadoop.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 @lru_cache(maxsize=1)
