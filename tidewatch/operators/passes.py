@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..session import written
 from .items import _at
 from .weak import DAY, ERLANG_P, common_before, days_between, pass_items, signal_score
 
-#: Sub-folders of hashed states, and parts of a day. Each should fit a task.
+#: Sub-folders of hashed states, and parts of a day, unless a store is made with others. Each should fit a task.
 BUCKETS, DAY_PARTS = 64, 8
 # Days that states remember, and least credibility and observed days of the detectors.
 TERM_DAYS, SINGLE_DAYS, VOCAB_DAYS, MENTION_DAYS = 30, 14, 90, 30
@@ -37,8 +39,8 @@ class State:
     merge: dict[str, Column] = field(hash=False)
     by_day: bool = False
 
-    def bucket(self) -> Column:
-        parts = F.pmod(F.xxhash64(*self.key), F.lit(DAY_PARTS if self.by_day else BUCKETS)).cast("string")
+    def bucket(self, buckets: int, day_parts: int) -> Column:
+        parts = F.pmod(F.xxhash64(*self.key), F.lit(day_parts if self.by_day else buckets)).cast("string")
         return F.concat_ws("_", F.col("day").cast("string"), parts) if self.by_day else parts
 
 
@@ -70,8 +72,9 @@ def states() -> dict[str, State]:
 class Store:
     """Versions of the states below one folder that driver and executors see."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, day_parts: int | None = None):
         self.spark, self.root, self.states = spark, root.rstrip("/"), states()
+        self.parts = buckets or BUCKETS, day_parts or DAY_PARTS
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -96,18 +99,22 @@ class Store:
             return self.spark.createDataFrame([], self.states[table].columns)
         return self.spark.read.schema(self.states[table].columns).parquet(*[f"{self.root}/{table}/v={v}/bucket={b}" for b, v in sorted(held.items())])
 
-    def near(self, manifest: dict, table: str, rows: DataFrame) -> DataFrame:
-        """The state's rows in the buckets that ``rows`` (with the state's key) touch; bucket names only come to the driver."""
-        return self.read(manifest, table, {r["b"] for r in rows.select(self.states[table].bucket().alias("b")).distinct().collect()})
+    def touched(self, rows: dict[str, DataFrame]) -> dict[str, set[str]]:
+        """The buckets of each state that some rows (with its key) touch; only names come to the driver, in one job."""
+        named = [r.select(F.lit(t).alias("t"), self.states[t].bucket(*self.parts).alias("b")) for t, r in rows.items()]
+        out: dict[str, set[str]] = {t: set() for t in rows}
+        for r in reduce(DataFrame.unionByName, named).distinct().collect():
+            out[r["t"]].add(r["b"])
+        return out
 
-    def merge(self, manifest: dict, number: int, table: str, rows: DataFrame, keep: Column | None = None) -> dict[str, int]:
-        """Writes the touched buckets with ``rows`` merged in as version ``number``, and says which version each bucket has then."""
+    def merge(self, manifest: dict, number: int, table: str, rows: DataFrame, buckets: set[str], keep: Column | None = None) -> dict[str, int]:
+        """Writes the touched ``buckets`` with ``rows`` merged in as version ``number``, and says which version each bucket has then."""
         state = self.states[table]
         key = [*state.key, "day"] if state.by_day else [*state.key]
-        before = self.near(manifest, table, rows)
+        before = self.read(manifest, table, buckets)
         columns = before.columns
         both = before.unionByName(rows.select(*columns)) if keep is None else before.where(keep).unionByName(rows.select(*columns))
-        after = both.groupBy(*key).agg(*[c.alias(n) for n, c in state.merge.items()]).select(*columns, state.bucket().alias("bucket"))
+        after = both.groupBy(*key).agg(*[c.alias(n) for n, c in state.merge.items()]).select(*columns, state.bucket(*self.parts).alias("bucket"))
         after.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{table}/v={number}")
         wrote = {n.removeprefix("bucket=") for n in self._names(table, f"v={number}") if n.startswith("bucket=")}
         return {**manifest["tables"][table], **dict.fromkeys(sorted(wrote), number)}
@@ -213,10 +220,11 @@ def run_pass(store: Store, items: DataFrame, lex, now, backfill_days: int = 14,
         return before
     number, at_now = before["pass"] + 1, _at(now)
     last = before["now"]
+    past = lambda n: (datetime.fromisoformat(now) - timedelta(days=n)).date()
     taken = pass_items(items, lex, now, last, backfill_days, detect_hours).where("first_seen_at is not null")
     taken = written(taken.select("item_id", "source_id", "family", F.col("first_seen_at").alias("at"), "cred", "precocity", "detect", "terms", F.array_sort(F.array_distinct(F.array_compact("entities"))).alias("entities")))
     start = items.agg(F.min("first_seen_at").cast("string").alias("s")).first()["s"] if before["start"] is None else before["start"]
-    days = max(1.0, items.sparkSession.range(1).select(days_between(at_now, _at(start or now)).alias("d")).first()["d"])
+    days = max(1.0, (datetime.fromisoformat(now) - datetime.fromisoformat(start or now)) / timedelta(days=1))
 
     word = F.explode(F.array_distinct(F.array_compact("terms"))).alias("term")
     words = taken.select("item_id", "source_id", "family", "at", "cred", "detect", "entities", word)
@@ -230,23 +238,29 @@ def run_pass(store: Store, items: DataFrame, lex, now, backfill_days: int = 14,
     older = lambda c, n: F.col(c) < settled - F.expr(f"INTERVAL {n} DAYS")
     live_term = ~(older("last_at", TERM_DAYS) | ((F.col("n") == 1) & older("last_at", SINGLE_DAYS)))
     live_word = ~older("last_at", VOCAB_DAYS)
-    since = F.to_date(at_now - F.expr(f"INTERVAL {MENTION_DAYS} DAYS"))
+    since = F.lit(past(MENTION_DAYS))
+    day = F.to_date("at").alias("day")
+    by_key = {
+        "term_daily": words.select("term", day), "term_last": words.select("term"), "source_vocab": words.select("source_id", "term"),
+        "entity_mentions": mentions.select("entity", day), "entity_pairs": pairs.select("a", "b"), "sources": taken.select("source_id"),
+    }
+    near = store.touched(by_key)
     source_first = store.read(before, "sources").unionByName(taken.groupBy("source_id").agg(F.min("at").alias("first_at"))).groupBy("source_id").agg(F.min("first_at").alias("first_at"))
 
-    d4 = vocabulary_signals(words, store.near(before, "source_vocab", words).where(live_word), source_first, at_now)
+    d4 = vocabulary_signals(words, store.read(before, "source_vocab", near["source_vocab"]).where(live_word), source_first, at_now)
     found = d4.select(F.lit("D4").alias("detector"), F.concat(F.lit("vocab:"), "source_id").alias("ns"), F.col("term").alias("key"), "item_id", "at", F.lit(1).alias("families"), "bits", F.col("term").alias("entity"))
     if days >= MIN_DAYS:
-        terms_before = store.near(before, "term_last", words).where(live_term).join(words.select("term").distinct(), "term", "left_semi")
+        terms_before = store.read(before, "term_last", near["term_last"]).where(live_term).join(words.select("term").distinct(), "term", "left_semi")
         d2 = term_signals(words, terms_before, days)
         d3 = pair_signals(mentions, pairs, store.read(before, "entity_mentions").where(F.col("day") >= since).groupBy("entity").agg(F.sum("n").alias("n")), store.read(before, "entity_pairs"))
         found = found.unionByName(d2.select(F.lit("D2").alias("detector"), F.lit("term").alias("ns"), F.concat_ws("|", "term", F.to_date("first_at").cast("string")).alias("key"), "item_id", "at", "families", "bits", F.col("term").alias("entity")))
         found = found.unionByName(d3.select(F.lit("D3").alias("detector"), F.lit("pair").alias("ns"), F.concat_ws("|", "a", "b").alias("key"), "item_id", "at", F.lit(1).alias("families"), "bits", F.concat_ws(" + ", "a", "b").alias("entity")))
     score = signal_score(F.col("bits"), F.col("cred"), F.col("precocity"), F.col("families"))
     signals = found.join(taken.select("item_id", "source_id", "cred", "precocity").dropDuplicates(["item_id"]), "item_id").withColumns({"score": score, "detected_at": F.col("at"), "passed_at": at_now})
+    signals = written(signals.select(*store.read(before, "signals", set()).columns))
 
     recent = Window.partitionBy("term").orderBy(F.desc("at"), F.desc("item_id"))
     six = words.withColumn("_n", F.row_number().over(recent)).where("_n <= 6").groupBy("term").agg(F.collect_list(F.struct("at", "item_id", "family", "cred")).alias("recent"))
-    day = F.to_date("at").alias("day")
     daily = words.groupBy("term", day).agg(F.count("*").alias("n"), F.collect_set("source_id").alias("sources"), F.collect_set("family").alias("families"))
     new = {
         "term_daily": (daily, None),
@@ -257,13 +271,13 @@ def run_pass(store: Store, items: DataFrame, lex, now, backfill_days: int = 14,
         "sources": (taken.groupBy("source_id").agg(F.min("at").alias("first_at")), None),
         "signals": (signals, None),
     }
+    near |= store.touched({"signals": signals})
     after = {"pass": number, "now": now, "start": start, "tables": {}}
     for table, (rows, keep) in new.items():
-        after["tables"][table] = store.merge(before, number, table, written(rows), keep)
+        after["tables"][table] = store.merge(before, number, table, rows, near[table], keep)
     # days beyond the window are forgotten by dropping their buckets
     edges = {"term_daily": TERM_DAYS, "entity_mentions": MENTION_DAYS}
     for table, n in edges.items():
-        edge = items.sparkSession.range(1).select(F.to_date(at_now - F.expr(f"INTERVAL {n} DAYS")).cast("string").alias("d")).first()["d"]
-        after["tables"][table] = {b: v for b, v in after["tables"][table].items() if b.split("_")[0] >= edge}
+        after["tables"][table] = {b: v for b, v in after["tables"][table].items() if b.split("_")[0] >= past(n).isoformat()}
     store.commit(after)
     return after

@@ -125,7 +125,7 @@ def pass_signals(spark, sf_dir):
     i = i.withColumns({"cred": weak.prior_credibility(F.col("family"), F.col("source_id") == "src3"), "precocity": F.when(F.col("family") != "C", 0.25)})
     i = i.withColumns({"terms": terms.proper_nouns(F.col("title"), LEX), "entities": terms.entities(F.col("title"), LEX)})
     i = written(i.select("item_id", "source_id", "family", "title", "text", "first_seen_at", "cred", "precocity", "terms", "entities"))
-    store = passes.Store(spark, shared_dir(spark))
+    store = passes.Store(spark, shared_dir(spark), buckets=16, day_parts=1)
     for now in PASSES:
         last = passes.run_pass(store, i, LEX, now)
     return store.read(last, "signals").select("detector", "ns", "key", "item_id", "detected_at", "families", F.floor(F.col("bits") * 1e6 + 0.5).alias("bits_e6"), "passed_at")
