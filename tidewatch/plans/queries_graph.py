@@ -247,7 +247,26 @@ def coverage(spark, sf_dir):
     return press.coverage(m, c, NOW).withColumn("samples", F.array_join("samples", ","))
 
 
-@register("r9_press_query")
+_NAMES = str([n for n, kind, _ in LEX.entities if kind not in ("TOPIC", "REGULATION")])
+_NEVER, _STOP = str(sorted({*LEX.stop, *LEX.generic})), str(list(LEX.stop))
+
+
+@register(
+    "r9_press_query",
+    with_items(
+        f"""SELECT cluster_id, array_to_string(list_concat(tm, list_filter(string_split({sql_name("coalesce(label, '')")}, ' '), lambda w: length(w) > 3 AND NOT list_contains({_STOP}, w) AND len(list_filter(tm, lambda x: contains(lower(x), w))) = 0))[1:2], ' ') AS query FROM q""",
+        f"""mem AS (SELECT *, item_id % 100 AS cluster_id FROM items),
+        wd AS (SELECT cluster_id, item_id, unnest(list_distinct(list_filter(regexp_extract_all(coalesce(title, ''), '{terms.TITLE_WORD}'),
+                 lambda x: length(x) >= 3 AND (regexp_matches(x, '^[A-Z]') OR (regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AND NOT list_contains({_NEVER}, lower(x))))) AS w FROM mem),
+        fr AS (SELECT cluster_id, lower(w) AS lw, arg_min(w, (item_id, w)) AS w, count(DISTINCT item_id) AS n FROM wd GROUP BY 1, 2),
+        rk AS (SELECT fr.*, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, lw) AS r FROM fr JOIN (SELECT cluster_id, count(*) AS c FROM mem GROUP BY 1) USING (cluster_id) WHERE n >= CASE WHEN c >= 3 THEN 2 ELSE 1 END),
+        pr AS (SELECT cluster_id, list(w ORDER BY r) AS proper FROM rk WHERE r <= 2 GROUP BY 1),
+        en AS (SELECT cluster_id, list(entity ORDER BY k) AS ents FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, entity) AS k FROM (
+                 SELECT cluster_id, entity, count(*) AS n FROM (SELECT cluster_id, unnest({SQL_ENTITIES}) AS entity FROM mem) GROUP BY 1, 2)) WHERE k <= 5 GROUP BY 1),
+        t AS (SELECT cluster_id, label, coalesce(proper, []) AS proper, coalesce(ents, []) AS ents FROM (SELECT cluster_id, arg_min(title, item_id) AS label FROM mem GROUP BY 1) LEFT JOIN pr USING (cluster_id) LEFT JOIN en USING (cluster_id)),
+        q AS (SELECT cluster_id, label, list_concat(proper, list_transform(list_filter(ents, lambda e: list_contains({_NAMES}, e) AND len(list_filter(proper, lambda p: contains({sql_name('e')}, lower(p)))) = 0), lambda e: '"' || e || '"'))[1:2] AS tm FROM t)""",
+    ),
+)
 def press_query(spark, sf_dir):
     m = members(spark, sf_dir)
     ents = topics.topic_entities(m.select("cluster_id", F.explode(terms.entities(F.col("text"), LEX)).alias("entity")))
