@@ -185,6 +185,9 @@ def pair_signals(mentions: DataFrame, pairs: DataFrame, counts: DataFrame, seen:
     first = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").join(seen.select("a", "b"), ["a", "b"], "left_anti")
     first = written(first.withColumn("us", F.unix_micros("at")))
     cand = first.where("detect")
+    none = cand.sparkSession.createDataFrame([], "a string, b string, item_id long, at timestamp, na long, nb long, n_all long, surprise double, aa double, bits double")
+    if cand.isEmpty():  # most passes bring no new pair, and then nothing needs counting
+        return none
     # mentions of both entities until the pair's time: each entity's few times of candidates cut its mentions into bins
     marks = cand.select(F.explode(F.array("a", "b")).alias("entity"), "us").groupBy("entity").agg(F.array_sort(F.collect_set("us")).alias("marks"))
     mine = mentions.join(marks, "entity").withColumn("bin", F.size(F.filter("marks", lambda x: x < F.unix_micros(F.col("at")))))
@@ -202,6 +205,8 @@ def pair_signals(mentions: DataFrame, pairs: DataFrame, counts: DataFrame, seen:
     cand = cand.join(total, "us").join(F.broadcast(old)).withColumn("n_all", F.greatest(F.lit(1), F.col("upto") + F.col("old")))
     cand = cand.withColumn("surprise", F.log2(F.col("n_all") * F.col("n_all") / F.greatest(F.lit(1), F.col("na") * F.col("nb")))).where(F.col("surprise") >= MIN_SURPRISE)
     cand = written(cand)
+    if cand.isEmpty():
+        return none
     links = seen.select("a", "b", F.unix_micros("first_at").alias("us")).unionByName(first.select("a", "b", "us"))
     out = cand.join(common_before(cand.select("a", "b", "us"), links), ["a", "b"], "left").withColumn("aa", F.coalesce("aa", F.lit(0.0))).where("aa < 1")
     return out.select("a", "b", "item_id", "at", "na", "nb", "n_all", "surprise", "aa", (F.col("surprise") / (1 + F.col("aa"))).alias("bits"))
