@@ -604,7 +604,7 @@ def test_all_queries_are_named_and_have_sql_or_a_reason(spark):
     assert len(set(registry.QUERIES) - set(registry.ORACLES)) < 12
 
 
-@pytest.mark.parametrize("name", ["b2_term_burst", "b3_topic_burst", "u2_upsert", "w13_label_outcomes", "w17_ghost_mode", "k18_catalog_events", "c7_merge_topics", "s1_s14_item_parsers", "w2_new_terms", "w3_new_pairs", "t3_html_to_text"])
+@pytest.mark.parametrize("name", ["b2_term_burst", "b3_topic_burst", "u2_upsert", "w13_label_outcomes", "w17_ghost_mode", "k18_catalog_events", "c7_merge_topics", "s1_s14_item_parsers", "w2_new_terms", "w3_new_pairs", "t3_html_to_text", "t4_extract_links", "t5_person_keys", "r9_press_query", "c1_hash_vectors", "c6_threshold_topics", "a5_adamic_adar", "j1_mark_published", "k1_k14_catalog_parsers", "k8_changelog", "k16_changed_states", "b8_b9_score", "w9_popularity", "w16_metrics_by_source"])
 def test_queries_match_their_sql(spark, data, name):
     _matches(spark, data, name)
 
