@@ -1,9 +1,8 @@
-"""Text, URL and hash columns. All but the exact form of rare signs is built from JVM functions."""
+"""Text, URL and hash columns. All but the two Unicode norms are built from JVM functions."""
 
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,37 +33,6 @@ def _bare() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def _ranges(points) -> str:
-    """Code points in order as ranges of a character class, for Java and RE2."""
-    out, begin, last = [], None, None
-    for c in [*points, None]:
-        if last is not None and c == last + 1:
-            last = c
-            continue
-        if last is not None:
-            out.append(rf"\x{{{begin:x}}}" + (rf"-\x{{{last:x}}}" if last > begin else ""))
-        begin = last = c
-    return "".join(out)
-
-
-@lru_cache(maxsize=1)
-def beyond_tables() -> str:
-    """A class of the characters that ``translate`` by the tables can't bring to their compatibility form.
-
-    Those are combining marks and the vowels and ends of Korean syllables, which compose with what stands before
-    them, and signs whose form has several characters or isn't in the tables.
-    """
-    plain = dict(zip(COMPATIBLE, COMPATIBLE_PLAIN)) | EXPANDED
-
-    def needs(c: int) -> bool:
-        char = chr(c)
-        if 0x1160 <= c < 0x1200 or unicodedata.category(char)[0] == "M":
-            return True
-        return unicodedata.normalize("NFKC", char) != plain.get(char, char)
-
-    return "[" + _ranges(c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and needs(c)) + "]"
-
-
 #: Tables made by rule from the Unicode data, for ``translate`` here and in SQL.
 COMPATIBLE, COMPATIBLE_PLAIN = _compatible()
 ACCENTED, PLAIN = _bare()
@@ -100,27 +68,45 @@ def norm_name_plain(c) -> Column:
     return squeeze(F.regexp_replace(F.translate(norm_plain(c), ACCENTED, PLAIN), r"[^a-z0-9' -]", ""))
 
 
+#: Quotes, dashes and white space as ``norm`` leaves them; and the ASCII characters that no name keeps.
+_PLAIN_SIGNS = str.maketrans(QUOTES, QUOTES_PLAIN) | {c: " " for c in (*range(9, 14), 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)}
+_NO_NAME = bytes(c for c in range(128) if chr(c) not in NAME_CHARS)
+
+
+def _single_spaces(t: str) -> str:
+    return " ".join(filter(None, t.split(" ")))
+
+
+def norm_text(t: str | None) -> str:
+    return _single_spaces(unicodedata.normalize("NFKC", t or "").lower().translate(_PLAIN_SIGNS))
+
+
+def norm_name_text(t: str | None) -> str:
+    bare = unicodedata.normalize("NFD", norm_text(t)).encode("ascii", "ignore").translate(None, _NO_NAME)
+    return _single_spaces(bare.decode("ascii"))
+
+
 def norm(c) -> Column:
     """Compatibility forms (NFKC), lower case, plain quotes and dashes, single spaces; null is empty.
 
-    Forms of one character and the usual ones of several are replaced by table. Only texts with other signs, or with
-    marks that may compose, are handed to Python; all others are null there.
+    In Arrow batches: Spark has no such function, and the tables of ``norm_plain`` take many times as long.
     """
-    t = F.coalesce(_text(c), F.lit(""))
-    rare = t.rlike(r"[^\x00-\x7F]") & t.rlike(beyond_tables())
-    return F.when(rare, squeeze(norm_exact(F.when(rare, t)))).otherwise(norm_plain(t))
+    return _norm(_text(c))
 
 
 def norm_name(c) -> Column:
     """``norm`` without accents, and of what is left only letters, digits, quote, space and dash."""
-    return squeeze(F.regexp_replace(F.translate(norm(c), ACCENTED, PLAIN), r"[^a-z0-9' -]", ""))
+    return _norm_name(_text(c))
+
+
+@F.pandas_udf(StringType())
+def _norm(s: pd.Series) -> pd.Series:
+    return s.map(norm_text)
 
 
 @F.pandas_udf(StringType())
-def norm_exact(s: pd.Series) -> pd.Series:
-    """Compatibility composition, lower case, plain quotes and dashes, in Arrow batches: Spark has no such function. Null stays null."""
-    plain = str.maketrans(QUOTES, QUOTES_PLAIN)
-    return s.map(lambda t: unicodedata.normalize("NFKC", t).lower().translate(plain), na_action="ignore")
+def _norm_name(s: pd.Series) -> pd.Series:
+    return s.map(norm_name_text)
 
 
 def decode_entities(c) -> Column:
