@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import absolute_url, decode_entities, iso_time, squeeze, strip_tags
+from ..functions.text import absolute_url, decode_entities, iso_time, let, squeeze, strip_tags
 
 ITEM = "external_id string, url string, title string, text string, author string, published_at timestamp, score_raw double, comments bigint, kind string, rank int"
 FIELDS = [f.strip().split(" ") for f in ITEM.split(",")]
@@ -46,30 +46,35 @@ def tag(xml: Column, name: str) -> Column:
 
 
 def _first(*texts: Column) -> Column:
-    """The first text that isn't empty; empty if none."""
-    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))
+    """The first text that isn't empty; empty if none. Each is computed once, and only if those before are empty."""
+    full = lambda t: F.get(F.filter(F.array(t), lambda x: x != ""), F.lit(0))
+    return F.coalesce(*[full(t) for t in texts], F.lit(""))
 
 
 def feed(body: Column, feed_url: Column) -> Column:
     """RSS 2, Atom or RDF. Atom is told by a feed element without an rss element."""
-    atom = body.rlike(r"(?i)<feed[\s>]") & ~body.rlike(r"(?i)<rss[\s>]")
-    blocks = F.when(atom, F.regexp_extract_all(body, F.lit(r"(?is)<entry[\s>].*?</entry>"), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(r"(?is)<item[\s>].*?</item>"), F.lit(0)))
+    is_atom = body.rlike(r"(?i)<feed[\s>]") & ~body.rlike(r"(?i)<rss[\s>]")
 
-    def one(b: Column) -> Column:
+    def blocks(atom: Column) -> Column:
+        return F.when(atom, F.regexp_extract_all(body, F.lit(r"(?is)<entry[\s>].*?</entry>"), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(r"(?is)<item[\s>].*?</item>"), F.lit(0)))
+
+    def address(b: Column, atom: Column) -> Column:
         alternate = F.regexp_extract(b, r"""(?i)<link[^>]*rel=["']alternate["'][^>]*href=["']([^"']+)["']""", 1)
         href = _first(alternate, F.regexp_extract(b, r"""(?i)<link[^>]*href=["']([^"']+)["']""", 1))
         rss = _first(tag(b, "link"), F.regexp_extract(b, r"(?i)<guid[^>]*>(https?:[^<]+)</guid>", 1), F.regexp_extract(b, r"""(?i)rdf:about=["']([^"']+)["']""", 1))
-        link = F.trim(decode_entities(F.when(atom, href).otherwise(rss)))
-        link = F.when(link == "", "").otherwise(absolute_url(link, feed_url))
+        return let(F.trim(decode_entities(F.when(atom, href).otherwise(rss))), lambda x: F.when(x == "", "").otherwise(absolute_url(x, feed_url)))
+
+    def one(b: Column, atom: Column, link: Column) -> Column:
         published = F.when(atom, _first(tag(b, "published"), tag(b, "updated"))).otherwise(_first(tag(b, "pubDate"), tag(b, "dc:date")))
         lead = F.when(atom, tag(b, "summary")).otherwise(tag(b, "description"))
         author = _first(F.when(atom, tag(b, "name")).otherwise(tag(b, "dc:creator")), tag(b, "author"), tag(b, "source"))
         return _item(
             external_id=_first(F.when(atom, tag(b, "id")).otherwise(tag(b, "guid")), link), url=link, title=tag(b, "title"),
-            text=F.substring(_first(lead, tag(b, "content"), tag(b, "content:encoded")), 1, 1200), author=F.nullif(author, F.lit("")), published_at=iso_time(published), kind=F.lit("POST"),
+            text=F.substring(_first(lead, tag(b, "content"), tag(b, "content:encoded")), 1, 1200), author=let(author, lambda a: F.when(a != "", a)), published_at=let(published, iso_time), kind=F.lit("POST"),
         )
 
-    return F.transform(blocks, one)
+    # what the whole body says is read once for a body, and an entry's address once for an entry
+    return let(is_atom, lambda atom: F.transform(blocks(atom), lambda b: let(address(b, atom), lambda link: one(b, atom, link))))
 
 
 # story lists
