@@ -17,3 +17,12 @@ def test_feed_reads_its_body_once(spark):
     rows = spark.createDataFrame([("<feed><entry><id>1</id></entry></feed>", "https://a.example.com/")], "body string, url string")
     plan = rows.select(parsers.feed(F.col("body"), F.col("url")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<rss") == 1
+
+
+def test_new_vocabulary_takes_all_sources(spark, data):
+    """First uses of every source that has been known for a week, not of three chosen ones."""
+    from tidewatch.plans import fixture
+
+    at = fixture.items(spark, data).select("source_id", "first_seen_at").groupBy("source_id").agg((F.unix_date(F.to_date(F.max("first_seen_at"))) - F.unix_date(F.to_date(F.min("first_seen_at")))).alias("d"))
+    want = {r["source_id"] for r in at.where("d > 14").collect()}
+    assert len(want) > 3 and {r["source_id"] for r in registry.QUERIES["w4_new_vocabulary"](spark, data).select("source_id").distinct().collect()} >= want
