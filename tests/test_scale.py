@@ -26,3 +26,15 @@ def test_new_vocabulary_takes_all_sources(spark, data):
     at = fixture.items(spark, data).select("source_id", "first_seen_at").groupBy("source_id").agg((F.unix_date(F.to_date(F.max("first_seen_at"))) - F.unix_date(F.to_date(F.min("first_seen_at")))).alias("d"))
     want = {r["source_id"] for r in at.where("d > 14").collect()}
     assert len(want) > 3 and {r["source_id"] for r in registry.QUERIES["w4_new_vocabulary"](spark, data).select("source_id").distinct().collect()} >= want
+
+
+@pytest.mark.parametrize("query", ["t1_norm", "w11_term_daily", "w4_new_vocabulary"])
+def test_texts_travel_in_small_batches(spark, data, query):
+    """A query that hands whole texts to Python does so in batches of bounded size, whatever ran before it."""
+    from tidewatch.session import BATCH_BYTES, BATCH_ROWS
+
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    registry.QUERIES[query](spark, data)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(BATCH_ROWS)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
