@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import Lexicon, is_name, norm_name, title_words
 from ..functions.text import norm_name_plain
-from ..functions.vectors import dot
 from .items import _at
 
 PRESS_MATCH = 0.60
+#: Rows of one product.
+PRODUCT_ROWS = 512
+
+
+def best_match(articles: DataFrame, members: DataFrame, by: list[str], block: int = 2048) -> DataFrame:
+    """(article_id, cluster_id, sim) of articles whose nearest member vector of the topic reaches ``PRESS_MATCH``.
+
+    Articles and members of equal ``by`` lie in blocks of bounded size, and two blocks are one matrix product in a
+    task: only the best of an article and topic in a pair of blocks is a row. All pairs of equal ``by`` are compared;
+    null ids and vectors are left out.
+    """
+    a = _blocks(articles.select("article_id", *by, "v"), "article_id", by, block, "a")
+    m = _blocks(members.select("cluster_id", *by, "v"), "cluster_id", by, block, "m")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                ids, clusters = (np.frombuffer(r[k], np.int64) for k in ("a_ids", "m_ids"))
+                va, vm = (np.frombuffer(r[k], np.float64).reshape(len(x), -1) for k, x in (("a_v", ids), ("m_v", clusters)))
+                # members lie in the order of their topics, so each topic is a range of columns
+                topics, starts = np.unique(clusters, return_index=True)
+                for begin in range(0, len(ids), PRODUCT_ROWS):
+                    best = np.maximum.reduceat(va[begin : begin + PRODUCT_ROWS] @ vm.T, starts, axis=1)
+                    i, j = np.nonzero(best >= PRESS_MATCH)
+                    yield pd.DataFrame({"article_id": ids[begin + i], "cluster_id": topics[j], "sim": best[i, j]})
+
+    # a block is some MB, so pairs of blocks go to Python a few at a time
+    pairs = a.join(m, by).select("a_ids", "a_v", "m_ids", "m_v")
+    found = pairs.mapInPandas(run, "article_id long, cluster_id long, sim double")
+    return found.groupBy("article_id", "cluster_id").agg(F.max("sim").alias("sim")).where(F.col("sim") >= PRESS_MATCH)
+
+
+def _blocks(rows: DataFrame, key: str, by: list[str], block: int, name: str) -> DataFrame:
+    """(by, ids, v): at most about ``block`` keys and vectors of equal ``by``, packed in the order of the keys."""
+    rows = rows.where(F.col("v").isNotNull()).withColumn("v", F.col("v").cast("array<double>")).dropna(subset=[key, *by])
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / block).alias("_parts"))
+    dealt = rows.join(sizes, by).withColumn("_part", F.pmod(F.xxhash64(key, "v"), F.col("_parts")))
 
+    def pack(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, f"{name}_ids": pdf[key].to_numpy(np.int64).tobytes(), f"{name}_v": v.tobytes()}])
 
-def best_match(articles: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
-    """(article_id, cluster_id, sim) of articles whose nearest member vector of the topic reaches ``PRESS_MATCH``."""
-    a = articles.select("article_id", *by, F.col("v").alias("va"))
-    j = a.join(members.select("cluster_id", *by, F.col("v").alias("vm")), by)
-    return j.groupBy("article_id", "cluster_id").agg(F.max(dot(F.col("va"), F.col("vm"))).alias("sim")).where(F.col("sim") >= PRESS_MATCH)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    return dealt.groupBy(*by, "_part").applyInPandas(pack, f"{kinds}, {name}_ids binary, {name}_v binary")
 
 
 def coverage(matched: DataFrame, collected: DataFrame, now, samples: int = 5) -> DataFrame:
