@@ -38,3 +38,40 @@ def test_texts_travel_in_small_batches(spark, data, query):
     registry.QUERIES[query](spark, data)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(BATCH_ROWS)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
+
+
+def test_nearest_before_in_many_sends(spark):
+    """Blocks are sent a few at a time, none is joined with another; equal to brute force with equal times and short slots."""
+    from tidewatch.operators import weak
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 5))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    us = np.sort(rng.integers(0, 25, 60)) * 3_600_000_000
+    rows = spark.createDataFrame([(k, int(us[k]), v[k].tolist()) for k in range(60)], "item_id long, us long, v array<double>").select("item_id", F.timestamp_micros("us").alias("ts"), "v")
+    out = weak.nearest_before(rows, block=4, slot_hours=6, sent_rows=9)
+    got = {r["item_id"]: (r["best"], r["n_before"]) for r in out.collect()}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for k in range(60):
+        before = us < us[k]
+        assert got[k][1] == before.sum()
+        assert got[k][0] == pytest.approx((v[before] @ v[k]).max()) if before.any() else got[k][0] == -np.inf
+
+
+def test_press_match_by_products(spark):
+    """Articles meet members as blocks; equal to brute force, nothing below the limit, no pair is a row."""
+    from tidewatch.operators import press
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(80, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(k, k % 7, "xy"[k % 2], v[k].tolist()) for k in range(80)]
+    a = spark.createDataFrame([r for r in rows if r[0] % 3 == 0], "article_id long, cluster_id long, label string, v array<double>").drop("cluster_id")
+    m = spark.createDataFrame([r[1:] for r in rows] + [(9, None, v[0].tolist())], "cluster_id long, label string, v array<double>")
+    got = {(r["article_id"], r["cluster_id"]): r["sim"] for r in press.best_match(a, m, ["label"], block=8).collect()}
+    want: dict = {}
+    for i in range(0, 80, 3):
+        for j in range(80):
+            if i % 2 == j % 2 and v[i] @ v[j] >= press.PRESS_MATCH:
+                want[i, j % 7] = max(want.get((i, j % 7), -1), v[i] @ v[j])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
