@@ -75,3 +75,9 @@ def test_press_match_by_products(spark):
             if i % 2 == j % 2 and v[i] @ v[j] >= press.PRESS_MATCH:
                 want[i, j % 7] = max(want.get((i, j % 7), -1), v[i] @ v[j])
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_term_counts_shuffle_once(spark, data):
+    """One shuffle by term holds counts and sources, besides those of the items' own join."""
+    plan = registry.QUERIES["r3_terms"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(term" in line for line in plan.split("\n")) == 1
