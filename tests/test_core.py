@@ -417,6 +417,27 @@ def test_greedy_merge_is_that_of_one_loop(spark, monkeypatch):
     assert topics.merge_greedy(df.limit(0)).count() == 0
 
 
+def test_greedy_merge_takes_no_chain_at_the_square_as_one_group(spark, monkeypatch):
+    """Topics that only links at the square of the threshold connect are several groups; centroids that drift join them."""
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    # 38 degrees apart: below the threshold, above its square; and a pair whose centroid moves to a third one
+    rows = [(k, 2 if k % 2 else 3, [0.0] * (k // 9 * 2) + at(38 * (k % 9)) + [0.0] * (6 - k // 9 * 2)) for k in range(27)]
+    rows += [(100, 9, [0.0] * 6 + at(0)), (101, 8, [0.0] * 6 + at(30)), (102, 7, [0.0] * 6 + at(45)), (103, 1, [0.0] * 6 + at(75))]
+    df = spark.createDataFrame(rows, "cluster_id long, n long, v array<double>")
+    largest, plain = [], topics._merged_groups
+
+    def spied(kept, comp, threshold, at_once):
+        largest.append(comp.groupBy("component").count().agg({"count": "max"}).first()[0])
+        return plain(kept, comp, threshold, at_once)
+
+    monkeypatch.setattr(topics, "_merged_groups", spied)
+    want = merge_brute(rows, topics.MERGE)
+    assert {r.cluster_id: (r.merged_into, r.n) for r in topics.merge_greedy(df).collect()} == want
+    assert max(largest) <= 4 and want[102][0] == 100
+    for rounds in (0, 1):
+        assert {r.cluster_id: (r.merged_into, r.n) for r in topics.merge_greedy(df, rounds=rounds).collect()} == want
+
+
 def test_components_by_labels(spark):
     n = spark.range(1, 30).select("id")
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 15)] + [(20, 22)], "a long, b long")
