@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import registry
+from tidewatch.operators import weak
 from tidewatch.sources import parsers
 
 registry.load()
@@ -81,3 +84,15 @@ def test_term_counts_shuffle_once(spark, data):
     """One shuffle by term holds counts and sources, besides those of the items' own join."""
     plan = registry.QUERIES["r3_terms"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert sum("hashpartitioning(term" in line for line in plan.split("\n")) == 1
+
+
+def _exchanges(df, key):
+    return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({key}")
+
+
+def test_new_terms_shuffle_mentions_once(spark):
+    """First mentions and windows come from one shuffle of the mentions, and none is written in between."""
+    rows = [("a b", k, datetime(2024, 1, 2) + timedelta(minutes=k), "AB"[k % 2], 0.5) for k in range(4)] + [("c d", 9, datetime(2024, 1, 3), "A", 0.5)]
+    out = weak.new_terms(spark.createDataFrame(rows, "term string, item_id long, ts timestamp, family string, cred double"), "2024-01-01 00:00:00", "2024-01-30 00:00:00")
+    assert _exchanges(out, "term#") == 1
+    assert [(r.term, r.item_id, r.families) for r in out.collect()] == [("a b", 1, 2)]
