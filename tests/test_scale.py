@@ -96,3 +96,10 @@ def test_new_terms_shuffle_mentions_once(spark):
     out = weak.new_terms(spark.createDataFrame(rows, "term string, item_id long, ts timestamp, family string, cred double"), "2024-01-01 00:00:00", "2024-01-30 00:00:00")
     assert _exchanges(out, "term#") == 1
     assert [(r.term, r.item_id, r.families) for r in out.collect()] == [("a b", 1, 2)]
+
+
+def test_retention_shuffles_terms_once(spark, data):
+    """Daily counts without a state before them are one aggregate, and no set that retention drops is made."""
+    out = registry.QUERIES["w18_retention"](spark, data)
+    assert _exchanges(out, "term#") == 1
+    assert "collect_set" not in out._jdf.queryExecution().executedPlan().toString()
