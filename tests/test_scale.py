@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch import registry
 from tidewatch.operators import weak
 from tidewatch.sources import parsers
+from tidewatch.streaming import streams
 
 registry.load()
 
@@ -103,3 +104,25 @@ def test_retention_shuffles_terms_once(spark, data):
     out = registry.QUERIES["w18_retention"](spark, data)
     assert _exchanges(out, "term#") == 1
     assert "collect_set" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passes_write_their_own_rows(spark, tmp_path, monkeypatch):
+    """A batch's state holds what the batch brought, and earlier rows only where parts become one; repeats change nothing."""
+    monkeypatch.setattr(streams, "FOLD", 2)
+    src, cursor, state = (str(tmp_path / x) for x in ("in", "cursor", "state"))
+    total = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    sizes = []
+
+    def update(before, batch):
+        assert before is None
+        return total(batch)
+
+    for b in range(5):
+        spark.range(10 * b, 10 * b + 10).selectExpr("id AS k", "id AS n").coalesce(1).write.mode("append").parquet(src)
+        got = streams.run_weak_passes(spark.readStream.schema("k long, n long").parquet(src), cursor, state, update, total)
+        assert {(r.k, r.n) for r in got.collect()} == {(k, k) for k in range(10 * b + 10)}
+        sizes.append(spark.read.parquet(f"{state}/{b}").count())
+    assert sizes == [10, 20, 10, 40, 10] and sorted(streams._whole(spark, state)) == [3, 4]
+    assert streams._parts([3, 4], 5) == [4, 3]
+    with pytest.raises(FileNotFoundError):
+        streams._parts([4], 5)
