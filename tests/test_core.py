@@ -343,6 +343,24 @@ def test_leaders_by_component_and_pass_are_those_of_one_pass(spark, monkeypatch,
     assert got == want and 5 < len(set(got.values())) < 200
 
 
+def test_a_long_component_takes_as_many_passes_as_it_has_windows(spark, monkeypatch):
+    """Passes follow windows, not items; what is similar to nothing gets no sum and is compared with no topic."""
+    rows = []
+    for i in range(360):
+        v = [0.0] * 16
+        v[i // 2 % 16], v[(i // 2 + 1) % 16] = 0.9, 0.3 * (i % 3)
+        rows.append((i, i * 7200, "PAPER" if i % 4 == 0 else "STORY", f"https://a.b/{(i + 1) // 2}", (np.array(v) / np.linalg.norm(v)).tolist()))
+    tables, plain = [], topics.written
+    monkeypatch.setattr(topics, "written", lambda df, *more: tables.append("state" if "rank" in df.columns else "") or plain(df, *more))
+    got = {r.item_id: r.cluster_id for r in topics.leader_clusters(placed_items(spark, rows), at_once=8).collect()}
+    assert got == leaders_brute(rows) and 5 < len(set(got.values())) < 200
+    assert 1 < tables.count("state") < 12
+    alone = topics.Leaders(72 * 3.6e9, 96 * 3.6e9, 16)
+    for i in range(50):
+        alone.place(i, i, f"https://a.b/{i % 10}", 0.62, None, b"", (np.array([i % 16]), np.array([1.0])))
+    assert alone.size == [5] * 10 and not alone.alike and all(s is None for s in alone.sums)
+
+
 def test_home_pages_make_no_topic(spark):
     rows = [(i, i, "STORY", "https://github.com/", [float(i == k) for k in range(3)]) for i in range(3)]
     assert {r.item_id: r.cluster_id for r in topics.leader_clusters(placed_items(spark, rows)).collect()} == {0: 0, 1: 1, 2: 2}
