@@ -482,6 +482,15 @@ def test_threshold_topics_compare_all_pairs(spark, monkeypatch):
     assert got == want and got[2] == got[3] == 1 and got[5] == 5
 
 
+def test_threshold_topics_fill_vectors_once(spark):
+    """Texts are hashed once, into sparse rows that are written; links, nodes and the result read these. A null vector is alone."""
+    titles = ["alpha beta gamma delta", "alpha beta gamma delta", "one two three", "", "new alpha beta gamma delta"]
+    df = vectors.with_hash_vectors(spark.createDataFrame(list(enumerate(titles, 1)), "item_id long, title string"), F.col("title"))
+    out = topics.threshold_topics(df.withColumn("v", F.when(F.col("item_id") != 3, F.col("v"))))
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.item_id: r.cluster_id for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+
+
 # weak signals
 
 
