@@ -9,6 +9,7 @@ import unicodedata
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -400,6 +401,50 @@ def test_bounds_on_the_rest_end_most_products(spark):
     assert work.done < 0.75 * work.all, (work.done, work.all)
 
 
+def counted_block(x, first):
+    """A block of unit vectors, with ids from ``first``."""
+    at = [np.flatnonzero(v) for v in x]
+    rows = pd.DataFrame({"id": range(first, first + len(x)), "slot": 0, "part": 0, "cells": x.shape[1], "pos": at, "val": [v[k] for v, k in zip(x, at)]})
+    return topics.Block(topics._packed(rows).assign(number=first).to_dict("records")[0])
+
+
+@pytest.mark.parametrize("threshold", [0.62, 0.85])
+def test_whole_counts_share_products(spark, monkeypatch, threshold):
+    """Counts of words fold into few buckets and share doubles: as all pairs give, with few products, in tiles of like lengths."""
+    for name, value in (("TILE", 200), ("STRIP", 64)):
+        monkeypatch.setattr(topics, name, value)
+    rng = np.random.default_rng(5)
+    often = 1 / np.arange(1, 257)
+    counts = np.stack([rng.multinomial(n, 0.1 * often / often.sum() + 0.9 / 256) * rng.choice([-1, 1], 256) for n in rng.integers(5, 150, 900)]).astype(float)
+    for k in range(300):  # near copies, some at the threshold, some longer
+        counts[600 + k] = counts[k] * (1 + k % 2)
+        counts[600 + k, rng.integers(0, 256, 1 + k % 40)] += rng.choice([-1, 1])
+    counts[7] *= 0.0
+    counts[7, :3] = 1, 2, 2
+    x = counts / np.linalg.norm(counts, axis=1, keepdims=True)
+    sent, own = counted_block(x[:600], 0), counted_block(x[600:], 600)
+    assert sent.whole and own.whole and not counted_block(np.sqrt(np.abs(x)) / 3, 0).whole
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "item_id long, v array<double>")
+    folds = topics._folds(topics.sparse_rows(rows).withColumnRenamed("item_id", "id"), threshold - topics.SLACK)
+
+    class Work:
+        all = done = 0
+
+        def add(self, x):
+            self.all, self.done = self.all + x[0], self.done + x[1]
+
+    work = Work()
+    for a, b in ((sent, sent), (own, sent), (sent, own)):
+        got, want = np.arange(900), np.arange(900)
+        for i, j in topics.counted_forest(a, b, threshold, folds, work):
+            got[got == max(got[i], got[j])] = min(got[i], got[j])
+        part = lambda z: np.isin(np.arange(900), z.ids)
+        for i, j in zip(*np.nonzero((x @ x.T >= threshold) & part(a)[:, None] & part(b))):
+            want[want == max(want[i], want[j])] = min(want[i], want[j])
+        assert (got == want).all() and (a is b or len(set(want)) < 800)
+    assert work.done < 0.3 * work.all, (work.done, work.all)
+
+
 def merge_brute(rows, threshold):
     """One loop over all topics, larger first; the centroid moves with each topic that it takes."""
     live = [[i, n, np.array(v) * n, np.array(v)] for i, n, v in sorted(rows, key=lambda r: (-r[1], r[0]))]
