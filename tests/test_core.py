@@ -411,7 +411,7 @@ def counted_block(x, first):
 @pytest.mark.parametrize("threshold", [0.62, 0.85])
 def test_whole_counts_share_products(spark, monkeypatch, threshold):
     """Counts of words fold into few buckets and share doubles: as all pairs give, with few products, in tiles of like lengths."""
-    for name, value in (("TILE", 200), ("STRIP", 64)):
+    for name, value in (("TILE", (20, 200, 1.5)), ("STRIP", (10, 64, 1.1))):
         monkeypatch.setattr(topics, name, value)
     rng = np.random.default_rng(5)
     often = 1 / np.arange(1, 257)
@@ -425,7 +425,7 @@ def test_whole_counts_share_products(spark, monkeypatch, threshold):
     sent, own = counted_block(x[:600], 0), counted_block(x[600:], 600)
     assert sent.whole and own.whole and not counted_block(np.sqrt(np.abs(x)) / 3, 0).whole
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "item_id long, v array<double>")
-    folds = topics._folds(topics.sparse_rows(rows).withColumnRenamed("item_id", "id"), threshold - topics.SLACK)
+    folds = topics._folds(topics.sparse_rows(rows).withColumnRenamed("item_id", "id"), threshold - topics.SLACK, rng.permutation(256))
 
     class Work:
         all = done = 0
